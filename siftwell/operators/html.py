@@ -65,7 +65,7 @@ class _Dom(HTMLParser):
             self.pop(len(html))
         return {"texts": self.texts, "nodes": self.nodes, "error": None}
 
-    def offset(self):
+    def position(self):
         line, column = self.getpos()
         return self.line_starts[line - 1] + column
 
@@ -100,10 +100,10 @@ class _Dom(HTMLParser):
             self.nodes.append(node)
             if tag in CARD_TAGS:
                 card = len(self.nodes) - 1
-        self.stack.append((tag, node, card, self.offset()))
+        self.stack.append((tag, node, card, self.position()))
         self.open[tag] += 1
         if closed or tag in VOID_TAGS:
-            self.pop(self.offset() + len(self.get_starttag_text()))
+            self.pop(self.position() + len(self.get_starttag_text()))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs, closed=True)
@@ -112,8 +112,8 @@ class _Dom(HTMLParser):
         self.flush()
         if self.open[tag]:
             while self.stack[-1][0] != tag:
-                self.pop(self.offset())
-            self.pop(self.html.find(">", self.offset()) + 1 or len(self.html))
+                self.pop(self.position())
+            self.pop(self.html.find(">", self.position()) + 1 or len(self.html))
 
     def pop(self, end):
         tag, node, _, start = self.stack.pop()
@@ -223,20 +223,24 @@ def split_selector(selector: str) -> tuple[str, str, str | None]:
     return "tag", selector, None
 
 
-def _matches(node: Column, selector: str) -> Column:
+def _matcher(selector: str):
     kind, name, value = split_selector(selector)
-    if kind == "tag":
-        return node["tag"] == name
-    if kind == "class":
-        return F.array_contains(F.split(class_name(node), " "), value)
-    return F.element_at(node["attrs"], name).eqNullSafe(F.lit(value))
+
+    def matches(node: Column) -> Column:
+        if kind == "tag":
+            return node["tag"] == name
+        if kind == "class":
+            return F.array_contains(F.split(class_name(node), " "), value)
+        return F.element_at(node["attrs"], name).eqNullSafe(F.lit(value))
+
+    return matches
 
 
 def section_text(dom: Column, selectors: Sequence[str] = SECTION_SELECTORS) -> Column:
     """Text of the first match of each selector, joined by a blank line; missing ones are skipped."""
     parts = []
     for selector in selectors:
-        node = F.get(F.filter(dom["nodes"], lambda n, s=selector: _matches(n, s)), 0)
+        node = F.get(F.filter(dom["nodes"], _matcher(selector)), 0)
         parts.append(F.when(node.isNotNull(), node_text(dom, node, "\n")))
     return join_parts(F.array(*parts), "\n\n")
 

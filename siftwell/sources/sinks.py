@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import flatten_newlines
@@ -79,8 +79,9 @@ def page_parts(pages: DataFrame, page_id: str = "page_id", html: str = "html") -
     dom = F.col("dom")
     body = F.array(F.struct(H.collapse_blank_lines(H.body_text(dom, None), blanks=True).alias("text")))
     kinds = {"heading": H.headings(dom), "link": H.links(dom), "block": H.text_blocks(dom), "body": body}
-    parts = [
-        F.transform(value, lambda p, k=kind: F.struct(F.lit(k).alias("kind"), F.to_json(p).alias("part")))
-        for kind, value in kinds.items()
-    ]
+
+    def labelled(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda p: F.struct(F.lit(kind).alias("kind"), F.to_json(p).alias("part")))
+
+    parts = [labelled(kind, values) for kind, values in kinds.items()]
     return parsed.select(page_id, F.explode(F.concat(*parts)).alias("p")).select(page_id, "p.kind", "p.part")
