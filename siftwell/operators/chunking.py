@@ -121,16 +121,20 @@ def hashing_embedder(dimension: int = EMBEDDING_DIMENSION) -> Callable[[], Embed
 
 
 def embed_chunks(
-    df: DataFrame, text: str, factory: Callable[[], Embedder] | None = None, output: str = "vector"
+    df: DataFrame,
+    text: str,
+    factory: Callable[[], Embedder] | None = None,
+    output: str = "vector",
+    dtype: str = "float",
 ) -> DataFrame:
     """Adds a vector per text. The factory runs once per task, the embedder once per batch."""
     build = factory or hashing_embedder()
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(f"array<{dtype}>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         embedder = build()
         for texts in batches:
-            vectors = np.asarray(embedder(texts.fillna("").tolist()), dtype=np.float32)
+            vectors = np.asarray(embedder(texts.fillna("").tolist()), dtype=np.float64 if dtype == "double" else np.float32)
             yield pd.Series(list(vectors))
 
     return df.withColumn(output, embed(F.col(text)))

@@ -22,7 +22,7 @@ def top_k_per_group(
     and a hot group stays small.
     """
     window = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
+    return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k).withColumn(rank, F.col(rank).cast("long"))
 
 
 def longest_first(blocks: Column, length: str, index: str, k: int) -> Column:

@@ -7,7 +7,6 @@ list, which is bounded by the vocabulary size.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -51,38 +50,58 @@ def _symbols(word: str, alphabet: frozenset[str], prefix: str) -> list[str]:
     return [c if i == 0 else prefix + c for i, c in enumerate(word) if c in alphabet]
 
 
-def _apply(symbols: list[str], merged: dict[tuple[str, str], str]) -> list[str]:
-    """One pass from left to right over pairs that cannot overlap each other."""
-    out: list[str] = []
-    i, last = 0, len(symbols) - 1
-    while i <= last:
-        token = merged.get((symbols[i], symbols[i + 1])) if i < last else None
-        out.append(token or symbols[i])
-        i += 2 if token else 1
-    return out
-
-
 def merged_token(left: str, right: str, prefix: str) -> str:
     return left + right.removeprefix(prefix)
 
 
+class _Merger:
+    """Applies rounds of merges to the symbols of a word, in the order they were learned.
+
+    Pairs of one round cannot overlap each other, so one pass from left to right applies a round. A
+    word only pays for the rounds that change it.
+    """
+
+    def __init__(self, rounds: list[list[tuple[str, str]]], prefix: str):
+        self.tokens = [{pair: merged_token(*pair, prefix) for pair in merges} for merges in rounds]
+        self.rounds_of: dict[tuple[str, str], list[int]] = {}
+        for number, merges in enumerate(rounds):
+            for pair in merges:
+                self.rounds_of.setdefault(pair, []).append(number)
+
+    def __call__(self, symbols: list[str]) -> list[str]:
+        done = -1
+        while len(symbols) > 1:
+            hits = (self.rounds_of.get(pair, ()) for pair in zip(symbols, symbols[1:]))
+            done = min((n for found in hits for n in found if n > done), default=None)
+            if done is None:
+                break
+            symbols = self._pass(symbols, self.tokens[done])
+        return symbols
+
+    @staticmethod
+    def _pass(symbols: list[str], tokens: dict[tuple[str, str], str]) -> list[str]:
+        out, i = [], 0
+        while i < len(symbols):
+            token = tokens.get((symbols[i], symbols[i + 1])) if i + 1 < len(symbols) else None
+            out.append(token or symbols[i])
+            i += 2 if token else 1
+        return out
+
+
 def _pair_counts(words: DataFrame, rounds: list[list[tuple[str, str]]], prefix: str) -> DataFrame:
     """Counts of neighbouring symbols once every round of merges has been applied."""
-    tables = [{pair: merged_token(*pair, prefix) for pair in merges} for merges in rounds]
-
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs: Counter = Counter()
+        pairs: dict[tuple[str, str], int] = {}
+        merge = _Merger(rounds, prefix)
 
         def rows() -> pd.DataFrame:
             return pd.DataFrame([(a, b, n) for (a, b), n in pairs.items()], columns=["a", "b", "n"])
 
         for batch in batches:
             for line, freq in zip(batch["symbols"], batch["freq"]):
-                symbols = line.split("\n")
-                for table in tables:
-                    symbols = _apply(symbols, table)
+                symbols = merge(line.split("\n"))
                 for pair in zip(symbols, symbols[1:]):
-                    pairs[pair] += freq
+                    pairs[pair] = pairs.get(pair, 0) + freq
             if len(pairs) > 1_000_000:
                 yield rows()
                 pairs.clear()
@@ -95,19 +114,12 @@ def _pair_counts(words: DataFrame, rounds: list[list[tuple[str, str]]], prefix:
 
 def _rewrite(words: DataFrame, rounds: list[list[tuple[str, str]]], prefix: str) -> DataFrame:
     """The words table with the merges applied; single symbols can take no further part and are left out."""
-    tables = [{pair: merged_token(*pair, prefix) for pair in merges} for merges in rounds]
-
     @F.pandas_udf("string")
-    def merge(lines: pd.Series) -> pd.Series:
-        out = []
-        for line in lines:
-            symbols = line.split("\n")
-            for table in tables:
-                symbols = _apply(symbols, table)
-            out.append("\n".join(symbols))
-        return pd.Series(out)
+    def rewrite(lines: pd.Series) -> pd.Series:
+        merge = _Merger(rounds, prefix)
+        return lines.map(lambda line: "\n".join(merge(line.split("\n"))))
 
-    return words.select(merge("symbols").alias("symbols"), "freq").filter(F.contains("symbols", F.lit("\n")))
+    return words.select(rewrite("symbols").alias("symbols"), "freq").filter(F.contains("symbols", F.lit("\n")))
 
 
 def choose_merges(
@@ -184,8 +196,9 @@ def train_wordpiece(
     def split(batch: pd.Series) -> pd.Series:
         return batch.map(lambda word: "\n".join(_symbols(word, known, prefix)))
 
-    # cached on top of a written table: a lost executor reads its part again
-    state = stage(words.select(split("word").alias("symbols"), "freq"), "symbols").persist()
+    # a task per core; cached on top of a written table, so a lost executor computes its part again
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    state = words.select(split("word").alias("symbols"), "freq").repartition(tasks, "symbols").persist()
     inner = state.select(F.explode(F.split("symbols", "\n")).alias("s")).filter(F.startswith("s", F.lit(prefix)))
     inner = inner.filter(F.length("s") == len(prefix) + 1).distinct()
     # at most one entry per alphabet character
@@ -214,7 +227,7 @@ def train_wordpiece(
             break
         rounds.append(merges)
         if len(rounds) >= rewrite_every:
-            rewritten = stage(_rewrite(state, rounds, prefix), "symbols").persist()
+            rewritten = stage(_rewrite(state, rounds, prefix), "symbols").repartition(tasks, "symbols").persist()
             state.unpersist()
             state, rounds = rewritten, []
     state.unpersist()

@@ -3,8 +3,8 @@
 from siftwell.queries.registry import ORACLES, QUERIES  # noqa: F401
 from siftwell.queries import (  # noqa: F401  (importing fills the registry)
     html_queries,
-    # io_queries,
-    # search_queries,
+    io_queries,
+    search_queries,
     table_queries,
     text_queries,
     token_queries,

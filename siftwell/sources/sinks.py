@@ -32,6 +32,8 @@ def sink_csv_parts(df: DataFrame, path: str, ord: str, size: int = PART_SIZE) ->
         .option("quote", '"')
         .option("escape", '"')
         .option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 

@@ -21,7 +21,7 @@ def scan_vocab(spark: SparkSession, path: str) -> DataFrame:
 
     The file is written as one part and read without splitting.
     """
-    lines = spark.read.option("lineSep", "\n").option("wholetext", True).text(path)
+    lines = spark.read.text(path, wholetext=True)
     return lines.select(
         F.posexplode(F.split(F.regexp_replace("value", "\n\\z", ""), "\n")).alias("id", "token")
     ).select("token", "id")
