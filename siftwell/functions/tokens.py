@@ -8,8 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siftwell.functions.text import WS_CLASS
-
 # Control tokens, in the order of their ids.
 SPECIAL_TOKENS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")
 
@@ -20,13 +18,19 @@ USER_TERMS = (
     "B2B", "B2C", "CRM", "ERP", "KPI", "SQL", "AWS",
 )
 
-# A punctuation mark is a word of its own: Unicode category P plus the ASCII symbols.
-PUNCTUATION = r"\p{P}$+<=>^`|~"
-WORD_PATTERN = rf"[{PUNCTUATION}]|[^{WS_CLASS}{PUNCTUATION}]+"
+# Words are runs of letters, marks, digits and non-ASCII symbols; every other visible character, which
+# is Unicode punctuation or an ASCII symbol, is a word of its own. The plain ranges come first since
+# they settle most characters.
+LETTERS = r"a-zA-Z0-9\p{L}\p{M}\p{N}[\p{S}&&[^\x00-\x7f]]"
+MARKS = r"!-/:-@\[-`{-~\p{P}"
+WORD_PATTERN = rf"[{LETTERS}]+|[{MARKS}]"
 
 # Characters removed before splitting: controls other than tab and line ends, and U+FFFD.
 CONTROL_PATTERN = r"[\p{C}\x{fffd}&&[^\t\n\r]]"
 
+# One visible character.
+VISIBLE = r"[^\p{Z}\x09-\x0d\x1c-\x1f\x{85}]"
+
 
 def _longest_first(terms: Sequence[str]) -> str:
     return "|".join(re.escape(t) for t in sorted(set(terms), key=lambda t: (-len(t), t)))
@@ -44,9 +48,9 @@ def pretokenize(col: Column, specials: Sequence[str] = ()) -> Column:
 
 def segment_pattern(terms: Sequence[str] = USER_TERMS) -> str:
     """User terms first, then runs of one script, digits, or a single other mark."""
-    runs = r"\p{IsHangul}+|\p{IsHan}+|\p{IsLatin}+|\p{L}+|\p{Nd}+"
+    runs = r"[가-힣\p{IsHangul}]+|[一-鿿\p{IsHan}]+|[a-zA-Z\p{IsLatin}]+|\p{L}+|\p{Nd}+"
     head = f"{_longest_first(terms)}|" if terms else ""
-    return f"{head}{runs}|[^{WS_CLASS}]"
+    return f"{head}{runs}|{VISIBLE}"
 
 
 def segment_forms(col: Column, terms: Sequence[str] = USER_TERMS) -> Column:

@@ -45,81 +45,45 @@ def alphabet_of(words: DataFrame, limit: int = LIMIT_ALPHABET) -> list[str]:
     return sorted(row["char"] for row in counts.collect())
 
 
-def _symbols(word: str, alphabet: frozenset[str], prefix: str) -> list[str]:
-    """First character plain, the others prefixed; characters outside the alphabet are skipped."""
-    return [c if i == 0 else prefix + c for i, c in enumerate(word) if c in alphabet]
-
-
 def merged_token(left: str, right: str, prefix: str) -> str:
     return left + right.removeprefix(prefix)
 
 
-class _Merger:
-    """Applies rounds of merges to the symbols of a word, in the order they were learned.
+# The symbols of a word are kept in one string, each between two of these.
+MARK = "\n"
 
-    Pairs of one round cannot overlap each other, so one pass from left to right applies a round. A
-    word only pays for the rounds that change it.
-    """
 
-    def __init__(self, rounds: list[list[tuple[str, str]]], prefix: str):
-        self.tokens = [{pair: merged_token(*pair, prefix) for pair in merges} for merges in rounds]
-        self.rounds_of: dict[tuple[str, str], list[int]] = {}
-        for number, merges in enumerate(rounds):
-            for pair in merges:
-                self.rounds_of.setdefault(pair, []).append(number)
-
-    def __call__(self, symbols: list[str]) -> list[str]:
-        done = -1
-        while len(symbols) > 1:
-            hits = (self.rounds_of.get(pair, ()) for pair in zip(symbols, symbols[1:]))
-            done = min((n for found in hits for n in found if n > done), default=None)
-            if done is None:
-                break
-            symbols = self._pass(symbols, self.tokens[done])
-        return symbols
-
-    @staticmethod
-    def _pass(symbols: list[str], tokens: dict[tuple[str, str], str]) -> list[str]:
-        out, i = [], 0
-        while i < len(symbols):
-            token = tokens.get((symbols[i], symbols[i + 1])) if i + 1 < len(symbols) else None
-            out.append(token or symbols[i])
-            i += 2 if token else 1
-        return out
-
-
-def _pair_counts(words: DataFrame, rounds: list[list[tuple[str, str]]], prefix: str) -> DataFrame:
-    """Counts of neighbouring symbols once every round of merges has been applied."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs: dict[tuple[str, str], int] = {}
-        merge = _Merger(rounds, prefix)
-
-        def rows() -> pd.DataFrame:
-            return pd.DataFrame([(a, b, n) for (a, b), n in pairs.items()], columns=["a", "b", "n"])
-
-        for batch in batches:
-            for line, freq in zip(batch["symbols"], batch["freq"]):
-                symbols = merge(line.split("\n"))
-                for pair in zip(symbols, symbols[1:]):
-                    pairs[pair] = pairs.get(pair, 0) + freq
-            if len(pairs) > 1_000_000:
-                yield rows()
-                pairs.clear()
-        if pairs:
-            yield rows()
-
-    partial = words.mapInPandas(count, "a string, b string, n long")
-    return partial.groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
-def _rewrite(words: DataFrame, rounds: list[list[tuple[str, str]]], prefix: str) -> DataFrame:
-    """The words table with the merges applied; single symbols can take no further part and are left out."""
-    @F.pandas_udf("string")
-    def rewrite(lines: pd.Series) -> pd.Series:
-        merge = _Merger(rounds, prefix)
-        return lines.map(lambda line: "\n".join(merge(line.split("\n"))))
+def _initial(word: Column, alphabet: Sequence[str], prefix: str) -> Column:
+    """First character plain, the others prefixed; characters outside the alphabet are left out."""
+    symbols = F.transform(
+        F.split(word, ""),
+        lambda c, i: F.when(c.isin(*alphabet), F.when(i == 0, c).otherwise(F.concat(F.lit(prefix), c))),
+    )
+    return F.concat(F.lit(MARK), F.array_join(symbols, MARK * 2), F.lit(MARK))
 
-    return words.select(rewrite("symbols").alias("symbols"), "freq").filter(F.contains("symbols", F.lit("\n")))
+
+def _merged(symbols: Column, merges: Sequence[tuple[str, str]], prefix: str) -> Column:
+    """The merges in their order, each from left to right."""
+    for a, b in merges:
+        pair, token = MARK + a + MARK * 2 + b + MARK, MARK + merged_token(a, b, prefix) + MARK
+        symbols = F.replace(symbols, F.lit(pair), F.lit(token))
+    return symbols
+
+
+def _pair_counts(state: DataFrame) -> DataFrame:
+    """How often two symbols are neighbours, over (symbols, freq)."""
+    inner = F.substring(F.col("symbols"), F.lit(2), F.length("symbols") - 2)
+    parts = state.select(F.split(inner, MARK * 2).alias("s"), "freq")
+    pairs = F.arrays_zip(
+        F.slice("s", F.lit(1), F.size("s") - 1).alias("a"), F.slice("s", F.lit(2), F.size("s") - 1).alias("b")
+    )
+    exploded = parts.select(F.explode(pairs).alias("p"), "freq").select("p.a", "p.b", "freq")
+    return exploded.groupBy("a", "b").agg(F.sum("freq").alias("n"))
+
+
+def _mergeable(state: DataFrame) -> DataFrame:
+    """Words of two symbols or more; the others can take no further part."""
+    return state.filter(F.contains("symbols", F.lit(MARK * 2)))
 
 
 def choose_merges(
@@ -184,36 +148,27 @@ def train_wordpiece(
 
     Pairs are ranked by count, ties by text, and learned while they occur ``min_frequency`` times.
     ``merges_per_round`` None merges as many pairs per round as provably equal merging one by one;
-    a number trades that order for fewer rounds. The words table is rewritten to the shared folder
-    every ``rewrite_every`` rounds, so lineage and work per round stay bounded.
+    a number trades that order for fewer rounds. The words table is cached from round to round and
+    written to the shared folder every ``rewrite_every`` rounds, so the lineage stays bounded.
     """
     spark = words.sparkSession
     words = stage(words.select("word", "freq"), "words")
     alphabet = alphabet_of(words, limit_alphabet)
-    known = frozenset(alphabet)
-
-    @F.pandas_udf("string")
-    def split(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda word: "\n".join(_symbols(word, known, prefix)))
-
-    # a task per core; cached on top of a written table, so a lost executor computes its part again
+    # a task per core: the table is small beside the corpus, but read again in every round
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    state = words.select(split("word").alias("symbols"), "freq").repartition(tasks, "symbols").persist()
-    inner = state.select(F.explode(F.split("symbols", "\n")).alias("s")).filter(F.startswith("s", F.lit(prefix)))
-    inner = inner.filter(F.length("s") == len(prefix) + 1).distinct()
+    state = words.select(_initial(F.col("word"), alphabet, prefix).alias("symbols"), "freq")
+    state = _mergeable(state).repartition(tasks, "symbols").persist()
+    symbols = state.select(F.explode(F.split("symbols", MARK)).alias("s"))
+    inner = symbols.filter(F.startswith("s", F.lit(prefix)) & (F.length("s") == len(prefix) + 1)).distinct()
     # at most one entry per alphabet character
     vocab = list(dict.fromkeys([*specials, *alphabet, *sorted(r["s"] for r in inner.collect())]))
     taken = set(vocab)
-    rounds: list[list[tuple[str, str]]] = []
     fetch = 256 if merges_per_round is None else 4 * merges_per_round
+    rounds = 0
     while len(vocab) < vocab_size:
-        ranking = (
-            _pair_counts(state, rounds, prefix)
-            .filter(F.col("n") >= min_frequency)
-            .orderBy(F.desc("n"), "a", "b")
-            .limit(fetch)
-        )
-        ranked = [(r["a"], r["b"], r["n"]) for r in ranking.collect()]
+        frequent = _pair_counts(state).filter(F.col("n") >= min_frequency)
+        best = frequent.orderBy(F.desc("n"), "a", "b").limit(fetch).collect()
+        ranked = [(r["a"], r["b"], r["n"]) for r in best]
         merges: list[tuple[str, str]] = []
         for a, b in choose_merges(ranked, prefix, merges_per_round, taken, len(ranked) < fetch):
             if len(vocab) >= vocab_size:
@@ -225,11 +180,14 @@ def train_wordpiece(
                 vocab.append(token)
         if not merges:
             break
-        rounds.append(merges)
-        if len(rounds) >= rewrite_every:
-            rewritten = stage(_rewrite(state, rounds, prefix), "symbols").repartition(tasks, "symbols").persist()
-            state.unpersist()
-            state, rounds = rewritten, []
+        rounds += 1
+        merged = _mergeable(state.select(_merged(F.col("symbols"), merges, prefix).alias("symbols"), "freq"))
+        if rounds % rewrite_every == 0:
+            merged = stage(merged, "symbols").repartition(tasks, "symbols")
+        merged.persist()
+        merged.count()
+        state.unpersist()
+        state = merged
     state.unpersist()
     return spark.createDataFrame(list(enumerate(vocab)), VOCAB_SCHEMA)
 

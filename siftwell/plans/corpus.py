@@ -16,9 +16,13 @@ from siftwell.sources.sinks import sink_clean_parquet, sink_corpus_text
 
 
 def clean_postings(raw: DataFrame, body: str = BODY_COLUMN) -> DataFrame:
-    """Rows with a body whose clean text is long enough, with that text as ``clean_text``."""
-    cleaned = raw.filter(present(F.col(body))).withColumn("clean_text", clean_text(F.col(body)))
-    return cleaned.filter(long_enough(F.col("clean_text")))
+    """Rows with a body whose clean text is long enough, with that text as ``clean_text``.
+
+    The length test sits inside a generator: a plain filter would be pushed below the projection and
+    clean every text a second time.
+    """
+    kept = F.filter(F.array(clean_text(F.col(body))), long_enough)
+    return raw.filter(present(F.col(body))).select("*", F.explode(kept).alias("clean_text"))
 
 
 def build_corpus(spark: SparkSession, paths: str | Sequence[str], corpus_path: str, clean_path: str) -> DataFrame:

@@ -174,13 +174,14 @@ def _stated_vocab(words):
     f"""WITH RECURSIVE {NOISY}, {WORDS}, {COUNTS}, {_CHARS_SQL}, {_VOCAB_SQL}, {_PIECES_SQL},
     placed AS (SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, {sql.words(sql.nfkc('body'))} AS w FROM noisy) d,
         range(1, len(d.w) + 1) r(i))
-    SELECT doc_id, CAST(sum(len(pieces)) AS BIGINT) AS n, md5(string_agg(array_to_string(pieces, ' '), ' ' ORDER BY i)) AS tokens
-    FROM placed JOIN encoded USING (word) GROUP BY doc_id""",
+    SELECT doc_id, CAST(coalesce(sum(len(pieces)), 0) AS BIGINT) AS n,
+        md5(coalesce(string_agg(array_to_string(pieces, ' '), ' ' ORDER BY i), '')) AS tokens
+    FROM noisy LEFT JOIN (placed JOIN encoded USING (word)) USING (doc_id) GROUP BY doc_id""",
 )
 def encode(spark, folder):
     bodies = _bodies(spark, folder)
     encoded = W.encode_wordpiece(bodies, "body", _stated_vocab(W.word_counts(bodies, "body")))
-    return encoded.filter(F.size("tokens") > 0).select(
+    return encoded.select(
         "doc_id", F.size("tokens").cast("long").alias("n"), digest(F.array_join("tokens", " ")).alias("tokens")
     )
 

@@ -1,4 +1,3 @@
-import re
 import sys
 import unicodedata
 
@@ -60,19 +59,6 @@ def test_whitespace_is_what_python_strips():
     assert set(T.WHITESPACE) == {chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace()}
 
 
-def test_stable_characters_are_stable_under_nfkc():
-    stable = re.compile(f"[{T.NFKC_STABLE}]")
-    followers = {chr(i) for i in [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]}
-    for i in range(sys.maxunicode + 1):
-        parts = unicodedata.decomposition(chr(i)).split()
-        if len(parts) == 2 and not parts[0].startswith("<"):
-            followers.add(chr(int(parts[1], 16)))
-    for i in range(sys.maxunicode + 1):
-        c = chr(i)
-        if stable.match(c):
-            assert unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c) and c not in followers
-
-
 def test_nfkc_equals_python(spark):
     values = ["é", "ﬁ ㈜ Ａ", "plain", "각", "한글 본문", "한", "½ ㎏ ①", None, "Ωμέγα", "日本語 テスト"]
     assert apply(spark, T.normalize_nfkc, values) == [v and unicodedata.normalize("NFKC", v) for v in values]
