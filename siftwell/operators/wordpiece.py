@@ -62,12 +62,13 @@ def _initial(word: Column, alphabet: Sequence[str], prefix: str) -> Column:
     return F.concat(F.lit(MARK), F.array_join(symbols, MARK * 2), F.lit(MARK))
 
 
-def _merged(symbols: Column, merges: Sequence[tuple[str, str]], prefix: str) -> Column:
-    """The merges in their order, each from left to right."""
+def _apply(state: DataFrame, merges: Sequence[tuple[str, str]], prefix: str) -> DataFrame:
+    """The words with the merges applied in their order, each from left to right."""
+    symbols = F.col("symbols")
     for a, b in merges:
         pair, token = MARK + a + MARK * 2 + b + MARK, MARK + merged_token(a, b, prefix) + MARK
         symbols = F.replace(symbols, F.lit(pair), F.lit(token))
-    return symbols
+    return state.select(symbols.alias("symbols"), "freq")
 
 
 def _pair_counts(state: DataFrame) -> DataFrame:
@@ -142,14 +143,14 @@ def train_wordpiece(
     prefix: str = PREFIX,
     limit_alphabet: int = LIMIT_ALPHABET,
     merges_per_round: int | None = None,
-    rewrite_every: int = 20,
+    rewrite_every: int = 48,
 ) -> DataFrame:
     """Learn a vocabulary from (word, freq): specials, alphabet, then merged pieces by rank.
 
     Pairs are ranked by count, ties by text, and learned while they occur ``min_frequency`` times.
     ``merges_per_round`` None merges as many pairs per round as provably equal merging one by one;
-    a number trades that order for fewer rounds. The words table is cached from round to round and
-    written to the shared folder every ``rewrite_every`` rounds, so the lineage stays bounded.
+    a number trades that order for fewer rounds. A round applies the latest merges on the fly; after
+    ``rewrite_every`` of them the words table is written anew, so plan and lineage stay short.
     """
     spark = words.sparkSession
     words = stage(words.select("word", "freq"), "words")
@@ -157,16 +158,16 @@ def train_wordpiece(
     # a task per core: the table is small beside the corpus, but read again in every round
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     state = words.select(_initial(F.col("word"), alphabet, prefix).alias("symbols"), "freq")
-    state = _mergeable(state).repartition(tasks, "symbols").persist()
+    state = stage(state.repartition(tasks, "symbols"), "symbols")
     symbols = state.select(F.explode(F.split("symbols", MARK)).alias("s"))
     inner = symbols.filter(F.startswith("s", F.lit(prefix)) & (F.length("s") == len(prefix) + 1)).distinct()
     # at most one entry per alphabet character
     vocab = list(dict.fromkeys([*specials, *alphabet, *sorted(r["s"] for r in inner.collect())]))
     taken = set(vocab)
     fetch = 256 if merges_per_round is None else 4 * merges_per_round
-    rounds = 0
+    pending: list[tuple[str, str]] = []
     while len(vocab) < vocab_size:
-        frequent = _pair_counts(state).filter(F.col("n") >= min_frequency)
+        frequent = _pair_counts(_apply(state, pending, prefix)).filter(F.col("n") >= min_frequency)
         best = frequent.orderBy(F.desc("n"), "a", "b").limit(fetch).collect()
         ranked = [(r["a"], r["b"], r["n"]) for r in best]
         merges: list[tuple[str, str]] = []
@@ -180,15 +181,10 @@ def train_wordpiece(
                 vocab.append(token)
         if not merges:
             break
-        rounds += 1
-        merged = _mergeable(state.select(_merged(F.col("symbols"), merges, prefix).alias("symbols"), "freq"))
-        if rounds % rewrite_every == 0:
-            merged = stage(merged, "symbols").repartition(tasks, "symbols")
-        merged.persist()
-        merged.count()
-        state.unpersist()
-        state = merged
-    state.unpersist()
+        pending += merges
+        if len(pending) >= rewrite_every:
+            state = _mergeable(stage(_apply(state, pending, prefix), "symbols"))
+            pending = []
     return spark.createDataFrame(list(enumerate(vocab)), VOCAB_SCHEMA)
 
 

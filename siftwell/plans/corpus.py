@@ -21,7 +21,7 @@ def clean_postings(raw: DataFrame, body: str = BODY_COLUMN) -> DataFrame:
     The length test sits inside a generator: a plain filter would be pushed below the projection and
     clean every text a second time.
     """
-    kept = F.filter(F.array(clean_text(F.col(body))), long_enough)
+    kept = F.filter(F.array(clean_text(F.col(body))), lambda text: long_enough(text))
     return raw.filter(present(F.col(body))).select("*", F.explode(kept).alias("clean_text"))
 
 

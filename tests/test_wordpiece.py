@@ -57,7 +57,7 @@ def random_words(seed, letters, count):
 def test_exact_training_equals_merging_one_by_one(spark, seed, letters, size):
     words = random_words(seed, letters, 120)
     expected = one_by_one(words, size, 3, W.SPECIAL_TOKENS)
-    got = tokens_of(W.train_wordpiece(words_frame(spark, words), size, 3, rewrite_every=4))
+    got = tokens_of(W.train_wordpiece(words_frame(spark, words), size, 3, rewrite_every=6))
     assert got == expected
 
 
