@@ -38,9 +38,15 @@ def dedup_url_first(df: DataFrame, url: str = "url", ord: str = "ord") -> DataFr
 
 
 def new_postings_anti(incoming: DataFrame, existing: DataFrame, url: str = "url", ord: str = "ord") -> DataFrame:
-    """First incoming row of every URL the target does not hold yet."""
-    fresh = incoming.join(existing.select(url), url, "left_anti")
-    return dedup_url_first(fresh, url, ord)
+    """First incoming row of every URL the target does not hold yet.
+
+    URLs are made unique before they are looked up, so both sides of the anti join hold a URL once, and
+    the bodies are shuffled once, by ``ord``.
+    """
+    firsts = incoming.filter(F.col(url).isNotNull()).select(content_key(F.col(url)).alias("_key"), ord)
+    firsts = firsts.groupBy("_key").agg(F.min(ord).alias(ord))
+    known = existing.select(content_key(F.col(url)).alias("_key"))
+    return incoming.join(firsts.join(known, "_key", "left_anti").select(ord), ord, "left_semi")
 
 
 def chunk_to_posting(chunks: DataFrame, postings: DataFrame, chunk_key: str, posting_key: str) -> DataFrame:
