@@ -19,6 +19,9 @@ DOC_BLOCK_ROWS = 4096
 # below every cosine: stands for the undefined score of a zero or missing vector inside a task
 UNDEFINED = -2.0
 
+# cells of a score matrix that a task holds at a time
+SCORE_CELLS = 4_000_000
+
 CANDIDATES = "query_id long, doc_id long, score double"
 
 
@@ -43,8 +46,13 @@ class _Best:
         self.rows, self.ids, self.scores = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
 
     def add(self, query_rows: np.ndarray, doc_ids: np.ndarray, doc_rows: np.ndarray) -> None:
-        if not len(doc_ids) or not len(query_rows):
+        if not len(query_rows):
             return
+        step = max(1, SCORE_CELLS // len(query_rows))
+        for start in range(0, len(doc_ids), step):
+            self._add(query_rows, doc_ids[start : start + step], doc_rows[start : start + step])
+
+    def _add(self, query_rows: np.ndarray, doc_ids: np.ndarray, doc_rows: np.ndarray) -> None:
         if query_rows.shape[1] and doc_rows.shape[1]:
             scores = np.round(query_rows @ doc_rows.T, SCORE_DIGITS)
             scores = np.where(np.isnan(scores), UNDEFINED, scores)

@@ -143,7 +143,7 @@ def train_wordpiece(
     prefix: str = PREFIX,
     limit_alphabet: int = LIMIT_ALPHABET,
     merges_per_round: int | None = None,
-    rewrite_every: int = 48,
+    rewrite_every: int = 12,
 ) -> DataFrame:
     """Learn a vocabulary from (word, freq): specials, alphabet, then merged pieces by rank.
 

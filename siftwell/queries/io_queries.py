@@ -265,7 +265,7 @@ def page_parts(spark, folder):
 )
 def corpus_job(spark, folder):
     """The whole corpus job over CSV parts with mixed headers."""
-    return build_corpus(spark, _raw_parts(spark, folder), new_path(spark, "jd_corpus"), new_path(spark, "jd_clean"))
+    return build_corpus(spark, _raw_parts(spark, folder), new_path(spark, "corpus"), new_path(spark, "clean"))
 
 
 @query(
@@ -288,6 +288,6 @@ def index_job(spark, folder):
 @query("train_vocab")
 def vocab_job(spark, folder):
     """The whole vocabulary job, in its morpheme variant; returns the unknown-token rate."""
-    corpus = new_path(spark, "jd_corpus")
+    corpus = new_path(spark, "corpus")
     sinks.sink_corpus_text(cleaned_documents(spark, folder), corpus)
     return train_vocab(spark, corpus, new_path(spark, "vocab"), morphemes=True, size=600)

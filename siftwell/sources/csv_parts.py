@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -41,7 +42,8 @@ def _read_header(path: str) -> str | None:
     from pyarrow import fs
 
     try:
-        store, inner = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path[:6] == "file:/" and path[6:7] != "/" else path)
+        # Spark writes a local path with a single slash
+        store, inner = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
         with store.open_input_stream(inner) as stream:
             head = stream.read(HEADER_BYTES)
         text = head.decode("utf-8-sig", errors="strict" if len(head) < HEADER_BYTES else "ignore")
@@ -53,7 +55,9 @@ def _read_header(path: str) -> str | None:
 
 def discover_headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(path, header) of every file; tasks open the files and read no more than the header."""
-    files = spark.read.format("binaryFile").load(paths).select("path")
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    # selecting the path alone lists the files without reading them
+    files = spark.read.format("binaryFile").load(paths).select("path").coalesce(tasks)
 
     def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -36,7 +37,7 @@ def index_new_parts(spark: SparkSession, source: str, folder: str, name: str = "
         target = os.path.join(folder, "job_posts")
         try:
             existing = spark.read.parquet(target).select("id", "url")
-        except Exception:  # the first batch finds no table
+        except AnalysisException:  # the first batch finds no table
             existing = None
         index_postings(rows, folder, existing, **options)
 
