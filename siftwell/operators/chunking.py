@@ -111,7 +111,7 @@ def hashing_embedder(dimension: int = EMBEDDING_DIMENSION) -> Callable[[], Embed
         def embed(texts: Sequence[str]) -> np.ndarray:
             out = np.zeros((len(texts), dimension))
             for row, text in enumerate(texts):
-                np.add.at(out[row], [bucket(w) for w in text.split()], 1.0)
+                out[row] = np.bincount([bucket(w) for w in text.split()], minlength=dimension)
             norms = np.linalg.norm(out, axis=1, keepdims=True)
             return np.divide(out, norms, out=out, where=norms > 0)
 

@@ -9,7 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,10 +158,9 @@ def train_wordpiece(
     spark = words.sparkSession
     words = stage(words.select("word", "freq"), "words")
     alphabet = alphabet_of(words, limit_alphabet)
-    # a task per core: the table is small beside the corpus, but read again in every round
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     state = words.select(_initial(F.col("word"), alphabet, prefix).alias("symbols"), "freq")
-    state = stage(state.repartition(tasks, "symbols"), "symbols")
+    # a file per core, since every round reads the table; larger files are split when read
+    state = stage(state.repartition(spark.sparkContext.defaultParallelism, "symbols"), "symbols")
     symbols = state.select(F.explode(F.split("symbols", MARK)).alias("s"))
     inner = symbols.filter(F.startswith("s", F.lit(prefix)) & (F.length("s") == len(prefix) + 1)).distinct()
     # at most one entry per alphabet character
@@ -231,8 +233,8 @@ def encode_wordpiece(
     longest = max((len(t) for t in tokens), default=0)
     whole = frozenset(specials)
 
-    @F.pandas_udf("array<string>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<string>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         entries, memo = shared.value, {}
 
         def pieces(word: str) -> list[str]:
@@ -244,8 +246,15 @@ def encode_wordpiece(
                 memo[word] = found
             return found
 
-        for words in batches:
-            yield pd.Series([[p for w in row for p in pieces(w)] for row in words])
+        for rows in batches:
+            # distinct words of the batch are looked up, then laid out again by position
+            words = rows.flatten().dictionary_encode()
+            found = pa.array([pieces(w) for w in words.dictionary.to_pylist()], pa.list_(pa.string()))
+            placed = found.take(words.indices)
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(placed).to_numpy(zero_copy_only=False))])
+            starts = rows.offsets.to_numpy()
+            offsets = pa.array(ends[starts - starts[0]], pa.int32())
+            yield pa.ListArray.from_arrays(offsets, placed.flatten())
 
     body = F.coalesce(F.col(text), F.lit(""))
     return df.withColumn(output, encode(pretokenize(body, specials)))
