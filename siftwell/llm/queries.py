@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm.columns import LOWER, UPPER
+from siftwell.llm.jaccard_join import jaccard_components
 from siftwell.llm.license_scan import license_digest, scan_licenses
 from siftwell.llm.line_dedup import drop_frequent_lines
 
@@ -24,6 +25,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op4_jaccard_join(spark, folder):
+    return jaccard_components(table(spark, folder, "documents"), words=3, percent=90)
+
+
 @query
 def op9_license_scan(spark, folder):
     return license_digest(scan_licenses(table(spark, folder, "documents")))
