@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm.columns import LOWER, UPPER
+from siftwell.llm.fingerprints import fingerprint_neighbours
 from siftwell.llm.jaccard_join import jaccard_components
+from siftwell.llm.language_id import in_fold, learn_profiles, predict_language
 from siftwell.llm.license_scan import license_digest, scan_licenses
 from siftwell.llm.line_dedup import drop_frequent_lines
 
@@ -30,6 +32,21 @@ def op4_jaccard_join(spark, folder):
     return jaccard_components(table(spark, folder, "documents"), words=3, percent=90)
 
 
+@query
+def op7_fingerprints(spark, folder):
+    return fingerprint_neighbours(table(spark, folder, "documents"))
+
+
+@query
+def op8_language_id(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = in_fold(F.col("doc_id"))
+    profiles = learn_profiles(docs.where(~held_out))
+    return predict_language(docs.drop("lang"), profiles, out="guess").select(
+        "doc_id", held_out.alias("held_out"), F.col("guess.lang").alias("lang_pred"), F.col("guess.score").alias("score")
+    )
+
+
 @query
 def op9_license_scan(spark, folder):
     return license_digest(scan_licenses(table(spark, folder, "documents")))
