@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm.columns import LOWER, UPPER
+from siftwell.llm.decontamination import find_leaks
 from siftwell.llm.fingerprints import fingerprint_neighbours
 from siftwell.llm.jaccard_join import jaccard_components
 from siftwell.llm.language_id import in_fold, learn_profiles, predict_language
 from siftwell.llm.license_scan import license_digest, scan_licenses
 from siftwell.llm.line_dedup import drop_frequent_lines
+from siftwell.llm.pieces import detokenize, tokenize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,11 +29,33 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_decontamination(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return (
+        find_leaks(docs, table(spark, folder, "benchmark"))
+        .select("doc_id", F.explode("leaks").alias("leak"))
+        .select("doc_id", "leak.item_id", "leak.score", "leak.question", "leak.answer")
+    )
+
+
 @query
 def op4_jaccard_join(spark, folder):
     return jaccard_components(table(spark, folder, "documents"), words=3, percent=90)
 
 
+@query
+def op6_sentencepiece(spark, folder):
+    docs = detokenize(tokenize(table(spark, folder, "documents").select("doc_id", "text")))
+    return docs.select(
+        "doc_id",
+        F.size("piece_ids").cast("long").alias("n_pieces"),
+        F.crc32(F.array_join("piece_ids", " ")).alias("pieces_crc32"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 @query
 def op7_fingerprints(spark, folder):
     return fingerprint_neighbours(table(spark, folder, "documents"))
