@@ -15,6 +15,9 @@ from siftwell.llm.language_id import in_fold, learn_profiles, predict_language
 from siftwell.llm.license_scan import license_digest, scan_licenses
 from siftwell.llm.line_dedup import drop_frequent_lines
 from siftwell.llm.pieces import detokenize, tokenize
+from siftwell.llm.sharding import read_shards, write_shards
+from siftwell.llm.token_files import read_token_files, write_token_files
+from siftwell.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,11 +42,49 @@ def op1_decontamination(spark, folder):
     )
 
 
+@query
+def op3_token_files(spark, folder):
+    path = new_path(spark, "token_files")
+    write_token_files(table(spark, folder, "documents"), path, end_id=2)
+    return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query
 def op4_jaccard_join(spark, folder):
     return jaccard_components(table(spark, folder, "documents"), words=3, percent=90)
 
 
+#: Bytes of text in a shard.
+SHARD_BYTES = 16 << 20
+
+
+@query
+def op5_sharding(spark, folder):
+    path = new_path(spark, "shards")
+    write_shards(table(spark, folder, "documents"), path, limit=SHARD_BYTES)
+    return read_shards(spark, path).select("doc_id", "shard", "n_bytes", "shard_bytes", "shard_docs")
+
+
+def sharding_sql(limit: int) -> str:
+    return f"""
+WITH keyed AS (
+  SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
+         CAST(concat('0x', substr(md5(CAST(doc_id AS VARCHAR)), 1, 15)) AS BIGINT) AS bits
+  FROM documents),
+depths AS (SELECT CAST(unnest(range(0, 41)) AS INTEGER) AS depth),
+views AS (
+  SELECT doc_id, n_bytes, bits, depth, sum(n_bytes) OVER w AS shard_bytes, count(*) OVER w AS shard_docs
+  FROM keyed, depths WINDOW w AS (PARTITION BY depth, bits >> (60 - depth)))
+SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(bits >> (60 - depth)), depth, '0') END AS shard,
+       n_bytes, CAST(shard_bytes AS BIGINT) AS shard_bytes, CAST(shard_docs AS BIGINT) AS shard_docs
+FROM views WHERE shard_bytes <= {limit}
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1
+"""
+
+
+ORACLES["op5_sharding"] = sharding_sql(SHARD_BYTES)
+
+
 @query
 def op6_sentencepiece(spark, folder):
     docs = detokenize(tokenize(table(spark, folder, "documents").select("doc_id", "text")))
