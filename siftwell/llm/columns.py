@@ -27,3 +27,12 @@ def free_name(df: DataFrame, name: str) -> str:
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The columns an operator needs, under its own names; other columns, clashing or not, stay behind."""
     return df.select(*(F.col(f"`{source}`").alias(name) for name, source in columns.items()))
+
+
+#: Rows of a few numbers that may be sent to every executor: some tens of megabytes.
+BROADCAST_ROWS = 500_000
+
+
+def sent_if_small(staged: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked for broadcasting if it is short; else the join shuffles it."""
+    return F.broadcast(staged) if staged.count() <= BROADCAST_ROWS else staged

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.columns import free_name, only
+from siftwell.llm.columns import free_name, only, sent_if_small
 from siftwell.llm.components import components
 from siftwell.llm.wordhash import BLANK, hash_words, mix, shingles, slices, text_bytes
 from siftwell.session import stage, unstage
@@ -367,7 +367,7 @@ def similar_sets(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[Da
     wanted = stage(
         picked.join(pairs.select("node").distinct(), "node").select("class", "node", "pick.doc_id", "pick.mark"), "wanted"
     )
-    asked = wanted.withColumnRenamed("doc_id", "d").withColumnRenamed("mark", "m")
+    asked = sent_if_small(wanted).withColumnRenamed("doc_id", "d").withColumnRenamed("mark", "m")
     texts = stage(
         docs.join(asked, docs.doc_id.eqNullSafe(F.col("d")) & docs.mark.eqNullSafe(F.col("m")))
         .select("node", "class", "text")
@@ -449,7 +449,7 @@ def keep_one_per_component(
     other = ~(F.col("doc_id").eqNullSafe(F.col("pick.doc_id")) & F.col("mark").eqNullSafe(F.col("pick.mark")))
     gone = stage(rows.join(classes, "class").where(other).select("doc_id", "mark").distinct(), "near_copies")
     d, m, mark = "gone_id", "gone_mark", free_name(docs, "text_mark")
-    gone = gone.select(F.col("doc_id").alias(d), F.col("mark").alias(m))
+    gone = sent_if_small(gone).select(F.col("doc_id").alias(d), F.col("mark").alias(m))
     marked = docs.withColumn(mark, F.xxhash64(F.col(text)))
     kept = marked.join(gone, marked[doc_id].eqNullSafe(gone[d]) & (marked[mark] == gone[m]), "left_anti")
     if rows.groupBy("doc_id", "mark").count().where("count > 1").limit(1).count():
