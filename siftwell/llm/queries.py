@@ -17,6 +17,7 @@ from siftwell.llm.line_dedup import drop_frequent_lines
 from siftwell.llm.pieces import detokenize, tokenize
 from siftwell.llm.sharding import read_shards, write_shards
 from siftwell.llm.token_files import read_token_files, write_token_files
+from siftwell.llm.url_filter import judge_urls
 from siftwell.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +43,12 @@ def op1_decontamination(spark, folder):
     )
 
 
+@query
+def op2_url_filter(spark, folder):
+    judged = judge_urls(table(spark, folder, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
 @query
 def op3_token_files(spark, folder):
     path = new_path(spark, "token_files")
