@@ -162,11 +162,14 @@ def is_json_document(col: Column) -> Column:
     """True for exactly one complete JSON document.
 
     The built-in parsers read the first document and ignore what follows, so the text is checked
-    inside an array and inside an object: a trailing document breaks at least one of them.
+    inside an array and inside an object: a trailing document breaks at least one of them. What the parser of
+    ``parse_json_ld`` would not take is no document either: single quotes, raw line breaks inside strings, and keys
+    that occur twice in an object.
     """
     in_array = F.json_array_length(F.concat(F.lit("["), col, F.lit("]")))
     in_object = F.json_object_keys(F.concat(F.lit('{"d":'), col, F.lit("}")))
-    return F.coalesce((in_array == 1) & (F.size(in_object) == 1), F.lit(False))
+    single = (in_array == 1) & (F.size(in_object) == 1)
+    return F.coalesce(single & F.try_parse_json(col).isNotNull(), F.lit(False))
 
 
 def parse_json_ld(col: Column) -> Column:
@@ -178,6 +181,7 @@ def to_json_text(col: Column) -> Column:
     return F.to_json(col)
 
 
+# The forms of posting addresses.
 POSTING_ID_PATTERN = r"/GI_Read/(\d+)"
 POSTING_CODE_PATTERN = r"Oem_Code=([^&]+)"
 DEFAULT_CODE = "C1"

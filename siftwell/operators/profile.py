@@ -86,8 +86,17 @@ def outcome_counts(df: DataFrame, outcome: str = "outcome") -> DataFrame:
     return df.groupBy(outcome).agg(F.count("*").alias("n"))
 
 
-def links_per_page(links: DataFrame, page: str) -> DataFrame:
-    return links.groupBy(page).agg(F.count("*").alias("n_links"))
+def count_per_parent(parents: DataFrame, children: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name): how many rows of ``children`` each of ``parents`` has, 0 included.
+
+    Children are counted before they meet their parents, so a parent with very many of them is no hot key.
+    """
+    counts = children.groupBy(key).agg(F.count("*").alias(name))
+    return parents.select(key).distinct().join(counts, key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+
+
+def links_per_page(pages: DataFrame, links: DataFrame, page: str) -> DataFrame:
+    return count_per_parent(pages, links, page, "n_links")
 
 
 def text_lengths(df: DataFrame, *columns: str) -> DataFrame:
@@ -95,5 +104,5 @@ def text_lengths(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({f"{c}_length": F.coalesce(F.length(c), F.lit(0)).cast("long") for c in columns})
 
 
-def chunks_per_posting(chunks: DataFrame, key: str) -> DataFrame:
-    return chunks.groupBy(key).agg(F.count("*").alias("n_chunks"))
+def chunks_per_posting(postings: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
+    return count_per_parent(postings, chunks, key, "n_chunks")

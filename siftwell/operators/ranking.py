@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.session import new_path
+from siftwell.session import new_path, stage
 
 PART_SIZE = 1000
 HEAD_LINES = 5000
@@ -63,8 +63,9 @@ def number_rows(df: DataFrame, ord: str, start: int = 1, name: str = "idx") -> D
     before = F.coalesce(
         F.sum("_n").over(Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
-    offsets = files.select("_file", before.alias("_before"))
-    numbered = rows.join(F.broadcast(offsets), "_file")
+    # written, so that Spark knows how short it is
+    offsets = stage(files.select("_file", before.alias("_before")), "offsets")
+    numbered = rows.join(offsets, "_file")
     return numbered.withColumn(name, F.col("_before") + F.col("_row") + start).drop(
         "_file", "_row", "_before"
     )

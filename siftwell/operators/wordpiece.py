@@ -22,8 +22,6 @@ from siftwell.session import stage
 VOCAB_SIZE = 32_000
 MIN_FREQUENCY = 3
 PREFIX = "##"
-LIMIT_ALPHABET = 1000
-MAX_WORD_CHARS = 100
 UNKNOWN = "[UNK]"
 
 VOCAB_SCHEMA = "id int, token string"
@@ -41,10 +39,12 @@ def form_counts(df: DataFrame, text: str, terms: Sequence[str] = USER_TERMS) ->
     return word_counts(df.select(forms.alias("forms")), "forms")
 
 
-def alphabet_of(words: DataFrame, limit: int = LIMIT_ALPHABET) -> list[str]:
-    """The ``limit`` most frequent characters, in code point order."""
+def alphabet_of(words: DataFrame, limit: int | None = None) -> list[str]:
+    """All characters, or the ``limit`` most frequent ones, in code point order."""
     chars = words.select(F.explode(F.split("word", "")).alias("char"), "freq").filter("char <> ''")
-    counts = chars.groupBy("char").agg(F.sum("freq").alias("n")).orderBy(F.desc("n"), "char").limit(limit)
+    counts = chars.groupBy("char").agg(F.sum("freq").alias("n"))
+    if limit is not None:
+        counts = counts.orderBy(F.desc("n"), "char").limit(limit)
     return sorted(row["char"] for row in counts.collect())
 
 
@@ -144,7 +144,7 @@ def train_wordpiece(
     min_frequency: int = MIN_FREQUENCY,
     specials: Sequence[str] = SPECIAL_TOKENS,
     prefix: str = PREFIX,
-    limit_alphabet: int = LIMIT_ALPHABET,
+    limit_alphabet: int | None = None,
     merges_per_round: int | None = None,
     rewrite_every: int = 12,
 ) -> DataFrame:
@@ -194,9 +194,11 @@ def vocab_size(vocab: DataFrame) -> DataFrame:
     return vocab.agg(F.count("*").alias("vocab_size"))
 
 
-def longest_match(word: str, vocab: frozenset[str], longest: int, prefix: str, unknown: str) -> list[str]:
-    """Greedy pieces of a word, or the unknown token where a rest matches nothing."""
-    if len(word) > MAX_WORD_CHARS:
+def longest_match(
+    word: str, vocab: frozenset[str], longest: int, prefix: str, unknown: str, max_chars: int | None = None
+) -> list[str]:
+    """Greedy pieces of a word, or the unknown token where a rest matches nothing or the word is longer than asked."""
+    if max_chars is not None and len(word) > max_chars:
         return [unknown]
     pieces, start = [], 0
     while start < len(word):
@@ -219,16 +221,14 @@ def encode_wordpiece(
     prefix: str = PREFIX,
     unknown: str = UNKNOWN,
     specials: Sequence[str] = SPECIAL_TOKENS,
-    max_vocab: int = 1_000_000,
+    max_word_chars: int | None = None,
 ) -> DataFrame:
     """Adds the token array of a text.
 
     Words are split natively; each task encodes a word once and remembers it, so no row is
-    shuffled. The vocabulary travels to the tasks: its size is checked against ``max_vocab``.
+    shuffled. The vocabulary travels to the tasks: the size it was trained to bounds it, whatever the corpus.
     """
-    tokens = [r["token"] for r in vocab.select("token").limit(max_vocab + 1).collect()]
-    if len(tokens) > max_vocab:
-        raise ValueError(f"vocabulary has more than {max_vocab} entries")
+    tokens = [r["token"] for r in vocab.select("token").collect()]
     shared = df.sparkSession.sparkContext.broadcast(frozenset(tokens))
     longest = max((len(t) for t in tokens), default=0)
     whole = frozenset(specials)
@@ -242,7 +242,7 @@ def encode_wordpiece(
             if found is None:
                 if len(memo) >= 500_000:
                     memo.clear()
-                found = [word] if word in whole else longest_match(word, entries, longest, prefix, unknown)
+                found = [word] if word in whole else longest_match(word, entries, longest, prefix, unknown, max_word_chars)
                 memo[word] = found
             return found
 

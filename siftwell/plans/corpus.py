@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import clean_text, long_enough, present
 from siftwell.operators.dedup import dedup_clean_text
 from siftwell.operators.profile import corpus_stats
-from siftwell.session import stage
+from siftwell.session import stage, unstage
 from siftwell.sources.csv_parts import BODY_COLUMN, scan_csv_parts
 from siftwell.sources.sinks import sink_clean_parquet, sink_corpus_text
 
@@ -28,18 +28,21 @@ def clean_postings(raw: DataFrame, body: str = BODY_COLUMN) -> DataFrame:
 def build_corpus(spark: SparkSession, paths: str | Sequence[str], corpus_path: str, clean_path: str) -> DataFrame:
     """Write the corpus as text and as Parquet; returns the counts of each stage.
 
-    Bodies are read and cleaned once: the cleaned rows are staged, and deduplication, both outputs and
-    the counts start from written tables.
+    Files are read and bodies cleaned once: the rows read are counted on the way, the cleaned rows are staged, and
+    deduplication, both outputs and the counts start from written tables. Both outputs keep the order of the input:
+    by path and row, over files in the order of their names.
     """
-    raw = scan_csv_parts(spark, paths)
-    cleaned = stage(clean_postings(raw), "cleaned")
-    sink_clean_parquet(dedup_clean_text(cleaned).drop("ord"), clean_path)
-    unique = spark.read.parquet(clean_path)
-    sink_corpus_text(unique, corpus_path)
-    return corpus_stats(
-        {
-            "read": (raw, BODY_COLUMN),
-            "cleaned": (cleaned, "clean_text"),
-            "unique": (unique, "clean_text"),
-        }
+    read = Observation()
+    counted = scan_csv_parts(spark, paths).observe(
+        read, F.count("*").alias("n_rows"), F.coalesce(F.sum(F.length(BODY_COLUMN)), F.lit(0)).alias("n_chars")
     )
+    cleaned = stage(clean_postings(counted), "cleaned")
+    unique = dedup_clean_text(cleaned)
+    sink_clean_parquet(unique.repartitionByRange("ord").sortWithinPartitions("ord"), clean_path)
+    written = spark.read.parquet(clean_path)
+    sink_corpus_text(written, corpus_path, ord="ord")
+    stats = corpus_stats({"cleaned": (cleaned, "clean_text"), "unique": (written, "clean_text")})
+    first = spark.createDataFrame([("read", read.get["n_rows"], read.get["n_chars"])], stats.schema)
+    result = stage(first.unionAll(stats), "corpus_stats")
+    unstage(cleaned)
+    return result

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import is_json_document, parse_json_ld, present, to_json_text
 from siftwell.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_point_id, chunk_recursive, embed_chunks
 from siftwell.operators.dedup import content_key, new_postings_anti
 from siftwell.operators.profile import outcome_counts
+from siftwell.session import stage, unstage
 from siftwell.sources.csv_parts import BODY_COLUMN
 from siftwell.sources.sinks import posting_rows, sink_chunks, sink_postings, sink_vectors
 
@@ -36,17 +37,29 @@ def posting_outcomes(df: DataFrame, existing: DataFrame, ord: str = "ord", url:
     """(ord, outcome) of every incoming row, as if rows were taken one by one in order.
 
     ``skip`` where the URL is stored already, by an earlier run or an earlier row; a row that fails
-    does not stop a later one of the same URL. Only keys are shuffled, and the looked-up sides hold a
-    URL once, so a hot URL can be split over tasks.
+    does not stop a later one of the same URL. Only keys are shuffled. What is looked up is one written
+    table with each URL once, joined once, so the skew join can split a hot URL. Rows without a URL are
+    not looked up at all.
     """
     rows = df.select(ord, F.col(url), F.col(ok), content_key(F.col(url)).alias("_key"))
-    first = rows.filter(ok).groupBy("_key").agg(F.min(ord).alias("_first"))
-    known = existing.select(content_key(F.col(url)).alias("_key"), F.lit(True).alias("_known"))
-    joined = rows.join(first, "_key", "left").join(known, "_key", "left")
-    outcome = (
-        F.when(F.col("_known") | (F.col("_first") < F.col(ord)), "skip").when(F.col(ok), "success").otherwise("fail")
-    )
-    return joined.select(ord, outcome.alias("outcome"))
+    keyed = rows.filter(F.col(url).isNotNull())
+    found = keyed.filter(ok).select("_key", F.col(ord).alias("_first"), F.lit(False).alias("_known"))
+    known = existing.select(content_key(F.col(url)).alias("_key"), F.lit(None).alias("_first"), F.lit(True).alias("_known"))
+    lookup = found.unionByName(known).groupBy("_key").agg(F.min("_first").alias("_first"), F.max("_known").alias("_known"))
+    joined = keyed.join(stage(lookup, "lookup"), "_key", "left")
+    result = F.when(F.col(ok), "success").otherwise("fail")
+    outcome = F.when(F.col("_known") | (F.col("_first") < F.col(ord)), "skip").otherwise(result)
+    without = rows.filter(F.col(url).isNull()).select(ord, result.alias("outcome"))
+    return joined.select(ord, outcome.alias("outcome")).unionAll(without)
+
+
+def stored_postings(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, url) of the postings stored in ``folder`` so far; none if nothing has been written yet."""
+    path = f"{folder}/job_posts"
+    inner = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not inner.getFileSystem(spark._jsc.hadoopConfiguration()).exists(inner):
+        return spark.createDataFrame([], "id long, url string")
+    return spark.read.parquet(path).select("id", "url")
 
 
 def index_postings(
@@ -62,16 +75,16 @@ def index_postings(
     """Add the new postings of ``df`` to ``folder``; returns the outcome counts.
 
     ``df`` needs ``ord``, company, url, json_ld and the body, raw or clean. ``existing`` is the posting
-    table so far. Rows that cannot be stored count as failed, or raise with ``on_error='fail'``.
+    table so far, by default what ``folder`` holds. The checked input is written once. Rows that cannot be stored count as failed, or raise with ``on_error='fail'``.
 
     The posting rows are written last: until then their URLs are unknown, and a repeated run replaces
     what a failed one left in the same ``run`` folders.
     """
     spark = df.sparkSession
     if existing is None:
-        existing = spark.createDataFrame([], "id long, url string")
+        existing = stored_postings(spark, folder)
     ok = storable(F.col("company"), F.col("url"), F.col("json_ld"))
-    checked = df.filter(present(F.col(body))).withColumn("ok", ok)
+    checked = stage(df.filter(present(F.col(body))).withColumn("ok", ok), "checked")
     if on_error == "fail" and not checked.filter("not ok").isEmpty():
         raise ValueError("a posting cannot be stored")
     outcomes = outcome_counts(posting_outcomes(checked, existing))
@@ -90,4 +103,5 @@ def index_postings(
         points = embed_chunks(stored, "chunk_text", embedder).select(F.col("point_id").alias("id"), "vector", payload)
         sink_vectors(points, f"{folder}/points/run={run}")
         sink_postings(posts, f"{folder}/job_posts/run={run}")
+    unstage(checked)
     return spark.createDataFrame(counts, outcomes.schema)

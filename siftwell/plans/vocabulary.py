@@ -15,6 +15,7 @@ from siftwell.operators.wordpiece import (
     train_wordpiece,
     word_counts,
 )
+from siftwell.session import stage
 from siftwell.sources.sinks import sink_vocab
 from siftwell.sources.text_lines import scan_corpus_lines
 
@@ -26,16 +27,23 @@ def train_vocab(
     morphemes: bool = False,
     size: int = VOCAB_SIZE,
     min_frequency: int = MIN_FREQUENCY,
-    merges_per_round: int | None = 64,
+    merges_per_round: int | None = None,
     analyzer=None,
+    segmented_path: str | None = None,
 ) -> DataFrame:
     """Train on a text corpus, write the vocabulary, and return the unknown-token rate of its head.
 
-    With ``morphemes`` the lines are segmented first, by ``analyzer`` or by the built-in patterns.
+    With ``morphemes`` the lines are segmented first, by ``analyzer`` or by the built-in patterns; the segmented corpus
+    is written once, to ``segmented_path`` if that is given, and all that follows reads it.
     """
     lines = scan_corpus_lines(spark, corpus_path)
     if morphemes:
         lines = segment_morphemes(lines, "value", "value", factory=analyzer)
+        if segmented_path is None:
+            lines = stage(lines, "segmented")
+        else:
+            lines.write.parquet(segmented_path)
+            lines = spark.read.parquet(segmented_path)
     if lines.isEmpty():
         raise ValueError(f"no corpus line in {corpus_path}: build the corpus first")
     vocab = train_wordpiece(

@@ -31,26 +31,25 @@ def _write_csv(df, path, header=True):
 
 
 def _raw_parts(spark, folder):
-    """CSV parts as a crawler leaves them: three headers, one without a body, and broken files."""
+    """CSV parts as a crawler leaves them: three headers under odd names; beside them parts without a body and broken ones."""
     path = new_path(spark, "parts")
     rows = noisy_documents(spark, folder).select(
         "doc_id", F.col("source").alias("company"), F.concat(F.lit("u/"), "doc_id").alias("url"),
         F.col("body").alias("iframe_jd_text"),
     )
-    group = F.col("doc_id") % 5
-    _write_csv(rows.filter(group == 0).select("company", "url", "iframe_jd_text"), path)
-    _write_csv(rows.filter(group == 1).select("iframe_jd_text", F.lit("x").alias("status"), "url", "company"), path)
-    _write_csv(rows.filter(group == 2).select("url", "iframe_jd_text"), path)
-    _write_csv(rows.filter(group == 3).select("company", "url"), path)
+    group = F.col("doc_id") % 3
+    _write_csv(rows.filter(group == 0).select("company", "url", "iframe_jd_text"), f"{path}/공고 모음")
+    _write_csv(rows.filter(group == 1).select("iframe_jd_text", F.lit("x").alias("status"), "url", "company"), f"{path}/part #1 20%")
+    _write_csv(rows.filter(group == 2).select("url", "iframe_jd_text"), f"{path}/plain")
+    _write_csv(rows.filter("doc_id % 5 = 0").select("company", "url"), f"{path}/no body")
     broken = F.concat_ws("\n", F.lit("company,url,iframe_jd_text"), F.concat_ws(",", "company", "url", F.lit("t"), F.lit("more")))
-    rows.filter(group == 4).select(broken.alias("value")).write.mode("append").text(path)
-    return path
+    rows.filter("doc_id % 5 = 1").select(broken.alias("value")).write.text(f"{path}/broken")
+    return f"{path}/*/part-*"
 
 
 @query(
     "scan_csv_parts",
-    f"""WITH {NOISY} SELECT CASE WHEN doc_id % 5 <> 2 THEN source END AS company, 'u/' || doc_id AS url, md5(body) AS body
-    FROM noisy WHERE doc_id % 5 IN (0, 1, 2)""",
+    f"""WITH {NOISY} SELECT CASE WHEN doc_id % 3 <> 2 THEN source END AS company, 'u/' || doc_id AS url, md5(body) AS body FROM noisy""",
 )
 def scan_parts(spark, folder):
     rows = csv_parts.scan_csv_parts(spark, _raw_parts(spark, folder), ord=False)
@@ -257,10 +256,9 @@ def page_parts(spark, folder):
 
 @query(
     "build_corpus",
-    f"""WITH {CLEANED}, usable AS (SELECT * FROM cleaned WHERE doc_id % 5 IN (0, 1, 2)),
-    u AS (SELECT DISTINCT clean_text FROM usable)
-    SELECT 'read' AS stage, count(*) AS n_rows, CAST(sum(length(body)) AS BIGINT) AS n_chars FROM noisy WHERE doc_id % 5 IN (0, 1, 2)
-    UNION ALL SELECT 'cleaned', count(*), CAST(sum(length(clean_text)) AS BIGINT) FROM usable
+    f"""WITH {CLEANED}, u AS (SELECT DISTINCT clean_text FROM cleaned)
+    SELECT 'read' AS stage, count(*) AS n_rows, CAST(sum(length(body)) AS BIGINT) AS n_chars FROM noisy
+    UNION ALL SELECT 'cleaned', count(*), CAST(sum(length(clean_text)) AS BIGINT) FROM cleaned
     UNION ALL SELECT 'unique', count(*), CAST(sum(length(clean_text)) AS BIGINT) FROM u""",
 )
 def corpus_job(spark, folder):
@@ -270,7 +268,8 @@ def corpus_job(spark, folder):
 
 @query(
     "index_postings",
-    """WITH i AS (SELECT doc_id AS ord, source || '/' || (n_chars % 700) AS url, doc_id % 5 <> 2 AS ok FROM documents),
+    """WITH i AS (SELECT doc_id AS ord, 'u/' || (doc_id - CASE WHEN doc_id % 4 = 3 THEN 1 ELSE 0 END) AS url, doc_id % 5 <> 2 AS ok
+        FROM documents),
     f AS (SELECT *, min(CASE WHEN ok THEN ord END) OVER (PARTITION BY url) AS first_ok FROM i)
     SELECT CASE WHEN first_ok < ord THEN 'skip' WHEN ok THEN 'success' ELSE 'fail' END AS outcome, count(*) AS n FROM f GROUP BY 1""",
 )
@@ -279,7 +278,7 @@ def index_job(spark, folder):
     json_ld = F.when(F.col("doc_id") % 5 == 2, "{").otherwise(F.to_json(F.struct("lang", "source")))
     rows = text_table(spark, folder, "documents", "doc_id").select(
         F.col("doc_id").alias("ord"), F.col("source").alias("company"),
-        F.concat_ws("/", "source", (F.col("n_chars") % 700).cast("string")).alias("url"),
+        F.expr("'u/' || (doc_id - CASE WHEN doc_id % 4 = 3 THEN 1 ELSE 0 END)").alias("url"),
         F.col("text").alias("iframe_jd_text"), json_ld.alias("json_ld"),
     )
     return index_postings(rows, new_path(spark, "index"))

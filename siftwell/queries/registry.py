@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-SMALL_TABLE_BYTES = 1 << 30
-
 
 def query(name: str, oracle: str | None = None):
     def register(function):
@@ -29,18 +26,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
-    """A table whose rows are costly to process.
-
-    A small file is one row group and so one task: its rows are spread over the cores first. A large
-    table already comes in many splits and is left as it is.
-    """
-    path = f"{folder}/{name}.parquet"
-    df = spark.read.parquet(path)
-    store, inner = fs.FileSystem.from_uri(path)
-    info = store.get_file_info(inner)
-    if info.is_file and info.size < SMALL_TABLE_BYTES:
-        df = df.repartition(spark.sparkContext.defaultParallelism, key)
-    return df
+    """A table whose rows are costly to process, dealt out by its key: a file may be a single row group."""
+    return table(spark, folder, name).repartition(key)
 
 
 # The texts of ``documents`` hold nothing that cleaning would change, so noise is added by an

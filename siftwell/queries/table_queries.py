@@ -34,13 +34,14 @@ def raw_distinct(spark, folder):
     return D.distinct_raw_text(rows, "body", "doc_id").select("doc_id", digest(F.col("body")).alias("result"))
 
 
-_INCOMING = "SELECT doc_id AS ord, source || '/' || (n_chars % 700) AS url FROM documents"
-_EXISTING = "SELECT DISTINCT source || '/' || (n_chars % 700) AS url FROM documents JOIN labels USING (doc_id)"
+# every fourth posting repeats the address of the one before
+_URL = "'u/' || (doc_id - CASE WHEN doc_id % 4 = 3 THEN 1 ELSE 0 END)"
+_INCOMING = f"SELECT doc_id AS ord, {_URL} AS url FROM documents"
+_EXISTING = f"SELECT DISTINCT {_URL} AS url FROM documents JOIN labels USING (doc_id)"
 
 
 def _incoming(spark, folder):
-    url = F.concat_ws("/", "source", (F.col("n_chars") % 700).cast("string"))
-    return table(spark, folder, "documents").select(F.col("doc_id").alias("ord"), url.alias("url"))
+    return table(spark, folder, "documents").select(F.col("doc_id").alias("ord"), F.expr(_URL).alias("url"))
 
 
 def _existing(spark, folder):
@@ -162,12 +163,9 @@ def stats(spark, folder):
     return P.corpus_stats({"read": (raw, "body"), "cleaned": (cleaned, "clean_text"), "unique": (unique, "clean_text")})
 
 
-_PROFILE_BODY = "CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE text END"
-
-
 @query(
     "corpus_profile",
-    f"""WITH d AS (SELECT nullif({_PROFILE_BODY}, '') AS body FROM documents),
+    """WITH d AS (SELECT nullif(text, '') AS body FROM documents UNION ALL SELECT NULL FROM documents WHERE doc_id % 5 < 2),
     u AS (SELECT DISTINCT body FROM d WHERE body IS NOT NULL)
     SELECT (SELECT count(*) FROM d) AS n_rows, (SELECT count(body) FROM d) AS n_bodies, count(*) AS n_unique,
         CAST(sum(length(body)) AS BIGINT) AS n_chars,
@@ -175,7 +173,10 @@ _PROFILE_BODY = "CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE text END"
         round(avg(length(body)), 6) AS mean_chars FROM u""",
 )
 def corpus_profile(spark, folder):
-    rows = text_table(spark, folder, "documents", "doc_id").withColumn("body", F.expr(_PROFILE_BODY))
+    """All documents, and as many rows again as two fifths of them without a body: missing or empty."""
+    documents = text_table(spark, folder, "documents", "doc_id")
+    without = documents.filter("doc_id % 5 < 2").select(F.when(F.col("doc_id") % 5 == 1, F.lit("")).alias("body"))
+    rows = documents.select(F.col("text").alias("body")).unionAll(without)
     return P.corpus_profile(rows, "body").withColumn("mean_chars", F.round("mean_chars", 6))
 
 

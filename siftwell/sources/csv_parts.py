@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import csv
 import io
-import re
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import present, strip
-from siftwell.operators.ranking import union_by_name
 
 # The columns of a raw posting and of a link candidate.
 RAW_COLUMNS = ("company", "url", "iframe_jd_text", "main_jd_text", "json_ld", "status", "error")
@@ -20,71 +19,88 @@ LINK_COLUMNS = ("text", "href", "className", "parentText", "outerHTML")
 BODY_COLUMN = "iframe_jd_text"
 KEPT_COLUMNS = ("company", "url", BODY_COLUMN)
 
-HEADER_BYTES = 1 << 20
-# never occurs in a text; tells a missing field from an empty one
-_NO_NULL = "\x01"
+# rows handed from a task's reader to Spark at a time
+_ROWS_AT_ONCE = 5000
 
 
 def file_order() -> Column:
     """Order key of a scanned row: path, block within the file, position within the block.
 
-    Positions are only compared inside one block, which is always read by one task.
+    The path is compared as it is spelled, not as its percent-encoded address. Positions are only compared inside one
+    block, which is always read by one task.
     """
     return F.struct(
-        F.col("_metadata.file_path").alias("path"),
+        F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
 
 
-def _read_header(path: str) -> str | None:
-    """Header fields of a CSV file joined by newlines, or None where there is no readable header."""
-    from pyarrow import fs
+def _why_unusable(rows: Iterator[list[str]], required: str) -> str | None:
+    """What makes a parsed file unusable as a whole, or None."""
+    header = next(rows, None)
+    if not header:
+        return "no header"
+    if required not in header:
+        return f"no column {required}"
+    for number, row in enumerate(rows, 1):
+        if len(row) > len(header):
+            return f"too many fields in row {number}"
+    return None
 
+
+def _parse(path: str, content: bytes, required: str, keep: Sequence[str]) -> Iterator[tuple]:
+    """(path, 0, reason) for the file, then (path, number, None, *fields) for its rows if it is usable."""
+    blank = (None,) * len(keep)
+    csv.field_size_limit(2**31 - 1)
     try:
-        # Spark writes a local path with a single slash
-        store, inner = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
-        with store.open_input_stream(inner) as stream:
-            head = stream.read(HEADER_BYTES)
-        text = head.decode("utf-8-sig", errors="strict" if len(head) < HEADER_BYTES else "ignore")
-        fields = next(csv.reader(io.StringIO(text)))
-    except Exception:
-        return None
-    return "\n".join(fields) if fields else None
-
-
-def discover_headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(path, header) of every file; tasks open the files and read no more than the header."""
-    tasks = 4 * spark.sparkContext.defaultParallelism
-    # selecting the path alone lists the files without reading them
-    files = spark.read.format("binaryFile").load(paths).select("path").coalesce(tasks)
-
-    def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        text = content.decode("utf-8-sig")
+        reason = _why_unusable(csv.reader(io.StringIO(text, newline="")), required)
+    except UnicodeDecodeError as error:
+        reason = f"not UTF-8 at byte {error.start}"
+    except csv.Error as error:
+        reason = f"not CSV: {error}"
+    yield (path, 0, reason, *blank)
+    if reason:
+        return
+    rows = csv.reader(io.StringIO(text, newline=""))
+    header = next(rows)
+    # of a repeated name the first column counts
+    at = [header.index(c) if c in header else len(header) for c in keep]
+    for number, row in enumerate((r for r in rows if r), 1):
+        row += [""] * (len(header) + 1 - len(row))
+        yield (path, number, None, *(row[i] or None for i in at))
+
+
+def read_csv_files(spark: SparkSession, paths: str | Sequence[str], required: str, keep: Sequence[str]) -> DataFrame:
+    """(path, row, reason, *keep): a row 0 for each file, with the reason if it is skipped, and the rows of the others.
+
+    Spark opens the files, so every store and every name it can list works, and a read error fails the task. Each file
+    is parsed whole, in one task, under the same rules whatever its size.
+    """
+    files = spark.read.format("binaryFile").load(paths)
+    return parse_csv_files(files, required, keep)
+
+
+def parse_csv_files(files: DataFrame, required: str, keep: Sequence[str]) -> DataFrame:
+    """The same for a frame of files (path, content), as Spark's reader and stream of whole files give it."""
+    names = ["path", "row", "reason", *(f"_{i}" for i in range(len(keep)))]
+    kinds = [pa.string(), pa.int64(), *[pa.string()] * (len(keep) + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"path": batch["path"], "header": [_read_header(p) for p in batch["path"]]})
-
-    return files.mapInPandas(headers, "path string, header string")
-
-
-def _read_same_header(spark: SparkSession, paths: list[str], fields: list[str], ord: bool) -> DataFrame:
-    """Files with one header, read by it; a file holding a row with too many fields is left out whole."""
-    schema = ", ".join(f"`{f}` string" for f in [*fields, "_extra"])
-    raw = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", True)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("nullValue", _NO_NULL)
-        .option("emptyValue", "")
-        .csv(paths)
-    )
-    path = F.col("_metadata.file_path").alias("_path")
-    broken = raw.filter(F.col("_extra").isNotNull()).select(path).distinct()
-    columns = [F.nullif(F.col(f"`{f}`"), F.lit("")).alias(f) for f in fields]
-    rows = raw.select(*columns, path, *([file_order().alias("ord")] if ord else []))
-    return rows.join(broken, "_path", "left_anti").drop("_path")
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                parsed = _parse(path.as_py(), content.as_py(), required, keep)
+                while rows := list(islice(parsed, _ROWS_AT_ONCE)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+    schema = ", ".join(f"`{n}` {'long' if n == 'row' else 'string'}" for n in names)
+    return files.select("path", "content").mapInArrow(run, schema).toDF(*names[:3], *keep)
+
+
+def skipped_csv_files(spark: SparkSession, paths: str | Sequence[str], required: str = BODY_COLUMN) -> DataFrame:
+    """(path, reason) of the files that a scan leaves out. Spark doesn't list files without a byte: they hold nothing."""
+    return read_csv_files(spark, paths, required, []).filter("reason IS NOT NULL").select("path", "reason")
 
 
 def scan_csv_parts(
@@ -95,30 +111,21 @@ def scan_csv_parts(
     na_values: Sequence[str] = (),
     ord: bool = True,
 ) -> DataFrame:
-    """All CSV files of a pattern as one frame of string columns.
+    """All CSV files of a pattern as one frame of string columns, read once.
 
-    Files without a readable header, without the ``required`` column, or with a row of too many
-    fields are skipped. Files are read group-wise by identical header, so columns may come in any
-    order; of ``keep`` each file gives what it has. An empty field is null, as are ``na_values``.
-    Quoted newlines are allowed, so a file is not split: have many files rather than a huge one.
+    Files that are not UTF-8, without a header, without the ``required`` column, or with a row of too many fields are
+    skipped whole; ``skipped_csv_files`` tells which and why. Columns may come in any order in each file, a repeated
+    name stands for its first column, and of ``keep`` what a file lacks is null. An empty field is null, as are
+    ``na_values``. Quoted newlines are allowed, so a file is not split: have many files rather than a huge one.
     """
-    usable = discover_headers(spark, paths).filter(F.col("header").isNotNull())
-    # one row per distinct header; the paths are those the driver has listed already
-    groups = usable.groupBy("header").agg(F.collect_list("path").alias("paths")).orderBy("header").collect()
-    frames = []
-    for group in groups:
-        fields = group["header"].split("\n")
-        if required not in fields:
-            continue
-        frame = _read_same_header(spark, sorted(group["paths"]), fields, ord)
-        frames.append(frame.select(*[c for c in keep if c in fields], *(["ord"] if ord else [])))
-    if not frames:
+    found = read_csv_files(spark, paths, required, keep)
+    if found.filter("row = 0 AND reason IS NULL").isEmpty():
         raise ValueError(f"no usable CSV file in {paths}")
-    merged = union_by_name(frames)
+    order = [F.struct("path", "row").alias("ord")] if ord else []
+    rows = found.filter("row > 0").select(*keep, *order)
     if na_values:
-        texts = [c for c in merged.columns if c != "ord"]
-        merged = merged.withColumns({c: F.when(~F.col(c).isin(*na_values), F.col(c)) for c in texts})
-    return merged
+        rows = rows.withColumns({c: F.when(~F.col(c).isin(*na_values), F.col(c)) for c in keep})
+    return rows
 
 
 def scan_csv_single(spark: SparkSession, path: str, ord: bool = True) -> DataFrame:

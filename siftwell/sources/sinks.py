@@ -10,8 +10,10 @@ from siftwell.operators import html as H
 from siftwell.operators.ranking import PART_SIZE, number_rows, part_of
 
 
-def sink_corpus_text(df: DataFrame, path: str, text: str = "clean_text") -> None:
-    """One posting per line, inner newlines as blanks."""
+def sink_corpus_text(df: DataFrame, path: str, text: str = "clean_text", ord: str | None = None) -> None:
+    """One posting per line, inner newlines as blanks; with ``ord``, in its order over the files and within them."""
+    if ord is not None:
+        df = df.repartitionByRange(F.col(ord)).sortWithinPartitions(ord)
     df.select(flatten_newlines(F.col(text)).alias("value")).write.text(path)
 
 

@@ -4,46 +4,40 @@ from __future__ import annotations
 
 import os
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from siftwell.plans.index import filter_success, index_postings
-from siftwell.sources.csv_parts import RAW_COLUMNS
-from siftwell.session import shared_dir, stage
+from siftwell.session import shared_dir, stage, unstage
+from siftwell.sources.csv_parts import BODY_COLUMN, RAW_COLUMNS, parse_csv_files
 
 
-def index_new_parts(spark: SparkSession, source: str, folder: str, name: str = "index", **options) -> StreamingQuery:
+def index_new_parts(
+    spark: SparkSession, source: str, folder: str, name: str = "index", checkpoint: str | None = None, **options
+) -> StreamingQuery:
     """Index every part that appeared in ``source`` since the last call, then stop.
 
-    The stream's checkpoint remembers the files taken; known URLs are skipped by the same anti join as
-    in a batch run, so a micro-batch that is repeated after a failure adds nothing twice.
+    Parts are streamed as whole files and parsed by their own headers, under the rules of ``scan_csv_parts``. The
+    stream's checkpoint, in ``checkpoint`` or else in the shared folder, remembers the files taken; known URLs are
+    skipped by the same join as in a batch run, so a micro-batch that is repeated after a failure adds nothing twice.
     """
-    schema = ", ".join(f"`{c}` string" for c in RAW_COLUMNS)
-    parts = (
-        spark.readStream.schema(schema)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(source)
-        .withColumn("_path", F.col("_metadata.file_path"))
-    )
+    parts = spark.readStream.format("binaryFile").schema(_FILE).load(source)
 
     def index(batch: DataFrame, epoch: int) -> None:
-        order = F.struct(F.col("_path"), F.monotonically_increasing_id().alias("row"))
-        rows = stage(filter_success(batch).withColumn("ord", order).drop("_path"), f"batch-{epoch}")
-        target = os.path.join(folder, "job_posts")
-        try:
-            existing = spark.read.parquet(target).select("id", "url")
-        except AnalysisException:  # the first batch finds no table
-            existing = None
-        index_postings(rows, folder, existing, **options)
+        rows = parse_csv_files(batch, BODY_COLUMN, RAW_COLUMNS).filter("row > 0")
+        rows = filter_success(rows).withColumn("ord", F.struct("path", "row")).drop("path", "row", "reason")
+        staged = stage(rows, f"batch-{epoch}")
+        index_postings(staged, folder, **options)
+        unstage(staged)
 
     return (
         parts.writeStream.foreachBatch(index)
-        .option("checkpointLocation", os.path.join(shared_dir(spark), f"siftwell-stream-{name}"))
+        .option("checkpointLocation", checkpoint or os.path.join(shared_dir(spark), f"siftwell-stream-{name}"))
         .trigger(availableNow=True)
         .start()
     )
+
+
+# the columns of Spark's reader of whole files
+_FILE = "path string, modificationTime timestamp, length long, content binary"

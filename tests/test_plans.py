@@ -1,14 +1,16 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftwell.plans.corpus import build_corpus
-from siftwell.plans.index import index_postings
+from siftwell.plans.index import index_postings, posting_outcomes
 from siftwell.plans.vocabulary import train_vocab
 from siftwell.session import new_path
+from siftwell.sources.text_lines import scan_corpus_lines
 from siftwell.streaming.ingest import index_new_parts
 
-BODY = "백엔드 개발자를 채용합니다. Python, Django, AWS 경험 우대. 경력 3년 이상입니다"
+BODY = "물류 창고에서 일할 분을 찾습니다. 지게차 면허와 엑셀 사용이 필요하며 주간 근무입니다"
 COLUMNS = "ord long, company string, url string, iframe_jd_text string, json_ld string"
 
 
@@ -33,6 +35,64 @@ def test_corpus_job(spark, tmp_path):
     assert rate["n_unknown"] == 0 and rate["n_tokens"] > 0
 
 
+def test_corpus_keeps_the_order_of_the_input(spark, tmp_path):
+    for part in range(12):
+        lines = "".join(f'u{part},"{BODY} {part:02d} {row:03d}"\n' for row in range(250))
+        (tmp_path / f"p_{part:02d}.csv").write_text("url,iframe_jd_text\n" + lines, encoding="utf-8")
+    text, clean = new_path(spark, "text"), new_path(spark, "clean")
+    adaptive = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in adaptive}
+    try:
+        for k, v in adaptive.items():
+            spark.conf.set(k, v)
+        build_corpus(spark, f"{tmp_path}/p_*.csv", text, clean)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    ordered = [r["value"] for r in scan_corpus_lines(spark, text).orderBy("ord").collect()]
+    assert ordered == sorted(ordered) and len(ordered) == 3000
+
+
+def test_a_later_run_adds_to_the_folder(spark):
+    folder = new_path(spark, "index")
+    for url, added in (("u1", {"success": 1}), ("u2", {"success": 1}), ("u1", {"skip": 1})):
+        assert counts(index_postings(postings(spark, [("A", url, "text", "{}")]), folder)) == added
+    rows = spark.read.parquet(f"{folder}/job_posts").orderBy("id").collect()
+    assert [(r["id"], r["url"]) for r in rows] == [(1, "u1"), (2, "u2")]
+    assert spark.read.parquet(f"{folder}/points").count() == 2
+
+
+def test_json_that_the_parser_refuses_fails(spark):
+    texts = ["{'a': 1}", '{"a": "x\ny"}', '{"a": 1, "a": 2}', '{"a": 1}', "[1]", "3"]
+    rows = postings(spark, [("A", f"u{i}", "text", t) for i, t in enumerate(texts)])
+    folder = new_path(spark, "index")
+    assert counts(index_postings(rows, folder)) == {"success": 3, "fail": 3}
+    assert all(r["json_ld"] for r in spark.read.parquet(f"{folder}/job_posts").collect())
+
+
+def test_a_hot_url_is_split_over_tasks(spark):
+    rows = spark.range(200_000).select(
+        F.col("id").alias("ord"), F.when(F.col("id") % 4 > 0, F.lit("hot")).otherwise(F.concat(F.lit("u"), "id")).alias("url"),
+        F.lit(True).alias("ok"),
+    )
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        found = posting_outcomes(rows, spark.createDataFrame([(1, "u0")], "id long, url string"))
+        grouped = found.groupBy("outcome").count()
+        assert {r["outcome"]: r["count"] for r in grouped.collect()} == {"success": 50_000, "skip": 150_000}
+        assert "skew=true" in grouped._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_empty_corpus_is_an_error(spark):
     path = new_path(spark, "none")
     spark.createDataFrame([("  ",)], "value string").write.text(path)
@@ -93,3 +153,7 @@ def test_new_parts_are_indexed_as_they_arrive(spark, tmp_path):
 
     assert arrive("p_1.csv", "u1", "u2") == ["u1", "u2"]
     assert arrive("p_2.csv", "u2", "u3", "u3") == ["u1", "u2", "u3"]
+    (source / "다른 순서.csv").write_text("url,iframe_jd_text,status,company,json_ld\nu4,text,success,ACME,{}\n", encoding="utf-8")
+    assert arrive("p_3.csv", "u5") == ["u1", "u2", "u3", "u4", "u5"]
+    stored = spark.read.parquet(f"{folder}/job_posts").filter("url = 'u4'").first()
+    assert stored["company"] == "ACME"

@@ -43,6 +43,50 @@ def test_first_row_follows_the_path_order(spark, parts):
     assert sorted(r["url"] for r in kept) == ["u4", "u5"]
 
 
+@pytest.mark.parametrize("name", ["공고.csv", "with blank.csv", "100%.csv", "a%20b.csv", "c#1.csv", "d+e.csv", "[x].csv"])
+def test_odd_names_are_read(spark, tmp_path, name):
+    (tmp_path / name).write_text("company,url,iframe_jd_text\nA,u1,body\n", encoding="utf-8")
+    rows = csv_parts.scan_csv_parts(spark, str(tmp_path)).collect()
+    assert [(r["company"], r["url"], r["iframe_jd_text"]) for r in rows] == [("A", "u1", "body")]
+    assert rows[0]["ord"]["path"].endswith("/" + name)
+
+
+@pytest.mark.parametrize("rows", [1, 60_000])
+def test_bad_bytes_skip_a_file_of_any_size(spark, tmp_path, rows):
+    good = "company,url,iframe_jd_text\n" + "A,u,some text of a posting\n" * rows
+    (tmp_path / "bad.csv").write_bytes(good.encode() + b"B,v,\xff\n")
+    (tmp_path / "good.csv").write_text(good)
+    assert csv_parts.scan_csv_parts(spark, f"{tmp_path}/*.csv").count() == rows
+    skipped = csv_parts.skipped_csv_files(spark, f"{tmp_path}/*.csv").collect()
+    assert [(r["path"].rpartition("/")[2], r["reason"]) for r in skipped] == [("bad.csv", f"not UTF-8 at byte {len(good) + 4}")]
+
+
+def test_skipped_files_have_reasons(spark, parts):
+    found = {r["path"].rpartition("/")[2]: r["reason"] for r in csv_parts.skipped_csv_files(spark, f"{parts}/p_*.csv").collect()}
+    assert found == {
+        "p_11.csv": "no column iframe_jd_text", "p_12.csv": "too many fields in row 2",
+        "p_15.csv": "not UTF-8 at byte 27",
+    }
+
+
+def test_of_a_repeated_name_the_first_column_counts(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("url,iframe_jd_text,url\nu1,body,u2\n")
+    rows = csv_parts.scan_csv_parts(spark, str(tmp_path)).collect()
+    assert [(r["company"], r["url"], r["iframe_jd_text"]) for r in rows] == [(None, "u1", "body")]
+
+
+def test_paths_are_ordered_as_spelled(spark, tmp_path):
+    for name in ("b c.csv", "b.csv", "bz.csv", "가.csv", "b%.csv"):
+        (tmp_path / name).write_text(f"iframe_jd_text\n{name}\n", encoding="utf-8")
+    rows = csv_parts.scan_csv_parts(spark, str(tmp_path), keep=["iframe_jd_text"]).orderBy("ord").collect()
+    assert [r["iframe_jd_text"] for r in rows] == sorted(["b c.csv", "b.csv", "bz.csv", "가.csv", "b%.csv"])
+    (tmp_path / "text").mkdir()
+    for name in ("b c.txt", "b.txt", "가+.txt"):
+        (tmp_path / "text" / name).write_text(name, encoding="utf-8")
+    lines = text_lines.scan_corpus_lines(spark, f"{tmp_path}/text").orderBy("ord").collect()
+    assert [r["value"] for r in lines] == sorted(["b c.txt", "b.txt", "가+.txt"])
+
+
 def test_no_usable_file_is_an_error(spark, parts):
     with pytest.raises(ValueError, match="no usable"):
         csv_parts.scan_csv_parts(spark, f"{parts}/p_11.csv")
