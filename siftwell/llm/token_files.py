@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,81 +23,148 @@ from siftwell.session import stage, unstage
 
 #: Ids in a block: whole documents, until there are so many.
 BLOCK_IDS = 1 << 17
-#: Texts between blanks whose ids a task remembers.
-CACHED_UNITS = 400_000
+#: Units whose ids a task remembers, and as many again from before.
+CACHED_UNITS = 500_000
 
 
 class CachedTokenizer:
     """A byte-level tokenizer of the ``tokenizers`` library that encodes repeated words once.
 
     Such a tokenizer splits a text in front of every blank that a visible character follows, and no id lies across; so
-    the ids of a text are those of its units. A text that holds a special token's string is encoded as a whole.
+    the ids of a text are those of its units. A text that holds a special token's string is encoded as a whole, and so
+    is every text if the file describes another kind of tokenizer.
     """
 
     def __init__(self, data: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
+        description = json.loads(data)
+        splitter = description.get("pre_tokenizer") or {}
+        self.by_units = (
+            description.get("normalizer") is None and splitter.get("type") == "ByteLevel"
+            and splitter.get("use_regex", True) and not splitter.get("add_prefix_space", True)
+        )
         self.tokenizer = Tokenizer.from_str(data.decode())
+        self.tokenizer.no_truncation()
+        self.model = self.tokenizer.model
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.odd_blank = re.compile(r" (?=\s|$)")
+        self.odd_stop = re.compile(r"(?:^|[\W_])[.,]")
         self.cut = re.compile(r"(?= \S)")
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.empty(1 << 20, np.uint32)
-        self.start = np.empty(2 * CACHED_UNITS, np.int64)
-        self.length = np.empty(2 * CACHED_UNITS, np.int64)
-        self.used = 0
+        self.old: _Units = _Units()
+        self.now: _Units = _Units()
 
     def _units(self, text: str) -> list[str]:
-        """Keys of the units: a word stands for itself with a blank in front, all else is marked."""
-        if not text:
-            return []
-        if self.special and self.special.search(text):
-            return [" \0" + text]
-        if self.odd_blank.search(text):
-            return [" \0" + unit for unit in self.cut.split(text) if unit]
-        units = text.split(" ")
-        units[0] = " \0" + units[0]
-        return units if len(units[0]) > 2 else units[1:]
+        """Pieces of a text that are encoded each for itself.
+
+        Cuts are in front of blanks, and of full stops and commas behind a letter or digit: letters, digits and
+        everything else never share an id.
+        """
+        if not self.by_units or (self.special and self.special.search(text)) or not text:
+            return [text] if text else []
+        if self.odd_blank.search(text) or _CUT in text:
+            return [unit for unit in self.cut.split(text) if unit]
+        marked = text.replace(" ", _CUT + " ")
+        if not self.odd_stop.search(text):
+            marked = marked.replace(".", _CUT + ".").replace(",", _CUT + ",")
+        units = marked.split(_CUT)
+        return units if units[0] else units[1:]
+
+    def _word(self, letters: str, blank: str) -> list[int]:
+        """Ids of letters, with or without a blank in front: the tokenizer does not split them any further."""
+        if not letters.isascii():
+            letters = "".join(map(_BYTES.__getitem__, letters.encode()))
+        return [t.id for t in self.model.tokenize(blank + letters)]
 
     def _learn(self, keys: list[str]) -> None:
-        texts = [k[2:] if k.startswith(" \0") else " " + k for k in keys]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        at = len(self.known)
-        n = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        total = int(n.sum())
-        if at + len(keys) > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.empty(at + len(keys), np.int64)]) for x in (self.start, self.length))
-        if self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.empty(self.used + 2 * total, np.uint32)])
-        self.start[at : at + len(keys)] = self.used + np.cumsum(n) - n
-        self.length[at : at + len(keys)] = n
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
-        self.used += total
-        self.known.update(zip(keys, range(at, at + len(keys))))
+        ids: list[list[int] | None] = []
+        for key in keys:
+            known = self.old.get(key)
+            if known is None and self.by_units:
+                blank, letters = (_BLANK_BYTE, key[1:]) if key[0] == " " else ("", key)
+                if letters.isalpha():
+                    known = self._word(letters, blank)
+            ids.append(known)
+        rest = [i for i, known in enumerate(ids) if known is None]
+        for lo in range(0, len(rest), 1000):
+            some = rest[lo : lo + 1000]
+            for i, encoding in zip(some, self.tokenizer.encode_batch_fast([keys[i] for i in some], add_special_tokens=False)):
+                ids[i] = encoding.ids
+        self.now.add(keys, ids)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the number of ids of each."""
         units = [self._units(t) for t in texts]
         keys = [u for some in units for u in some]
-        new = [u for u in dict.fromkeys(keys) if u not in self.known]
-        if len(self.known) + len(new) > CACHED_UNITS:
-            self._clear()
+        which = self.now.find(keys)
+        new = list(dict.fromkeys(keys[i] for i in np.flatnonzero(which < 0).tolist()))
+        if len(self.now.at) + len(new) > CACHED_UNITS:
+            self.old, self.now = self.now, _Units()
             new = list(dict.fromkeys(keys))
         if new:
             self._learn(new)
-        which = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+            which = self.now.find(keys)
+        ids, n = self.now.take(which)
+        bounds = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *map(len, units)])]
+        return ids, np.diff(bounds)
+
+
+#: Marks the cuts while a text is split; a text that holds it is split in another way.
+_CUT = "\x1f"
+
+
+def _byte_letters() -> list[str]:
+    """The characters that byte-level tokenizers write for the 256 bytes: printable ones stand for themselves, the
+    others are numbered from 256."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    letters, spare = [], 256
+    for byte in range(256):
+        letters.append(chr(byte if byte in printable else spare))
+        spare += byte not in printable
+    return letters
+
+
+_BYTES = _byte_letters()
+_BLANK_BYTE = _BYTES[0x20]
+
+
+class _Units:
+    """Ids of units, in one flat array."""
+
+    def __init__(self):
+        self.at: dict[str, int] = {}
+        self.flat = np.empty(1 << 16, np.uint32)
+        self.start, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.used = 0
+
+    def get(self, key: str) -> list[int] | None:
+        i = self.at.get(key)
+        return None if i is None else self.flat[self.start[i] : self.start[i] + self.length[i]].tolist()
+
+    def add(self, keys: list[str], ids: list[list[int]]) -> None:
+        at, n = len(self.at), np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(n.sum())
+        while at + len(keys) > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.length))
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.start[at : at + len(keys)] = self.used + np.cumsum(n) - n
+        self.length[at : at + len(keys)] = n
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.used += total
+        self.at.update(zip(keys, range(at, at + len(keys))))
+
+    def find(self, keys: list[str]) -> np.ndarray:
+        """The places of units; -1 for those that are not here."""
+        return np.fromiter(map(self.at.get, keys, repeat(-1)), np.int64, len(keys))
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = self.length[which]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.start[which] - (ends - n), n) + np.arange(total)]
-        per_text = np.cumsum([0, *map(len, units)])
-        bounds = np.concatenate([[0], ends])[per_text]
-        return ids, np.diff(bounds)
+        return self.flat[np.repeat(self.start[which] - (ends - n), n) + np.arange(total)], n
 
 
 @lru_cache(maxsize=2)
