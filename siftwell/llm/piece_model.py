@@ -12,7 +12,7 @@ UNIGRAM, BPE = 1, 2
 BLANK = "▁"
 
 #: Entries of the caches of units and of neighbouring pieces; a full cache starts anew.
-CACHED_UNITS, CACHED_PAIRS = 400_000, 500_000
+CACHED_UNITS, CACHED_PAIRS = 300_000, 300_000
 #: Units above this length are cut where no piece can lie across.
 LONG_UNIT = 64
 NO_PIECE, _ONLY_PREFIX = -1, -2
@@ -102,7 +102,7 @@ class PieceTransducer:
         # pieces with a blank behind other characters would tie units together
         self.by_units = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
         self.units: dict[str, list[int]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by first id, second id in one number
         self.text = [p.replace(BLANK, " ") if k in (NORMAL, USER_DEFINED) else "" for p, k in zip(model.pieces, model.kinds)]
         for i, kind in enumerate(model.kinds):
             if kind == UNKNOWN:
@@ -161,7 +161,7 @@ class PieceTransducer:
         """Whether ``a`` and ``b`` side by side stay as they are: nothing merges across while both are being made."""
         if a < 0 or b < 0:  # a character without a piece never merges
             return True
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 32 | b)
         if known is not None:
             return known
         left, right = self.edges[1][a], self.edges[0][b]
@@ -183,7 +183,7 @@ class PieceTransducer:
                 j -= 1
         if len(self.pairs) >= CACHED_PAIRS:
             self.pairs.clear()
-        self.pairs[a, b] = stays
+        self.pairs[a << 32 | b] = stays
         return stays
 
     # -- shortest path -----------------------------------------------------------------------------------------------
@@ -218,7 +218,7 @@ class PieceTransducer:
                     break
                 if piece >= 0 and last[end] is None:
                     if here >= 0:
-                        stays = pairs.get((here, piece))
+                        stays = pairs.get(here << 32 | piece)
                         if not (neighbours(here, piece) if stays is None else stays):
                             continue
                     last[end], came[end] = piece, at

@@ -49,7 +49,10 @@ def decode_pieces(ids: Column, model: bytes) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         decode = transducer(model).decode
         for rows in batches:
-            yield pa.array([None if row is None else decode(row) for row in rows.to_pylist()], pa.string())
+            ends, ids, known = rows.offsets.to_numpy(), rows.values.to_numpy(), rows.is_valid().to_pylist()
+            # ids become Python numbers one row at a time
+            texts = (decode(ids[ends[i] : ends[i + 1]].tolist()) if ok else None for i, ok in enumerate(known))
+            yield pa.array(texts, pa.string())
 
     return arrow_udf(run, "string", ArrowUDFType.SCALAR_ITER)(ids)
 
