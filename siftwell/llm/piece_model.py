@@ -11,9 +11,9 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 BLANK = "▁"
 
-#: Entries of the caches of units and of neighbouring pieces; a full cache starts anew.
-CACHED_UNITS, CACHED_PAIRS = 300_000, 300_000
-#: Units above this length are cut where no piece can lie across.
+#: Entries of the caches of units (and as many again from before) and of neighbouring pieces.
+CACHED_UNITS, CACHED_PAIRS = 200_000, 400_000
+#: Units above this length are not remembered.
 LONG_UNIT = 64
 NO_PIECE, _ONLY_PREFIX = -1, -2
 
@@ -102,6 +102,7 @@ class PieceTransducer:
         # pieces with a blank behind other characters would tie units together
         self.by_units = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
         self.units: dict[str, list[int]] = {}
+        self.old_units: dict[str, list[int]] = {}
         self.pairs: dict[int, bool] = {}  # by first id, second id in one number
         self.text = [p.replace(BLANK, " ") if k in (NORMAL, USER_DEFINED) else "" for p, k in zip(model.pieces, model.kinds)]
         for i, kind in enumerate(model.kinds):
@@ -271,23 +272,33 @@ class PieceTransducer:
         return [self.byte_ids[b] for b in piece.encode()]
 
     def _unit(self, unit: str) -> list[int]:
-        found = self.units.get(unit)
+        """Ids of a unit, from those of its parts."""
+        parts = self._parts(unit)
+        if len(parts) > 1:
+            return [i for part in parts for i in self._part(part)]
+        return self._part(unit)
+
+    def _part(self, part: str) -> list[int]:
+        found = self.units.get(part)
         if found is None:
-            if len(unit) > LONG_UNIT:
-                return [i for part in self._parts(unit) for i in self._shortest(part)]
-            found = self._shortest(unit)
+            found = self.old_units.get(part)
+            if found is None:
+                found = self._shortest(part)
             if len(self.units) >= CACHED_UNITS:
-                self.units.clear()
-            self.units[unit] = found
+                self.old_units, self.units = self.units, {}
+            if len(part) <= LONG_UNIT:
+                self.units[part] = found
         return found
 
-    def _parts(self, unit: str) -> Iterator[str]:
-        start = 0
+    def _parts(self, unit: str) -> list[str]:
+        """The unit, cut where no piece can lie across: between two characters that no piece has side by side."""
+        inside, parts, start = self.inside, [], 0
         for i in range(1, len(unit)):
-            if unit[i - 1 : i + 1] not in self.inside:
-                yield unit[start:i]
+            if unit[i - 1 : i + 1] not in inside:
+                parts.append(unit[start:i])
                 start = i
-        yield unit[start:]
+        parts.append(unit[start:])
+        return parts
 
     def normalise(self, text: str) -> str:
         if self.model.squeeze_blanks:
@@ -300,8 +311,10 @@ class PieceTransducer:
         """Ids of a text. An empty one has none."""
         ready = self.normalise(text)
         out: list[int] = []
+        units = self.units
         for unit in self.cut.findall(ready) if self.by_units else [ready]:
-            out += self.units.get(unit) or self._unit(unit)
+            out += units.get(unit) or self._unit(unit)
+            units = self.units
         return out
 
     def decode(self, ids: list[int]) -> str:
