@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.tokens import pretokenize
 from siftwell.operators.ranking import top_k_per_group
-from siftwell.operators.vectors import SCORE_DIGITS, SEARCH_LIMIT
+from siftwell.operators.vectors import CANDIDATES, SCORE_CELLS, SCORE_DIGITS, SEARCH_LIMIT, _Best
 from siftwell.session import stage
 
 # The usual BM25 parameters and the usual rank constant of reciprocal rank fusion.
@@ -15,9 +19,8 @@ BM25_K1 = 1.2
 BM25_B = 0.75
 RRF_CONSTANT = 60
 
-# a query-term table of at most this many rows is broadcast
-MAX_BROADCAST_TERMS = 500_000
-SALTS = 32
+# terms of queries that are sent to the tasks at a time
+BLOCK_TERMS = 200_000
 
 
 def _by_score() -> list[Column]:
@@ -33,26 +36,101 @@ def term_weights(df: DataFrame, key: str, text: str, alias: str) -> DataFrame:
     return words.groupBy(alias, "term").agg(F.count("*").cast("double").alias("weight"))
 
 
-def _join_terms(postings: DataFrame, query_terms: DataFrame, max_broadcast: int) -> DataFrame:
-    """Join on ``term``. A frequent term fills many posting rows: these are never shuffled when the
-    query side is small enough to be sent out, and are spread over salts otherwise."""
-    if query_terms.limit(max_broadcast + 1).count() <= max_broadcast:
-        return postings.join(F.broadcast(query_terms), "term")
-    salted = query_terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = postings.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return spread.join(salted, ["term", "_salt"]).drop("_salt")
+def _term_blocks(asked: DataFrame, block_terms: int) -> Iterator[_TermBlock]:
+    """The queries (query_id, term, value) in blocks of about ``block_terms`` rows; a query stays whole."""
+    rows, last = [], None
+    for row in asked.orderBy("query_id").toLocalIterator():
+        if len(rows) >= block_terms and row.query_id != last:
+            yield _TermBlock(rows)
+            rows = []
+        rows.append((row.query_id, row.term, row.value))
+        last = row.query_id
+    if rows:
+        yield _TermBlock(rows)
+
+
+class _TermBlock:
+    """Inverted lists of some queries: for each term, who asks for it and with which value."""
+
+    def __init__(self, rows: list[tuple[int, str, float]]):
+        self.query_ids = np.unique([q for q, _, _ in rows])
+        self.terms = {t: i for i, t in enumerate(dict.fromkeys(t for _, t, _ in rows))}
+        term = np.array([self.terms[t] for _, t, _ in rows])
+        order = np.argsort(term, kind="stable")
+        self.query = np.searchsorted(self.query_ids, [q for q, _, _ in rows])[order]
+        self.value = np.array([v for _, _, v in rows], dtype=float)[order]
+        self.start = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+
+    def places(self, terms: pa.Array) -> np.ndarray:
+        """Number of each term in this block; -1 for what nobody asks for."""
+        words = terms.dictionary_encode()
+        known = np.array([self.terms.get(t, -1) for t in words.dictionary.to_pylist()] or [-1])
+        return known[words.indices.to_numpy()] if len(words) else np.empty(0, np.int64)
+
+    def score(self, best: _Best, doc_ids: np.ndarray, doc: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+        """Offers the dot products of documents given as (row of ``doc_ids``, term, weight), sorted by row."""
+        step = max(1, SCORE_CELLS // len(self.query_ids))
+        for lo in range(0, len(doc_ids), step):
+            a, b = np.searchsorted(doc, [lo, lo + step])
+            if a == b:
+                continue
+            shape = (min(step, len(doc_ids) - lo), len(self.query_ids))
+            n = self.start[term[a:b] + 1] - self.start[term[a:b]]
+            ends = np.cumsum(n)
+            at = np.repeat(self.start[term[a:b]] - (ends - n), n) + np.arange(ends[-1])
+            cell = np.repeat(doc[a:b] - lo, n) * shape[1] + self.query[at]
+            total = np.bincount(cell, np.repeat(weight[a:b], n) * self.value[at], minlength=shape[0] * shape[1])
+            hit = np.bincount(cell, minlength=shape[0] * shape[1]) > 0
+            scores = np.where(hit, np.round(total, SCORE_DIGITS), -np.inf).reshape(shape).T
+            touched = np.flatnonzero(hit.reshape(shape).any(axis=1))
+            best.offer(scores[:, touched], doc_ids[lo + touched])
+
+
+def _ranked(asked: DataFrame, documents: DataFrame, k: int, block_terms: int, weigh) -> DataFrame:
+    """The ``k`` best of ``documents`` (doc_id, terms, ...) for the queries; ``weigh`` reads a batch's term weights.
+
+    Each block of queries is sent to the tasks, which score their own documents and keep ``k`` for each query: what is
+    shuffled are tasks x queries x ``k`` rows, however common a term is.
+    """
+    spark, candidates = documents.sparkSession, None
+    for block in _term_blocks(asked, block_terms):
+        shared = spark.sparkContext.broadcast(block)
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            best = _Best(shared.value.query_ids, k)
+            for batch in batches:
+                shared.value.score(best, batch.column("doc_id").to_numpy(), *weigh(shared.value, batch))
+            yield best.batch(None)
+
+        found = documents.mapInArrow(search, CANDIDATES)
+        candidates = found if candidates is None else candidates.unionAll(found)
+    if candidates is None:
+        candidates = spark.createDataFrame([], CANDIDATES)
+    return top_k_per_group(candidates, ["query_id"], _by_score(), k).select("query_id", "doc_id", "score", "rank")
+
+
+def _rows_of(lists: pa.ListArray) -> np.ndarray:
+    """For every entry of the lists, the row it belongs to."""
+    return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+
+
+def _given_weights(block: _TermBlock, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    terms = batch.column("terms")
+    place = block.places(terms.flatten())
+    known = place >= 0
+    weights = batch.column("weights").flatten().to_numpy()
+    return _rows_of(terms)[known], place[known], weights[known]
 
 
 def sparse_topk(
-    query_terms: DataFrame, postings: DataFrame, k: int = SEARCH_LIMIT, max_broadcast: int = MAX_BROADCAST_TERMS
+    query_terms: DataFrame, postings: DataFrame, k: int = SEARCH_LIMIT, block_terms: int = BLOCK_TERMS
 ) -> DataFrame:
     """Highest dot products of (query_id, term, weight) with (doc_id, term, weight)."""
-    asked = query_terms.select("query_id", "term", F.col("weight").alias("asked"))
-    hits = _join_terms(postings, asked, max_broadcast)
-    scores = hits.groupBy("query_id", "doc_id").agg(
-        F.round(F.sum(F.col("asked") * F.col("weight")), SCORE_DIGITS).alias("score")
-    )
-    return top_k_per_group(scores, ["query_id"], _by_score(), k).select("query_id", "doc_id", "score", "rank")
+    asked = query_terms.select("query_id", "term", F.col("weight").cast("double").alias("value"))
+    pair = F.struct("term", F.col("weight").cast("double").alias("weight"))
+    vectors = postings.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.collect_list(pair).alias("v"))
+    documents = vectors.select("doc_id", F.col("v.term").alias("terms"), F.col("v.weight").alias("weights"))
+    return _ranked(asked, documents, k, block_terms, _given_weights)
 
 
 def bm25_topk(
@@ -64,38 +142,35 @@ def bm25_topk(
     text: str = "text",
     k1: float = BM25_K1,
     b: float = BM25_B,
-    max_broadcast: int = MAX_BROADCAST_TERMS,
+    block_terms: int = BLOCK_TERMS,
 ) -> DataFrame:
     """BM25 over the words of a text; a repeated query word counts once.
 
-    Documents are split into words once. Only words of a query are kept, plus an empty word per
-    document that carries its length; this compact table is staged, since counts, lengths and scores
-    all read it.
+    One aggregate gives document counts and lengths: words are made distinct inside each row, and an empty word per
+    document carries its length. Documents are then scored in place, without a shuffle.
     """
     asked = queries.select(
-        F.col(query_id).alias("query_id"), F.explode(F.array_distinct(pretokenize(F.col(text)))).alias("term")
+        F.col(query_id).cast("long").alias("query_id"), F.explode(F.array_distinct(pretokenize(F.col(text)))).alias("term")
     )
-    spark = documents.sparkSession
-    wanted = asked.select("term").unionAll(spark.createDataFrame([("",)], "term string")).distinct()
-    if wanted.limit(max_broadcast + 1).count() <= max_broadcast:
-        wanted = F.broadcast(wanted)
-    words = documents.select(F.col(doc_id).alias("doc_id"), pretokenize(F.col(text)).alias("words"))
-    exploded = words.select(
-        "doc_id", F.size("words").alias("dl"), F.explode(F.array_append("words", F.lit(""))).alias("term")
+    words = documents.select(F.col(doc_id).cast("long").alias("doc_id"), pretokenize(F.col(text)).alias("terms"))
+    distinct = words.select(
+        F.array_size("terms").alias("dl"), F.explode(F.array_append(F.array_distinct("terms"), F.lit(""))).alias("term")
     )
-    kept = exploded.join(wanted, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    kept = stage(kept, "postings")
-    lengths, postings = kept.filter("term = ''"), kept.filter("term <> ''")
-    n_docs, mean_size = lengths.agg(F.count("*")).scalar(), lengths.agg(F.avg("dl")).scalar()
-    found = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = asked.join(found, "term").select(
-        "query_id", "term", F.log1p((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
-    )
-    hits = _join_terms(postings, weighted, max_broadcast)
-    norm = F.lit(k1) * (1 - b + b * F.col("dl") / mean_size)
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    scores = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
-    return top_k_per_group(scores, ["query_id"], _by_score(), k).select("query_id", "doc_id", "score", "rank")
+    counts = stage(distinct.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl")), "term_counts")
+    n_docs, length = counts.filter("term = ''").select("df", "dl").first() or (0, 0)
+    mean_size = length / n_docs if n_docs and length else 1.0
+    idf = F.log1p((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = asked.join(counts, "term").select("query_id", "term", idf.alias("value"))
+
+    def weigh(block: _TermBlock, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        terms = batch.column("terms")
+        place, row = block.places(terms.flatten()), _rows_of(terms)
+        size = np.diff(terms.offsets.to_numpy())
+        key, tf = np.unique((row * len(block.terms) + place)[place >= 0], return_counts=True)
+        row, place = key // len(block.terms), key % len(block.terms)
+        return row, place, tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[row] / mean_size))
+
+    return _ranked(weighted, words.filter("terms IS NOT NULL"), k, block_terms, weigh)
 
 
 def min_max(run: DataFrame) -> DataFrame:
@@ -133,8 +208,11 @@ def hybrid_fuse(
 
 
 def mask_terms(postings: DataFrame, masked: DataFrame, factor: float = 0.0) -> DataFrame:
-    """Multiply the weight of listed terms by ``factor``; a weight of zero leaves the vector."""
-    listed = masked.select("term").distinct().withColumn("_masked", F.lit(True))
+    """Multiply the weight of listed terms by ``factor``; a weight of zero leaves the vector.
+
+    The list is written first: a short one is then broadcast, and the skew join splits a common term otherwise.
+    """
+    listed = stage(masked.select("term").distinct().withColumn("_masked", F.lit(True)), "masked")
     damped = F.when(F.col("_masked"), F.col("weight") * factor).otherwise(F.col("weight"))
     joined = postings.join(listed, "term", "left").withColumn("weight", damped).drop("_masked")
     return joined.filter("weight <> 0")

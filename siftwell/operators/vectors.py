@@ -14,8 +14,8 @@ from siftwell.operators.ranking import top_k_per_group
 
 SEARCH_LIMIT = 5
 SCORE_DIGITS = 6
-MAX_BROADCAST_QUERIES = 4096
-DOC_BLOCK_ROWS = 4096
+# queries that are sent to the tasks at a time
+QUERY_BLOCK_BYTES = 32 << 20
 # below every cosine: stands for the undefined score of a zero or missing vector inside a task
 UNDEFINED = -2.0
 
@@ -58,6 +58,10 @@ class _Best:
             scores = np.where(np.isnan(scores), UNDEFINED, scores)
         else:
             scores = np.full((len(query_rows), len(doc_rows)), UNDEFINED)
+        self.offer(scores, doc_ids)
+
+    def offer(self, scores: np.ndarray, doc_ids: np.ndarray) -> None:
+        """Takes a matrix of (query, document) scores; minus infinity stands for no score at all."""
         # a document counts as its best row
         order = np.argsort(doc_ids, kind="stable")
         doc_ids, starts = np.unique(doc_ids[order], return_index=True)
@@ -67,6 +71,8 @@ class _Best:
             rows, columns = np.nonzero(scores >= floor)
         else:
             rows, columns = np.indices(scores.shape).reshape(2, -1)
+        found = scores[rows, columns] > -np.inf
+        rows, columns = rows[found], columns[found]
         self.rows = np.concatenate([self.rows, rows])
         self.ids = np.concatenate([self.ids, doc_ids[columns]])
         self.scores = np.concatenate([self.scores, scores[rows, columns]])
@@ -84,12 +90,12 @@ class _Best:
         keep = place < self.k
         self.rows, self.ids, self.scores = rows[keep], ids[keep], scores[keep]
 
-    def batch(self) -> pa.RecordBatch:
+    def batch(self, undefined: float | None = UNDEFINED) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(self.query_ids[self.rows], pa.int64()),
                 pa.array(self.ids, pa.int64()),
-                pa.array(self.scores, pa.float64(), mask=self.scores == UNDEFINED),
+                pa.array(self.scores, pa.float64(), mask=self.scores == undefined if undefined is not None else None),
             ],
             names=["query_id", "doc_id", "score"],
         )
@@ -102,31 +108,47 @@ def dense_topk(
     query_id: str = "query_id",
     doc_id: str = "doc_id",
     vector: str = "vector",
-    max_broadcast: int = MAX_BROADCAST_QUERIES,
-    salts: int = 64,
+    block_bytes: int = QUERY_BLOCK_BYTES,
 ) -> DataFrame:
     """The ``k`` documents of highest cosine similarity per query, ties by document id.
 
     Returns (query_id, doc_id, score, rank). A document with several vectors counts as its most
-    similar one; a zero or missing vector has no score and ranks last. Every task multiplies its part
-    of the corpus with a block of queries and keeps ``k`` documents per query, so what is shuffled
-    does not grow with the corpus rows. Up to ``max_broadcast`` queries form one block that is sent to
-    the tasks; more are cut into blocks that meet the corpus by an equi-join on (block, salt).
+    similar one; a zero or missing vector has no score and ranks last. Queries are sent out in blocks of
+    ``block_bytes``; for each, every task multiplies its part of the corpus with the block and keeps ``k``
+    documents per query, so what is shuffled does not grow with the corpus rows.
     """
     questions = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).alias("vector"))
     documents = corpus.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(vector).alias("vector"))
-    head = questions.limit(max_broadcast + 1).toArrow()
-    if head.num_rows <= max_broadcast:
-        candidates = _search_broadcast(head, documents, k)
-    else:
-        candidates = _search_blocks(questions, documents, k, max_broadcast, salts)
+    candidates = None
+    for block in _query_blocks(questions, block_bytes):
+        found = _search_block(block, documents, k)
+        candidates = found if candidates is None else candidates.unionAll(found)
+    if candidates is None:
+        candidates = documents.sparkSession.createDataFrame([], CANDIDATES)
     best = candidates.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
     return top_k_per_group(best, ["query_id"], [F.col("score").desc_nulls_last(), F.col("doc_id")], k)
 
 
-def _search_broadcast(head: pa.Table, documents: DataFrame, k: int) -> DataFrame:
-    ids, vectors = head.column("query_id").to_numpy(), head.column("vector").combine_chunks()
-    shared = documents.sparkSession.sparkContext.broadcast((ids, _unit_rows(vectors)))
+def _query_blocks(questions: DataFrame, block_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, unit rows) of the queries, a block at a time; the driver holds no more than one."""
+
+    def block() -> tuple[np.ndarray, np.ndarray]:
+        return np.array(ids, np.int64), _unit_rows(pa.array(vectors, pa.list_(pa.float64())))
+
+    ids, vectors, width = [], [], 1
+    for row in questions.toLocalIterator():
+        ids.append(row.query_id)
+        vectors.append(row.vector)
+        width = max(width, len(row.vector or ()))
+        if 8 * width * len(ids) >= block_bytes:
+            yield block()
+            ids, vectors = [], []
+    if ids:
+        yield block()
+
+
+def _search_block(block: tuple[np.ndarray, np.ndarray], documents: DataFrame, k: int) -> DataFrame:
+    shared = documents.sparkSession.sparkContext.broadcast(block)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, query_rows = shared.value
@@ -138,44 +160,6 @@ def _search_broadcast(head: pa.Table, documents: DataFrame, k: int) -> DataFrame
     return documents.mapInArrow(search, CANDIDATES)
 
 
-def _blocks(df: DataFrame, key: str, count: int, block: str) -> DataFrame:
-    """Rows gathered into ``count`` hash blocks of bounded size; equal rows add nothing and count once."""
-    pair = F.struct(F.col(key).alias("id"), F.col("vector"))
-    number = F.pmod(F.xxhash64(key, "vector"), F.lit(count)).cast("int").alias(block)
-    return df.dropDuplicates([key, "vector"]).groupBy(number).agg(F.collect_list(pair).alias(f"{block}_rows"))
-
-
-def _search_blocks(questions: DataFrame, documents: DataFrame, k: int, block_rows: int, salts: int) -> DataFrame:
-    """Block join: every corpus block meets every query block exactly once.
-
-    The salt spreads the corpus blocks that ask for the same query block over tasks.
-    """
-    n_questions = -(-questions.count() // block_rows)
-    n_documents = max(1, -(-documents.count() // DOC_BLOCK_ROWS))
-    left = _blocks(questions, "query_id", n_questions, "q").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    right = (
-        _blocks(documents, "doc_id", n_documents, "d")
-        .withColumn("salt", F.pmod("d", F.lit(salts)))
-        .withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_questions - 1))))
-    )
-    pairs = left.join(right, ["q", "salt"]).select("q_rows", "d_rows")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for asked, held in zip(batch.column("q_rows"), batch.column("d_rows")):
-                best = _Best(asked.values.field("id").to_numpy(), k)
-                best.add(
-                    _unit_rows(asked.values.field("vector")),
-                    held.values.field("id").to_numpy(),
-                    _unit_rows(held.values.field("vector")),
-                )
-                yield best.batch()
-
-    return pairs.mapInArrow(search, CANDIDATES)
-
-
 def recommend_postings(
     queries: DataFrame,
     chunks: DataFrame,

@@ -3,9 +3,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siftwell.operators import retrieval as R
 from siftwell.operators import vectors as V
+from siftwell.operators.ranking import top_k_per_group
 
 
 def vectors(spark, rows, key):
@@ -35,9 +37,9 @@ def close(got, want):
         assert (g[2] is None) == (w[2] is None) and (g[2] is None or math.isclose(g[2], w[2], abs_tol=2e-6))
 
 
-@pytest.mark.parametrize("max_broadcast", [1000, 7])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 7 * 32])
 @pytest.mark.parametrize("partitions", [1, 4, 17])
-def test_dense_search_equals_brute_force(spark, max_broadcast, partitions):
+def test_dense_search_equals_brute_force(spark, block_bytes, partitions):
     rng = random.Random(partitions)
     corpus = [(i // 2, [rng.randint(-2, 2) * 1.0 for _ in range(4)]) for i in range(300)]
     corpus += [(900 + i % 3, [1.0, 1.0, 0.0, 0.0]) for i in range(150)]  # copies, and ties between ids
@@ -45,7 +47,7 @@ def test_dense_search_equals_brute_force(spark, max_broadcast, partitions):
     queries = [(i, [rng.randint(-2, 2) * 1.0 for _ in range(4)]) for i in range(30)] + [(99, [0.0] * 4), (98, None)]
     got = V.dense_topk(
         vectors(spark, queries, "query_id"), vectors(spark, corpus, "doc_id").repartition(partitions), 5,
-        max_broadcast=max_broadcast, salts=3,
+        block_bytes=block_bytes,
     ).collect()
     close(got, brute(queries, corpus, 5))
 
@@ -78,15 +80,15 @@ def test_upsert(spark):
     assert V.upsert_points(once, new).exceptAll(once).count() == 0
 
 
-@pytest.mark.parametrize("max_broadcast", [1000, 0])
-def test_sparse_and_bm25_do_not_depend_on_the_join(spark, max_broadcast):
+@pytest.mark.parametrize("block_terms", [1000, 1])
+def test_sparse_and_bm25_equal_brute_force(spark, block_terms):
     rng = random.Random(2)
     words = ["hot"] * 10 + [f"w{i}" for i in range(20)]
     docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=12))) for i in range(80)], "doc_id long, text string")
     queries = spark.createDataFrame([(i, " ".join(rng.choices(words, k=3))) for i in range(6)], "query_id long, text string")
     asked, held = R.term_weights(queries, "query_id", "text", "query_id"), R.term_weights(docs, "doc_id", "text", "doc_id")
     key = lambda r: (r["query_id"], r["rank"])
-    got = sorted(R.sparse_topk(asked, held, 4, max_broadcast).collect(), key=key)
+    got = sorted(R.sparse_topk(asked, held, 4, block_terms).collect(), key=key)
     texts = {r["doc_id"]: r["text"].split() for r in docs.collect()}
     for query in queries.collect():
         q = query["text"].split()
@@ -94,7 +96,7 @@ def test_sparse_and_bm25_do_not_depend_on_the_join(spark, max_broadcast):
         ranked = sorted(((d, s) for d, s in scores.items() if s), key=lambda p: (-p[1], p[0]))[:4]
         assert [(r["doc_id"], r["score"]) for r in got if r["query_id"] == query["query_id"]] == ranked
     n, mean = len(texts), sum(map(len, texts.values())) / len(texts)
-    bm25 = sorted(R.bm25_topk(queries, docs, 4, max_broadcast=max_broadcast).collect(), key=key)
+    bm25 = sorted(R.bm25_topk(queries, docs, 4, block_terms=block_terms).collect(), key=key)
     for query in queries.collect():
         scores = {}
         for d, w in texts.items():
@@ -110,6 +112,29 @@ def test_sparse_and_bm25_do_not_depend_on_the_join(spark, max_broadcast):
         assert [d for d, _ in mine] == [d for d, _ in ranked]
 
 
+def test_what_is_shuffled_does_not_grow_with_the_documents(spark, monkeypatch):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("hot word "), "id").alias("text")).repartition(6)
+    queries = spark.createDataFrame([(i, "hot word") for i in range(5)], "query_id long, text string")
+    seen = {}
+
+    def top_k(candidates, *args):
+        seen["rows"] = candidates.count()
+        return top_k_per_group(candidates, *args)
+
+    monkeypatch.setattr(R, "top_k_per_group", top_k)
+    assert R.bm25_topk(queries, docs, 3).count() == 15
+    assert 15 <= seen["rows"] <= 6 * 5 * 3
+
+
+def test_negative_products_are_scores(spark):
+    negative = R.sparse_topk(
+        spark.createDataFrame([(1, "a", -2.0)], "query_id long, term string, weight double"),
+        spark.createDataFrame([(7, "a", 1.0), (8, "b", 1.0)], "doc_id long, term string, weight double"),
+    )
+    rows = [tuple(r) for r in negative.collect()]
+    assert rows == [(1, 7, -2.0, 1)]
+
+
 def run(spark, rows):
     return spark.createDataFrame(rows, "query_id long, doc_id long, score double, rank long")
 
