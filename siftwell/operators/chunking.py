@@ -87,6 +87,8 @@ def chunk_point_id(key: Column, chunk_index: Column) -> Column:
 
 
 EMBEDDING_DIMENSION = 1536
+# texts that are embedded at a time
+EMBED_ROWS = 500
 
 Embedder = Callable[[Sequence[str]], np.ndarray]
 
@@ -109,9 +111,13 @@ def hashing_embedder(dimension: int = EMBEDDING_DIMENSION) -> Callable[[], Embed
             return at
 
         def embed(texts: Sequence[str]) -> np.ndarray:
-            out = np.zeros((len(texts), dimension))
-            for row, text in enumerate(texts):
-                out[row] = np.bincount([bucket(w) for w in text.split()], minlength=dimension)
+            words = [text.split() for text in texts]
+            flat = [w for some in words for w in some]
+            # a word is hashed once per call, and counts are added up for all texts together
+            known = {w: bucket(w) for w in set(flat)}
+            cells = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+            cells += np.repeat(np.arange(len(texts)), list(map(len, words))) * dimension
+            out = np.bincount(cells, minlength=len(texts) * dimension).astype(float).reshape(len(texts), dimension)
             norms = np.linalg.norm(out, axis=1, keepdims=True)
             return np.divide(out, norms, out=out, where=norms > 0)
 
@@ -127,14 +133,18 @@ def embed_chunks(
     output: str = "vector",
     dtype: str = "float",
 ) -> DataFrame:
-    """Adds a vector per text. The factory runs once per task, the embedder once per batch."""
+    """Adds a vector per text. The factory runs once per task, the embedder once per ``EMBED_ROWS`` texts."""
     build = factory or hashing_embedder()
 
     @F.pandas_udf(f"array<{dtype}>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         embedder = build()
         for texts in batches:
-            vectors = np.asarray(embedder(texts.fillna("").tolist()), dtype=np.float64 if dtype == "double" else np.float32)
-            yield pd.Series(list(vectors))
+            vectors: list[np.ndarray] = []
+            bodies = texts.fillna("").tolist()
+            for at in range(0, len(bodies), EMBED_ROWS):
+                found = np.asarray(embedder(bodies[at : at + EMBED_ROWS]))
+                vectors.extend(found.astype(np.float64 if dtype == "double" else np.float32))
+            yield pd.Series(vectors, dtype=object)
 
     return df.withColumn(output, embed(F.col(text)))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.functions.text import absolutize_url, collapse_blank_lines, join_parts, strip, truncate_preview
+from siftwell.functions.text import absolutize_url, collapse_blank_lines, join_parts, strip, truncate_preview, resolve_url
 from siftwell.operators.ranking import longest_first
 
 # Elements without content, and elements whose text is not visible.
@@ -212,14 +212,14 @@ SECTION_SELECTORS = (
 
 
 def split_selector(selector: str) -> tuple[str, str, str | None]:
-    """(kind, name, value) of a selector: a tag, ``#id``, ``.class`` or ``[attr='value']``."""
+    """(kind, name, value) of a selector: a tag, ``#id``, ``.class``, ``[attr='value']``, or ``[attr]`` for any value."""
     if selector.startswith("#"):
         return "attr", "id", selector[1:]
     if selector.startswith("."):
         return "class", "class", selector[1:]
     if selector.startswith("["):
-        name, _, value = selector.strip("[]").partition("=")
-        return "attr", name, value.strip("'\"")
+        name, equals, value = selector.strip("[]").partition("=")
+        return "attr", name, value.strip("'\"") if equals else None
     return "tag", selector, None
 
 
@@ -231,6 +231,8 @@ def _matcher(selector: str):
             return node["tag"] == name
         if kind == "class":
             return F.array_contains(F.split(class_name(node), " "), value)
+        if value is None:
+            return F.element_at(node["attrs"], name).isNotNull()
         return F.element_at(node["attrs"], name).eqNullSafe(F.lit(value))
 
     return matches
@@ -334,6 +336,20 @@ def title_links(dom: Column, host: str, path: str, marker: tuple[str, str] | Non
     )
 
 
+# Fixed value: the title of the frame that holds the details of a posting.
+DETAIL_FRAME = "상세 모집 요강"
+
+
+def frame_address(dom: Column, url: Column, title: str = DETAIL_FRAME) -> Column:
+    """Address of the first frame with a title, resolved against that of its page; null without frame or address.
+
+    Parse with ``tags=["iframe"]`` and ``attrs=["title", "src"]``.
+    """
+    frame = F.get(F.filter(nodes_of(dom, "iframe"), lambda n: attribute(n, "title") == title), 0)
+    source = F.nullif(attribute(frame, "src"), F.lit(""))
+    return F.when(source.isNotNull(), resolve_url(url, source))
+
+
 WHOLE_SOURCE = 2**31 - 1
 
 

@@ -173,6 +173,12 @@ def recommend_postings(
     return best.withColumnRenamed("doc_id", posting_id)
 
 
-def upsert_points(current: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
-    """Incoming points replace current ones of the same id; ids are unique on either side."""
+def upsert_points(current: DataFrame, incoming: DataFrame, key: str = "id", latest: str | None = None) -> DataFrame:
+    """Incoming points replace current ones of the same id.
+
+    Of incoming points with the same id the one with the largest ``latest`` stays; without that column, the one with
+    the largest hash, so the result does not depend on how rows are dealt out.
+    """
+    newest = F.col(latest) if latest else F.xxhash64(*incoming.columns)
+    incoming = top_k_per_group(incoming, [key], [newest.desc()], 1, "_place").drop("_place")
     return current.join(incoming.select(key), key, "left_anti").unionByName(incoming)

@@ -10,6 +10,7 @@ from siftwell.operators import vectors as V
 from siftwell.queries import sql
 from siftwell.queries.registry import query, table, text_table
 from siftwell.queries.token_queries import hashed_sql
+from siftwell.session import stage
 
 DIMENSION = 256
 
@@ -148,7 +149,7 @@ _COMMON = "common AS (SELECT term FROM doc_terms GROUP BY term HAVING count(*) >
 def masked(spark, folder):
     """Terms of three documents in ten are damped."""
     documents = _documents(spark, folder)
-    held = R.term_weights(documents, "doc_id", "text", "doc_id")
+    held = stage(R.term_weights(documents, "doc_id", "text", "doc_id"), "doc_terms")
     total = documents.agg(F.count("*")).scalar()
     common = held.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= total * 0.3)
     return R.mask_terms(held, common, 0.1).withColumn("weight", F.round("weight", 6)).select("doc_id", "term", "weight")

@@ -11,6 +11,7 @@ from siftwell.plans.corpus import clean_postings
 from siftwell.plans.index import filter_success, project_posting
 from siftwell.queries import sql
 from siftwell.queries.registry import NOISY, digest, noisy_documents, query, table, text_table
+from siftwell.session import stage
 from siftwell.sources.csv_parts import filter_link_pattern, prune_columns
 
 
@@ -124,7 +125,8 @@ def clean_corpus_by_lang(spark, folder):
     SELECT doc_id, source, md5(clean_text) AS result FROM firsts WHERE rn = 1""",
 )
 def dedup_clean(spark, folder):
-    unique = dedup_clean_text(cleaned_documents(spark, folder), "clean_text", "doc_id")
+    cleaned = stage(cleaned_documents(spark, folder).select("doc_id", "source", "clean_text"), "cleaned")
+    unique = dedup_clean_text(cleaned, "clean_text", "doc_id")
     return unique.select("doc_id", "source", digest(F.col("clean_text")).alias("result"))
 
 

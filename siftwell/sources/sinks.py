@@ -57,8 +57,12 @@ def sink_postings(rows: DataFrame, path: str) -> None:
 
 
 def sink_chunks(chunks: DataFrame, path: str) -> None:
-    """Rows (job_post_id, chunk_index, chunk_text, point_id)."""
-    chunks.select("job_post_id", "chunk_index", "chunk_text", "point_id").write.mode("overwrite").parquet(path)
+    """Rows (job_post_id, chunk_index, chunk_text, point_id, created_at), unique by posting and index: of several rows
+    the one with the smallest text stays."""
+    rows = chunks.select("job_post_id", "chunk_index", "chunk_text", "point_id")
+    unique = rows.groupBy("job_post_id", "chunk_index").agg(F.min(F.struct("chunk_text", "point_id")).alias("c"))
+    stamped = unique.select("job_post_id", "chunk_index", "c.chunk_text", "c.point_id", F.current_timestamp().alias("created_at"))
+    stamped.write.mode("overwrite").parquet(path)
 
 
 def sink_vectors(points: DataFrame, path: str) -> None:

@@ -97,3 +97,16 @@ def test_unclosed_and_stray_tags(spark):
     assert [(n["tag"], n["outer"]) for n in dom["nodes"]] == [
         ("div", "<div><p>a<p>b</div>"), ("p", "<p>a<p>b"), ("p", "<p>b"), ("div", "<div>c</div>")]
     assert dom["texts"] == ["a", "b", "c"]
+
+
+def test_selector_for_any_value_and_frames(spark):
+    html = "<iframe title='x' src='/a'></iframe><iframe title='d'></iframe><p data-x='1'>one</p><p data-x=''>two</p>"
+    df = spark.createDataFrame([(html, "https://h.example/p/q")], "html string, url string")
+    needs = H.selector_needs(["[data-x]", "[data-x='']"])
+    dom = df.select("url", H.parse_html(F.col("html"), ["iframe", *needs["tags"]], attrs=["title", "src", *needs["attrs"]]).alias("dom"))
+    row = dom.select(
+        H.section_text(F.col("dom"), ["[data-x]"]).alias("any"), H.section_text(F.col("dom"), ["[data-x='']"]).alias("empty"),
+        H.frame_address(F.col("dom"), F.col("url"), "x").alias("frame"), H.frame_address(F.col("dom"), F.col("url"), "d").alias("bare"),
+        H.frame_address(F.col("dom"), F.col("url")).alias("none"),
+    ).first()
+    assert tuple(row) == ("one", "two", "https://h.example/a", None, None)
