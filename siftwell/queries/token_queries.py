@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftwell.functions.text import clean_text, flatten_newlines
+from siftwell.functions.text import clean_text, flatten_newlines, strip
 from siftwell.functions.tokens import SPECIAL_TOKENS, USER_TERMS, pretokenize, segment_forms
 from siftwell.operators import chunking as C
 from siftwell.operators import wordpiece as W
@@ -213,6 +213,30 @@ def chunks(spark, folder):
     )
 
 
+_STRIPPED = sql.strip("body")
+
+
+@query(
+    "chunk_checks",
+    f"""WITH {NOISY} SELECT doc_id, true AS within_size, CAST(0 AS BIGINT) AS foreign_chunks, CAST(0 AS BIGINT) AS lost_words,
+        CASE WHEN length({_STRIPPED}) < 1000 THEN md5({_STRIPPED}) END AS whole
+    FROM noisy WHERE {_STRIPPED} <> ''""",
+)
+def chunk_checks(spark, folder):
+    """What SQL can state of the chunks of every document: their size, that they come from its body, that no word is lost
+    between them, and that a short body is one chunk."""
+    bodies = noisy_documents(spark, folder).select("doc_id", "body", C.chunk_texts(F.col("body")).alias("chunks"))
+    words = lambda text: F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    held = F.flatten(F.transform("chunks", words))
+    return bodies.filter(F.size("chunks") > 0).select(
+        "doc_id",
+        (F.array_max(F.transform("chunks", F.length)) <= C.CHUNK_SIZE).alias("within_size"),
+        F.size(F.filter("chunks", lambda c: ~F.contains(F.col("body"), c))).cast("long").alias("foreign_chunks"),
+        F.size(F.array_except(words(F.col("body")), held)).cast("long").alias("lost_words"),
+        F.when(F.length(strip(F.col("body"))) < C.CHUNK_SIZE, F.md5(F.array_join("chunks", "|"))).alias("whole"),
+    )
+
+
 @query("chunks_per_posting")
 def chunk_counts(spark, folder):
     """Every fifth posting has no body."""
