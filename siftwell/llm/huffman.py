@@ -83,11 +83,14 @@ class HuffmanCode:
         end = np.cumsum(length)
         begin = end - length
         value = self.codes[ids] << (64 - length - (begin & 31)).astype(np.uint64)
-        word, n_words = begin >> 5, int(end[-1] >> 5) + 2
-        # bits of different codes never meet, so sums are unions; below 2**53 they are exact
-        high = np.bincount(word, (value >> np.uint64(32)).astype(np.float64), minlength=n_words)
-        low = np.bincount(word + 1, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=n_words)
-        stream = (high + low).astype(np.uint32).astype(">u4").tobytes()
+        # codes that begin in the same 32 bits are joined; what goes beyond is joined to the 32 bits after
+        word = begin >> 5
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        joined, word = np.bitwise_or.reduceat(value, first), word[first]
+        words = np.zeros(int(end[-1] >> 5) + 2, np.uint64)
+        words[word] = joined >> np.uint64(32)
+        words[word + 1] |= joined & np.uint64(0xFFFFFFFF)
+        stream = words.astype(">u4").tobytes()
         return stream[: -(-int(end[-1]) // 8)], begin[::CHECKPOINT_IDS]
 
     def decode(self, stream: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:

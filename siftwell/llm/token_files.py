@@ -22,7 +22,7 @@ from siftwell.llm.wordhash import slices
 from siftwell.session import stage, unstage
 
 #: Ids in a block: whole documents, until there are so many.
-BLOCK_IDS = 1 << 17
+BLOCK_IDS = 1 << 19
 #: Units whose ids a task remembers, and as many again from before.
 CACHED_UNITS = 500_000
 
@@ -30,9 +30,9 @@ CACHED_UNITS = 500_000
 class CachedTokenizer:
     """A byte-level tokenizer of the ``tokenizers`` library that encodes repeated words once.
 
-    Such a tokenizer splits a text in front of every blank that a visible character follows, and no id lies across; so
-    the ids of a text are those of its units. A text that holds a special token's string is encoded as a whole, and so
-    is every text if the file describes another kind of tokenizer.
+    Such a tokenizer splits a text in front of every blank that a visible character follows, and between letters or
+    digits and a full stop or comma; no id lies across. So the ids of a text are those of its units. A text that holds a
+    special token's string is encoded as a whole, and so is every text if the file describes another kind of tokenizer.
     """
 
     def __init__(self, data: bytes):
@@ -48,30 +48,11 @@ class CachedTokenizer:
         self.tokenizer = Tokenizer.from_str(data.decode())
         self.tokenizer.no_truncation()
         self.model = self.tokenizer.model
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.odd_blank = re.compile(r" (?=\s|$)")
-        self.odd_stop = re.compile(r"(?:^|[\W_])[.,]")
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cut = re.compile(r"(?= \S)")
         self.old: _Units = _Units()
         self.now: _Units = _Units()
 
-    def _units(self, text: str) -> list[str]:
-        """Pieces of a text that are encoded each for itself.
-
-        Cuts are in front of blanks, and of full stops and commas behind a letter or digit: letters, digits and
-        everything else never share an id.
-        """
-        if not self.by_units or (self.special and self.special.search(text)) or not text:
-            return [text] if text else []
-        if self.odd_blank.search(text) or _CUT in text:
-            return [unit for unit in self.cut.split(text) if unit]
-        marked = text.replace(" ", _CUT + " ")
-        if not self.odd_stop.search(text):
-            marked = marked.replace(".", _CUT + ".").replace(",", _CUT + ",")
-        units = marked.split(_CUT)
-        return units if units[0] else units[1:]
-
     def _word(self, letters: str, blank: str) -> list[int]:
         """Ids of letters, with or without a blank in front: the tokenizer does not split them any further."""
         if not letters.isascii():
@@ -81,9 +62,9 @@ class CachedTokenizer:
     def _learn(self, keys: list[str]) -> None:
         ids: list[list[int] | None] = []
         for key in keys:
-            known = self.old.get(key)
+            known = [] if key in ("", _TEXT) else self.old.get(key)
             if known is None and self.by_units:
-                blank, letters = (_BLANK_BYTE, key[1:]) if key[0] == " " else ("", key)
+                blank, letters = (_BLANK_BYTE, key[1:]) if key[:1] == " " else ("", key)
                 if letters.isalpha():
                     known = self._word(letters, blank)
             ids.append(known)
@@ -94,25 +75,61 @@ class CachedTokenizer:
                 ids[i] = encoding.ids
         self.now.add(keys, ids)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and the number of ids of each."""
-        units = [self._units(t) for t in texts]
-        keys = [u for some in units for u in some]
-        which = self.now.find(keys)
-        new = list(dict.fromkeys(keys[i] for i in np.flatnonzero(which < 0).tolist()))
+    def _places(self, units: list[str]) -> np.ndarray:
+        """Where the units' ids are, after those not known yet have been learned."""
+        which = self.now.find(units)
+        new = list(dict.fromkeys(units[i] for i in np.flatnonzero(which < 0).tolist()))
+        if not new:
+            return which
         if len(self.now.at) + len(new) > CACHED_UNITS:
             self.old, self.now = self.now, _Units()
-            new = list(dict.fromkeys(keys))
-        if new:
-            self._learn(new)
-            which = self.now.find(keys)
+            new = list(dict.fromkeys(units))
+        self._learn(new)
+        return self.now.find(units)
+
+    def _slowly(self, text: str) -> np.ndarray:
+        """Ids of one text, cut by an expression that knows all blanks."""
+        whole = not self.by_units or any(x in text for x in self.special)
+        which = self._places([text] if whole else [u for u in self.cut.split(text) if u])  # may begin a new cache
+        return self.now.take(which)[0]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of every text.
+
+        All texts are cut at once, in front of every blank, full stop and comma. Where that was not right, which shows
+        in the units themselves, a text is encoded again by ``_slowly``.
+        """
+        odd = [not self.by_units or _CUT in t or _TEXT in t or any(x in t for x in self.special) for t in texts]
+        joined = _TEXT.join("" if skip else t for t, skip in zip(texts, odd))
+        marked = joined.replace(" ", _CUT + " ").replace(".", _CUT + ".").replace(",", _CUT + ",")
+        units = marked.replace(_TEXT, _CUT + _TEXT + _CUT).split(_CUT)
+        which = self._places(units)
+        flags = self.now.flags[which]
+        of = np.cumsum(flags & _IS_TEXT > 0)  # the text that a unit belongs to
+        wrong = flags & _BAD_BLANK > 0
+        wrong[1:] |= (flags[1:] & _STOP_FIRST > 0) & (flags[:-1] & _ALNUM_LAST == 0)
+        wrong[0] |= flags[0] & _STOP_FIRST > 0
         ids, n = self.now.take(which)
-        bounds = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *map(len, units)])]
-        return ids, np.diff(bounds)
+        counts = np.bincount(of, n, minlength=len(texts)).astype(np.int64)
+        found = np.split(ids, np.cumsum(counts)[:-1])
+        again = {*np.unique(of[wrong]).tolist(), *np.flatnonzero(odd).tolist()}
+        for i in again:
+            found[i] = self._slowly(texts[i])
+        return found
+
+
+#: Mark the cuts and the ends of texts while texts are split; a text that holds one of them is encoded by itself.
+_CUT, _TEXT = "\x1f", "\x1e"
+#: What a unit says about cuts: it is the end of a text; its blank belongs to what follows; it begins with a stop; it ends
+#: with a letter or digit.
+_IS_TEXT, _BAD_BLANK, _STOP_FIRST, _ALNUM_LAST = 1, 2, 4, 8
 
 
-#: Marks the cuts while a text is split; a text that holds it is split in another way.
-_CUT = "\x1f"
+def _flags(unit: str) -> int:
+    if unit == _TEXT:
+        return _IS_TEXT
+    bad_blank = unit[:1] == " " and (len(unit) == 1 or unit[1].isspace())
+    return bad_blank * _BAD_BLANK + (unit[:1] in (".", ",")) * _STOP_FIRST + unit[-1:].isalnum() * _ALNUM_LAST
 
 
 def _byte_letters() -> list[str]:
@@ -137,6 +154,7 @@ class _Units:
         self.at: dict[str, int] = {}
         self.flat = np.empty(1 << 16, np.uint32)
         self.start, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.flags = np.empty(1 << 14, np.uint8)
         self.used = 0
 
     def get(self, key: str) -> list[int] | None:
@@ -147,11 +165,14 @@ class _Units:
         at, n = len(self.at), np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(n.sum())
         while at + len(keys) > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.length))
+            self.start, self.length, self.flags = (
+                np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.length, self.flags)
+            )
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         self.start[at : at + len(keys)] = self.used + np.cumsum(n) - n
         self.length[at : at + len(keys)] = n
+        self.flags[at : at + len(keys)] = np.fromiter(map(_flags, keys), np.uint8, len(keys))
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.used += total
         self.at.update(zip(keys, range(at, at + len(keys))))
@@ -190,10 +211,8 @@ def _encode(data: bytes, end_id: int):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             counts, packed = [], []
             for start, end in slices(list(map(len, texts))):
-                ids, lengths = tokenizer.encode(texts[start:end])
-                ids = ids.astype("<u2" if narrow else "<u4")
-                for own in np.split(ids, np.cumsum(lengths)[:-1]):
-                    own = np.append(own, np.array([end_id], ids.dtype))
+                for own in tokenizer.encode(texts[start:end]):
+                    own = np.append(own, np.uint32(end_id)).astype("<u2" if narrow else "<u4")
                     counts.append(len(own))
                     packed.append(packer.compress(own.tobytes()))
             yield pa.RecordBatch.from_arrays(
@@ -213,15 +232,22 @@ def _unpack(packed: bytes, width: int, unpacker=zstandard.ZstdDecompressor()) ->
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's counts of ids: one row for each id it has seen."""
-    total = np.zeros(0, np.int64)
+    total, held = np.zeros(1, np.int64), []
+
+    def counted() -> np.ndarray:
+        new = np.bincount(np.concatenate(held))
+        sums = np.zeros(max(len(total), len(new)), np.int64)
+        sums[: len(total)] = total
+        sums[: len(new)] += new
+        return sums
+
     for batch in batches:
         for packed, width in zip(batch.column("packed").to_pylist(), batch.column("width").to_pylist()):
-            counts = np.bincount(_unpack(packed, width))
-            if len(counts) > len(total):
-                counts[: len(total)] += total
-                total = counts
-            else:
-                total[: len(counts)] += counts
+            held.append(_unpack(packed, width))
+            if len(held) >= 500:
+                total, held = counted(), []
+    if held:
+        total = counted()
     ids = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
 
@@ -232,7 +258,7 @@ def _write_blocks(lengths: np.ndarray, id_type: pa.DataType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = HuffmanCode(lengths)
-        part, before, held, docs = None, 0, [], []
+        part, before, held, docs, n_held = None, 0, [], [], 0
 
         def block() -> pa.RecordBatch:
             ids = np.concatenate(held)
@@ -242,14 +268,15 @@ def _write_blocks(lengths: np.ndarray, id_type: pa.DataType):
 
         for batch in batches:
             for bucket, doc, packed, width in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "packed", "width"))):
-                if held and (bucket != part or sum(map(len, held)) >= BLOCK_IDS):
+                if held and (bucket != part or n_held >= BLOCK_IDS):
                     yield block()
-                    before += sum(map(len, held))
-                    held, docs = [], []
+                    before += n_held
+                    held, docs, n_held = [], [], 0
                 if bucket != part:
                     part, before = bucket, 0
                 held.append(_unpack(packed, width))
                 docs.append((doc, len(held[-1])))
+                n_held += len(held[-1])
         if held:
             yield block()
 
