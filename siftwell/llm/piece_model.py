@@ -12,7 +12,7 @@ UNIGRAM, BPE = 1, 2
 BLANK = "▁"
 
 #: Entries of the caches of units (and as many again from before) and of neighbouring pieces.
-CACHED_UNITS, CACHED_PAIRS = 200_000, 400_000
+CACHED_UNITS, CACHED_PAIRS = 160_000, 300_000
 #: Units above this length are not remembered.
 LONG_UNIT = 64
 NO_PIECE, _ONLY_PREFIX = -1, -2
@@ -81,7 +81,38 @@ class PieceModel:
         return model
 
 
-class PieceTransducer:
+class PieceDecoder:
+    """From ids back to texts: all that decoding needs."""
+
+    def __init__(self, model: PieceModel):
+        self.model = model
+        self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(model.pieces, model.kinds)) if k == BYTE}
+        self.bytes = {i: b for b, i in self.byte_ids.items()}
+        self.text = [p.replace(BLANK, " ") if k in (NORMAL, USER_DEFINED) else "" for p, k in zip(model.pieces, model.kinds)]
+        for i, kind in enumerate(model.kinds):
+            if kind == UNKNOWN:
+                self.text[i] = " ⁇ "
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of some ids: byte pieces in a row are one UTF-8 string, and the blank put in front is taken off."""
+        if self.bytes.keys().isdisjoint(ids):
+            text = "".join(map(self.text.__getitem__, ids))
+        else:
+            parts, raw = [], bytearray()
+            for i in ids:
+                byte = self.bytes.get(i)
+                if byte is not None:
+                    raw.append(byte)
+                    continue
+                if raw:
+                    parts.append(raw.decode(errors="replace"))
+                    raw.clear()
+                parts.append(self.text[i])
+            text = "".join(parts) + raw.decode(errors="replace")
+        return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
+
+
+class PieceTransducer(PieceDecoder):
     """Normaliser, pieces and byte fallback in one; ``encode`` composes it with a text and takes the shortest path.
 
     An arc reads a piece's characters and writes its id; a character without a piece has one arc that writes its bytes.
@@ -92,11 +123,9 @@ class PieceTransducer:
     """
 
     def __init__(self, model: PieceModel):
-        self.model = model
+        super().__init__(model)
         self.ids = {p: i for i, (p, k) in enumerate(zip(model.pieces, model.kinds)) if k in (NORMAL, USER_DEFINED)}
         self.unknown = next((i for i, k in enumerate(model.kinds) if k == UNKNOWN), 0)
-        self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(model.pieces, model.kinds)) if k == BYTE}
-        self.bytes = {i: b for b, i in self.byte_ids.items()}
         self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.cut = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
         # pieces with a blank behind other characters would tie units together
@@ -104,10 +133,6 @@ class PieceTransducer:
         self.units: dict[str, list[int]] = {}
         self.old_units: dict[str, list[int]] = {}
         self.pairs: dict[int, bool] = {}  # by first id, second id in one number
-        self.text = [p.replace(BLANK, " ") if k in (NORMAL, USER_DEFINED) else "" for p, k in zip(model.pieces, model.kinds)]
-        for i, kind in enumerate(model.kinds):
-            if kind == UNKNOWN:
-                self.text[i] = " ⁇ "
         self.merges = model.kind == BPE
         if self.merges:
             self.split: dict[int, tuple[int, int]] = {}
@@ -316,21 +341,3 @@ class PieceTransducer:
             out += units.get(unit) or self._unit(unit)
             units = self.units
         return out
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of some ids: byte pieces in a row are one UTF-8 string, and the blank put in front is taken off."""
-        if self.bytes.keys().isdisjoint(ids):
-            text = "".join(map(self.text.__getitem__, ids))
-        else:
-            parts, raw = [], bytearray()
-            for i in ids:
-                byte = self.bytes.get(i)
-                if byte is not None:
-                    raw.append(byte)
-                    continue
-                if raw:
-                    parts.append(raw.decode(errors="replace"))
-                    raw.clear()
-                parts.append(self.text[i])
-            text = "".join(parts) + raw.decode(errors="replace")
-        return text[1:] if self.model.dummy_prefix and text[:1] == " " else text

@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType, arrow_udf
 
-from siftwell.llm.piece_model import PieceModel, PieceTransducer
+from siftwell.llm.piece_model import PieceDecoder, PieceModel, PieceTransducer
+
+#: Rows that are encoded or decoded before they are handed on.
+ROWS_AT_ONCE = 500
 
 
 def read_model(path: str | None = None) -> bytes:
@@ -29,12 +32,24 @@ def transducer(model: bytes) -> PieceTransducer:
     return PieceTransducer(PieceModel.parse(model))
 
 
+@lru_cache(maxsize=2)
+def _decoder(model: bytes) -> PieceDecoder:
+    return PieceDecoder(PieceModel.parse(model))
+
+
+def _pieces_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The rows of all batches, ``ROWS_AT_ONCE`` at a time."""
+    for batch in batches:
+        for start in range(0, len(batch), ROWS_AT_ONCE):
+            yield batch.slice(start, ROWS_AT_ONCE)
+
+
 def encode_pieces(text: Column, model: bytes) -> Column:
     """array<int> of the ids of a text; null counts as empty, and an empty text has no ids."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = transducer(model).encode
-        for texts in batches:
+        for texts in _pieces_of(batches):
             found = [np.array(encode(t), dtype=np.int32) if t else np.empty(0, np.int32) for t in texts.to_pylist()]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.empty(0, np.int32)])))
@@ -47,8 +62,8 @@ def decode_pieces(ids: Column, model: bytes) -> Column:
     """The text of an array of ids; null for null."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        decode = transducer(model).decode
-        for rows in batches:
+        decode = _decoder(model).decode
+        for rows in _pieces_of(batches):
             ends, ids, known = rows.offsets.to_numpy(), rows.values.to_numpy(), rows.is_valid().to_pylist()
             # ids become Python numbers one row at a time
             texts = (decode(ids[ends[i] : ends[i + 1]].tolist()) if ok else None for i, ok in enumerate(known))
