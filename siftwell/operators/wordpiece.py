@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions.tokens import SPECIAL_TOKENS, USER_TERMS, pretokenize, segment_forms
-from siftwell.session import stage
+from siftwell.session import stage, unstage
 
 VOCAB_SIZE = 32_000
 MIN_FREQUENCY = 3
@@ -160,7 +160,7 @@ def train_wordpiece(
     alphabet = alphabet_of(words, limit_alphabet)
     state = words.select(_initial(F.col("word"), alphabet, prefix).alias("symbols"), "freq")
     # a file per core, since every round reads the table; larger files are split when read
-    state = stage(state.repartition(spark.sparkContext.defaultParallelism, "symbols"), "symbols")
+    written = state = stage(state.repartition(spark.sparkContext.defaultParallelism, "symbols"), "symbols")
     symbols = state.select(F.explode(F.split("symbols", MARK)).alias("s"))
     inner = symbols.filter(F.startswith("s", F.lit(prefix)) & (F.length("s") == len(prefix) + 1)).distinct()
     # at most one entry per alphabet character
@@ -185,8 +185,10 @@ def train_wordpiece(
             break
         pending += merges
         if len(pending) >= rewrite_every:
-            state = _mergeable(stage(_apply(state, pending, prefix), "symbols"))
-            pending = []
+            before, written = written, stage(_apply(state, pending, prefix), "symbols")
+            state, pending = _mergeable(written), []
+            unstage(before)
+    unstage(words, written)
     return spark.createDataFrame(list(enumerate(vocab)), VOCAB_SCHEMA)
 
 
