@@ -9,7 +9,7 @@ from siftwell.llm.decontamination import drop_leaking
 from siftwell.llm.jaccard_join import keep_one_per_component
 from siftwell.llm.language_id import accept_languages
 from siftwell.llm.line_dedup import drop_frequent_lines
-from siftwell.llm.pieces import detokenize, tokenize
+from siftwell.llm.pieces import round_trip
 from siftwell.session import new_path
 
 #: Shingles of five words, similarity 0.8.
@@ -46,7 +46,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of all texts, and whether decoding gives the text back."""
-    decoded = detokenize(tokenize(docs.select("doc_id", "text")))
+    decoded = round_trip(docs.select("doc_id", "text"))
     return decoded.select(
         "doc_id",
         "piece_ids",

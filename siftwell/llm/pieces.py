@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType, arrow_udf
 
+from siftwell.llm.columns import free_name
 from siftwell.llm.piece_model import PieceDecoder, PieceModel, PieceTransducer
 
 #: Rows that are encoded or decoded before they are handed on.
@@ -72,11 +73,39 @@ def decode_pieces(ids: Column, model: bytes) -> Column:
     return arrow_udf(run, "string", ArrowUDFType.SCALAR_ITER)(ids)
 
 
+def encode_and_decode(text: Column, model: bytes) -> Column:
+    """struct<ids, decoded>: the ids of a text and the text that they give, in one pass through Python."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        machine = transducer(model)
+        for texts in _pieces_of(batches):
+            found, decoded = [], []
+            for t in texts.to_pylist():
+                ids = machine.encode(t) if t else []
+                found.append(np.array(ids, dtype=np.int32))
+                decoded.append(machine.decode(ids))
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            flat = pa.array(np.concatenate([*found, np.empty(0, np.int32)]))
+            lists = pa.ListArray.from_arrays(pa.array(ends), flat)
+            yield pa.StructArray.from_arrays([lists, pa.array(decoded, pa.string())], ["ids", "decoded"])
+
+    return arrow_udf(run, "struct<ids: array<int>, decoded: string>", ArrowUDFType.SCALAR_ITER).asNondeterministic()(text)
+
+
 def tokenize(docs: DataFrame, text: str = "text", model: bytes | None = None, out: str = "piece_ids") -> DataFrame:
     """``docs`` with the ids of each text in ``out``, which is replaced if there; rows stay as they are, repeated or not."""
     return docs.withColumn(out, encode_pieces(F.col(f"`{text}`"), read_model() if model is None else model))
 
 
+def round_trip(
+    docs: DataFrame, text: str = "text", model: bytes | None = None, ids: str = "piece_ids", decoded: str = "decoded"
+) -> DataFrame:
+    """``docs`` with both: the ids of each text, and what they decode to. Columns of these names are replaced."""
+    both = free_name(docs, "pieces_and_text")
+    pair = encode_and_decode(F.col(f"`{text}`"), read_model() if model is None else model)
+    return docs.withColumn(both, pair).withColumns({ids: F.col(both)["ids"], decoded: F.col(both)["decoded"]}).drop(both)
+
+
 def detokenize(docs: DataFrame, ids: str = "piece_ids", model: bytes | None = None, out: str = "decoded") -> DataFrame:
     """``docs`` with the text of the ids in ``out``: the normalised text, which here is the text itself."""
     return docs.withColumn(out, decode_pieces(F.col(f"`{ids}`"), read_model() if model is None else model))

@@ -14,7 +14,7 @@ from siftwell.llm.jaccard_join import jaccard_components
 from siftwell.llm.language_id import in_fold, learn_profiles, predict_language
 from siftwell.llm.license_scan import license_digest, scan_licenses
 from siftwell.llm.line_dedup import drop_frequent_lines
-from siftwell.llm.pieces import detokenize, tokenize
+from siftwell.llm.pieces import round_trip
 from siftwell.llm.sharding import read_shards, write_shards
 from siftwell.llm.token_files import read_token_files, write_token_files
 from siftwell.llm.url_filter import judge_urls
@@ -94,7 +94,7 @@ ORACLES["op5_sharding"] = sharding_sql(SHARD_BYTES)
 
 @query
 def op6_sentencepiece(spark, folder):
-    docs = detokenize(tokenize(table(spark, folder, "documents").select("doc_id", "text")))
+    docs = round_trip(table(spark, folder, "documents").select("doc_id", "text"))
     return docs.select(
         "doc_id",
         F.size("piece_ids").cast("long").alias("n_pieces"),

@@ -66,6 +66,9 @@ def test_unigram_paths_have_the_least_weight():
 def test_columns(spark, data, library):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     got = pieces.detokenize(pieces.tokenize(docs)).select("text", "piece_ids", "decoded").collect()
+    both = pieces.round_trip(docs)
+    assert both._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert both.select("text", "piece_ids", "decoded").collect() == got
     assert [r.piece_ids for r in got] == library.encode([r.text for r in got])
     assert all(r.decoded == r.text for r in got)
 
@@ -75,4 +78,6 @@ def test_odd_rows(odd_docs, no_docs):
     assert got.columns == odd_docs.columns and got.count() == odd_docs.count()
     assert got.where(F.coalesce("text", F.lit("")) != F.col("label")).count() == 0
     assert got.where("doc_id IN (3, 4)").agg(F.sum(F.size("score"))).first()[0] == 0
-    assert pieces.tokenize(no_docs).collect() == []
+    both = pieces.round_trip(odd_docs, ids="score", decoded="label")
+    assert both.columns == odd_docs.columns and both.orderBy("doc_id", "text").collect() == got.orderBy("doc_id", "text").collect()
+    assert pieces.tokenize(no_docs).collect() == pieces.round_trip(no_docs).collect() == []
