@@ -22,6 +22,8 @@ from siftwell.session import stage, unstage
 BLOCK_ROWS = 2000
 #: Texts whose signatures are combined before they are shuffled, in bytes.
 COMBINE_BYTES = 16 << 20
+#: Nodes in one row of those that share a signature.
+LIST_NODES = 64
 #: Weight of the longest list in the choice of how many lists are probed rather than merged.
 DIVIDE_WEIGHT = 0.05
 
@@ -216,23 +218,23 @@ def _identify(size: int):
 
 
 def _combined(keys: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
-    """One row for each signature of a piece of the corpus; who shares it there is tied to its smallest node at once."""
+    """The nodes that share a signature in a piece of the corpus: rows of the smallest and up to ``LIST_NODES`` others."""
     key = np.concatenate(keys).view(np.int64)
     node = np.repeat(np.array(nodes, dtype=np.int64), [len(k) for k in keys])
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
     new = np.concatenate([[True], key[1:] != key[:-1]])
-    head = node[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    tied = node != head
-    pairs = np.unique(np.stack([node[tied], head[tied]], axis=1), axis=0)
+    once = new | np.concatenate([[True], node[1:] != node[:-1]])
+    key, node, new = key[once], node[once], new[once]
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    place = np.arange(len(key)) - first
+    begins = new | ((place > 1) & ((place - 1) % LIST_NODES == 0))
+    n_others = np.bincount((np.cumsum(begins) - 1)[~new], minlength=begins.sum())
+    offsets = np.concatenate([[0], np.cumsum(n_others)]).astype(np.int32)
+    others = pa.ListArray.from_arrays(pa.array(offsets), pa.array(node[~new]), mask=pa.array(n_others == 0))
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.concatenate([key[new], pairs[:, 0]])),
-            pa.array(np.concatenate([node[new], pairs[:, 0]])),
-            pa.array(np.concatenate([np.zeros(new.sum(), np.int64), pairs[:, 1]]), mask=np.arange(new.sum() + len(pairs)) < new.sum()),
-        ],
-        names=["key", "node", "head"],
-    )
+        [pa.array(key[begins]), pa.array(node[first[begins]]), others], names=["key", "node", "others"]
+    )
 
 
 def _sign(size: int, percent: int):
@@ -256,23 +258,27 @@ def _sign(size: int, percent: int):
 
 
 def _tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key and node: everybody under a key is tied to its first node."""
+    """Rows come sorted by key and node: everybody under a key, in whatever piece, is tied to its first node."""
     last_key = last_head = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        tied = batch.column("head")
-        ready = np.asarray(tied.is_valid())
-        key, node = (batch.column(c).to_numpy()[~ready] for c in ("key", "node"))
-        out = [np.stack([batch.column("node").to_numpy()[ready], np.asarray(tied.drop_null())], axis=1).astype(np.int64)]
-        if len(key):
-            new = np.concatenate([[True], key[1:] != key[:-1]])
-            head = node[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            if last_key is not None and key[0] == last_key:
-                head[key == last_key] = last_head
-            last_key, last_head = key[-1], head[-1]
-            out.append(np.stack([node, head], axis=1)[node != head])
-        pairs = np.unique(np.concatenate(out), axis=0)
+        key, node = (batch.column(c).to_numpy() for c in ("key", "node"))
+        others = batch.column("others")
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        head = node[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        if last_key is not None and key[0] == last_key:
+            head[key == last_key] = last_head
+        last_key, last_head = key[-1], head[-1]
+        n_others = others.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        pairs = np.stack(
+            [
+                np.concatenate([node, others.flatten().to_numpy(zero_copy_only=False)]),
+                np.concatenate([head, np.repeat(head, n_others)]),
+            ],
+            axis=1,
+        )
+        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["node", "head"])
 
 
@@ -347,7 +353,7 @@ def similar_sets(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[Da
         ),
         "shingle_sets",
     )
-    signed = docs.select("text").mapInArrow(_sign(words, percent), "key long, node long, head long")
+    signed = docs.select("text").mapInArrow(_sign(words, percent), "key long, node long, others array<long>")
     tied = signed.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_tie, "node long, head long")
     ties = stage(tied.distinct(), "ties")
     per_class = (

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siftwell.llm import jaccard_join as J
@@ -59,6 +60,63 @@ def test_no_small_block_either(spark):
     assert {tuple(r) for r in got.collect()} == brute_force(docs, 3, 80)
 
 
+@pytest.mark.parametrize("pieces", [4, 8])
+def test_links_between_pieces(pieces):
+    """Chains of near copies around the threshold, the neighbours of which lie in different pieces of the corpus."""
+    rng = random.Random(1)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(15):
+        words = rng.choices(vocabulary, k=60)
+        for _ in range(30):
+            words = list(words)
+            for _ in range(rng.choice([1, 2])):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            texts.append(" ".join(words))
+    rng.shuffle(texts)
+    step = -(-len(texts) // pieces)
+    signed = [
+        batch
+        for k in range(0, len(texts), step)
+        for batch in J._sign(3, 80)(iter([pa.RecordBatch.from_pydict({"text": texts[k : k + step]})]))
+    ]
+    assert len(signed) == pieces
+    rows = pa.Table.from_batches(signed).sort_by([("key", "ascending"), ("node", "ascending")]).combine_chunks()
+    blocks = {}
+    for batch in J._tie(iter(rows.to_batches())):
+        for row in batch.to_pylist():
+            blocks.setdefault(row["head"], {row["head"]}).add(row["node"])
+    sets = {J._node(J._identity(tokens)): tokens for _, tokens in J._sets([t.encode() for t in texts], 3)}
+    order = {node: i for i, node in enumerate(sets)}
+    forest = J._Forest(len(order))
+    for head, members in blocks.items():
+        members = sorted(members)
+        names = [J._identity(sets[n]) for n in members]
+        for a, b in J.search_block(names, [sets[n] for n in members], members.index(head), None, 80)[0]:
+            forest.join(order[J._node(a)], order[J._node(b)])
+    nodes = [J._node(J._identity(tokens)) for _, tokens in J._sets([t.encode() for t in texts], 3)]
+    least = {}
+    for i, node in enumerate(nodes):
+        least.setdefault(forest.root(order[node]), i)
+    got = {(i, len(sets[node]), least[forest.root(order[node])]) for i, node in enumerate(nodes)}
+    assert got == brute_force(list(enumerate(texts)), 3, 80)
+
+
+@pytest.mark.parametrize("list_nodes", [1, 2, 64])
+def test_everybody_under_a_signature_is_tied_to_the_smallest(monkeypatch, list_nodes):
+    monkeypatch.setattr(J, "LIST_NODES", list_nodes)
+    rng = np.random.default_rng(2)
+    pieces = [[(rng.integers(0, 9, 4).astype(np.uint64), int(n)) for n in rng.integers(0, 30, 12)] for _ in range(5)]
+    rows = pa.Table.from_batches([J._combined([k for k, _ in piece], [n for _, n in piece]) for piece in pieces])
+    batches = rows.sort_by([("key", "ascending"), ("node", "ascending")]).combine_chunks().to_batches(max_chunksize=3)
+    got = {(r["node"], r["head"]) for b in J._tie(iter(batches)) for r in b.to_pylist()}
+    under = {}
+    for keys, node in (pair for piece in pieces for pair in piece):
+        for key in keys.tolist():
+            under.setdefault(key, set()).add(node)
+    assert got == {(n, min(nodes)) for nodes in under.values() for n in nodes if n != min(nodes)}
+
+
 def test_every_linked_pair_shares_a_signature():
     rng = np.random.default_rng(0)
     for percent in (50, 80, 90):
