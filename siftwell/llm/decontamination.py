@@ -18,6 +18,8 @@ from siftwell.llm.wordhash import NOT_ALPHANUMERIC, hash_words, shingles, slices
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage has to reach, and of its word triples that both halves have to share.
 MIN_SCORE, MIN_QUESTION, MIN_ANSWER = 0.6, 0.6, 0.6
+#: An item is also leaked if the passage holds it with at most one edited word, or one for each so many of its words.
+EDIT_WORDS = 20
 #: The last part of an item that is taken as its answer.
 ANSWER_SHARE = 0.25
 #: Items with fewer words can't be told from ordinary language.
@@ -37,40 +39,70 @@ def _words(text: str) -> np.ndarray:
     return hash_words([text.encode()], NOT_ALPHANUMERIC)[0]
 
 
+def _edits(n_words: int, edit_words: int | None) -> int:
+    """Words of an item that may be replaced, left out or put in."""
+    return max(1, n_words // edit_words) if edit_words else 0
+
+
+def within_edits(words: np.ndarray, passage: np.ndarray, most: int) -> bool:
+    """Whether the passage holds the words, in their order, with at most ``most`` edits."""
+    if np.isin(words, passage).sum() < len(words) - most:
+        return False
+    place = np.arange(len(passage) + 1)
+    row = np.zeros(len(place), np.int64)  # the run may begin anywhere
+    for word in words:
+        step = np.minimum(row + 1, np.append(row[0] + 1, row[:-1] + (passage != word)))
+        row = np.minimum.accumulate(step - place) + place
+        if row.min() > most:
+            return False
+    return True
+
+
 @dataclass
 class ItemIndex:
     """Inverted lists of items, each weight being the share of the item's own BM25 score that the term brings."""
 
     item_ids: list
+    words: list[np.ndarray]
     questions: list[np.ndarray]
     answers: list[np.ndarray]
     longest: int
     terms: np.ndarray
     block_max: np.ndarray  # (term, block): the largest weight in the block
     block_items: int
+    needs: np.ndarray  # by item: the score that an occurrence within the allowed edits keeps, at most MIN_SCORE
+    block_need: np.ndarray
+    edits: list[int]
     block_lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # by block: term, item, weight
 
     @classmethod
-    def build(cls, items: list[tuple[object, np.ndarray]], df: Counter, n_items: int, mean_length: float) -> ItemIndex:
+    def build(cls, items: list[tuple[object, np.ndarray]], df: Counter, n_items: int, mean_length: float, edit_words: int | None = None) -> ItemIndex:
         terms = np.unique(np.concatenate([w for _, w in items]))
         size = max(BLOCK_ITEMS, -(-len(items) // BLOCKS))
         n_blocks = -(-len(items) // size)
         block_max = np.zeros((len(terms), n_blocks), np.float32)
         lists: list[list[tuple[np.ndarray, int, np.ndarray]]] = [[] for _ in range(n_blocks)]
-        questions, answers = [], []
+        questions, answers, needs = [], [], []
+        edits = [_edits(len(words), edit_words) for _, words in items]
         for i, (_, words) in enumerate(items):
             own, tf = np.unique(words, return_counts=True)
             n = np.array([df[t] for t in own.tolist()])
             idf = np.log(1 + (n_items - n + 0.5) / (n + 0.5))
             weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean_length))
             weight = (weight / weight.sum()).astype(np.float32)
+            kept = 1 - np.sort(weight)[len(weight) - edits[i] :].sum() - 1e-4
+            needs.append(min(MIN_SCORE, kept))
             at = np.searchsorted(terms, own)
             block_max[at, i // size] = np.maximum(block_max[at, i // size], weight)
             lists[i // size].append((at, i, weight))
             tail = max(1, int(len(words) * ANSWER_SHARE))
             questions.append(shingles(words[:-tail], NGRAM))
             answers.append(shingles(words[-max(tail, min(NGRAM, len(words))) :], NGRAM))
-        index = cls([x for x, _ in items], questions, answers, max(len(w) for _, w in items), terms, block_max, size)
+        need = np.array(needs)
+        index = cls(
+            [x for x, _ in items], [w for _, w in items], questions, answers, max(len(w) for _, w in items), terms, block_max,
+            size, need, np.minimum.reduceat(need, np.arange(0, len(items), size)), edits,
+        )
         for entries in lists:
             term = np.concatenate([t for t, _, _ in entries])
             item = np.repeat([i for _, i, _ in entries], [len(t) for t, _, _ in entries])
@@ -116,7 +148,11 @@ class ItemIndex:
                         passage = shingles(hashes[lo : min(lo + 2 * step, begins[i + 1])], NGRAM)
                     question = float(np.isin(self.questions[item], passage).mean())
                     answer = float(np.isin(self.answers[item], passage).mean())
-                    if question >= MIN_QUESTION and answer >= MIN_ANSWER:
+                    alike = score >= MIN_SCORE and question >= MIN_QUESTION and answer >= MIN_ANSWER
+                    most = self.edits[item]  # words put in may reach over the end of the window
+                    if not alike and most:
+                        alike = within_edits(self.words[item], hashes[lo : min(lo + 2 * step + most, begins[i + 1])], most)
+                    if alike:
                         out[i][item] = max(out[i].get(item, (0.0, 0.0, 0.0)), (score, question, answer))
             start = end
         return out
@@ -126,7 +162,7 @@ class ItemIndex:
         first = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
         bound = np.add.reduceat(self.block_max[term], first, axis=0)
         last = np.append(first[1:], len(window))
-        reaching = bound >= MIN_SCORE - 1e-4
+        reaching = bound >= self.block_need - 1e-4
         for k in np.flatnonzero(reaching.any(axis=1)):
             yield int(window[first[k]]), term[first[k] : last[k]], np.flatnonzero(reaching[k])
 
@@ -137,11 +173,14 @@ class ItemIndex:
             n = hi - lo
             at = np.repeat(hi - np.cumsum(n), n) + np.arange(n.sum())
             score = np.bincount(item[at] - b * self.block_items, weight[at], minlength=1)
-            for local in np.flatnonzero(score >= MIN_SCORE):
+            need = self.needs[b * self.block_items : b * self.block_items + len(score)]
+            for local in np.flatnonzero(score >= need):
                 yield b * self.block_items + int(local), float(score[local])
 
 
-def build_indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> list[ItemIndex]:
+def build_indexes(
+    benchmark: DataFrame, item_id: str = "item_id", text: str = "text", edit_words: int | None = None
+) -> list[ItemIndex]:
     """Indexes of all items with at least ``MIN_ITEM_WORDS`` words, ``INDEX_ITEMS`` in each.
 
     A benchmark is a stated query set; it is read row by row, and each index is bounded by its number of items.
@@ -152,26 +191,28 @@ def build_indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "t
     df = Counter(t for _, w in items for t in set(w.tolist()))
     mean = sum(len(w) for _, w in items) / max(1, len(items))
     return [
-        ItemIndex.build(items[k : k + INDEX_ITEMS], df, len(items), mean) for k in range(0, len(items), INDEX_ITEMS)
+        ItemIndex.build(items[k : k + INDEX_ITEMS], df, len(items), mean, edit_words)
+        for k in range(0, len(items), INDEX_ITEMS)
     ]
 
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    out: str = "leaks",
+    out: str = "leaks", edit_words: int | None = None,
 ) -> DataFrame:
     """``docs`` with ``out``: an array of (item_id, score, question, answer), one entry per leaked benchmark item.
 
     Words are runs of digits, letters and wide characters with A-Z lower-cased. Every passage of every text is a query
     against the index of the items. An item is retrieved if the passage reaches ``MIN_SCORE`` of the BM25 score that the
     item itself would have, and reported if at least ``MIN_QUESTION`` and ``MIN_ANSWER`` of the word triples of its
-    question (the front) and of its answer (the last quarter) occur in the passage as well. Items of the same text are
-    all reported. A null, empty or wordless text leaks nothing; an empty benchmark finds nothing; a column named ``out``
+    question (the front) and of its answer (the last quarter) occur in the passage as well. With
+    ``edit_words`` it is also reported if the passage holds it with at most one word replaced, left out or put in, or one
+    for each ``edit_words`` of its words; such an occurrence is always retrieved. Items of the same text are all reported. A null, empty or wordless text leaks nothing; an empty benchmark finds nothing; a column named ``out``
     is replaced. Nothing is shuffled.
     """
     kind = LEAKS.format(benchmark.schema[item_id].dataType.simpleString())
     parts = []
-    for index in build_indexes(benchmark, item_id, item_text):
+    for index in build_indexes(benchmark, item_id, item_text, edit_words):
 
         def run(batches: Iterator[pa.Array], index: ItemIndex = index) -> Iterator[pa.Array]:
             for column in batches:
@@ -199,4 +240,4 @@ def _entry_type(index: ItemIndex) -> pa.DataType:
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the documents that leak a benchmark item; all others, and all columns, stay."""
     leaks = free_name(docs, "benchmark_leaks")
-    return find_leaks(docs, benchmark, text, out=leaks).where(F.size(leaks) == 0).drop(leaks)
+    return find_leaks(docs, benchmark, text, out=leaks, edit_words=EDIT_WORDS).where(F.size(leaks) == 0).drop(leaks)

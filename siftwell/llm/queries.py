@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm.columns import LOWER, UPPER
-from siftwell.llm.decontamination import find_leaks
+from siftwell.llm.decontamination import EDIT_WORDS, find_leaks
 from siftwell.llm.fingerprints import fingerprint_neighbours
 from siftwell.llm.jaccard_join import jaccard_components
 from siftwell.llm.language_id import in_fold, learn_profiles, predict_language
@@ -37,7 +37,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op1_decontamination(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return (
-        find_leaks(docs, table(spark, folder, "benchmark"))
+        find_leaks(docs, table(spark, folder, "benchmark"), edit_words=EDIT_WORDS)
         .select("doc_id", F.explode("leaks").alias("leak"))
         .select("doc_id", "leak.item_id", "leak.score", "leak.question", "leak.answer")
     )

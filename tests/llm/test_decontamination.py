@@ -88,6 +88,31 @@ def test_blocks_bound_their_items():
     assert np.allclose(total, 1, atol=1e-5)
 
 
+def test_one_edit_hides_no_item():
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(300)] + ["the", "of", "and"] * 60
+    items = [(n, rng.choices(vocabulary, k=n)) for n in range(D.MIN_ITEM_WORDS, 45)]
+    own = [(n, D._words(" ".join(words))) for n, words in items]
+    df = Counter(t for _, w in own for t in set(w.tolist()))
+    index = D.ItemIndex.build(own, df, len(own), 20.0, D.EDIT_WORDS)
+    around = [f"x{i}" for i in range(100)]
+    for item, (n, words) in enumerate(items):
+        for at in range(n):
+            for edited in (words[:at] + ["new"] + words[at + 1 :], words[:at] + words[at + 1 :], words[:at] + ["new"] + words[at:]):
+                lead = rng.randrange(100)
+                text = " ".join(around[:lead] + edited + around[lead:])
+                hashes = D._words(text)
+                assert item in index.search(hashes, np.array([len(hashes)]))[0], (n, at)
+
+
+def test_more_edits_than_allowed_are_none():
+    words = D._words(" ".join(f"w{i}" for i in range(12)))
+    other = D._words("a b c")
+    assert D.within_edits(words, np.concatenate([other, words[:5], other[:1], words[6:], other]), 1)
+    assert not D.within_edits(words, np.concatenate([words[:4], other[:2], words[6:]]), 1)
+    assert not D.within_edits(words, words[::-1], 1) and not D.within_edits(words, words[:0], 1)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame(
         [(1, "alpha beta gamma delta epsilon zeta"), (2, "alpha beta gamma delta epsilon zeta"), (None, "a text without an id"),
