@@ -27,3 +27,12 @@ def test_entry(spark, data):
 
     assert entry.queries().keys() >= entry.oracle_sql().keys()
     assert entry.entry(spark).columns == ["lang", "docs", "unique_docs", "chars"]
+
+
+def test_chunk_counts_cover_every_body(spark, data):
+    from pyspark.sql import functions as F
+
+    counted = QUERIES["chunks_per_posting"](spark, data)
+    chunks = QUERIES["chunk_recursive"](spark, data).groupBy("doc_id").agg(F.count("*").alias("n"))
+    assert counted.filter("doc_id >= 0").join(chunks, "doc_id", "full").filter("n_chunks <> coalesce(n, 0) OR n_chunks IS NULL").isEmpty()
+    assert counted.filter("n_chunks = 0 AND doc_id < 0").count() == counted.filter("doc_id >= 0 AND doc_id % 5 = 0").count() > 0
