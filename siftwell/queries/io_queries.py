@@ -289,4 +289,4 @@ def vocab_job(spark, folder):
     """The whole vocabulary job, in its morpheme variant; returns the unknown-token rate."""
     corpus = new_path(spark, "corpus")
     sinks.sink_corpus_text(cleaned_documents(spark, folder), corpus)
-    return train_vocab(spark, corpus, new_path(spark, "vocab"), morphemes=True, size=600)
+    return train_vocab(spark, corpus, new_path(spark, "vocab"), morphemes=True)

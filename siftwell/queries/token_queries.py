@@ -111,14 +111,14 @@ def _clean_words(spark, folder):
     return W.word_counts(bodies, "body")
 
 
-def _trained(spark, folder, size=600):
+def _trained(spark, folder, size=W.VOCAB_SIZE):
     return W.train_wordpiece(_clean_words(spark, folder), vocab_size=size)
 
 
 @query("train_wordpiece")
 def train(spark, folder):
-    """Exact training to the alphabet and the first merges."""
-    return W.train_wordpiece(_clean_words(spark, folder), vocab_size=400)
+    """Exact training to the full size, or until no pair is frequent enough."""
+    return W.train_wordpiece(_clean_words(spark, folder), vocab_size=W.VOCAB_SIZE)
 
 
 @query("vocab_size")

@@ -36,3 +36,24 @@ def test_chunk_counts_cover_every_body(spark, data):
     chunks = QUERIES["chunk_recursive"](spark, data).groupBy("doc_id").agg(F.count("*").alias("n"))
     assert counted.filter("doc_id >= 0").join(chunks, "doc_id", "full").filter("n_chunks <> coalesce(n, 0) OR n_chunks IS NULL").isEmpty()
     assert counted.filter("n_chunks = 0 AND doc_id < 0").count() == counted.filter("doc_id >= 0 AND doc_id % 5 = 0").count() > 0
+
+
+def test_vocabularies_are_trained_to_the_full_size(monkeypatch):
+    from inspect import signature
+
+    from siftwell.operators import wordpiece as W
+    from siftwell.plans.vocabulary import train_vocab
+    from siftwell.queries import io_queries, token_queries
+
+    sizes = []
+    monkeypatch.setattr(token_queries, "_clean_words", lambda *args: None)
+    monkeypatch.setattr(W, "train_wordpiece", lambda words, vocab_size=W.VOCAB_SIZE: sizes.append(vocab_size))
+    monkeypatch.setattr(W, "vocab_size", lambda vocab: vocab)
+    for name in ("new_path", "cleaned_documents"):
+        monkeypatch.setattr(io_queries, name, lambda *args: "")
+    monkeypatch.setattr(io_queries.sinks, "sink_corpus_text", lambda *args: None)
+    default = signature(train_vocab).parameters["size"].default
+    monkeypatch.setattr(io_queries, "train_vocab", lambda *args, size=default, **kwargs: sizes.append(size))
+    for name in ("train_wordpiece", "vocab_size", "train_vocab"):
+        QUERIES[name](None, "")
+    assert sizes == [32_000] * 3
