@@ -1,8 +1,7 @@
 """Subword vocabulary: word counts, training, encoding and checks.
 
-Training works on the table of distinct words with their counts. Each round counts neighbouring
-symbol pairs on all executors, brings the best few pairs to the driver and adds them to the merge
-list, which is bounded by the vocabulary size.
+Training works on the table of distinct words with their counts; how merges are found is in
+``wordpiece_training``.
 """
 
 from __future__ import annotations
@@ -13,10 +12,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions.tokens import SPECIAL_TOKENS, USER_TERMS, pretokenize, segment_forms
+from siftwell.operators.wordpiece_training import learn_merges, split_words
 from siftwell.session import stage, unstage
 
 VOCAB_SIZE = 32_000
@@ -48,96 +48,6 @@ def alphabet_of(words: DataFrame, limit: int | None = None) -> list[str]:
     return sorted(row["char"] for row in counts.collect())
 
 
-def merged_token(left: str, right: str, prefix: str) -> str:
-    return left + right.removeprefix(prefix)
-
-
-# The symbols of a word are kept in one string, each between two of these.
-MARK = "\n"
-
-
-def _initial(word: Column, alphabet: Sequence[str], prefix: str) -> Column:
-    """First character plain, the others prefixed; characters outside the alphabet are left out."""
-    symbols = F.transform(
-        F.split(word, ""),
-        lambda c, i: F.when(c.isin(*alphabet), F.when(i == 0, c).otherwise(F.concat(F.lit(prefix), c))),
-    )
-    return F.concat(F.lit(MARK), F.array_join(symbols, MARK * 2), F.lit(MARK))
-
-
-def _apply(state: DataFrame, merges: Sequence[tuple[str, str]], prefix: str) -> DataFrame:
-    """The words with the merges applied in their order, each from left to right."""
-    symbols = F.col("symbols")
-    for a, b in merges:
-        pair, token = MARK + a + MARK * 2 + b + MARK, MARK + merged_token(a, b, prefix) + MARK
-        symbols = F.replace(symbols, F.lit(pair), F.lit(token))
-    return state.select(symbols.alias("symbols"), "freq")
-
-
-def _pair_counts(state: DataFrame) -> DataFrame:
-    """How often two symbols are neighbours, over (symbols, freq)."""
-    inner = F.substring(F.col("symbols"), F.lit(2), F.length("symbols") - 2)
-    parts = state.select(F.split(inner, MARK * 2).alias("s"), "freq")
-    pairs = F.arrays_zip(
-        F.slice("s", F.lit(1), F.size("s") - 1).alias("a"), F.slice("s", F.lit(2), F.size("s") - 1).alias("b")
-    )
-    exploded = parts.select(F.explode(pairs).alias("p"), "freq").select("p.a", "p.b", "freq")
-    return exploded.groupBy("a", "b").agg(F.sum("freq").alias("n"))
-
-
-def _mergeable(state: DataFrame) -> DataFrame:
-    """Words of two symbols or more; the others can take no further part."""
-    return state.filter(F.contains("symbols", F.lit(MARK * 2)))
-
-
-def choose_merges(
-    ranked: Sequence[tuple[str, str, int]], prefix: str, limit: int | None, taken: set[str], complete: bool
-) -> list[tuple[str, str]]:
-    """The pairs of a ranking that can be merged in one round.
-
-    A pair touches an earlier one when merging that one can change its count: it starts where the
-    earlier pair ends, ends where it starts, or shares the token that is made. A number as ``limit``
-    takes up to that many pairs and lets touching ones wait for the next round.
-
-    With ``limit`` None the result equals merging one pair at a time. The choice stops at the first
-    pair that touches, or that makes a token already known. A pair created by a merge is never more
-    frequent than such a pair, so everything counted more often keeps its place in the order.
-    ``complete`` says that no pair was cut off from the ranking.
-    """
-    chosen: list[tuple[str, str, int]] = []
-    lefts: set[str] = set()
-    rights: set[str] = set()
-    made: set[str] = set()
-
-    def touches(a: str, b: str, token: str) -> bool:
-        return not (
-            made.isdisjoint((a, b, token)) and a not in rights and b not in lefts
-            and token not in lefts and token not in rights
-        )
-
-    floor = None  # pairs counted no more often than this are left to the next round
-    for a, b, n in ranked:
-        token = merged_token(a, b, prefix)
-        known = limit is None and token in taken
-        if touches(a, b, token) or (known and chosen):
-            if limit is None:
-                floor = n
-                break
-            continue
-        chosen.append((a, b, n))
-        lefts.add(a)
-        rights.add(b)
-        made.add(token)
-        if known or len(chosen) == limit:
-            break
-    else:
-        if limit is None and not complete:
-            floor = ranked[-1][2]
-    if floor is not None:
-        chosen = [c for c in chosen if c[2] > floor] or chosen[:1]
-    return [(a, b) for a, b, _ in chosen]
-
-
 def train_wordpiece(
     words: DataFrame,
     vocab_size: int = VOCAB_SIZE,
@@ -146,49 +56,24 @@ def train_wordpiece(
     prefix: str = PREFIX,
     limit_alphabet: int | None = None,
     merges_per_round: int | None = None,
-    rewrite_every: int = 12,
 ) -> DataFrame:
     """Learn a vocabulary from (word, freq): specials, alphabet, then merged pieces by rank.
 
-    Pairs are ranked by count, ties by text, and learned while they occur ``min_frequency`` times.
-    ``merges_per_round`` None merges as many pairs per round as provably equal merging one by one;
-    a number trades that order for fewer rounds. A round applies the latest merges on the fly; after
-    ``rewrite_every`` of them the words table is written anew, so plan and lineage stay short.
+    Pairs are ranked by count, ties by text, and learned while they occur ``min_frequency`` times. The result equals
+    merging one pair at a time; a round of Spark jobs learns hundreds of merges (see ``wordpiece_training``).
+    ``merges_per_round`` takes that many pairs which don't touch each other in each round instead, which gives another
+    vocabulary.
     """
     spark = words.sparkSession
     words = stage(words.select("word", "freq"), "words")
     alphabet = alphabet_of(words, limit_alphabet)
-    state = words.select(_initial(F.col("word"), alphabet, prefix).alias("symbols"), "freq")
-    # a file per core, since every round reads the table; larger files are split when read
-    written = state = stage(state.repartition(spark.sparkContext.defaultParallelism, "symbols"), "symbols")
-    symbols = state.select(F.explode(F.split("symbols", MARK)).alias("s"))
+    state = split_words(words, alphabet, prefix)
+    symbols = state.select(F.explode("symbols").alias("s"))
     inner = symbols.filter(F.startswith("s", F.lit(prefix)) & (F.length("s") == len(prefix) + 1)).distinct()
     # at most one entry per alphabet character
     vocab = list(dict.fromkeys([*specials, *alphabet, *sorted(r["s"] for r in inner.collect())]))
-    taken = set(vocab)
-    fetch = 256 if merges_per_round is None else 4 * merges_per_round
-    pending: list[tuple[str, str]] = []
-    while len(vocab) < vocab_size:
-        frequent = _pair_counts(_apply(state, pending, prefix)).filter(F.col("n") >= min_frequency)
-        best = frequent.orderBy(F.desc("n"), "a", "b").limit(fetch).collect()
-        ranked = [(r["a"], r["b"], r["n"]) for r in best]
-        merges: list[tuple[str, str]] = []
-        for a, b in choose_merges(ranked, prefix, merges_per_round, taken, len(ranked) < fetch):
-            if len(vocab) >= vocab_size:
-                break
-            merges.append((a, b))
-            token = merged_token(a, b, prefix)
-            if token not in taken:
-                taken.add(token)
-                vocab.append(token)
-        if not merges:
-            break
-        pending += merges
-        if len(pending) >= rewrite_every:
-            before, written = written, stage(_apply(state, pending, prefix), "symbols")
-            state, pending = _mergeable(written), []
-            unstage(before)
-    unstage(words, written)
+    vocab = learn_merges(state, vocab, vocab_size, min_frequency, prefix, merges_per_round)
+    unstage(words)
     return spark.createDataFrame(list(enumerate(vocab)), VOCAB_SCHEMA)
 
 

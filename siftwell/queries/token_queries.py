@@ -126,6 +126,42 @@ def size(spark, folder):
     return W.vocab_size(_trained(spark, folder))
 
 
+FIRST_ENTRIES = 215
+
+
+def _first_merges_sql(steps: int) -> str:
+    """Merging one pair at a time, a step for each; every symbol stands between two line ends."""
+    sql_steps = [
+        """alphabet AS (SELECT DISTINCT unnest(string_split(word, '')) AS c FROM cleaned_counts),
+    s0 AS MATERIALIZED (SELECT chr(10) || array_to_string(list_transform(string_split(word, ''),
+        lambda c, i: CASE WHEN i = 1 THEN c ELSE '##' || c END), chr(10) || chr(10)) || chr(10) AS w, freq FROM cleaned_counts)"""
+    ]
+    for i in range(steps):
+        sql_steps.append(
+            f"""m{i + 1} AS MATERIALIZED (SELECT p[1] AS a, p[2] AS b, p[1] || substr(p[2], 3) AS token FROM (
+        SELECT unnest(list_zip(l[:-2], l[2:])) AS p, freq FROM (SELECT string_split(w[2:-2], chr(10) || chr(10)) AS l, freq FROM s{i}))
+        GROUP BY p HAVING sum(freq) >= {W.MIN_FREQUENCY} ORDER BY sum(freq) DESC, p[1], p[2] LIMIT 1),
+    s{i + 1} AS MATERIALIZED (SELECT coalesce((SELECT replace(w, chr(10) || a || chr(10) || chr(10) || b || chr(10),
+        chr(10) || token || chr(10)) FROM m{i + 1}), w) AS w, freq FROM s{i})"""
+        )
+    specials = " UNION ALL ".join(f"SELECT 0 AS part, {i} AS k, {sql.quoted(t)} AS token" for i, t in enumerate(SPECIAL_TOKENS))
+    inner = "SELECT DISTINCT '##' || unnest(string_split(substr(word, 2), '')) AS c FROM cleaned_counts WHERE length(word) > 1"
+    merged = " UNION ALL ".join(f"SELECT 3, {i}, token FROM m{i}" for i in range(1, steps + 1))
+    return f"""WITH {NOISY}, cleaned_counts AS MATERIALIZED (
+        SELECT word, count(*) AS freq FROM (SELECT unnest({sql.words(sql.clean('body'))}) AS word FROM noisy) GROUP BY word),
+    {', '.join(sql_steps)},
+    entries AS ({specials} UNION ALL SELECT 1, row_number() OVER (ORDER BY c), c FROM alphabet
+        UNION ALL SELECT 2, row_number() OVER (ORDER BY c), c FROM ({inner}) UNION ALL {merged}),
+    once AS (SELECT token, min((part, k)) AS place FROM entries GROUP BY token)
+    SELECT CAST(row_number() OVER (ORDER BY place) - 1 AS INTEGER) AS id, token FROM once ORDER BY place LIMIT {FIRST_ENTRIES}"""
+
+
+@query("train_wordpiece_first", _first_merges_sql(24))
+def train_first(spark, folder):
+    """The first entries of the vocabulary, few enough for SQL to merge one pair at a time over the whole word table."""
+    return W.train_wordpiece(_clean_words(spark, folder), vocab_size=FIRST_ENTRIES).filter(F.col("id") < FIRST_ENTRIES)
+
+
 # A vocabulary that SQL can state: the control tokens, every character in both forms, every word
 # prefix of up to 4 characters, and as continuations every word suffix of up to 4, if frequent.
 _VOCAB_SQL = f"""vocab AS (

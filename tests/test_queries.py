@@ -38,22 +38,14 @@ def test_chunk_counts_cover_every_body(spark, data):
     assert counted.filter("n_chunks = 0 AND doc_id < 0").count() == counted.filter("doc_id >= 0 AND doc_id % 5 = 0").count() > 0
 
 
-def test_vocabularies_are_trained_to_the_full_size(monkeypatch):
-    from inspect import signature
-
+def test_vocabularies_are_trained_to_the_end(spark, data):
+    """32,000 entries, or all that occur three times: then no neighbours are left that do."""
     from siftwell.operators import wordpiece as W
-    from siftwell.plans.vocabulary import train_vocab
-    from siftwell.queries import io_queries, token_queries
-
-    sizes = []
-    monkeypatch.setattr(token_queries, "_clean_words", lambda *args: None)
-    monkeypatch.setattr(W, "train_wordpiece", lambda words, vocab_size=W.VOCAB_SIZE: sizes.append(vocab_size))
-    monkeypatch.setattr(W, "vocab_size", lambda vocab: vocab)
-    for name in ("new_path", "cleaned_documents"):
-        monkeypatch.setattr(io_queries, name, lambda *args: "")
-    monkeypatch.setattr(io_queries.sinks, "sink_corpus_text", lambda *args: None)
-    default = signature(train_vocab).parameters["size"].default
-    monkeypatch.setattr(io_queries, "train_vocab", lambda *args, size=default, **kwargs: sizes.append(size))
-    for name in ("train_wordpiece", "vocab_size", "train_vocab"):
-        QUERIES[name](None, "")
-    assert sizes == [32_000] * 3
+
+    vocab = QUERIES["train_wordpiece"](spark, data).orderBy("id").collect()
+    tokens = [r["token"] for r in vocab]
+    assert [r["id"] for r in vocab] == list(range(len(tokens))) and len(set(tokens)) == len(tokens)
+    assert QUERIES["vocab_size"](spark, data).first()["vocab_size"] == len(tokens)
+    assert len(tokens) == W.VOCAB_SIZE or 5000 < len(tokens) < W.VOCAB_SIZE
+    first = QUERIES["train_wordpiece_first"](spark, data).orderBy("id").collect()
+    assert [r["token"] for r in first] == tokens[: len(first)]

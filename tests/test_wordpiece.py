@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 
 from siftwell.operators import wordpiece as W
+from siftwell.operators import wordpiece_training as T
 from siftwell.sources.sinks import sink_vocab
 from siftwell.sources.text_lines import scan_vocab
 from siftwell.session import new_path
@@ -53,12 +54,105 @@ def random_words(seed, letters, count):
     return {"".join(rng.choice(letters) for _ in range(rng.randint(1, 7))): rng.randint(1, 40) for _ in range(count)}
 
 
-@pytest.mark.parametrize("seed, letters, size", [(1, "ab", 30), (2, "abcde", 40), (3, "aaab", 25), (4, "가나다ab", 45)])
+TIES = [(1, "ab", 30), (2, "abcde", 40), (3, "aaab", 25), (4, "가나다ab", 45), (5, "abcdefgh", 400), (6, "abc", 400)]
+
+
+@pytest.mark.parametrize("seed, letters, size", TIES)
 def test_exact_training_equals_merging_one_by_one(spark, seed, letters, size):
     words = random_words(seed, letters, 120)
     expected = one_by_one(words, size, 3, W.SPECIAL_TOKENS)
-    got = tokens_of(W.train_wordpiece(words_frame(spark, words), size, 3, rewrite_every=6))
-    assert got == expected
+    assert tokens_of(W.train_wordpiece(words_frame(spark, words), size, 3)) == expected
+
+
+@pytest.mark.parametrize("pairs, runs", [(16, 50_000), (32, 12)])
+def test_rounds_of_any_size_learn_the_same(spark, monkeypatch, pairs, runs):
+    """Most counts tie; rounds look at few pairs, may be sent few runs, or none at all."""
+    monkeypatch.setattr(T, "ROUND_PAIRS", pairs)
+    monkeypatch.setattr(T, "ROUND_RUNS", runs)
+    words = {w: 3 + n % 2 for w, n in random_words(7, "abcd", 60).items()}
+    assert tokens_of(W.train_wordpiece(words_frame(spark, words), 60, 3)) == one_by_one(words, 60, 3, W.SPECIAL_TOKENS)
+
+
+def in_process(words, size, pairs, runs, minimum=3, specials=()):
+    """The rounds of the training on plain Python lists; returns the vocabulary, the rounds and how often an entry was made anew."""
+    state = [([c if i == 0 else "##" + c for i, c in enumerate(w)], n) for w, n in words.items()]
+    inner = sorted({s for symbols, _ in state for s in symbols[1:]})
+    vocab = list(dict.fromkeys([*specials, *sorted({c for w in words for c in w}), *inner]))
+    rounds = again = 0
+    n_pairs = pairs
+
+    def collected(chosen, whole):
+        found = Counter()
+        for symbols, n in state:
+            for run in T.runs_of(symbols, frozenset(chosen), whole):
+                found[tuple(run)] += n
+        return [(list(run), n) for run, n in found.items()] if len(found) <= runs else None
+
+    while len(vocab) < size:
+        n_of, places = Counter(), Counter()
+        for symbols, n in state:
+            for pair in zip(symbols, symbols[1:]):
+                n_of[pair] += n
+                places[pair] += 1
+        ranked = sorted(((a, b, n, places[a, b]) for (a, b), n in n_of.items() if n >= minimum), key=lambda r: (-r[2], r[:2]))
+        if not ranked:
+            break
+        floor = minimum - 1 if len(ranked) <= pairs else ranked[pairs][2]
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(T, "_runs", lambda _, chosen, whole: (chosen, whole))
+            patch.setattr(T, "_collected", lambda asked: collected(*asked))
+            patch.setattr(T, "ROUND_RUNS", runs)
+            patch.setattr(T, "ROUND_PAIRS", pairs)
+            merges, n_pairs = T.look_ahead(None, ranked[: pairs + 1], floor, n_pairs, set(vocab), size - len(vocab), "##")
+        rounds += 1
+        ranks = {pair: i for i, pair in enumerate(merges)}
+        state = [(T.merge_word(symbols, ranks, "##"), n) for symbols, n in state]
+        for a, b in merges:
+            token = T.merged_token(a, b, "##")
+            again += token in vocab
+            vocab += [token] if token not in vocab else []
+    return vocab, rounds, again
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_look_ahead_on_many_word_lists(seed):
+    rng = random.Random(seed)
+    words = {w: rng.choice([1, 1, 2, 3, 3, 4, 5, 9]) for w in random_words(seed, rng.choice(["ab", "abc", "abcdef"]), 90)}
+    expected = one_by_one(words, 300, 3, [])
+    for pairs, runs in [(4, 10_000), (50, 10_000), (50, 15), (64, 3), (3, 4), (4, 0)]:
+        got, _, _ = in_process(words, 300, pairs, runs)
+        assert got == expected
+
+
+def test_look_ahead_survives_entries_made_anew():
+    """Control tokens that merging makes as well: such a merge adds no entry."""
+    made = 0
+    for seed in range(30):
+        rng = random.Random(seed)
+        words = {w: rng.choice([1, 2, 3, 5]) for w in ("".join(rng.choices("ab", k=rng.randint(2, 9))) for _ in range(60))}
+        specials = ["ab", "##ba", "##aa", "##abb", "aab"]
+        got, rounds, again = in_process(words, 200, 64, 10_000, specials=specials)
+        assert got == one_by_one(words, 200, 3, specials)
+        made += again
+    assert made > 50
+
+
+def test_one_round_learns_many_merges():
+    words = random_words(11, "abcdefgh", 400)
+    vocab, rounds, _ = in_process(words, 2000, 400, 10_000)
+    assert len(vocab) > 300 and rounds <= 6
+
+
+def test_a_very_long_word_is_merged_quickly():
+    from time import time
+
+    ranks = {("a", "##a"): 0, ("##a", "##a"): 1, ("##aa", "##aa"): 2, ("aa", "##aaaa"): 3}
+    symbols = ["a", *["##a"] * 99_999]
+    start = time()
+    merged = T.merge_word(symbols, ranks, "##")
+    assert time() - start < 5
+    assert "".join(t.removeprefix("##") for t in merged) == "a" * 100_000
+    assert merged[:2] == ["aaaaaa", "##aaaa"]
 
 
 def test_hand_computed_merges(spark):
