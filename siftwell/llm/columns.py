@@ -29,10 +29,10 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{source}`").alias(name) for name, source in columns.items()))
 
 
-#: Rows of a few numbers that may be sent to every executor: some tens of megabytes.
-BROADCAST_ROWS = 500_000
+#: Bytes of a table of narrow rows that may be sent to every executor.
+BROADCAST_BYTES = 64 << 20
 
 
-def sent_if_small(staged: DataFrame) -> DataFrame:
-    """A written table of narrow rows, marked for broadcasting if it is short; else the join shuffles it."""
-    return F.broadcast(staged) if staged.count() <= BROADCAST_ROWS else staged
+def sent_if_small(staged: DataFrame, row_bytes: int) -> DataFrame:
+    """A written table, marked for broadcasting if its rows, of at most ``row_bytes`` each, are few; else the join shuffles it."""
+    return F.broadcast(staged) if staged.count() * row_bytes <= BROADCAST_BYTES else staged

@@ -36,4 +36,6 @@ def components(links: DataFrame) -> DataFrame:
         state = jumped
         if not changes:
             unstage(both)
-            return state.select("node", "label")
+            found = state.select("node", "label")
+            found.staged_path = state.staged_path
+            return found

@@ -5,30 +5,17 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from siftwell.llm.columns import free_name, only, sent_if_small
-from siftwell.llm.components import components
-from siftwell.llm.wordhash import BLANK, hash_words, mix, shingles, slices, text_bytes
-from siftwell.session import stage, unstage
+from siftwell.llm.near_sets import Method, components_of, links_up, one_per_component
+from siftwell.llm.wordhash import mix
 
-#: Members of a block that one task searches at a time; larger blocks are searched in parts.
-BLOCK_ROWS = 2000
-#: Texts whose signatures are combined before they are shuffled, in bytes.
-COMBINE_BYTES = 16 << 20
-#: Nodes in one row of those that share a signature.
-LIST_NODES = 64
-#: Weight of the longest list in the choice of how many lists are probed rather than merged.
-DIVIDE_WEIGHT = 0.05
-
-
-# ---- which sets can meet -------------------------------------------------------------------------------------------
+#: A step of a binary search as a share of a step of the heap, in the choice of the lists that are probed.
+PROBE_WEIGHT = 0.3
 
 
 @cache
@@ -76,54 +63,50 @@ def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(found) if found else tokens[:0]
 
 
-def _identity(tokens: np.ndarray) -> bytes:
-    """128 bits that stand for the set."""
-    return np.array([tokens.sum(dtype=np.uint64) + np.uint64(len(tokens)), mix(tokens).sum(dtype=np.uint64)]).tobytes()
-
-
-def _node(identity: bytes) -> int:
-    return int(np.frombuffer(identity, dtype=np.int64)[0])
-
-
-def _sets(texts: list[bytes], size: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(position, set) of each text."""
-    for start, end in slices(list(map(len, texts))):
-        hashes, counts = hash_words(texts[start:end], BLANK)
-        at = np.concatenate([[0], np.cumsum(counts)])
-        for i in range(end - start):
-            yield start + i, shingles(hashes[at[i] : at[i + 1]], size)
-
-
-# ---- T-occurrence search -------------------------------------------------------------------------------------------
-
-
-def links_up(shared: int, a: int, b: int, percent: int) -> bool:
-    return 100 * shared >= percent * (a + b - shared)
+def _sign(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    found = [signatures(tokens, percent) for tokens in sets]
+    return np.concatenate(found), np.array([len(f) for f in found])
 
 
 class InvertedLists:
     """Inverted lists over the shingles of some sets, searched by dividing them into short and long ones."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
+    def __init__(self, sets: list[np.ndarray], indexed: list[int], percent: int):
         self.sizes = [len(s) for s in sets]
         self.percent = percent
-        self.lists: dict[int, list[int]] = {}
-        for i, tokens in enumerate(sets):
-            for token in tokens.tolist():
-                self.lists.setdefault(token, []).append(i)
+        tokens = np.concatenate([sets[i] for i in indexed])
+        owners = np.repeat(np.array(indexed), [len(sets[i]) for i in indexed])
+        order = np.lexsort((owners, tokens))
+        self.owners, tokens = owners[order], tokens[order]
+        self.starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        self.tokens = tokens[self.starts]
+        self.ends = np.append(self.starts[1:], len(tokens))
+
+    def _aside(self, lengths: np.ndarray, need: int) -> int:
+        """How many of the lists (by rising length) are better probed than merged."""
+        n = len(lengths)
+        aside = np.arange(min(need, n))
+        merged = np.cumsum(lengths)[n - 1 - aside]
+        candidates = merged / (need - aside)
+        cost = merged * np.log2(n - aside + 1) + PROBE_WEIGHT * candidates * aside * math.log2(int(lengths[-1]) + 1)
+        return int(np.argmin(cost))
 
     def search(self, tokens: np.ndarray) -> Iterator[int]:
-        """Positions of all sets that link with ``tokens``.
+        """Positions of all indexed sets that link with ``tokens``, in order.
 
         A set that links holds at least T of the tokens. With L long lists put aside it stands in at least T - L short
         ones: those are merged by a heap, and what occurs often enough is looked up in the long ones by binary search.
         """
         size = len(tokens)
         need = -(-self.percent * size // 100)
-        lists = sorted((self.lists[t] for t in tokens.tolist() if t in self.lists), key=len)
-        if len(lists) < need:
+        at = np.searchsorted(self.tokens, tokens)
+        at = at[self.tokens[np.minimum(at, len(self.tokens) - 1)] == tokens]
+        if len(at) < need or not need:
             return
-        aside = min(int(need / (DIVIDE_WEIGHT * math.log2(len(lists[-1]) + 1) + 1)), need - 1)
+        lengths = self.ends[at] - self.starts[at]
+        order = np.argsort(lengths, kind="stable")
+        aside = self._aside(lengths[order], need)
+        lists = [self.owners[self.starts[i] : self.ends[i]].tolist() for i in at[order].tolist()]
         short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
         last, count = -1, 0
         for i in heapq.merge(*short, [len(self.sizes)]):
@@ -144,286 +127,12 @@ class InvertedLists:
         return links_up(count, size, self.sizes[i], self.percent)
 
 
-def _shared(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection: the smaller set is probed into the larger."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
-
-
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
-def search_block(
-    names: list[bytes], sets: list[np.ndarray], head: int, queries: list[int] | None, percent: int
-) -> tuple[list[tuple[bytes, bytes]], list[int]]:
-    """(links, unsettled) of one block: links that connect all members of the block that are connected at all.
-
-    First every member is compared with the head. Only those that don't link with it (the unsettled, or the given
-    ``queries``) are searched for among all members, so a group of near copies costs one comparison each.
-    """
-    forest, links = _Forest(len(sets)), []
-    unsettled = []
-    for i, tokens in enumerate(sets):
-        if i == head:
-            continue
-        if links_up(_shared(sets[head], tokens), len(sets[head]), len(tokens), percent):
-            forest.join(head, i)
-            links.append((names[head], names[i]))
-        else:
-            unsettled.append(i)
-    asked = unsettled if queries is None else queries
-    if asked and len(sets) > 2:
-        index = InvertedLists(sets, percent)
-        for i in asked:
-            for j in index.search(sets[i]):
-                if j != i and forest.join(i, j):
-                    links.append((names[i], names[j]))
-    return links, unsettled
-
-
-# ---- on Spark ------------------------------------------------------------------------------------------------------
-
-
-def _identify(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, counts = [], []
-            for _, tokens in _sets(text_bytes(batch.column("text")), size):
-                names.append(_identity(tokens) if len(tokens) else None)
-                counts.append(len(tokens))
-            nodes = [None if name is None else _node(name) for name in names]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), batch.column("mark"), pa.array(counts, pa.int64()), pa.array(names, pa.binary()),
-                    pa.array(nodes, pa.int64()),
-                ],
-                names=["doc_id", "mark", "n_shingles", "class", "node"],
-            )
+def _search(sets: list[np.ndarray], indexed: list[int], percent: int) -> Callable[[int], Iterator[int]]:
+    lists = InvertedLists(sets, indexed, percent)
+    return lambda i: lists.search(sets[i])
 
-    return run
 
-
-def _combined(keys: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
-    """The nodes that share a signature in a piece of the corpus: rows of the smallest and up to ``LIST_NODES`` others."""
-    key = np.concatenate(keys).view(np.int64)
-    node = np.repeat(np.array(nodes, dtype=np.int64), [len(k) for k in keys])
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    once = new | np.concatenate([[True], node[1:] != node[:-1]])
-    key, node, new = key[once], node[once], new[once]
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    place = np.arange(len(key)) - first
-    begins = new | ((place > 1) & ((place - 1) % LIST_NODES == 0))
-    n_others = np.bincount((np.cumsum(begins) - 1)[~new], minlength=begins.sum())
-    offsets = np.concatenate([[0], np.cumsum(n_others)]).astype(np.int32)
-    others = pa.ListArray.from_arrays(pa.array(offsets), pa.array(node[~new]), mask=pa.array(n_others == 0))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(key[begins]), pa.array(node[first[begins]]), others], names=["key", "node", "others"]
-    )
-
-
-def _sign(size: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes, held = [], [], 0
-        for batch in batches:
-            texts = text_bytes(batch.column("text"))
-            for i, tokens in _sets(texts, size):
-                found = signatures(tokens, percent)
-                held += len(texts[i])
-                if len(found):
-                    keys.append(found)
-                    nodes.append(_node(_identity(tokens)))
-                if held > COMBINE_BYTES and keys:
-                    yield _combined(keys, nodes)
-                    keys, nodes, held = [], [], 0
-        if keys:
-            yield _combined(keys, nodes)
-
-    return run
-
-
-def _tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key and node: everybody under a key, in whatever piece, is tied to its first node."""
-    last_key = last_head = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, node = (batch.column(c).to_numpy() for c in ("key", "node"))
-        others = batch.column("others")
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        head = node[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        if last_key is not None and key[0] == last_key:
-            head[key == last_key] = last_head
-        last_key, last_head = key[-1], head[-1]
-        n_others = others.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        pairs = np.stack(
-            [
-                np.concatenate([node, others.flatten().to_numpy(zero_copy_only=False)]),
-                np.concatenate([head, np.repeat(head, n_others)]),
-            ],
-            axis=1,
-        )
-        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["node", "head"])
-
-
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
-    """Rows of equal keys, which come one after the other."""
-    at, rows = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            key = tuple(row[k] for k in keys)
-            if key != at and rows:
-                yield at, rows
-                rows = []
-            at = key
-            rows.append(row)
-    if rows:
-        yield at, rows
-
-
-def _search(size: int, percent: int, asked: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (block, *_), rows in _groups(batches, ["block", "part", "chunk"]):
-            members = {}
-            for (_, tokens), row in zip(_sets([(r["text"] or "").encode() for r in rows], size), rows):
-                name = _identity(tokens)
-                if name == row["class"]:
-                    members[name] = (tokens, row["asks"] or (name in members and members[name][1]))
-            names = list(members)
-            sets = [members[name][0] for name in names]
-            head = next((i for i, name in enumerate(names) if _node(name) == block), None)
-            if head is None:
-                continue
-            queries = [i for i, name in enumerate(names) if members[name][1]] if asked else None
-            links, unsettled = search_block(names, sets, head, queries, percent)
-            a, b = [x for x, _ in links], [x for _, x in links]
-            if not asked:
-                a, b = a + [names[i] for i in unsettled], b + [None] * len(unsettled)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * len(a), pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())],
-                names=["block", "a", "b"],
-            )
-
-    return run
-
-
-_FOUND = "block long, a binary, b binary"
-_SENT = ["block", "part", "chunk", "asks", "class", "text"]
-
-
-def _searched(members: DataFrame, size: int, percent: int, asked: bool) -> DataFrame:
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = members.select(*_SENT).repartition(n, "block", "part", "chunk").sortWithinPartitions("block", "part", "chunk")
-    return dealt.mapInArrow(_search(size, percent, asked), _FOUND)
-
-
-def similar_sets(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes) of ``docs`` (doc_id, text).
-
-    ``rows`` has doc_id, mark (a hash of the text), n_shingles and class (128 bits that stand for the set; null if it
-    is empty), one row per document. ``classes`` has class, least (smallest doc_id of the component), pick (smallest
-    doc_id and mark) for each class that has several rows or a link.
-
-    Equal sets are one class from the start. Classes that can link share a signature (see ``signatures``); all classes
-    under a signature belong to the block of its smallest node. Blocks are searched exactly, the large ones in parts:
-    those that don't link with the head of their block are searched for in all its parts afterwards.
-    """
-    docs = only(docs, doc_id="doc_id", text="text").select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = stage(
-        docs.mapInArrow(
-            _identify(words), f"doc_id {id_type}, mark long, n_shingles long, class binary, node long"
-        ),
-        "shingle_sets",
-    )
-    signed = docs.select("text").mapInArrow(_sign(words, percent), "key long, node long, others array<long>")
-    tied = signed.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_tie, "node long, head long")
-    ties = stage(tied.distinct(), "ties")
-    per_class = (
-        rows.where("class IS NOT NULL")
-        .groupBy("class")
-        .agg(
-            F.first("node").alias("node"),
-            F.min("doc_id").alias("least"),
-            F.min(F.struct("doc_id", "mark")).alias("pick"),
-            F.count("*").alias("n"),
-        )
-    )
-    picked = stage(per_class, "classes")
-    pairs = ties.select(F.col("head").alias("block"), "node").union(
-        ties.select(F.col("head").alias("block"), F.col("head").alias("node")).distinct()
-    )
-    wanted = stage(
-        picked.join(pairs.select("node").distinct(), "node").select("class", "node", "pick.doc_id", "pick.mark"), "wanted"
-    )
-    asked = sent_if_small(wanted).withColumnRenamed("doc_id", "d").withColumnRenamed("mark", "m")
-    texts = stage(
-        docs.join(asked, docs.doc_id.eqNullSafe(F.col("d")) & docs.mark.eqNullSafe(F.col("m")))
-        .select("node", "class", "text")
-        .dropDuplicates(["class"]),
-        "block_texts",
-    )
-    sizes = ties.groupBy(F.col("head").alias("block")).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("parts"))
-    large = stage(sizes.where("parts > 1"), "large_blocks")
-    placed = pairs.join(large, "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    # the head stands in every part
-    part = F.when(F.col("node") == F.col("block"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(
-        F.array(F.pmod(F.xxhash64("node"), "parts"))
-    )
-    placed = placed.withColumn("part", F.explode(part))
-    members = placed.join(texts, "node").withColumn("chunk", F.lit(0).cast("long")).withColumn("asks", F.lit(False))
-    found = stage(_searched(members, words, percent, False), "block_links")
-    links = found.where("b IS NOT NULL").select("a", "b")
-    open_rows = found.where("b IS NULL").join(large, "block")
-    if open_rows.limit(1).count():
-        chunks = open_rows.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("chunks"))
-        asking = (
-            open_rows.join(chunks, "block")
-            .join(texts, open_rows.a == texts["class"])
-            .withColumn("chunk", F.pmod(F.xxhash64("a"), "chunks"))
-            .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-            .withColumn("asks", F.lit(True))
-        )
-        answering = (
-            members.drop("chunk")
-            .join(chunks, "block")
-            .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        )
-        more = _searched(asking.select(*_SENT).union(answering.select(*_SENT)), words, percent, True)
-        links = stage(links.union(more.select("a", "b")), "links")
-    if links.limit(1).count():
-        labels = components(links).withColumnRenamed("node", "class")
-    else:
-        labels = picked.where("false").select("class", F.col("class").alias("label"))
-    labelled = picked.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    multiple = labelled.groupBy("label").agg(F.min("least").alias("least"), F.min("pick").alias("pick"))
-    linked = picked.join(labels, "class", "left").where("n > 1 OR label IS NOT NULL")
-    classes = stage(
-        linked.withColumn("label", F.coalesce("label", "class"))
-        .select("class", "label")
-        .join(multiple, "label")
-        .select("class", "least", "pick"),
-        "similar_classes",
-    )
-    unstage(ties, wanted, texts, large, found, picked)
-    return rows, classes
+T_OCCURRENCE = Method(_sign, _search)
 
 
 def jaccard_components(
@@ -435,13 +144,9 @@ def jaccard_components(
     its whole sequence if that is shorter. Two documents link when 100 * intersection >= percent * union. The component
     is named by its smallest doc_id. Documents without words (null, empty or blank texts) link with nothing and keep
     their own id. Rows with equal ids or repeated rows are documents of their own; a null id counts as none when the
-    smallest is taken. An empty table gives an empty one; other columns are left out.
+    smallest is taken. Texts are read whole, however long. An empty table gives an empty one; other columns are left out.
     """
-    rows, classes = similar_sets(only(docs, doc_id=doc_id, text=text), words, percent)
-    named = classes.select("class", F.col("least").alias("component_id"))
-    return rows.join(named, "class", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    return components_of(docs, T_OCCURRENCE, doc_id, text, words, percent)
 
 
 def keep_one_per_component(
@@ -449,15 +154,7 @@ def keep_one_per_component(
 ) -> DataFrame:
     """``docs`` with one document of each component: that with the smallest doc_id (of equal ids, the smallest hash).
 
-    Documents without words are kept. Of repeated rows (same id, same text) one stays.
+    Documents without words are kept. Of repeated rows (same id, same text) one stays. Texts are read whole, however long;
+    an empty table gives an empty one; all columns are kept as they are, whatever they are called.
     """
-    rows, classes = similar_sets(only(docs, doc_id=doc_id, text=text), words, percent)
-    other = ~(F.col("doc_id").eqNullSafe(F.col("pick.doc_id")) & F.col("mark").eqNullSafe(F.col("pick.mark")))
-    gone = stage(rows.join(classes, "class").where(other).select("doc_id", "mark").distinct(), "near_copies")
-    d, m, mark = "gone_id", "gone_mark", free_name(docs, "text_mark")
-    gone = sent_if_small(gone).select(F.col("doc_id").alias(d), F.col("mark").alias(m))
-    marked = docs.withColumn(mark, F.xxhash64(F.col(text)))
-    kept = marked.join(gone, marked[doc_id].eqNullSafe(gone[d]) & (marked[mark] == gone[m]), "left_anti")
-    if rows.groupBy("doc_id", "mark").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([doc_id, mark])
-    return kept.drop(mark)
+    return one_per_component(docs, T_OCCURRENCE, doc_id, text, words, percent)

@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, each beside its SQL where there is one."""
+"""Registered queries of the operators, each beside its SQL where there is one."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from siftwell.llm.jaccard_join import jaccard_components
 from siftwell.llm.language_id import in_fold, learn_profiles, predict_language
 from siftwell.llm.license_scan import license_digest, scan_licenses
 from siftwell.llm.line_dedup import drop_frequent_lines
+from siftwell.llm.minhash_dedup import near_duplicates
 from siftwell.llm.pieces import round_trip
 from siftwell.llm.sharding import read_shards, write_shards
 from siftwell.llm.token_files import read_token_files, write_token_files
@@ -147,3 +148,8 @@ SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
 FROM keyed k LEFT JOIN frequent f ON k.key = f.key
 GROUP BY doc_id
 """
+
+
+@query
+def op13_minhash_dedup(spark, folder):
+    return near_duplicates(table(spark, folder, "documents"), words=3, percent=85)

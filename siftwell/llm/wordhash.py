@@ -22,20 +22,16 @@ NOT_ALPHANUMERIC = np.zeros(256, dtype=bool)
 NOT_ALPHANUMERIC[:128] = True
 NOT_ALPHANUMERIC[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[np.ndarray] = []
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = SEGMENT + 1
-    while size < n + 1:
-        size *= 2
-    if size not in _powers:
-        _powers.clear()
-        up = np.full(size, _BASE, dtype=np.uint64)
-        down = np.full(size, _INVERSE, dtype=np.uint64)
+    """Powers of the base and of its inverse, 0 to ``n``."""
+    if not _powers or len(_powers[0]) != n + 1:
+        up, down = np.full(n + 1, _BASE, dtype=np.uint64), np.full(n + 1, _INVERSE, dtype=np.uint64)
         up[0] = down[0] = 1
-        _powers[size] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
-    return _powers[size]
+        _powers[:] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    return _powers[0], _powers[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,44 +44,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _segments(between: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Cuts at separators, about ``SEGMENT`` bytes apart; a longer word stays whole."""
-    start, n = 0, len(between)
-    while start < n:
-        end = min(start + SEGMENT, n)
-        if end < n:
-            back = np.flatnonzero(between[start:end])
-            if len(back) and back[-1]:
-                end = start + int(back[-1])
-            else:
-                ahead = np.flatnonzero(between[end:])
-                end = end + int(ahead[0]) if len(ahead) else n
-        yield start, end
-        start = end
+def _power(n: int) -> np.uint64:
+    return np.uint64(pow(_BASE, n, 1 << 64))
 
 
 def hash_words(texts: Sequence[bytes], between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, with A-Z lower-cased, and the number of words of each text."""
+    """Hashes of all words in order, with A-Z lower-cased, and the number of words of each text.
+
+    A word's bytes are summed with powers of a base by their place in it. Bytes are taken ``SEGMENT`` at a time; a word that
+    goes on in the next segments is put together from its sums in each.
+    """
     joined = np.frombuffer(b" ".join(texts), dtype=np.uint8)
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     begins = np.concatenate([[0], np.cumsum(lengths + 1)])
     lowered, gap = _LOWER[joined], between[joined]
-    hashes, places = [], []
-    for start, end in _segments(gap):
+    up, down = _tables(SEGMENT)
+    values, sizes, places = [], [], []
+    for start in range(0, len(gap), SEGMENT):
+        end = min(start + SEGMENT, len(gap))
         inside = np.zeros(end - start + 2, dtype=np.int8)
         inside[1:-1] = ~gap[start:end]
         step = np.diff(inside)
         first, last = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        up, down = _tables(end - start)
+        if not len(first):
+            continue
         total = np.zeros(end - start + 1, dtype=np.uint64)
         np.cumsum((lowered[start:end].astype(np.uint64) + np.uint64(1)) * up[: end - start], out=total[1:])
-        value = (total[last] - total[first]) * down[first]
-        hashes.append(mix(value + (last - first).astype(np.uint64)))
-        places.append(first + start)
-    if not hashes:
+        value, size = (total[last] - total[first]) * down[first], last - first
+        if start and first[0] == 0 and not gap[start - 1]:  # the last word goes on
+            with np.errstate(over="ignore"):
+                values[-1][-1] += value[0] * _power(int(sizes[-1][-1]))
+            sizes[-1][-1] += size[0]
+            value, size, first = value[1:], size[1:], first[1:]
+        if len(first):
+            values.append(value)
+            sizes.append(size)
+            places.append(first + start)
+    if not values:
         return np.empty(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
-    all_places = np.concatenate(places)
-    return np.concatenate(hashes), np.diff(np.searchsorted(all_places, begins))
+    hashes = mix(np.concatenate(values) + np.concatenate(sizes).astype(np.uint64))
+    return hashes, np.diff(np.searchsorted(np.concatenate(places), begins))
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:

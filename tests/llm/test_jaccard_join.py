@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from siftwell.llm import jaccard_join as J
+from siftwell.llm import near_sets as N
 
 
 def brute_force(docs, size, percent):
@@ -46,70 +47,85 @@ def corpus(seed=0, bases=25, copies=9):
     return list(enumerate(texts + ["", None, "  ", "X", "x"]))
 
 
+def near_threshold(families, copies, edits, seed=1):
+    """Chains of near copies around the threshold."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(families):
+        words = rng.choices(vocabulary, k=60)
+        for _ in range(copies):
+            words = list(words)
+            for _ in range(rng.choice(edits)):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            texts.append(" ".join(words))
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def small_pieces(monkeypatch):
+    """Pieces of a few texts, rows of a few nodes, and every block searched in parts."""
+    monkeypatch.setattr(N, "COMBINE_BYTES", 2000)
+    monkeypatch.setattr(N, "LIST_NODES", 3)
+    monkeypatch.setattr(N, "INDEX_SHINGLES", 300)
+    monkeypatch.setattr(N, "PROBE_SHINGLES", 500)
+
+
 @pytest.mark.parametrize("size, percent", [(3, 90), (5, 80), (1, 50)])
 def test_equals_brute_force(spark, size, percent, monkeypatch):
-    monkeypatch.setattr(J, "BLOCK_ROWS", 6)  # also large blocks
+    small_pieces(monkeypatch)
     docs = corpus(size)
     got = J.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), words=size, percent=percent)
     assert {tuple(r) for r in got.collect()} == brute_force(docs, size, percent)
 
 
-def test_no_small_block_either(spark):
-    docs = corpus(7, 10, 20)
-    got = J.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), words=3, percent=80)
-    assert {tuple(r) for r in got.collect()} == brute_force(docs, 3, 80)
+@pytest.mark.parametrize("small", [False, True])
+def test_near_copies_around_the_threshold(spark, monkeypatch, small):
+    """A thousand texts in chains: most links are between members that don't link with the head of their block."""
+    if small:
+        small_pieces(monkeypatch)
+    docs = near_threshold(4, 250, [0, 1, 2])
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    got = J.jaccard_components(frame, words=3, percent=90)
+    assert {tuple(r) for r in got.collect()} == brute_force(docs, 3, 90)
 
 
-@pytest.mark.parametrize("pieces", [4, 8])
-def test_links_between_pieces(pieces):
-    """Chains of near copies around the threshold, the neighbours of which lie in different pieces of the corpus."""
-    rng = random.Random(1)
-    vocabulary = [f"w{i}" for i in range(400)]
-    texts = []
-    for _ in range(15):
-        words = rng.choices(vocabulary, k=60)
-        for _ in range(30):
-            words = list(words)
-            for _ in range(rng.choice([1, 2])):
-                words[rng.randrange(len(words))] = rng.choice(vocabulary)
-            texts.append(" ".join(words))
-    rng.shuffle(texts)
-    step = -(-len(texts) // pieces)
-    signed = [
-        batch
-        for k in range(0, len(texts), step)
-        for batch in J._sign(3, 80)(iter([pa.RecordBatch.from_pydict({"text": texts[k : k + step]})]))
-    ]
-    assert len(signed) == pieces
-    rows = pa.Table.from_batches(signed).sort_by([("key", "ascending"), ("node", "ascending")]).combine_chunks()
-    blocks = {}
-    for batch in J._tie(iter(rows.to_batches())):
-        for row in batch.to_pylist():
-            blocks.setdefault(row["head"], {row["head"]}).add(row["node"])
-    sets = {J._node(J._identity(tokens)): tokens for _, tokens in J._sets([t.encode() for t in texts], 3)}
-    order = {node: i for i, node in enumerate(sets)}
-    forest = J._Forest(len(order))
-    for head, members in blocks.items():
-        members = sorted(members)
-        names = [J._identity(sets[n]) for n in members]
-        for a, b in J.search_block(names, [sets[n] for n in members], members.index(head), None, 80)[0]:
-            forest.join(order[J._node(a)], order[J._node(b)])
-    nodes = [J._node(J._identity(tokens)) for _, tokens in J._sets([t.encode() for t in texts], 3)]
-    least = {}
-    for i, node in enumerate(nodes):
-        least.setdefault(forest.root(order[node]), i)
-    got = {(i, len(sets[node]), least[forest.root(order[node])]) for i, node in enumerate(nodes)}
-    assert got == brute_force(list(enumerate(texts)), 3, 80)
+def test_joins_shuffle_what_is_too_large_to_send(spark, monkeypatch):
+    from siftwell.llm import columns
+
+    monkeypatch.setattr(columns, "BROADCAST_BYTES", 0)
+    docs = corpus(4, 8, 9)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {tuple(r) for r in J.jaccard_components(frame, words=3, percent=80).collect()} == brute_force(docs, 3, 80)
+    kept = {r["doc_id"] for r in J.keep_one_per_component(frame, words=3, percent=80).collect()}
+    assert kept == {c for _, _, c in brute_force(docs, 3, 80)}
+
+
+def test_a_block_is_searched_until_all_is_connected(monkeypatch):
+    """Members known to be connected are not compared again."""
+    sets = [np.arange(i, i + 40).astype(np.uint64) for i in range(12)]
+    asked = []
+
+    def search(sets, indexed, percent):
+        found = J.T_OCCURRENCE.search(sets, indexed, percent)
+        return lambda i: (asked.append(i), found(i))[1]
+
+    method = N.Method(J.T_OCCURRENCE.sign, search)
+    links = N.search_block(sets, [b"x"] * 10 + [b"y", b"z"], [10, 11], list(range(12)), method, 90)
+    assert len(links) == 2 and len(asked) < 12
+    assert N.search_block(sets, [b"x"] * 12, [10, 11], list(range(12)), method, 90) == []
 
 
 @pytest.mark.parametrize("list_nodes", [1, 2, 64])
 def test_everybody_under_a_signature_is_tied_to_the_smallest(monkeypatch, list_nodes):
-    monkeypatch.setattr(J, "LIST_NODES", list_nodes)
+    monkeypatch.setattr(N, "LIST_NODES", list_nodes)
     rng = np.random.default_rng(2)
-    pieces = [[(rng.integers(0, 9, 4).astype(np.uint64), int(n)) for n in rng.integers(0, 30, 12)] for _ in range(5)]
-    rows = pa.Table.from_batches([J._combined([k for k, _ in piece], [n for _, n in piece]) for piece in pieces])
+    pieces = [[(rng.integers(0, 9, 4), int(n)) for n in rng.integers(0, 30, 12)] for _ in range(5)]
+    rows = pa.Table.from_batches(
+        [N.combined(np.concatenate([k for k, _ in piece]), np.repeat([n for _, n in piece], 4)) for piece in pieces]
+    )
     batches = rows.sort_by([("key", "ascending"), ("node", "ascending")]).combine_chunks().to_batches(max_chunksize=3)
-    got = {(r["node"], r["head"]) for b in J._tie(iter(batches)) for r in b.to_pylist()}
+    got = {(r["node"], r["head"]) for b in N.tie(iter(batches)) for r in b.to_pylist()}
     under = {}
     for keys, node in (pair for piece in pieces for pair in piece):
         for key in keys.tolist():
@@ -126,18 +142,19 @@ def test_every_linked_pair_shares_a_signature():
                 a = np.unique(pool[:n])
                 change = rng.integers(1, max(2, n * (100 - percent) // 100 + 1))
                 b = np.unique(np.concatenate([a[change:], pool[n : n + rng.integers(0, change + 1)]]))
-                if J.links_up(len(np.intersect1d(a, b)), len(a), len(b), percent) and len(np.setxor1d(a, b)):
+                if N.links_up(len(np.intersect1d(a, b)), len(a), len(b), percent) and len(np.setxor1d(a, b)):
                     assert np.intersect1d(J.signatures(a, percent), J.signatures(b, percent)).size
 
 
 @pytest.mark.parametrize("weight", [0.0001, 0.05, 100])
 def test_divided_lists_find_what_a_scan_finds(monkeypatch, weight):
-    monkeypatch.setattr(J, "DIVIDE_WEIGHT", weight)
+    monkeypatch.setattr(J, "PROBE_WEIGHT", weight)
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(80)]
-    index = J.InvertedLists(sets, 60)
+    indexed = [i for i in range(80) if i % 3]
+    index = J.InvertedLists(sets, indexed, 60)
     for s in sets:
-        want = [i for i, t in enumerate(sets) if J.links_up(len(np.intersect1d(s, t)), len(s), len(t), 60)]
+        want = [i for i in indexed if N.links_up(len(np.intersect1d(s, sets[i])), len(s), len(sets[i]), 60)]
         assert list(index.search(s)) == want
 
 
