@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.llm.collocations import collocations
 from siftwell.llm.columns import LOWER, UPPER
 from siftwell.llm.decontamination import EDIT_WORDS, find_leaks
 from siftwell.llm.fingerprints import fingerprint_neighbours
@@ -150,6 +151,46 @@ GROUP BY doc_id
 """
 
 
+@query
+def op12_collocations(spark, folder):
+    return collocations(table(spark, folder, "documents"))
+
+
+def collocations_sql(min_count: int = 30, top: int = 2000) -> str:
+    grams = " UNION ALL ".join(
+        f"SELECT lang, {k} AS k, w[i:i + {k - 1}] AS g FROM (SELECT lang, w, unnest(range(1, len(w) - {k - 2})) AS i FROM words)"
+        for k in (1, 2, 3, 4)
+    )
+    return f"""
+WITH words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)),
+f AS MATERIALIZED (SELECT lang, k, g, count(*) AS f FROM ({grams}) GROUP BY ALL),
+totals AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+cand AS MATERIALIZED (SELECT lang, k, g, f AS a FROM f WHERE k > 1 AND f >= {min_count}),
+cuts AS (SELECT lang, k, g, a, unnest(range(1, k)) AS c FROM cand),
+scored AS (
+  SELECT cuts.*, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.g = cuts.g[1:cuts.c] JOIN f y ON y.lang = cuts.lang AND y.g = cuts.g[cuts.c + 1:cuts.k]),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1),
+inside AS (
+  SELECT lang, g[i:i + m - 1] AS g, max(a) AS longer
+  FROM (SELECT lang, g, a, k, m, unnest(range(1, k - m + 2)) AS i FROM cand, (VALUES (2), (3)) v(m) WHERE m < k)
+  GROUP BY ALL),
+kept AS (
+  SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, score
+  FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.g = b.g WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= {top}
+"""
+
+
+ORACLES["op12_collocations"] = collocations_sql()
+
+
 @query
 def op13_minhash_dedup(spark, folder):
     return near_duplicates(table(spark, folder, "documents"), words=3, percent=85)

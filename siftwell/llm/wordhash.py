@@ -48,30 +48,29 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(_BASE, n, 1 << 64))
 
 
-def hash_words(texts: Sequence[bytes], between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, with A-Z lower-cased, and the number of words of each text.
+def word_spans(joined: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, bytes) of all words of some UTF-8, in order, with A-Z lower-cased; ``between`` marks the bytes between words.
 
     A word's bytes are summed with powers of a base by their place in it. Bytes are taken ``SEGMENT`` at a time; a word that
     goes on in the next segments is put together from its sums in each.
     """
-    joined = np.frombuffer(b" ".join(texts), dtype=np.uint8)
-    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    begins = np.concatenate([[0], np.cumsum(lengths + 1)])
-    lowered, gap = _LOWER[joined], between[joined]
     up, down = _tables(SEGMENT)
     values, sizes, places = [], [], []
-    for start in range(0, len(gap), SEGMENT):
-        end = min(start + SEGMENT, len(gap))
-        inside = np.zeros(end - start + 2, dtype=np.int8)
-        inside[1:-1] = ~gap[start:end]
+    before = True
+    for start in range(0, len(joined), SEGMENT):
+        piece = joined[start : start + SEGMENT]
+        gap = between[piece]
+        inside = np.zeros(len(piece) + 2, dtype=np.int8)
+        inside[1:-1] = ~gap
         step = np.diff(inside)
         first, last = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        goes_on, before = not before, gap[-1]
         if not len(first):
             continue
-        total = np.zeros(end - start + 1, dtype=np.uint64)
-        np.cumsum((lowered[start:end].astype(np.uint64) + np.uint64(1)) * up[: end - start], out=total[1:])
+        total = np.zeros(len(piece) + 1, dtype=np.uint64)
+        np.cumsum((_LOWER[piece].astype(np.uint64) + np.uint64(1)) * up[: len(piece)], out=total[1:])
         value, size = (total[last] - total[first]) * down[first], last - first
-        if start and first[0] == 0 and not gap[start - 1]:  # the last word goes on
+        if goes_on and first[0] == 0:
             with np.errstate(over="ignore"):
                 values[-1][-1] += value[0] * _power(int(sizes[-1][-1]))
             sizes[-1][-1] += size[0]
@@ -81,9 +80,18 @@ def hash_words(texts: Sequence[bytes], between: np.ndarray) -> tuple[np.ndarray,
             sizes.append(size)
             places.append(first + start)
     if not values:
-        return np.empty(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
-    hashes = mix(np.concatenate(values) + np.concatenate(sizes).astype(np.uint64))
-    return hashes, np.diff(np.searchsorted(np.concatenate(places), begins))
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    size = np.concatenate(sizes)
+    return mix(np.concatenate(values) + size.astype(np.uint64)), np.concatenate(places), size
+
+
+def hash_words(texts: Sequence[bytes], between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, with A-Z lower-cased, and the number of words of each text."""
+    joined = np.frombuffer(b" ".join(texts), dtype=np.uint8)
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    begins = np.concatenate([[0], np.cumsum(lengths + 1)])
+    hashes, places, _ = word_spans(joined, between)
+    return hashes, np.diff(np.searchsorted(places, begins))
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
