@@ -20,6 +20,7 @@ from siftwell.llm.pieces import round_trip
 from siftwell.llm.sharding import read_shards, write_shards
 from siftwell.llm.token_files import read_token_files, write_token_files
 from siftwell.llm.url_filter import judge_urls
+from siftwell.llm.whitening import whiten
 from siftwell.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,6 +152,11 @@ GROUP BY doc_id
 """
 
 
+@query
+def op11_whitening(spark, folder):
+    return whiten(table(spark, folder, "embeddings"))
+
+
 @query
 def op12_collocations(spark, folder):
     return collocations(table(spark, folder, "documents"))
