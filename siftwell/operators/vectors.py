@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.operators.ranking import top_k_per_group
+from siftwell.session import stage
 
 SEARCH_LIMIT = 5
 SCORE_DIGITS = 6
-# queries that are sent to the tasks at a time
-QUERY_BLOCK_BYTES = 32 << 20
+# most cells, vectors of a cell that a task holds, queries that are streamed past them, and rows whose cells are looked up at a time
+MAX_PIVOTS = 1024
+CELL_ROWS = 50_000
+QUERY_ROWS = 200_000
+ASSIGN_ROWS = 4096
+# by how much a bound may be too low: scores are rounded, angles computed
+SLACK = 2e-6
 # below every cosine: stands for the undefined score of a zero or missing vector inside a task
 UNDEFINED = -2.0
 
@@ -23,6 +32,7 @@ UNDEFINED = -2.0
 SCORE_CELLS = 4_000_000
 
 CANDIDATES = "query_id long, doc_id long, score double"
+_ASKING = "query_id long, vector array<double>, cells array<int>"
 
 
 def _unit_rows(vectors: pa.ListArray) -> np.ndarray:
@@ -101,6 +111,36 @@ class _Best:
         )
 
 
+@dataclass(frozen=True)
+class Cells:
+    """Cells around unit pivots: how many vectors each holds, and the least and largest angle between them and the pivot."""
+
+    pivots: np.ndarray
+    counts: np.ndarray
+    least: np.ndarray
+    largest: np.ndarray
+
+    def angles(self, rows: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(rows @ self.pivots.T, -1, 1))
+
+    def nearest(self, rows: np.ndarray, k: int) -> list[np.ndarray]:
+        """For each row the nearest cells, as many as it takes to hold ``k`` vectors."""
+        order = np.argsort(self.angles(rows), axis=1, kind="stable")
+        held = np.cumsum(self.counts[order], axis=1)
+        return [o[: n + 1][self.counts[o[: n + 1]] > 0] for o, n in zip(order, (held < k).sum(axis=1))]
+
+    def within(self, rows: np.ndarray, scores: np.ndarray) -> list[np.ndarray]:
+        """For each row the cells that may hold a vector of at least that cosine.
+
+        Angles obey the triangle inequality: a vector at angle v from a pivot that is at angle p from the row is at least
+        |p - v| away from the row.
+        """
+        angles = self.angles(rows)
+        apart = np.maximum(np.maximum(angles - self.largest, self.least - angles), 0)
+        near = (np.cos(apart) + SLACK >= scores[:, None]) & (self.counts > 0)
+        return [np.flatnonzero(n) for n in near]
+
+
 def dense_topk(
     queries: DataFrame,
     corpus: DataFrame,
@@ -108,56 +148,191 @@ def dense_topk(
     query_id: str = "query_id",
     doc_id: str = "doc_id",
     vector: str = "vector",
-    block_bytes: int = QUERY_BLOCK_BYTES,
 ) -> DataFrame:
     """The ``k`` documents of highest cosine similarity per query, ties by document id.
 
-    Returns (query_id, doc_id, score, rank). A document with several vectors counts as its most
-    similar one; a zero or missing vector has no score and ranks last. Queries are sent out in blocks of
-    ``block_bytes``; for each, every task multiplies its part of the corpus with the block and keeps ``k``
-    documents per query, so what is shuffled does not grow with the corpus rows.
+    Returns (query_id, doc_id, score, rank). A document with several vectors counts as its most similar one; a zero or
+    missing vector has no score and ranks last. Exact: the corpus is dealt into cells around at most ``MAX_PIVOTS`` of its
+    vectors. A query asks its nearest cells first, which gives its k-th score so far, then only those others that the
+    triangle inequality does not rule out. Cells meet their queries in tasks of at most ``CELL_ROWS`` vectors; queries are
+    streamed past them, ``QUERY_ROWS`` to a task, and ``k`` documents per query and task come back. How much is ruled out
+    depends on the data: of vectors without any clusters, nothing.
     """
+    spark = corpus.sparkSession
     questions = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).alias("vector"))
     documents = corpus.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(vector).alias("vector"))
-    candidates = None
-    for block in _query_blocks(questions, block_bytes):
-        found = _search_block(block, documents, k)
-        candidates = found if candidates is None else candidates.unionAll(found)
-    if candidates is None:
-        candidates = documents.sparkSession.createDataFrame([], CANDIDATES)
-    best = candidates.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    pivots = _pivots(documents)
+    dealt = stage(documents.mapInArrow(_assign(pivots), "doc_id long, vector array<double>, cell int, angle double, spread long"), "cells")
+    undefined = dealt.where("cell IS NULL").select("doc_id").distinct()
+    dealt = dealt.where("cell IS NOT NULL")
+    # one row for each pivot at most
+    sizes = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi")).collect()
+    counts, least, largest = np.zeros(len(pivots), np.int64), np.zeros(len(pivots)), np.zeros(len(pivots))
+    for row in sizes:
+        counts[row["cell"]], least[row["cell"]], largest[row["cell"]] = row["n"], row["lo"], row["hi"]
+    cells = spark.sparkContext.broadcast(Cells(pivots, counts, least, largest))
+    parts = {row["cell"]: -(-row["n"] // CELL_ROWS) for row in sizes}
+
+    first = stage(questions.mapInArrow(_first_cells(cells, k), _ASKING), "first_cells")
+    found = stage(_asked(first.where("cells IS NOT NULL"), dealt, parts, k), "first_found")
+    floor = _best(found, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    rest = first.where("cells IS NOT NULL").join(floor, "query_id", "left").mapInArrow(_other_cells(cells), _ASKING)
+    second = stage(rest, "other_cells")
+    found = found.unionAll(_asked(second, dealt, parts, k))
+    # what has no score: all documents for a query without a vector, documents without one where others are too few
+    void = first.where("cells IS NULL").select("query_id")
+    ids = [r["doc_id"] for r in documents.select("doc_id").distinct().orderBy("doc_id").limit(k).collect()]
+    found = found.unionAll(_unscored(void, ids))
+    last = [r["doc_id"] for r in undefined.orderBy("doc_id").limit(k).collect()]
+    if last and dealt.select("doc_id").distinct().limit(k).count() < k:
+        found = found.unionAll(_unscored(first.where("cells IS NOT NULL").select("query_id"), last))
+    return _best(found, k)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    best = found.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
     return top_k_per_group(best, ["query_id"], [F.col("score").desc_nulls_last(), F.col("doc_id")], k)
 
 
-def _query_blocks(questions: DataFrame, block_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, unit rows) of the queries, a block at a time; the driver holds no more than one."""
-
-    def block() -> tuple[np.ndarray, np.ndarray]:
-        return np.array(ids, np.int64), _unit_rows(pa.array(vectors, pa.list_(pa.float64())))
-
-    ids, vectors, width = [], [], 1
-    for row in questions.toLocalIterator():
-        ids.append(row.query_id)
-        vectors.append(row.vector)
-        width = max(width, len(row.vector or ()))
-        if 8 * width * len(ids) >= block_bytes:
-            yield block()
-            ids, vectors = [], []
-    if ids:
-        yield block()
-
-
-def _search_block(block: tuple[np.ndarray, np.ndarray], documents: DataFrame, k: int) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast(block)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, query_rows = shared.value
-        best = _Best(query_ids, k)
+def _unscored(queries: DataFrame, ids: list[int]) -> DataFrame:
+    listed = F.array(*map(F.lit, ids)).cast("array<long>")
+    return queries.select("query_id", F.explode(listed).alias("doc_id"), F.lit(None).cast("double").alias("score"))
+
+
+def _pivots(documents: DataFrame) -> np.ndarray:
+    """Distinct unit vectors of a sample, that of the smallest hashes: at most ``MAX_PIVOTS``, and the square root of the rows."""
+    wanted = min(MAX_PIVOTS, math.isqrt(documents.count()) + 1)
+    sample = documents.where(F.size("vector") > 0).orderBy(F.xxhash64("doc_id", "vector")).select("vector").limit(wanted)
+    rows = _unit_rows(sample.select(F.col("vector").cast("array<double>").alias("vector")).toArrow()["vector"].combine_chunks())
+    rows = rows[~np.isnan(rows).any(axis=1)]
+    return np.unique(rows, axis=0) if len(rows) else rows.reshape(0, 0)
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(rows).ravel(), pa.float64()))
+
+
+def _assign(pivots: np.ndarray):
+    """The nearest pivot of every document; no cell for those without a score. ``spread`` deals a cell's rows to its parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
+        for whole in batches:
+            for start in range(0, whole.num_rows, ASSIGN_ROWS):
+                batch = whole.slice(start, ASSIGN_ROWS)
+                rows = _unit_rows(batch.column("vector"))
+                void = np.isnan(rows).any(axis=1) if rows.shape[1] else np.ones(len(rows), bool)
+                cell, cosine = np.zeros(len(rows), np.int32), np.zeros(len(rows))
+                if not void.all():
+                    scores = rows[~void] @ pivots.T
+                    cell[~void] = scores.argmax(axis=1)
+                    cosine[~void] = np.clip(scores.max(axis=1), -1, 1)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id"), _lists(rows), pa.array(cell, mask=void), pa.array(np.arccos(cosine)),
+                        pa.array(np.arange(done, done + len(rows))),
+                    ],
+                    names=["doc_id", "vector", "cell", "angle", "spread"],
+                )
+                done += len(rows)
+
+    return run
+
+
+def _asking(batch: pa.RecordBatch, rows: np.ndarray, cells: list) -> pa.RecordBatch:
+    columns = [batch.column("query_id"), _lists(rows), pa.array(cells, pa.list_(pa.int32()))]
+    return pa.RecordBatch.from_arrays(columns, names=["query_id", "vector", "cells"])
+
+
+def _first_cells(cells: Broadcast, k: int):
+    """Unit vectors of the queries and the cells they ask first; no list for those without a vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, ASSIGN_ROWS):
+                batch = whole.slice(start, ASSIGN_ROWS)
+                rows = _unit_rows(batch.column("vector"))
+                void = np.isnan(rows).any(axis=1) if rows.shape[1] else np.ones(len(rows), bool)
+                if not len(cells.value.pivots):
+                    void[:] = True
+                chosen: list = [None] * len(rows)
+                if not void.all():
+                    for i, found in zip(np.flatnonzero(~void).tolist(), cells.value.nearest(rows[~void], k)):
+                        chosen[i] = found
+                yield _asking(batch, rows, chosen)
+
+    return run
+
+
+def _other_cells(cells: Broadcast):
+    """Cells that may still hold one of the best, less those already asked; queries without any are done."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, ASSIGN_ROWS):
+                batch = whole.slice(start, ASSIGN_ROWS)
+                rows = _unit_rows(batch.column("vector"))
+                floor = batch.column("floor").fill_null(UNDEFINED).to_numpy(zero_copy_only=False)
+                asked = batch.column("cells").to_pylist()
+                rest = [np.setdiff1d(near, a) for near, a in zip(cells.value.within(rows, floor), asked)]
+                some = pa.array([len(r) > 0 for r in rest])
+                yield _asking(batch, rows, rest).filter(some)
+
+    return run
+
+
+def _asked(asking: DataFrame, dealt: DataFrame, parts: dict[int, int], k: int) -> DataFrame:
+    """(query_id, doc_id, score): the ``k`` best of each task for every query that asks its cell."""
+    spark = asking.sparkSession
+    asks = asking.select("query_id", "vector", F.explode("cells").alias("cell"))
+    # one row for each pivot at most
+    chunks = {r["cell"]: -(-r["count"] // QUERY_ROWS) for r in asking.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect()}
+    if not chunks:
+        return spark.createDataFrame([], CANDIDATES)
+    grid = F.broadcast(spark.createDataFrame([(c, parts[c], n) for c, n in chunks.items()], "cell int, parts long, chunks long"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    questions = asks.join(grid, "cell").select(
+        "cell", upto("parts").alias("part"), F.pmod(F.xxhash64("query_id"), "chunks").alias("chunk"), F.lit(1).alias("side"),
+        F.col("query_id").alias("id"), "vector",
+    )
+    held = dealt.join(grid, "cell").select(
+        "cell", F.pmod("spread", "parts").alias("part"), upto("chunks").alias("chunk"), F.lit(0).alias("side"),
+        F.col("doc_id").alias("id"), "vector",
+    )
+    both = held.unionAll(questions).select(F.xxhash64("cell", "part", "chunk").alias("task"), "side", "id", "vector")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(n, "task").sortWithinPartitions("task", "side").mapInArrow(_scan(k), CANDIDATES)
+
+
+def _scan(k: int):
+    """A task's vectors are held, then its queries streamed past them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, held, matrix, ids = None, [], None, None
         for batch in batches:
-            best.add(query_rows, batch.column("doc_id").to_numpy(), _unit_rows(batch.column("vector")))
-        yield best.batch()
-
-    return documents.mapInArrow(search, CANDIDATES)
+            if not batch.num_rows:
+                continue
+            at, side = batch.column("task").to_numpy(), batch.column("side").to_numpy()
+            cuts = np.flatnonzero((at[1:] != at[:-1]) | (side[1:] != side[:-1])) + 1
+            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)]):
+                rows = batch.slice(start, end - start)
+                if at[start] != task:
+                    task, held, matrix = at[start], [], None
+                if side[start] == 0:
+                    held.append((rows.column("id").to_numpy(), _matrix(rows)))
+                elif held:
+                    if matrix is None:
+                        ids, matrix = np.concatenate([i for i, _ in held]), np.concatenate([m for _, m in held])
+                    best = _Best(rows.column("id").to_numpy(), k)
+                    best.add(_matrix(rows), ids, matrix)
+                    yield best.batch()
+
+    return run
+
+
+def _matrix(rows: pa.RecordBatch) -> np.ndarray:
+    return rows.column("vector").flatten().to_numpy().reshape(rows.num_rows, -1)
 
 
 def recommend_postings(

@@ -37,21 +37,61 @@ def close(got, want):
         assert (g[2] is None) == (w[2] is None) and (g[2] is None or math.isclose(g[2], w[2], abs_tol=2e-6))
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 7 * 32])
-@pytest.mark.parametrize("partitions", [1, 4, 17])
-def test_dense_search_equals_brute_force(spark, block_bytes, partitions):
+@pytest.mark.parametrize("cell_rows, query_rows", [(50_000, 200_000), (9, 5)])
+@pytest.mark.parametrize("partitions", [1, 17])
+def test_dense_search_equals_brute_force(spark, monkeypatch, cell_rows, query_rows, partitions):
+    """Ties, zero and missing vectors, and a hot cell of copies, in one part or in many."""
+    monkeypatch.setattr(V, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(V, "QUERY_ROWS", query_rows)
     rng = random.Random(partitions)
     corpus = [(i // 2, [rng.randint(-2, 2) * 1.0 for _ in range(4)]) for i in range(300)]
     corpus += [(900 + i % 3, [1.0, 1.0, 0.0, 0.0]) for i in range(150)]  # copies, and ties between ids
     corpus += [(2000, [0.0] * 4), (2001, None)]
     queries = [(i, [rng.randint(-2, 2) * 1.0 for _ in range(4)]) for i in range(30)] + [(99, [0.0] * 4), (98, None)]
     got = V.dense_topk(
-        vectors(spark, queries, "query_id"), vectors(spark, corpus, "doc_id").repartition(partitions), 5,
-        block_bytes=block_bytes,
+        vectors(spark, queries, "query_id"), vectors(spark, corpus, "doc_id").repartition(partitions), 5
     ).collect()
     close(got, brute(queries, corpus, 5))
 
 
+def clustered(seed, clusters, each, size=16):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, size))
+    return np.concatenate([c + 0.05 * rng.normal(size=(each, size)) for c in centres])
+
+
+def test_few_cells_are_asked_where_vectors_cluster(spark):
+    rows = clustered(1, 30, 40).astype(np.float32)
+    corpus = [(i, v.tolist()) for i, v in enumerate(rows)]
+    queries = [(i, v) for i, v in corpus if i % 13 == 0]
+    got = V.dense_topk(vectors(spark, queries, "query_id"), vectors(spark, corpus, "doc_id"), 5).collect()
+    close(got, brute(queries, corpus, 5))
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    pivots = unit[::37]
+    angle = np.arccos(np.clip(unit @ pivots.T, -1, 1))
+    cell = angle.argmin(axis=1)
+    own = [angle[cell == c, c] for c in range(len(pivots))]
+    cells = V.Cells(pivots, np.bincount(cell, minlength=len(pivots)), np.array([o.min() for o in own]), np.array([o.max() for o in own]))
+    scores = np.sort(unit @ unit.T, axis=1)[:, -5]
+    asked = [np.union1d(a, b) for a, b in zip(cells.nearest(unit, 5), cells.within(unit, scores))]
+    assert sum(cells.counts[a].sum() for a in asked) < 0.15 * len(unit) ** 2
+    for i, a in enumerate(asked):  # nothing that reaches the score is left out
+        assert np.isin(cell[unit @ unit[i] >= scores[i] - 1e-7], a).all()
+
+
+def test_queries_stay_on_the_executors(spark, monkeypatch):
+    """What reaches the driver are pivots, a row for each cell, and k ids."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    seen = []
+    take = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: seen.append(len(found := take(df))) or found)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda *a, **b: pytest.fail("rows passed through the driver"))
+    rows = [(i, v.tolist()) for i, v in enumerate(clustered(2, 9, 50, 6))]
+    V.dense_topk(vectors(spark, rows, "query_id"), vectors(spark, rows, "doc_id"), 3)
+    assert seen and max(seen) <= 22
+
+
 def test_undefined_scores_rank_last(spark):
     corpus = vectors(spark, [(1, [0.0, 0.0]), (2, [-1.0, 0.0])], "doc_id")
     rows = V.dense_topk(vectors(spark, [(7, [1.0, 0.0])], "query_id"), corpus).orderBy("rank").collect()
