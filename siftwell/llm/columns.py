@@ -33,6 +33,10 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
 BROADCAST_BYTES = 64 << 20
 
 
-def sent_if_small(staged: DataFrame, row_bytes: int) -> DataFrame:
-    """A written table, marked for broadcasting if its rows, of at most ``row_bytes`` each, are few; else the join shuffles it."""
-    return F.broadcast(staged) if staged.count() * row_bytes <= BROADCAST_BYTES else staged
+def sent_if_small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
+    """``df``, marked for broadcasting if its rows, of at most ``row_bytes`` each, are few; else the join shuffles it.
+
+    ``rows`` is a bound on their number; without it the rows are counted, so ``df`` should be a written table.
+    """
+    rows = df.count() if rows is None else rows
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import heapq
 import math
-from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from siftwell.llm.near_sets import Method, components_of, links_up, one_per_component
+from siftwell.llm.near_sets import Method, components_of, one_per_component
 from siftwell.llm.wordhash import mix
 
 #: A step of a binary search as a share of a step of the heap, in the choice of the lists that are probed.
-PROBE_WEIGHT = 0.3
+PROBE_WEIGHT = 0.01
+#: Long lists that are probed at a time.
+PROBED_AT_ONCE = 8
 
 
 @cache
@@ -72,15 +73,19 @@ class InvertedLists:
     """Inverted lists over the shingles of some sets, searched by dividing them into short and long ones."""
 
     def __init__(self, sets: list[np.ndarray], indexed: list[int], percent: int):
-        self.sizes = [len(s) for s in sets]
+        self.sizes = np.array([len(s) for s in sets])
         self.percent = percent
         tokens = np.concatenate([sets[i] for i in indexed])
         owners = np.repeat(np.array(indexed), [len(sets[i]) for i in indexed])
         order = np.lexsort((owners, tokens))
-        self.owners, tokens = owners[order], tokens[order]
-        self.starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        owners, tokens = owners[order], tokens[order]
+        new = np.concatenate([[True], tokens[1:] != tokens[:-1]])
+        self.starts = np.flatnonzero(new)
         self.tokens = tokens[self.starts]
         self.ends = np.append(self.starts[1:], len(tokens))
+        self.owners = owners.tolist()
+        # list and owner as one number: all lists, one after the other, are a single sorted array
+        self.entries = (np.cumsum(new) - 1) * len(sets) + owners
 
     def _aside(self, lengths: np.ndarray, need: int) -> int:
         """How many of the lists (by rising length) are better probed than merged."""
@@ -97,8 +102,7 @@ class InvertedLists:
         A set that links holds at least T of the tokens. With L long lists put aside it stands in at least T - L short
         ones: those are merged by a heap, and what occurs often enough is looked up in the long ones by binary search.
         """
-        size = len(tokens)
-        need = -(-self.percent * size // 100)
+        need = -(-self.percent * len(tokens) // 100)
         at = np.searchsorted(self.tokens, tokens)
         at = at[self.tokens[np.minimum(at, len(self.tokens) - 1)] == tokens]
         if len(at) < need or not need:
@@ -106,25 +110,35 @@ class InvertedLists:
         lengths = self.ends[at] - self.starts[at]
         order = np.argsort(lengths, kind="stable")
         aside = self._aside(lengths[order], need)
-        lists = [self.owners[self.starts[i] : self.ends[i]].tolist() for i in at[order].tolist()]
-        short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+        short, long = at[order[: len(at) - aside]], at[order[len(at) - aside :]]
+        found, counts = [], []
         last, count = -1, 0
-        for i in heapq.merge(*short, [len(self.sizes)]):
+        lists = [self.owners[a:b] for a, b in zip(self.starts[short].tolist(), self.ends[short].tolist())]
+        for i in heapq.merge(*lists, [len(self.sizes)]):
             if i == last:
                 count += 1
                 continue
-            if last >= 0 and count >= need - aside and self._reaches(last, count, size, long):
-                yield last
+            if last >= 0 and count >= need - aside:
+                found.append(last)
+                counts.append(count)
             last, count = i, 1
-
-    def _reaches(self, i: int, count: int, size: int, long: list[list[int]]) -> bool:
-        want = -(-self.percent * (size + self.sizes[i]) // (100 + self.percent))
-        for left, entries in zip(range(len(long), 0, -1), long):
-            if count + left < want:
-                return False
-            at = bisect_left(entries, i)
-            count += at < len(entries) and entries[at] == i
-        return links_up(count, size, self.sizes[i], self.percent)
+        if found:
+            yield from self._reaching(np.array(found), np.array(counts), len(tokens), long)
+
+    def _reaching(self, found: np.ndarray, counts: np.ndarray, size: int, long: np.ndarray) -> list[int]:
+        """Those that link: looked up in a few long lists at a time, the shortest first, until they can't reach the overlap."""
+        want = -(-self.percent * (size + self.sizes[found]) // (100 + self.percent))
+        for start in range(0, len(long), PROBED_AT_ONCE):
+            alive = counts + len(long) - start >= want
+            found, counts, want = found[alive], counts[alive], want[alive]
+            if not len(found):
+                return []
+            asked = (long[start : start + PROBED_AT_ONCE, None] * len(self.sizes) + found).ravel()
+            at = np.searchsorted(self.entries, asked)
+            hit = self.entries[np.minimum(at, len(self.entries) - 1)] == asked
+            counts = counts + hit.reshape(-1, len(found)).sum(axis=0)
+        sizes = self.sizes[found]
+        return found[100 * counts >= self.percent * (size + sizes - counts)].tolist()
 
 
 def _search(sets: list[np.ndarray], indexed: list[int], percent: int) -> Callable[[int], Iterator[int]]:

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.near_sets import Method, components_of, links_up, one_per_component, shared_count
+from siftwell.llm.near_sets import Method, components_of, one_per_component
 from siftwell.llm.wordhash import mix
 
 #: Minhashes in each of the two parts of a table key, and the share of links that no table finds.
@@ -55,21 +55,26 @@ def _table_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nd
     return keys.ravel(), np.full(len(sets), keys.shape[1])
 
 
-def _meeting(sets: list[np.ndarray], indexed: list[int], percent: int) -> Callable[[int], Iterator[int]]:
-    """Sets of ``indexed`` that share a table key with set i and link with it by their whole shingles."""
-    one, two = collections(sets, percent)
-    ones, twos = one[indexed], two[indexed]
+def _confirmed(sets: list[np.ndarray], indexed: list[int], percent: int) -> Callable[[int], Iterator[int]]:
+    """Sets of ``indexed`` that link with set i, by the number of shingles they share: those of i are looked up at once."""
+    tokens = np.concatenate([sets[j] for j in indexed])
+    owner = np.repeat(np.arange(len(indexed)), [len(sets[j]) for j in indexed])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    sizes = np.array([len(sets[j]) for j in indexed])
 
     def found(i: int) -> Iterator[int]:
-        for k in np.flatnonzero((ones == one[i]).any(axis=1) & (twos == two[i]).any(axis=1)).tolist():
-            j = indexed[k]
-            if links_up(shared_count(sets[i], sets[j]), len(sets[i]), len(sets[j]), percent):
-                yield j
+        start, end = np.searchsorted(tokens, sets[i]), np.searchsorted(tokens, sets[i], side="right")
+        n = end - start
+        at = np.repeat(end - np.cumsum(n), n) + np.arange(n.sum())
+        shared = np.bincount(owner[at], minlength=len(indexed))
+        for j in np.flatnonzero(100 * shared >= percent * (len(sets[i]) + sizes - shared)).tolist():
+            yield indexed[j]
 
     return found
 
 
-TENSORED_MINHASH = Method(_table_keys, _meeting)
+TENSORED_MINHASH = Method(_table_keys, _confirmed)
 
 
 def near_duplicates(

@@ -22,6 +22,8 @@ from siftwell.session import stage, unstage
 COMBINE_BYTES = 16 << 20
 #: Nodes in one row of those that share a signature.
 LIST_NODES = 64
+#: Most bytes of a row of two classes, or of a class and some numbers, in memory.
+PAIR_BYTES = 120
 #: Shingles that a task indexes and shingles that it looks up in them; larger blocks are searched in parts.
 INDEX_SHINGLES, PROBE_SHINGLES = 500_000, 4_000_000
 
@@ -40,14 +42,6 @@ def links_up(shared: int, a: int, b: int, percent: int) -> bool:
     return 100 * shared >= percent * (a + b - shared)
 
 
-def shared_count(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection: the smaller set is probed into the larger."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
-
-
 # ---- sets of texts -------------------------------------------------------------------------------------------------
 
 
@@ -178,11 +172,11 @@ def _can_link(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) for the classes of each pair, by their whole sets."""
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int, rows: int) -> DataFrame:
+    """(a, b, linked) for the classes of each pair, at most ``rows`` of them, by their whole sets."""
     left = sets.select(F.col("class").alias("a"), F.col("hashes").alias("of_a"))
     right = sets.select(F.col("class").alias("b"), F.col("hashes").alias("of_b"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    both = left.join(sent_if_small(pairs.select("a", "b"), PAIR_BYTES, rows), "a").join(right, "b")
     shared = F.size(F.array_intersect("of_a", "of_b")).cast("long")
     union = F.size("of_a") + F.size("of_b") - shared
     return both.select("a", "b", (100 * shared >= percent * union).alias("linked"))
@@ -274,9 +268,9 @@ def _block_links(pairs: DataFrame, labels: DataFrame, sets: DataFrame, method: M
     """
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = sets.select(F.col("class").alias("a"), F.size("hashes").alias("size"))
-    label = labels.select(F.col("node").alias("a"), "label")
+    label = sent_if_small(labels.select(F.col("node").alias("a"), "label"), PAIR_BYTES)
     members = stage(
-        pairs.join(label, "a", "left").join(sizes, "a")
+        pairs.join(label, "a", "left").join(sent_if_small(sizes, PAIR_BYTES), "a")
         .select(F.col("b").alias("block"), "a", F.coalesce("label", "a").alias("label"), "size"),
         "members",
     )
@@ -288,7 +282,8 @@ def _block_links(pairs: DataFrame, labels: DataFrame, sets: DataFrame, method: M
         "block", "big",
         F.ceil((F.col("size") - F.col("big_size")) / INDEX_SHINGLES).alias("chunks"), F.ceil(F.col("size") / PROBE_SHINGLES).alias("parts"),
     )
-    placed = members.join(blocks, "block").withColumn("small", F.col("label") != F.col("big"))
+    blocks = stage(blocks, "open_blocks")
+    placed = members.join(sent_if_small(blocks, PAIR_BYTES), "block").withColumn("small", F.col("label") != F.col("big"))
     mark = F.xxhash64("a")
     chunk = F.pmod(F.shiftright(mark, 20), F.col("chunks"))
     part = F.pmod(mark, F.col("parts"))
@@ -305,9 +300,12 @@ def _block_links(pairs: DataFrame, labels: DataFrame, sets: DataFrame, method: M
     dealt = dealt.select(
         F.xxhash64("block", "at.chunk", "at.part").alias("task"), "at.probe", "at.indexed", "label", F.col("a").alias("class")
     )
-    rows = dealt.join(sets.select("class", "hashes"), "class")
+    dealt = stage(dealt, "dealt")
+    rows = sets.select("class", "hashes").join(sent_if_small(dealt, PAIR_BYTES), "class")
     rows = rows.repartition(n, "task").sortWithinPartitions("task")
-    return rows.mapInArrow(_searched(method, percent), "a binary, b binary"), members
+    found = stage(rows.mapInArrow(_searched(method, percent), "a binary, b binary"), "block_links")
+    unstage(members, blocks, dealt)
+    return found
 
 
 def similar_sets(docs: DataFrame, method: Method, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -348,13 +346,18 @@ def similar_sets(docs: DataFrame, method: Method, words: int = 5, percent: int =
     picked = stage(per_class, "classes")
     of_a = picked.select("node", F.col("class").alias("a"), F.col("size").alias("size_a"))
     of_b = picked.select(F.col("node").alias("head"), F.col("class").alias("b"), F.col("size").alias("size_b"))
+    n_classes, n_ties = picked.count(), ties.count()
+    few = lambda side: sent_if_small(side, PAIR_BYTES, n_classes)
     # pairs with a head of another size stay, since two members may link
     pairs = stage(
-        ties.join(of_a, "node").join(of_b, "head").select("a", "b", "head", _can_link("size_a", "size_b", percent).alias("near")), "tied"
-    )
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = stage(picked.join(wanted, "class").select("class", "node", "pick.doc_id", "pick.mark"), "wanted")
-    asked = sent_if_small(wanted, 80).withColumnRenamed("doc_id", "d").withColumnRenamed("mark", "m")
+        ties.join(few(of_a), "node").join(few(of_b), "head")
+        .select("a", "b", "head", _can_link("size_a", "size_b", percent).alias("near")),
+        "tied",
+    )
+    wanted = ties.select("node").union(ties.select(F.col("head").alias("node")))
+    wanted = picked.join(sent_if_small(wanted, 16, 2 * n_ties), "node", "left_semi")
+    wanted = stage(wanted.select("class", "node", "pick.doc_id", "pick.mark"), "wanted")
+    asked = sent_if_small(wanted, PAIR_BYTES).withColumnRenamed("doc_id", "d").withColumnRenamed("mark", "m")
     texts = docs.join(asked, docs.doc_id.eqNullSafe(F.col("d")) & docs.mark.eqNullSafe(F.col("m")))
     sets = stage(
         texts.select("node", "class", "text").mapInArrow(_hashes(words), "node long, class binary, hashes array<long>"), "sets"
@@ -365,28 +368,30 @@ def similar_sets(docs: DataFrame, method: Method, words: int = 5, percent: int =
 
     near = pairs.where("near")
     first = near.groupBy("a").agg(F.min(F.struct("head", "b")).alias("h")).select("a", "h.b")
-    first = stage(_compared(first, sets, percent), "first_links")
+    first = stage(_compared(first, sets, percent, n_ties), "first_links")
+    n_first = first.count()
     star = first.where("linked").select("a", "b")
-    up = star.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    over = up.select(F.col("node").alias("label"), F.col("label").alias("above"))
-    up = stage(up.join(over, "label", "left").select("node", F.coalesce("above", "label").alias("label")), "up")
-    rest = near.join(first.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
+    over = sent_if_small(star.select(F.col("a").alias("b"), F.col("b").alias("above")), PAIR_BYTES, n_first)
+    up = stage(star.join(over, "b", "left").select(F.col("a").alias("node"), F.coalesce("above", "b").alias("label")), "up")
+    asked = sent_if_small(first.select("a", "b"), PAIR_BYTES, n_first)
+    rest = near.select("a", "b").join(asked, ["a", "b"], "left_anti")
     for side in ("a", "b"):
-        label = up.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
+        label = sent_if_small(up.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}")), PAIR_BYTES, n_first)
         rest = rest.join(label, side, "left").withColumn(f"label_{side}", F.coalesce(f"label_{side}", side))
-    second = stage(_compared(rest.where("label_a <> label_b"), sets, percent), "second_links")
+    rest = stage(rest.where("label_a <> label_b").select("a", "b"), "unsettled")
+    second = stage(_compared(rest, sets, percent, rest.count()), "second_links")
     links = star.union(second.where("linked").select("a", "b"))
-    labels = components(links)
-    found, members = _block_links(pairs.select("a", "b"), labels, sets, method, percent)
-    more = stage(found, "block_links")
+    labels = components(links, up)
+    more = _block_links(pairs.select("a", "b"), labels, sets, method, percent)
     if more.limit(1).count():
-        before, labels = labels, components(links.union(more))
+        before, labels = labels, components(links.union(more), labels)
         unstage(before)
-    linked = picked.join(labels.withColumnRenamed("node", "class"), "class", "left").where("n > 1 OR label IS NOT NULL")
+    named = sent_if_small(labels.withColumnRenamed("node", "class"), PAIR_BYTES)
+    linked = picked.join(named, "class", "left").where("n > 1 OR label IS NOT NULL")
     linked = linked.withColumn("label", F.coalesce("label", "class"))
     multiple = linked.groupBy("label").agg(F.min("least").alias("least"), F.min("pick").alias("pick"))
     classes = stage(linked.select("class", "label").join(multiple, "label").select("class", "least", "pick"), "similar_classes")
-    unstage(ties, picked, pairs, wanted, sets, first, up, second, members, more, labels)
+    unstage(ties, picked, pairs, wanted, sets, first, up, rest, second, more, labels)
     return rows, classes
 
 
