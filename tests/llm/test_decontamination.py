@@ -17,8 +17,18 @@ def grams(words):
     return {tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))} if words else set()
 
 
-def brute_force(docs, items):
-    """Scores every item for every passage."""
+def edits_to_hold(words, passage):
+    """Fewest words to replace, leave out or put in so that the words stand in the passage, by the table of all prefixes."""
+    row = [0] * (len(passage) + 1)
+    for i, word in enumerate(words, 1):
+        above, row = row, [i]
+        for j, other in enumerate(passage, 1):
+            row.append(min(above[j - 1] + (word != other), above[j] + 1, row[j - 1] + 1))
+    return min(row)
+
+
+def brute_force(docs, items, edit_words=None):
+    """Scores every item for every passage; with ``edit_words``, also looks for it with few edits."""
     items = [(i, split(t)) for i, t in items if len(split(t)) >= D.MIN_ITEM_WORDS]
     df = Counter(t for _, w in items for t in set(w))
     mean, step = sum(len(w) for _, w in items) / len(items), max(16, max(len(w) for _, w in items))
@@ -41,6 +51,11 @@ def brute_force(docs, items):
                 share = lambda part: len(part & seen) / len(part)
                 if score >= 0.6 and share(question) >= 0.6 and share(answer) >= 0.6:
                     found.add((d, i))
+                elif edit_words:
+                    most = max(1, len(own) // edit_words)
+                    wider = words[k * step : (k + 2) * step + most]
+                    if len(own) - sum(w in wider for w in own) <= most and edits_to_hold(own, wider) <= most:
+                        found.add((d, i))
     return found
 
 
@@ -61,16 +76,18 @@ def corpus(seed=0):
     return docs, items
 
 
+@pytest.mark.parametrize("edit_words", [None, 20, 6])
 @pytest.mark.parametrize("index_items, pairs", [(20_000, 1 << 17), (7, 50)])
-def test_equals_brute_force(spark, monkeypatch, index_items, pairs):
+def test_equals_brute_force(spark, monkeypatch, index_items, pairs, edit_words):
     monkeypatch.setattr(D, "INDEX_ITEMS", index_items)
     monkeypatch.setattr(D, "PAIRS_AT_ONCE", pairs)
     docs, items = corpus()
     got = D.find_leaks(
-        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    ).collect()
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"),
+        edit_words=edit_words,
+    ).collect()
     if index_items > 60:  # passages follow the longest item of an index
-        assert {(r.doc_id, x.item_id) for r in got for x in r.leaks} == brute_force(docs, items)
+        assert {(r.doc_id, x.item_id) for r in got for x in r.leaks} == brute_force(docs, items, edit_words)
     planted = {(d, i) for d, t in docs for i, own in items if len(own.split()) >= 5 and f" {' '.join(split(own))} " in f" {' '.join(split(t))} "}
     assert planted and planted <= {(r.doc_id, x.item_id) for r in got for x in r.leaks}
 

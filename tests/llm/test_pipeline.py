@@ -7,6 +7,7 @@ from test_jaccard_join import brute_force as components
 from test_lines_and_licenses import BLANKS, low
 
 from siftwell.llm import language_id as L
+from siftwell.llm.decontamination import EDIT_WORDS
 from siftwell.llm.pieces import read_model
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -58,7 +59,7 @@ def brute_force(spark, docs, items):
     first = {i for i, _, component in components(kept, 5, 80) if i == component}
     kept = [(i, t) for i, t in kept if i in first]
     yield kept
-    bad = {d for d, _ in leaks(kept, items)}
+    bad = {d for d, _ in leaks(kept, items, EDIT_WORDS)}
     kept = [(i, t) for i, t in kept if i not in bad]
     yield kept
 
