@@ -10,7 +10,6 @@ from siftwell.operators import html as H
 from siftwell.operators.chunking import chunk_point_id
 from siftwell.operators.dedup import dedup_clean_text
 from siftwell.operators.ranking import number_rows
-from siftwell.operators.vectors import upsert_points
 from siftwell.operators.wordpiece import VOCAB_SIZE, word_counts
 from siftwell.plans.corpus import build_corpus
 from siftwell.plans.index import index_postings
@@ -23,6 +22,7 @@ from siftwell.queries.text_queries import CLEANED, cleaned_documents
 from siftwell.queries.token_queries import COUNTS, WORDS, _bodies
 from siftwell.session import new_path
 from siftwell.sources import csv_parts, sinks, text_lines, url_ranges
+from siftwell.sources.points import create_points, read_points, upsert_into
 
 
 def _write_csv(df, path, header=True):
@@ -221,8 +221,9 @@ def points(spark, folder):
     current = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
     changed = current.filter("label % 2 = 0").select("id", (F.col("label") + 100).alias("label"), F.slice("vector", 2, 1).alias("vector"))
     incoming = changed.unionByName(changed.withColumn("id", F.col("id") + 1_000_000))
-    sinks.sink_vectors(upsert_points(current, incoming), path)
-    return spark.read.parquet(path).select("id", "label", F.round(F.col("vector")[0].cast("double"), 6).alias("head"))
+    create_points(current, path, buckets=64)
+    upsert_into(path, incoming)
+    return read_points(spark, path).select("id", "label", F.round(F.col("vector")[0].cast("double"), 6).alias("head"))
 
 
 @query(

@@ -120,6 +120,36 @@ def test_upsert(spark):
     assert V.upsert_points(once, new).exceptAll(once).count() == 0
 
 
+def test_upsert_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    from siftwell.sources import points as P
+
+    path = str(tmp_path / "points")
+    files = lambda: {f.relative_to(path): f.stat().st_mtime_ns for f in (tmp_path / "points").glob("bucket=*/*.parquet")}
+    old = spark.range(500).select("id", F.lit("old").alias("v"), F.array(F.col("id").cast("float")).alias("vector"))
+    P.create_points(old, path, buckets=40)
+    before = files()
+    assert len({f.parent for f in before}) == 40
+    new = spark.createDataFrame([(7, "a", [1.0]), (7, "b", [2.0]), (100_000, "new", [3.0])], "id long, v string, vector array<float>")
+    assert P.upsert_into(path, new, latest="v") == 2
+    after = files()
+    untouched = {f for f in before if after.get(f) == before[f]}
+    assert len({f.parent for f in untouched}) == 38 and len({f.parent for f in set(after) - untouched}) == 2
+    rows = {r["id"]: (r["v"], r["vector"]) for r in P.read_points(spark, path).collect()}
+    assert len(rows) == 501 and rows[7] == ("b", [2.0]) and rows[100_000] == ("new", [3.0]) and rows[8] == ("old", [8.0])
+    assert P.upsert_into(path, new, latest="v") == 2 and P.read_points(spark, path).count() == 501
+    assert P.upsert_into(path, new.limit(0)) == 0 and files().keys() >= untouched
+    assert P.read_points(spark, path).columns == ["id", "v", "vector"]
+
+
+def test_a_hot_bucket_is_written_in_parts(spark, tmp_path, monkeypatch):
+    from siftwell.sources import points as P
+
+    monkeypatch.setattr(P, "FILE_ROWS", 100)
+    P.create_points(spark.range(950).select("id", F.lit("v").alias("v")), str(tmp_path / "points"), buckets=1)
+    assert len(list((tmp_path / "points" / "bucket=0").glob("*.parquet"))) >= 10
+    assert P.read_points(spark, str(tmp_path / "points")).count() == 950
+
+
 @pytest.mark.parametrize("block_terms", [1000, 1])
 def test_sparse_and_bm25_equal_brute_force(spark, block_terms):
     rng = random.Random(2)
