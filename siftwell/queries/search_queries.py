@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from siftwell.operators import chunking as C
 from siftwell.operators import retrieval as R
+from siftwell.operators import stored_index as S
 from siftwell.operators import vectors as V
 from siftwell.queries import sql
 from siftwell.queries.registry import query, table, text_table
 from siftwell.queries.token_queries import hashed_sql
-from siftwell.session import stage
+from siftwell.session import new_path, stage
 
 DIMENSION = 256
 
@@ -82,6 +83,14 @@ def bm25(spark, folder):
     return _bm25(spark, folder, 5)
 
 
+@query("bm25_index_topk", f"WITH {bm25_sql(5)} SELECT * FROM bm25")
+def bm25_stored(spark, folder):
+    """The same from an index that is built once; all items ask it."""
+    path = new_path(spark, "bm25_index")
+    S.build_bm25_index(_documents(spark, folder), path)
+    return S.bm25_index_topk(spark, path, _questions(spark, folder))
+
+
 def hashed_run_sql(depth: int) -> str:
     """Cosine of hashed document and query vectors."""
     return f"""dv AS ({hashed_sql('documents', 'doc_id', DIMENSION)}), qv AS ({hashed_sql('benchmark', 'item_id', DIMENSION)}),

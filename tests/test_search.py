@@ -112,6 +112,35 @@ def test_postings_score_as_their_best_chunk(spark):
     assert [(r["job_post_id"], r["score"]) for r in rows] == [(1, 1.0), (2, 0.707107)]
 
 
+def test_a_stored_index_ranks_as_the_documents_do(spark, tmp_path, monkeypatch):
+    from siftwell.operators import stored_index as S
+
+    monkeypatch.setattr(S, "BLOCK_POSTINGS", 4)
+    monkeypatch.setattr(S, "SHARD_POSTINGS", 60)
+    rng = random.Random(6)
+    words = ["the"] * 60 + [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 60))) for _ in range(400)] + ["", None, "only here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = [" ".join(rng.choices(words, k=4)) for _ in range(12)] + ["the", "only here", "unknown", "", None, "w1 w1 w2"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    path = str(tmp_path / "index")
+    S.build_bm25_index(docs, path)
+    got = S.bm25_index_topk(spark, path, queries, 5).orderBy("query_id", "rank").collect()
+    want = R.bm25_topk(queries, docs, 5).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["doc_id"], r["rank"]) for r in got] == [(r["query_id"], r["doc_id"], r["rank"]) for r in want]
+    assert all(abs(g["score"] - w["score"]) < 2e-6 for g, w in zip(got, want))
+    # postings of blocks that can't matter are not read
+    pairs = queries.select("query_id", F.explode(F.array_distinct(F.split("text", " "))).alias("term"))
+    pairs = pairs.select("query_id", S._bucket("term"), "term")
+    blocks = S.needed_blocks(spark, path, pairs, 5)
+    index = spark.read.parquet(path)
+    assert blocks.count() < index.join(pairs, ["bucket", "term"]).count()
+    # a common term alone: from each of its shards only the first blocks
+    alone = blocks.where("query_id = 12").count()
+    assert alone < 0.4 * index.where("term = 'the'").count()
+    assert index.where("size(docs) > 4").count() == 0 and index.groupBy("term", "shard").agg(F.sum(F.size("docs")).alias("n")).where("n > 120").count() == 0
+
+
 def test_upsert(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     new = spark.createDataFrame([(2, "B"), (3, "C")], "id long, v string")
