@@ -27,7 +27,7 @@ CONTAINED = 80
 #: Scores are whole numbers; a phrase whose parts never stand apart has half of this.
 SCALE = 2_000_000
 #: Texts that a task counts at a time, in bytes, and places of a relation.
-COUNT_BYTES, COUNT_PLACES = 16 << 20, 4_000_000
+COUNT_BYTES, COUNT_PLACES = 8 << 20, 1_500_000
 #: Bytes of the set of frequent phrases that goes to every task: their ids, or if these are more, a bitmap of them.
 KEPT_BYTES = 64 << 20
 
@@ -69,7 +69,7 @@ def _words(texts: list[bytes], langs: list[str]) -> _Words:
     hashes, first, size = word_spans(data, _ENDS_WORD)
     ends = np.cumsum([len(t) + 1 for t in texts])
     text = np.searchsorted(ends, first, side="right")
-    piece = np.cumsum(_ENDS_PIECE[data], dtype=np.int64)[first]
+    piece = np.searchsorted(np.flatnonzero(_ENDS_PIECE[data]), first)
     place = np.arange(len(first)) + np.cumsum(np.diff(piece, prepend=piece[:1]) > 0)
     salts = {lang: _salt(lang) for lang in set(langs)}
     salt = np.array([salts[lang] for lang in langs], dtype=np.uint64)
@@ -121,7 +121,7 @@ def kept(frequent: DataFrame) -> Broadcast:
     else:
         # the id as an unsigned number modulo the bits, which are a power of two
         at = F.col("id").bitwiseAND(F.lit(8 * KEPT_BYTES - 1))
-        blocks = frequent.select(F.shiftright(at, 6).alias("block"), F.expr(f"shiftleft(1L, cast(id & 63 AS int))").alias("bit"))
+        blocks = frequent.select(F.shiftright(at, 6).alias("block"), F.expr("shiftleft(1L, cast(id & 63 AS int))").alias("bit"))
         table = blocks.groupBy("block").agg(F.bit_or("bit").alias("bits")).toArrow()
         bits = np.zeros(KEPT_BYTES // 8, dtype=np.uint64)
         bits[table["block"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
