@@ -269,20 +269,27 @@ def corpus_job(spark, folder):
 
 @query(
     "index_postings",
-    """WITH i AS (SELECT doc_id AS ord, 'u/' || (doc_id - CASE WHEN doc_id % 4 = 3 THEN 1 ELSE 0 END) AS url, doc_id % 5 <> 2 AS ok
-        FROM documents),
+    """WITH i AS (SELECT doc_id AS ord, 'u/' || (doc_id - CASE WHEN doc_id % 4 = 3 THEN 1 ELSE 0 END) AS url, true AS ok FROM documents
+        UNION ALL SELECT -1 - doc_id, CASE WHEN doc_id % 2 = 0 THEN 'u/' || doc_id ELSE 'bad/' || doc_id END, false FROM documents
+        WHERE doc_id % 5 = 2),
     f AS (SELECT *, min(CASE WHEN ok THEN ord END) OVER (PARTITION BY url) AS first_ok FROM i)
     SELECT CASE WHEN first_ok < ord THEN 'skip' WHEN ok THEN 'success' ELSE 'fail' END AS outcome, count(*) AS n FROM f GROUP BY 1""",
 )
 def index_job(spark, folder):
-    """The whole index job: every fifth posting has no valid JSON-LD, and URLs repeat."""
-    json_ld = F.when(F.col("doc_id") % 5 == 2, "{").otherwise(F.to_json(F.struct("lang", "source")))
-    rows = text_table(spark, folder, "documents", "doc_id").select(
+    """The whole index job: URLs repeat, and as many postings again as a fifth come with broken JSON-LD, half of them under a
+    URL of their own."""
+    documents = text_table(spark, folder, "documents", "doc_id")
+    rows = documents.select(
         F.col("doc_id").alias("ord"), F.col("source").alias("company"),
         F.expr("'u/' || (doc_id - CASE WHEN doc_id % 4 = 3 THEN 1 ELSE 0 END)").alias("url"),
-        F.col("text").alias("iframe_jd_text"), json_ld.alias("json_ld"),
+        F.col("text").alias("iframe_jd_text"), F.to_json(F.struct("lang", "source")).alias("json_ld"),
     )
-    return index_postings(rows, new_path(spark, "index"))
+    broken = documents.filter("doc_id % 5 = 2").select(
+        (-1 - F.col("doc_id")).alias("ord"), F.col("source").alias("company"),
+        F.expr("CASE WHEN doc_id % 2 = 0 THEN 'u/' || doc_id ELSE 'bad/' || doc_id END").alias("url"),
+        F.col("text").alias("iframe_jd_text"), F.lit("{").alias("json_ld"),
+    )
+    return index_postings(rows.unionAll(broken), new_path(spark, "index"))
 
 
 @query("train_vocab")

@@ -223,12 +223,12 @@ def preview(spark, folder):
     return R.preview_head(table(spark, folder, "events"), ["event_id", "event_type", "value"], "event_id")
 
 
-_NUMBERED = "SELECT event_id, row_number() OVER (ORDER BY event_id) AS idx FROM events WHERE event_type <> 'view'"
+_NUMBERED = "SELECT event_id, row_number() OVER (ORDER BY event_id) AS idx FROM events"
 
 
 @query("number_rows", f"SELECT event_id, idx, (idx - 1) // 1000 + 1 AS part FROM ({_NUMBERED})")
 def numbered(spark, folder):
-    rows = table(spark, folder, "events").filter("event_type <> 'view'").select("event_id")
+    rows = table(spark, folder, "events").select("event_id")
     return R.number_rows(rows, "event_id").withColumn("part", R.part_of(F.col("idx")))
 
 

@@ -137,13 +137,14 @@ def prune(spark, folder):
 
 @query(
     "filter_body_present",
-    "SELECT doc_id, n_chars FROM (SELECT doc_id, n_chars, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE text END "
-    "AS body FROM documents) WHERE body IS NOT NULL AND body <> ''",
+    "SELECT doc_id, n_chars FROM documents WHERE text IS NOT NULL AND text <> ''",
 )
 def body_present(spark, folder):
-    body = F.when(F.col("doc_id") % 5 > 1, F.col("text")).when(F.col("doc_id") % 5 == 1, "")
-    rows = table(spark, folder, "documents").withColumn("body", body)
-    return rows.filter(T.present(F.col("body"))).select("doc_id", "n_chars")
+    """All documents, and as many again as two fifths of them, with ids of their own and no body or an empty one."""
+    rows = table(spark, folder, "documents").select("doc_id", "n_chars", F.col("text").alias("body"))
+    missing = F.when(F.col("doc_id") % 5 == 1, "")
+    more = rows.filter("doc_id % 5 < 2").select((-1 - F.col("doc_id")).alias("doc_id"), "n_chars", missing.alias("body"))
+    return rows.unionAll(more).filter(T.present(F.col("body"))).select("doc_id", "n_chars")
 
 
 @query(
