@@ -10,7 +10,8 @@ from siftwell.llm import decontamination as D
 
 
 def split(text):
-    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    low = (text or "").translate({c: c + 32 for c in range(65, 91)})
+    return re.findall(r"[\u3040-\u30ff\u3400-\u9fff]|[0-9a-z\x80-\u303f\u3100-\u33ff\ua000-\U0010ffff]+", low)
 
 
 def grams(words):
@@ -29,9 +30,10 @@ def edits_to_hold(words, passage):
 
 def brute_force(docs, items, edit_words=None):
     """Scores every item for every passage; with ``edit_words``, also looks for it with few edits."""
-    items = [(i, split(t)) for i, t in items if len(split(t)) >= D.MIN_ITEM_WORDS]
+    short = [(i, split(t)) for i, t in items if 0 < len(split(t)) < 5]
+    items = [(i, split(t)) for i, t in items if len(split(t)) >= 5]
     df = Counter(t for _, w in items for t in set(w))
-    mean, step = sum(len(w) for _, w in items) / len(items), max(16, max(len(w) for _, w in items))
+    mean = sum(len(w) for _, w in items) / len(items)
 
     def weight(t, words):
         tf, n = words.count(t), df[t]
@@ -40,9 +42,11 @@ def brute_force(docs, items, edit_words=None):
     found = set()
     for d, text in docs:
         words = split(text)
-        for k in range(max(1, -(-len(words) // step) - 1)):
-            passage = words[k * step : (k + 2) * step]
-            for i, own in items:
+        found |= {(d, i) for i, own in short if any(words[k : k + len(own)] == own for k in range(len(words)))}
+        for i, own in items:
+            step = next(16 << c for c in range(20) if 16 << c >= len(own))
+            for k in range(max(1, -(-len(words) // step) - 1)):
+                passage = words[k * step : (k + 2) * step]
                 total = sum(weight(t, own) for t in set(own))
                 score = sum(weight(t, own) for t in set(own) & set(passage)) / total
                 tail = max(1, len(own) // 4)
@@ -62,7 +66,8 @@ def brute_force(docs, items, edit_words=None):
 def corpus(seed=0):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(300)] + ["the", "of", "and"] * 60
-    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(3, 40)))) for i in range(60)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(2, 40)))) for i in range(60)]
+    items += [(60, " ".join(rng.choices(vocabulary, k=90))), (61, "東京は日本の首都"), (62, "何処"), (63, "Capital of w1? w2")]
     docs = []
     for d in range(150):
         words = rng.choices(vocabulary, k=rng.choice([0, 1, 10, 60, 300]))
@@ -73,22 +78,23 @@ def corpus(seed=0):
             at = rng.randrange(len(words) + 1)
             words[at:at] = own
         docs.append((d, rng.choice([" ", ", ", "\n"]).join(words).upper() if d % 3 else " ".join(words)))
+    docs += [(150, "x 一二三東京は日本の首都です"), (151, "一何処か"), (152, "the capital of w1, w2!"), (153, "capital of w1 or w2"), (154, "何 処")]
     return docs, items
 
 
 @pytest.mark.parametrize("edit_words", [None, 20, 6])
-@pytest.mark.parametrize("index_items, pairs", [(20_000, 1 << 17), (7, 50)])
-def test_equals_brute_force(spark, monkeypatch, index_items, pairs, edit_words):
-    monkeypatch.setattr(D, "INDEX_ITEMS", index_items)
+@pytest.mark.parametrize("index_words, pairs", [(1_000_000, 1 << 17), (150, 50)])
+def test_equals_brute_force(spark, monkeypatch, index_words, pairs, edit_words):
+    """Whether the benchmark is one index or many, and however long its other items are."""
+    monkeypatch.setattr(D, "INDEX_WORDS", index_words)
     monkeypatch.setattr(D, "PAIRS_AT_ONCE", pairs)
     docs, items = corpus()
     got = D.find_leaks(
         spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"),
         edit_words=edit_words,
     ).collect()
-    if index_items > 60:  # passages follow the longest item of an index
-        assert {(r.doc_id, x.item_id) for r in got for x in r.leaks} == brute_force(docs, items, edit_words)
-    planted = {(d, i) for d, t in docs for i, own in items if len(own.split()) >= 5 and f" {' '.join(split(own))} " in f" {' '.join(split(t))} "}
+    assert {(r.doc_id, x.item_id) for r in got for x in r.leaks} == brute_force(docs, items, edit_words)
+    planted = {(d, i) for d, t in docs for i, own in items if f" {' '.join(split(own))} " in f" {' '.join(split(t))} "}
     assert planted and planted <= {(r.doc_id, x.item_id) for r in got for x in r.leaks}
 
 
@@ -96,13 +102,31 @@ def test_blocks_bound_their_items():
     docs, items = corpus(5)
     own = [(i, D._words(t)) for i, t in items if len(t.split()) >= 5]
     df = Counter(t for _, w in own for t in set(w.tolist()))
-    index = D.ItemIndex.build(own, df, len(own), 20.0)
-    for term, item, weight in index.block_lists:
-        assert (index.block_max[term, item // index.block_items] >= weight).all()
-    total = np.zeros(len(own))
-    for term, item, weight in index.block_lists:
-        np.add.at(total, item, weight)
-    assert np.allclose(total, 1, atol=1e-5)
+    index = D.ItemIndex.build(own, df, len(own), 20.0, 64)
+    term = np.repeat(np.arange(len(index.terms)), np.diff(index.starts))
+    assert (index.block_max[term, index.items // index.block_items] >= index.weights).all()
+    assert (index.term_max[term] >= index.weights).all()
+    assert np.allclose(np.bincount(index.items, index.weights), 1, atol=1e-5)
+
+
+def test_wand_finds_what_a_scan_finds():
+    rng = np.random.default_rng(3)
+    own = [(i, rng.integers(1, 80, rng.integers(5, 30)).astype(np.uint64)) for i in range(300)]
+    df = Counter(t for _, w in own for t in set(w.tolist()))
+    index = D.ItemIndex.build(own, df, len(own), 17.0, 32)
+    term = np.repeat(np.arange(len(index.terms)), np.diff(index.starts))
+    some = 0
+    for size in (3, 10, 25, 60):
+        for _ in range(30):
+            asked = np.sort(rng.choice(len(index.terms), size, replace=False))
+            score = np.bincount(index.items, index.weights * np.isin(term, asked), minlength=len(own))
+            sums = index.block_max[asked].sum(axis=0)
+            got = dict(index._wand(asked, np.flatnonzero(sums >= index.block_need - 1e-4)))
+            want = set(np.flatnonzero(score >= index.needs + 1e-6).tolist())
+            assert want <= set(got) <= set(np.flatnonzero(score >= index.needs - 1e-6).tolist())
+            assert all(abs(score[i] - s) < 1e-5 for i, s in got.items())
+            some += len(got)
+    assert some > 100
 
 
 def test_one_edit_hides_no_item():
@@ -111,7 +135,7 @@ def test_one_edit_hides_no_item():
     items = [(n, rng.choices(vocabulary, k=n)) for n in range(D.MIN_ITEM_WORDS, 45)]
     own = [(n, D._words(" ".join(words))) for n, words in items]
     df = Counter(t for _, w in own for t in set(w.tolist()))
-    index = D.ItemIndex.build(own, df, len(own), 20.0, D.EDIT_WORDS)
+    index = D.ItemIndex.build(own, df, len(own), 20.0, 64, D.EDIT_WORDS)
     around = [f"x{i}" for i in range(100)]
     for item, (n, words) in enumerate(items):
         for at in range(n):
@@ -139,8 +163,9 @@ def test_odd_rows(spark, odd_docs, no_docs):
     got = D.find_leaks(odd_docs, items)
     assert got.columns == odd_docs.columns  # "leaks" is replaced
     found = sorted(((r.doc_id, x.item_id) for r in got.collect() for x in r.leaks), key=repr)
-    assert found == [(1, 1), (1, 1), (1, 2), (1, 2), (2, 1), (2, 2), (None, None)]
+    # an item of one word is reported wherever that word stands
+    assert found == [(1, 1), (1, 1), (1, 2), (1, 2), (2, 1), (2, 2), (7, 5), (8, 5), (None, None)]
     kept = D.drop_leaking(odd_docs, items)
-    assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count() - 4
+    assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count() - 6
     assert D.find_leaks(no_docs, items).collect() == []
     assert D.drop_leaking(odd_docs, items.where("false")).count() == odd_docs.count()
