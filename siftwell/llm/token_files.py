@@ -61,31 +61,37 @@ class CachedTokenizer:
 
     def _learn(self, keys: list[str]) -> None:
         ids: list[list[int] | None] = []
+        flags = []
         for key in keys:
             known = [] if key in ("", _TEXT) else self.old.get(key)
-            if known is None and self.by_units:
-                blank, letters = (_BLANK_BYTE, key[1:]) if key[:1] == " " else ("", key)
-                if letters.isalpha():
-                    known = self._word(letters, blank)
+            blank, letters = (_BLANK_BYTE, key[1:]) if key[:1] == " " else ("", key)
+            word = letters.isalpha()
+            if known is None and word and self.by_units:
+                known = self._word(letters, blank)
             ids.append(known)
+            flags.append(_ALNUM_LAST if word else _flags(key))
         rest = [i for i, known in enumerate(ids) if known is None]
         for lo in range(0, len(rest), 1000):
             some = rest[lo : lo + 1000]
             for i, encoding in zip(some, self.tokenizer.encode_batch_fast([keys[i] for i in some], add_special_tokens=False)):
                 ids[i] = encoding.ids
-        self.now.add(keys, ids)
+        self.now.add(keys, ids, flags)
 
     def _places(self, units: list[str]) -> np.ndarray:
         """Where the units' ids are, after those not known yet have been learned."""
         which = self.now.find(units)
-        new = list(dict.fromkeys(units[i] for i in np.flatnonzero(which < 0).tolist()))
-        if not new:
+        missing = np.flatnonzero(which < 0)
+        if not len(missing):
             return which
+        unknown = [units[i] for i in missing.tolist()]
+        new = list(dict.fromkeys(unknown))
         if len(self.now.at) + len(new) > CACHED_UNITS:
             self.old, self.now = self.now, _Units()
-            new = list(dict.fromkeys(units))
+            self._learn(list(dict.fromkeys(units)))
+            return self.now.find(units)
         self._learn(new)
-        return self.now.find(units)
+        which[missing] = self.now.find(unknown)
+        return which
 
     def _slowly(self, text: str) -> np.ndarray:
         """Ids of one text, cut by an expression that knows all blanks."""
@@ -161,7 +167,7 @@ class _Units:
         i = self.at.get(key)
         return None if i is None else self.flat[self.start[i] : self.start[i] + self.length[i]].tolist()
 
-    def add(self, keys: list[str], ids: list[list[int]]) -> None:
+    def add(self, keys: list[str], ids: list[list[int]], flags: list[int]) -> None:
         at, n = len(self.at), np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(n.sum())
         while at + len(keys) > len(self.start):
@@ -172,7 +178,7 @@ class _Units:
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         self.start[at : at + len(keys)] = self.used + np.cumsum(n) - n
         self.length[at : at + len(keys)] = n
-        self.flags[at : at + len(keys)] = np.fromiter(map(_flags, keys), np.uint8, len(keys))
+        self.flags[at : at + len(keys)] = flags
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.used += total
         self.at.update(zip(keys, range(at, at + len(keys))))
