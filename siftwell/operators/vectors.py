@@ -163,10 +163,11 @@ def dense_topk(
     documents = corpus.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(vector).alias("vector"))
     pivots = _pivots(documents)
     dealt = stage(documents.mapInArrow(_assign(pivots), "doc_id long, vector array<double>, cell int, angle double, spread long"), "cells")
-    undefined = dealt.where("cell IS NULL").select("doc_id").distinct()
-    dealt = dealt.where("cell IS NOT NULL")
-    # one row for each pivot at most
+    # one row for each pivot at most, and one for the vectors without a score
     sizes = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi")).collect()
+    some_undefined = any(row["cell"] is None for row in sizes)
+    sizes = [row for row in sizes if row["cell"] is not None]
+    undefined, dealt = dealt.where("cell IS NULL"), dealt.where("cell IS NOT NULL")
     counts, least, largest = np.zeros(len(pivots), np.int64), np.zeros(len(pivots)), np.zeros(len(pivots))
     for row in sizes:
         counts[row["cell"]], least[row["cell"]], largest[row["cell"]] = row["n"], row["lo"], row["hi"]
@@ -180,12 +181,12 @@ def dense_topk(
     second = stage(rest, "other_cells")
     found = found.unionAll(_asked(second, dealt, parts, k))
     # what has no score: all documents for a query without a vector, documents without one where others are too few
+    smallest = lambda rows: [r["doc_id"] for r in rows.select("doc_id").distinct().orderBy("doc_id").limit(k).collect()]
     void = first.where("cells IS NULL").select("query_id")
-    ids = [r["doc_id"] for r in documents.select("doc_id").distinct().orderBy("doc_id").limit(k).collect()]
-    found = found.unionAll(_unscored(void, ids))
-    last = [r["doc_id"] for r in undefined.orderBy("doc_id").limit(k).collect()]
-    if last and dealt.select("doc_id").distinct().limit(k).count() < k:
-        found = found.unionAll(_unscored(first.where("cells IS NOT NULL").select("query_id"), last))
+    if not void.isEmpty():
+        found = found.unionAll(_unscored(void, smallest(documents)))
+    if some_undefined and dealt.select("doc_id").distinct().limit(k).count() < k:
+        found = found.unionAll(_unscored(first.where("cells IS NOT NULL").select("query_id"), smallest(undefined)))
     return _best(found, k)
 
 
