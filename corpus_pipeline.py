@@ -1,4 +1,7 @@
-"""The training-data pipeline: documents in, token ids out. Each stage works on all that the one before it has kept."""
+"""The training-data pipeline: documents in, token ids out. Each stage works on all that the one before it has kept.
+
+All stages read whole texts, however long, take an empty table (and give one), and leave columns of any name as they are.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +13,7 @@ from siftwell.llm.jaccard_join import keep_one_per_component
 from siftwell.llm.language_id import accept_languages
 from siftwell.llm.line_dedup import drop_frequent_lines
 from siftwell.llm.pieces import round_trip
-from siftwell.session import new_path
+from siftwell.session import stage, unstage
 
 #: Shingles of five words, similarity 0.8.
 WORDS, PERCENT = 5, 80
@@ -18,14 +21,18 @@ MIN_DOCS = 10
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those that are near to no language."""
+    """Drops documents without a letter (null and empty ones too), and those that are near to no language.
+
+    Repeated rows are judged alike.
+    """
     return accept_languages(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that at least ten documents share, and documents of which nothing is left.
 
-    ``n_chars``, where there is such a column, follows the text.
+    ``n_chars``, where there is such a column, follows the text. A document that had nothing to drop stays as it is, a null
+    or empty one too; of repeated rows all are treated alike.
     """
     shorter = drop_frequent_lines(docs, min_docs=MIN_DOCS)
     shorter = shorter.where((F.col("n_dropped") == 0) | (F.length(F.trim("text")) > 0))
@@ -35,17 +42,20 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: that with the smallest id."""
+    """Keeps one document of each group of near duplicates: that with the smallest id (of equal ids, the smallest text hash).
+
+    Documents without words are kept; of repeated rows one stays.
+    """
     return keep_one_per_component(docs, words=WORDS, percent=PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that leak a benchmark item."""
+    """Drops documents that leak a benchmark item; null and empty texts leak none, repeated rows go or stay together."""
     return drop_leaking(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of all texts, and whether decoding gives the text back."""
+    """Ids of all texts, and whether decoding gives the text back; a null text counts as empty, repeated rows stay."""
     decoded = round_trip(docs.select("doc_id", "text"))
     return decoded.select(
         "doc_id",
@@ -68,10 +78,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the result of each is written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = new_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """All stages over ``documents``; the result of each is written as Parquet and read again, that of the one before deleted."""
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, function in STAGES:
+        docs = stage(function(spark, docs, sf_dir), name)
+        if held is not None:
+            unstage(held)
+        held = docs
     return docs
