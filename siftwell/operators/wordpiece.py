@@ -6,7 +6,7 @@ Training works on the table of distinct words with their counts; how merges are
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,8 @@ VOCAB_SIZE = 32_000
 MIN_FREQUENCY = 3
 PREFIX = "##"
 UNKNOWN = "[UNK]"
+#: Entries of a vocabulary that are sent to the tasks.
+MOST_ENTRIES = 2_000_000
 
 VOCAB_SCHEMA = "id int, token string"
 
@@ -81,23 +83,63 @@ def vocab_size(vocab: DataFrame) -> DataFrame:
     return vocab.agg(F.count("*").alias("vocab_size"))
 
 
-def longest_match(
-    word: str, vocab: frozenset[str], longest: int, prefix: str, unknown: str, max_chars: int | None = None
-) -> list[str]:
-    """Greedy pieces of a word, or the unknown token where a rest matches nothing or the word is longer than asked."""
-    if max_chars is not None and len(word) > max_chars:
-        return [unknown]
-    pieces, start = [], 0
-    while start < len(word):
-        head = prefix if start else ""
-        for end in range(min(len(word), start + longest), start, -1):
-            if head + word[start:end] in vocab:
-                pieces.append(head + word[start:end])
-                start = end
-                break
-        else:
-            return [unknown]
-    return pieces
+class LongestMatch:
+    """Greedy longest pieces of a word in one pass over its characters.
+
+    A trie of the entries, and another of what follows the prefix, with failure links: a node knows which pieces the
+    greedy match cuts off when its text can't be continued (``pops``), and the node of the text that is then left
+    (``fail``; -1 where no entry matches). So no character is read twice, however long the word or the entries are.
+    """
+
+    def __init__(self, vocab: Iterable[str], prefix: str, unknown: str):
+        self.unknown = unknown
+        self.next: list[dict[str, int]] = [{}, {}]  # the starts of words and of rests
+        self.fail, self.pops = [-1, -1], [(), ()]
+        entry: dict[int, str] = {}
+        for token in vocab:
+            if token:
+                entry[self._add(0, token)] = token
+            if token.startswith(prefix) and len(token) > len(prefix):
+                entry[self._add(1, token.removeprefix(prefix))] = token
+        level = [(node, c, u) for u in (0, 1) for c, node in self.next[u].items()]
+        while level:
+            for node, c, above in level:
+                if node in entry:
+                    self.fail[node], self.pops[node] = 1, (entry[node],)
+                    continue
+                left, pops = self.fail[above], self.pops[above]
+                while left >= 0 and c not in self.next[left]:
+                    left, pops = self.fail[left], pops + self.pops[left]
+                if left >= 0:
+                    self.fail[node], self.pops[node] = self.next[left][c], pops
+            level = [(node, c, u) for u, _, _ in level for c, node in self.next[u].items()]
+
+    def _add(self, node: int, text: str) -> int:
+        for c in text:
+            if c not in self.next[node]:
+                self.next[node][c] = len(self.next)
+                self.next.append({})
+                self.fail.append(-1)
+                self.pops.append(())
+            node = self.next[node][c]
+        return node
+
+    def pieces(self, word: str) -> list[str]:
+        """The pieces of a word, or the unknown token where a rest matches nothing."""
+        node, found = 0, []
+        for c in word:
+            while c not in self.next[node]:
+                if self.fail[node] < 0:
+                    return [self.unknown]
+                found += self.pops[node]
+                node = self.fail[node]
+            node = self.next[node][c]
+        while node > 1:
+            if self.fail[node] < 0:
+                return [self.unknown]
+            found += self.pops[node]
+            node = self.fail[node]
+        return found
 
 
 def encode_wordpiece(
@@ -112,24 +154,31 @@ def encode_wordpiece(
 ) -> DataFrame:
     """Adds the token array of a text.
 
-    Words are split natively; each task encodes a word once and remembers it, so no row is
-    shuffled. The vocabulary travels to the tasks: the size it was trained to bounds it, whatever the corpus.
+    Words are split natively; each task encodes a word once, in time linear in its length, and remembers it, so no row is
+    shuffled. The vocabulary travels to the tasks; one of more than ``MOST_ENTRIES`` is refused. Words of more than
+    ``max_word_chars`` are unknown, if that is given.
     """
-    tokens = [r["token"] for r in vocab.select("token").collect()]
-    shared = df.sparkSession.sparkContext.broadcast(frozenset(tokens))
-    longest = max((len(t) for t in tokens), default=0)
+    tokens = [r["token"] for r in vocab.select("token").limit(MOST_ENTRIES + 1).collect()]
+    if len(tokens) > MOST_ENTRIES:
+        raise ValueError(f"a vocabulary of more than {MOST_ENTRIES} entries")
+    shared = df.sparkSession.sparkContext.broadcast(LongestMatch(tokens, prefix, unknown))
     whole = frozenset(specials)
 
     @F.arrow_udf("array<string>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        entries, memo = shared.value, {}
+        match, memo = shared.value.pieces, {}
 
         def pieces(word: str) -> list[str]:
             found = memo.get(word)
             if found is None:
                 if len(memo) >= 500_000:
                     memo.clear()
-                found = [word] if word in whole else longest_match(word, entries, longest, prefix, unknown, max_word_chars)
+                if word in whole:
+                    found = [word]
+                elif max_word_chars is not None and len(word) > max_word_chars:
+                    found = [unknown]
+                else:
+                    found = match(word)
                 memo[word] = found
             return found
 

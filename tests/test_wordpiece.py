@@ -212,6 +212,56 @@ def test_encoding_agrees_with_an_outside_encoder(spark):
     assert got == [model.encode(t, add_special_tokens=False).tokens for t in texts]
 
 
+def longest_match(word, vocab, prefix, unknown):
+    """The definition: of all entries that fit at a place the longest, tried one by one."""
+    pieces, start = [], 0
+    while start < len(word):
+        head = prefix if start else ""
+        end = next((e for e in range(len(word), start, -1) if head + word[start:e] in vocab), None)
+        if end is None:
+            return [unknown]
+        pieces.append(head + word[start:end])
+        start = end
+    return pieces
+
+
+@pytest.mark.parametrize("prefix", ["##", "_", ""])
+def test_longest_match_equals_the_definition(prefix):
+    unknown = 0
+    for seed in range(300):
+        rng = random.Random(seed)
+        letters = rng.choice(["ab", "abc", "ab#", "가나_"])
+        text = lambda most: "".join(rng.choices(letters, k=rng.randint(1, most)))  # noqa: E731, B023
+        vocab = {(prefix if rng.random() < 0.6 else "") + text(5) for _ in range(rng.randint(1, 14))} | {""}
+        match = W.LongestMatch(vocab, prefix, "?")
+        for _ in range(40):
+            word = text(12)
+            want = longest_match(word, vocab, prefix, "?")
+            assert match.pieces(word) == want, (word, vocab)
+            unknown += want == ["?"]
+    assert 1000 < unknown < 11_900
+    assert W.LongestMatch(["a"], prefix, "?").pieces("") == []
+
+
+def test_longest_match_is_linear():
+    from time import time
+
+    # every place but the last begins an entry of a thousand characters
+    match = W.LongestMatch(["a", "##a", "##" + "a" * 1000 + "b", "##" + "a" * 10], "##", "?")
+    start = time()
+    pieces = match.pieces("a" * 100_000)
+    assert time() - start < 1
+    assert "".join(p.removeprefix("##") for p in pieces) == "a" * 100_000 and pieces[:2] == ["a", "##" + "a" * 10]
+    assert match.pieces("a" * 50_000 + "c") == ["?"]
+
+
+def test_a_vocabulary_too_large_to_send_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(W, "MOST_ENTRIES", 3)
+    vocab = spark.createDataFrame([(i, t) for i, t in enumerate("abcd")], W.VOCAB_SCHEMA)
+    with pytest.raises(ValueError, match="more than 3"):
+        W.encode_wordpiece(spark.createDataFrame([("a",)], "t string"), "t", vocab)
+
+
 def test_pieces_restore_the_word(spark):
     words = random_words(9, "abcdef", 200)
     vocab = W.train_wordpiece(words_frame(spark, words), 120, 3, merges_per_round=8)
