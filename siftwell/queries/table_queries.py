@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.text import stripped_lines
 from siftwell.operators import dedup as D
+from siftwell.operators import heavy_hitters as HH
 from siftwell.operators import profile as P
 from siftwell.operators import ranking as R
 from siftwell.plans.index import posting_outcomes
 from siftwell.queries import sql
-from siftwell.queries.registry import NOISY, digest, noisy_documents, query, table, text_table
+from siftwell.queries.registry import NOISY, ORACLES, digest, noisy_documents, query, table, text_table
 from siftwell.queries.text_queries import CLEANED, cleaned_documents
 from siftwell.session import stage
 
@@ -112,6 +113,18 @@ def repeated_lines(spark, folder):
     return P.top_repeated_lines(D.keep_first(rows, D.content_key(F.col("body")), "doc_id"), "body", 20)
 
 
+@query("top_lines_by_summary", ORACLES["top_repeated_lines"])
+def repeated_lines_by_summary(spark, folder):
+    """The same by bounded summaries and one exact count of the lines that they leave."""
+    rows = noisy_documents(spark, folder).select("doc_id", "body")
+    return HH.top_lines(D.keep_first(rows, D.content_key(F.col("body")), "doc_id"), "body", 20)
+
+
+@query("boilerplate_by_summary", ORACLES["boilerplate_by_frequency"])
+def boilerplate_by_summary(spark, folder):
+    return HH.lines_in_share(noisy_documents(spark, folder), "body", 0.02)
+
+
 @query(
     "chunk_to_posting",
     "SELECT l_orderkey, l_linenumber, o_custkey, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey",

@@ -120,3 +120,33 @@ def test_cascade(spark):
     posts = spark.createDataFrame([(1,)], "id long")
     assert D.cascade_chunks(chunks, posts, "post", "id").count() == 2
     assert D.chunk_to_posting(chunks, posts, "post", "id").count() == 2
+
+
+@pytest.mark.parametrize("counters", [3, 12, 20_000])
+def test_summaries_lose_no_frequent_line(spark, counters):
+    from siftwell.operators import heavy_hitters as H
+
+    rng = random.Random(counters)
+    often = [f"often {i}" for i in range(6)]
+    texts = ["\n".join(rng.choice(often) if rng.random() < 0.5 else f"rare {rng.randrange(3000)}" for _ in range(12)) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None, "", " \n "]], "t string").repartition(5)
+    for k in (1, 4, 6, 40):
+        assert H.top_lines(df, "t", k, counters).collect() == P.top_repeated_lines(df, "t", k).collect()
+    for share in (0.001, 0.01, 0.2, 0.6):
+        want = {tuple(r) for r in P.lines_in_share(df, "t", share).collect()}
+        assert {tuple(r) for r in H.lines_in_share(df, "t", share, counters).collect()} == want
+    assert H.top_lines(df.limit(0), "t", 3, counters).collect() == []
+
+
+def test_estimates_bound_the_counts_and_few_lines_are_counted_again(spark):
+    from siftwell.operators import heavy_hitters as H
+
+    rng = random.Random(1)
+    lines = [rng.choice(["a", "a", "b", f"rare {i}"]) for i in range(8000)]
+    df = spark.createDataFrame([(line,) for line in lines], "line string").repartition(4)
+    summaries, estimates, error = H._estimates(df, 20)
+    held = {r["line"]: r["least"] for r in estimates.collect()}
+    count = {line: lines.count(line) for line in {"a", "b", *held}}
+    assert len(held) <= 4 * 20 and error <= len(lines) / 21
+    assert all(held[x] <= n <= held[x] + error for x, n in count.items() if x in held) and {"a", "b"} <= held.keys()
+    assert estimates.where(estimates.least + error >= held["b"]).count() == 2
