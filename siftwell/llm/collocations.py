@@ -27,7 +27,7 @@ CONTAINED = 80
 #: Scores are whole numbers; a phrase whose parts never stand apart has half of this.
 SCALE = 2_000_000
 #: Texts that a task counts at a time, in bytes, and places of a relation.
-COUNT_BYTES, COUNT_PLACES = 8 << 20, 1_500_000
+COUNT_BYTES, COUNT_PLACES = 4 << 20, 1_500_000
 #: Bytes of the set of frequent phrases that goes to every task: their ids, or if these are more, a bitmap of them.
 KEPT_BYTES = 64 << 20
 
@@ -266,7 +266,9 @@ def collocations(
     own = docs.select(F.col(f"`{text}`").alias("text"), F.coalesce(F.col(f"`{lang}`"), F.lit("und")).alias("lang"))
     own = own.where("text IS NOT NULL")
     counted = own.mapInArrow(_count_words, "id long, lang string, word string, n long")
-    counted = counted.groupBy("id").agg(F.first("lang").alias("lang"), F.first("word").alias("word"), F.sum("n").alias("n"))
+    # tasks have already counted their own; a second map-side count would only hold all of it in memory once more
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = counted.repartition(n, "id").groupBy("id").agg(F.first("lang").alias("lang"), F.first("word").alias("word"), F.sum("n").alias("n"))
     counted = stage(counted, "word_counts")
     totals = stage(counted.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
     one = F.array("n")
@@ -280,7 +282,7 @@ def collocations(
     lengths = [phrases]
     for k in range(2, longest + 1):
         counts = relation.mapInArrow(_count_longer, "left long, right long, n long")
-        frequent = counts.groupBy("left", "right").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+        frequent = counts.repartition(n, "left", "right").groupBy("left", "right").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
         grams = stage(frequent.mapInArrow(_with_id, _GRAMS), f"grams_{k}")
         lengths.append(stage(_extended(grams, lengths[-1]), f"phrases_{k}"))
         if k < longest:
