@@ -3,7 +3,7 @@
 The occurrence relation of a length holds every place of every frequent phrase of that length, sorted by document, piece
 and position, and is written to the shared folder. Merging it with itself at adjacent positions gives the places of phrases
 one word longer; they are grouped and counted over all documents, and a semi-join with the frequent ones leaves the next
-relation. A row is a document (its places in order), so a merge never leaves its row and only counts are shuffled.
+relation. A row holds the places of some whole pieces in order, so a merge never leaves its row and only counts are shuffled.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ CONTAINED = 80
 SCALE = 2_000_000
 #: Texts that a task counts at a time, in bytes, and places of a relation.
 COUNT_BYTES, COUNT_PLACES = 4 << 20, 1_500_000
+#: Words in a row of the first relation: whole pieces, so a longer piece is a row of its own.
+ROW_WORDS = 64
 #: Bytes of the set of frequent phrases that goes to every task: their ids, or if these are more, a bitmap of them.
 KEPT_BYTES = 64 << 20
 
@@ -147,12 +149,18 @@ def _relation_rows(row: np.ndarray, n_rows: int, place: np.ndarray, gram: np.nda
 
 def _word_places(sent: Broadcast) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, langs in _batches(batches):
+        for words, _ in _batches(batches):
+            if not len(words.ids):
+                continue
+            # a row holds whole pieces, about ROW_WORDS words, so that a batch of rows is small
+            begins = np.concatenate([[True], np.diff(words.place) > 1])
+            at = np.arange(len(begins))
+            chunk = np.maximum.accumulate(np.where(begins, at, 0)) // ROW_WORDS
+            new = np.concatenate([[True], chunk[1:] != chunk[:-1]])
+            row = np.cumsum(new) - 1
+            place = words.place - words.place[new][row]
             hit = sent.value.holds(words.ids)
-            text, place = words.text[hit], words.place[hit]
-            start = np.searchsorted(words.text, np.arange(len(langs)))
-            base = words.place[np.minimum(start, len(words.place) - 1)] if len(words.place) else start
-            yield _relation_rows(text, len(langs), place - base[text], words.ids[hit])
+            yield _relation_rows(row[hit], int(row[-1]) + 1, place[hit], words.ids[hit])
 
     return run
 
