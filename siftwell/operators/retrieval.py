@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.tokens import pretokenize
@@ -21,6 +21,8 @@ RRF_CONSTANT = 60
 
 # terms of queries that are sent to the tasks at a time
 BLOCK_TERMS = 200_000
+# postings that a task scores at a time
+BATCH_POSTINGS = 200_000
 
 
 def _by_score() -> list[Column]:
@@ -104,6 +106,10 @@ def _ranked(asked: DataFrame, documents: DataFrame, k: int, block_terms: int, we
 
         found = documents.mapInArrow(search, CANDIDATES)
         candidates = found if candidates is None else candidates.unionAll(found)
+    return _top(spark, candidates, k)
+
+
+def _top(spark: SparkSession, candidates: DataFrame | None, k: int) -> DataFrame:
     if candidates is None:
         candidates = spark.createDataFrame([], CANDIDATES)
     return top_k_per_group(candidates, ["query_id"], _by_score(), k).select("query_id", "doc_id", "score", "rank")
@@ -114,23 +120,50 @@ def _rows_of(lists: pa.ListArray) -> np.ndarray:
     return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
 
 
-def _given_weights(block: _TermBlock, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    terms = batch.column("terms")
-    place = block.places(terms.flatten())
-    known = place >= 0
-    weights = batch.column("weights").flatten().to_numpy()
-    return _rows_of(terms)[known], place[known], weights[known]
+def _whole_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by document in batches of about ``BATCH_POSTINGS``, none of which parts a document."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= BATCH_POSTINGS:
+            rows = pa.concat_batches(held)
+            ids = rows.column("doc_id").to_numpy()
+            cut = int(np.searchsorted(ids, ids[-1]))
+            if cut:
+                yield rows.slice(0, cut)
+            held = [rows.slice(cut)]
+    if held:
+        yield pa.concat_batches(held)
 
 
 def sparse_topk(
     query_terms: DataFrame, postings: DataFrame, k: int = SEARCH_LIMIT, block_terms: int = BLOCK_TERMS
 ) -> DataFrame:
-    """Highest dot products of (query_id, term, weight) with (doc_id, term, weight)."""
+    """Highest dot products of (query_id, term, weight) with (doc_id, term, weight).
+
+    Postings of terms that nobody asks for are left out before the others are dealt by document; a task reads them in
+    that order, so it holds some documents at a time.
+    """
     asked = query_terms.select("query_id", "term", F.col("weight").cast("double").alias("value"))
-    pair = F.struct("term", F.col("weight").cast("double").alias("weight"))
-    vectors = postings.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.collect_list(pair).alias("v"))
-    documents = vectors.select("doc_id", F.col("v.term").alias("terms"), F.col("v.weight").alias("weights"))
-    return _ranked(asked, documents, k, block_terms, _given_weights)
+    terms = stage(asked.select("term").distinct(), "asked_terms")
+    rows = postings.select(F.col("doc_id").cast("long").alias("doc_id"), "term", F.col("weight").cast("double").alias("weight"))
+    dealt = rows.join(terms, "term", "left_semi").repartition("doc_id").sortWithinPartitions("doc_id")
+    spark, candidates = postings.sparkSession, None
+    for block in _term_blocks(asked, block_terms):
+        shared = spark.sparkContext.broadcast(block)
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            best = _Best(shared.value.query_ids, k)
+            for batch in _whole_documents(batches):
+                place = shared.value.places(batch.column("term"))
+                doc_ids, row = np.unique(batch.column("doc_id").to_numpy(), return_inverse=True)
+                known = place >= 0
+                shared.value.score(best, doc_ids, row[known], place[known], batch.column("weight").to_numpy()[known])
+            yield best.batch(None)
+
+        found = dealt.mapInArrow(search, CANDIDATES)
+        candidates = found if candidates is None else candidates.unionAll(found)
+    return _top(spark, candidates, k)
 
 
 def bm25_topk(

@@ -8,52 +8,103 @@ sorted by term, so a reader opens the folders of the terms asked for, and of the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions.tokens import pretokenize
 from siftwell.operators.ranking import top_k_per_group
-from siftwell.operators.retrieval import BM25_B, BM25_K1
-from siftwell.operators.vectors import SCORE_DIGITS, SEARCH_LIMIT
+from siftwell.operators.retrieval import BM25_B, BM25_K1, sparse_topk
+from siftwell.operators.vectors import SEARCH_LIMIT
 from siftwell.session import stage, unstage
 
 #: Folders of an index, postings of a term in one shard, and postings in a block.
 BUCKETS, SHARD_POSTINGS, BLOCK_POSTINGS = 64, 32_768, 128
+#: Postings that a task sorts.
+TASK_POSTINGS = 1_000_000
 #: By how much a bound may be too low: sums are rounded.
 SLACK = 1e-6
 
+_BLOCK = "bucket int, term string, shard long, block int, top double, docs array<long>, impacts array<double>"
+
 
-def _bucket(term: str) -> Column:
+def _bucket(term: str | Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int").alias("bucket")
 
 
+def _blocks(n_docs: int, mean: float, k1: float, b: float):
+    """Blocks of the lists of a task; rows come sorted by term and shard, and one list is held at a time besides a batch."""
+
+    def cut(rows: pa.RecordBatch) -> pa.RecordBatch:
+        starts = _list_starts(rows)
+        sizes = np.diff(np.append(starts, rows.num_rows))
+        # a list that is not dealt to shards holds all documents of its term
+        df = np.where(rows.column("df").is_null().to_numpy(zero_copy_only=False), np.repeat(sizes, sizes), rows.column("df").fill_null(0).to_numpy())
+        tf, dl, docs = (rows.column(c).to_numpy() for c in ("tf", "dl", "doc_id"))
+        impact = np.log1p((n_docs - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
+        order = np.lexsort((docs, -impact, np.repeat(np.arange(len(starts)), sizes)))
+        place = np.arange(rows.num_rows) - np.repeat(starts, sizes)
+        heads = np.flatnonzero(place % BLOCK_POSTINGS == 0)
+        offsets = pa.array(np.append(heads, rows.num_rows), pa.int32())
+        named = rows.select(["bucket", "term", "shard"]).take(pa.array(heads))
+        return pa.RecordBatch.from_arrays(
+            [
+                *named.columns, pa.array(place[heads] // BLOCK_POSTINGS, pa.int32()), pa.array(impact[order][heads]),
+                pa.ListArray.from_arrays(offsets, pa.array(docs[order])), pa.ListArray.from_arrays(offsets, pa.array(impact[order])),
+            ],
+            names=["bucket", "term", "shard", "block", "top", "docs", "impacts"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = batch if held is None else pa.concat_batches([held, batch])
+            last = int(_list_starts(held)[-1])
+            if last:
+                yield cut(held.slice(0, last))
+                held = held.slice(last)
+        if held is not None:
+            yield cut(held)
+
+    return run
+
+
+def _list_starts(rows: pa.RecordBatch) -> np.ndarray:
+    term = rows.column("term").dictionary_encode().indices.to_numpy()
+    shard = rows.column("shard").to_numpy()
+    return np.append(0, np.flatnonzero((term[1:] != term[:-1]) | (shard[1:] != shard[:-1])) + 1)
+
+
 def build_bm25_index(
     documents: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", k1: float = BM25_K1, b: float = BM25_B
 ) -> None:
     """Writes the index of ``documents``, whose ids are unique; null texts are left out, empty ones count for the statistics.
 
-    Postings are counted within their document's row and shuffled once, by term and shard; a term that stands in every
-    document has as many shards as its postings need, so no task holds more than one of them.
+    Postings are counted within their document's row and shuffled once, by ranges of bucket, term and shard; a term that
+    stands in every document has as many shards as its postings need, so no task holds more than one of them.
     """
-    words = documents.select(F.col(doc_id).cast("long").alias("doc_id"), pretokenize(F.col(text)).alias("terms")).where("terms IS NOT NULL")
-    sizes = words.agg(F.count("*").alias("n"), F.avg(F.array_size("terms")).alias("mean")).first()
-    n_docs, mean = sizes["n"], sizes["mean"] or 1.0
+    words = documents.select(F.col(doc_id).cast("long").alias("doc_id"), pretokenize(F.col(text)).alias("terms"))
     each = words.select("doc_id", F.array_size("terms").alias("dl"), F.explode("terms").alias("term"))
     postings = stage(each.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")), "postings")
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log1p((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    impact = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean))
-    shard = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("df") / SHARD_POSTINGS))
-    dealt = postings.join(df, "term").select("term", shard.alias("shard"), F.struct((-impact).alias("fall"), "doc_id").alias("p"))
-    # at most a shard of a term in one list
-    lists = dealt.groupBy("term", "shard").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    starts = F.sequence(F.lit(1), F.size("p"), F.lit(BLOCK_POSTINGS))
-    blocks = lists.select("term", "shard", F.posexplode(F.transform(starts, lambda i: F.slice("p", i, BLOCK_POSTINGS))).alias("block", "p"))
-    rows = blocks.select(
-        _bucket("term"), "term", "shard", "block", (-F.col("p")[0]["fall"]).alias("top"),
-        F.col("p.doc_id").alias("docs"), F.transform("p", lambda x: -x["fall"]).alias("impacts"),
-    )
-    rows.repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(path)
+    n_docs = documents.where(F.col(text).isNotNull()).count()
+    sizes = postings.agg(F.sum("tf").alias("words"), F.count("*").alias("rows")).first()
+    mean = (sizes["words"] or 0) / max(1, n_docs) or 1.0
+    many = postings.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") > SHARD_POSTINGS)
+    shard = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("df") / SHARD_POSTINGS)), F.lit(0).cast("long"))
+    # at most one row for each full shard
+    dealt = postings.join(F.broadcast(stage(many, "many")), "term", "left").select(
+        _bucket(F.col("term")), "term", shard.alias("shard"), "df", "doc_id", "tf", F.col("dl").cast("long").alias("dl")
+    )
+    keys = ["bucket", "term", "shard"]
+    n = max(documents.sparkSession.sparkContext.defaultParallelism, -(-sizes["rows"] // TASK_POSTINGS))
+    sorted_ = dealt.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    rows = sorted_.mapInArrow(_blocks(n_docs, mean, k1, b), _BLOCK)
+    rows.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(path)
     unstage(postings)
 
 
@@ -91,14 +142,16 @@ def bm25_index_topk(
     """(query_id, doc_id, score, rank): the ``k`` best of the index at ``path``, as ``bm25_topk`` of the documents themselves.
 
     A repeated query word counts once. Postings are read only from the blocks that can matter, and from no folder and below
-    no top that none of them has.
+    no top that none of them has. A block is read once for all queries; its postings are dealt by document and scored there.
     """
     words = F.explode(F.array_distinct(pretokenize(F.col(text)))).alias("term")
-    asked = queries.select(F.col(query_id).cast("long").alias("query_id"), words).select("query_id", _bucket("term"), "term")
+    asked = queries.select(F.col(query_id).cast("long").alias("query_id"), words).select("query_id", _bucket(F.col("term")), "term")
     asked = stage(asked.distinct(), "asked")
     blocks = stage(needed_blocks(spark, path, asked, k), "needed_blocks")
     least = blocks.agg(F.min("top").alias("top"), F.collect_set("bucket").alias("buckets")).first()
     index = spark.read.parquet(path).where(F.col("bucket").isin(least["buckets"]) & (F.col("top") >= F.lit(least["top"])))
-    found = _sums(index.drop("top").join(blocks.drop("top"), ["bucket", "term", "shard", "block"]))
-    found = found.withColumn("score", F.round("score", SCORE_DIGITS))
-    return top_k_per_group(found, ["query_id"], [F.desc("score"), F.col("doc_id")], k).select("query_id", "doc_id", "score", "rank")
+    once = blocks.select("bucket", "term", "shard", "block").distinct()
+    found = index.drop("top").join(once, ["bucket", "term", "shard", "block"], "left_semi")
+    postings = found.select("term", F.explode(F.arrays_zip("docs", "impacts")).alias("p"))
+    postings = postings.select(F.col("p.docs").alias("doc_id"), "term", F.col("p.impacts").alias("weight"))
+    return sparse_topk(asked.select("query_id", "term", F.lit(1.0).alias("weight")), postings, k)

@@ -141,6 +141,21 @@ def test_a_stored_index_ranks_as_the_documents_do(spark, tmp_path, monkeypatch):
     assert index.where("size(docs) > 4").count() == 0 and index.groupBy("term", "shard").agg(F.sum(F.size("docs")).alias("n")).where("n > 120").count() == 0
 
 
+def test_a_block_of_the_index_is_read_once_for_all_queries(spark, tmp_path, monkeypatch):
+    from siftwell.operators import stored_index as S
+
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("hot word "), "id").alias("text"))
+    queries = spark.createDataFrame([(i, "hot word") for i in range(40)], "query_id long, text string")
+    read = []
+    scored = S.sparse_topk
+    monkeypatch.setattr(S, "sparse_topk", lambda asked, postings, k: read.append(postings.count()) or scored(asked, postings, k))
+    path = str(tmp_path / "index")
+    S.build_bm25_index(docs, path)
+    found = S.bm25_index_topk(spark, path, queries, 2).collect()
+    assert sorted((r["query_id"], r["doc_id"]) for r in found) == [(q, d) for q in range(40) for d in (0, 1)]
+    assert read == [600]
+
+
 def test_upsert(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     new = spark.createDataFrame([(2, "B"), (3, "C")], "id long, v string")
