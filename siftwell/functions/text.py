@@ -4,7 +4,7 @@ normalisation and RFC link resolution, which have no built-in counterpart."""
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from siftwell.functions.batches import text_slices
+
 # Fixed value: the characters that count as whitespace when a string is stripped.
 WHITESPACE = (
     " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
@@ -72,9 +74,11 @@ def bullets_to_space(col: Column) -> Column:
 
 
 @F.arrow_udf(StringType())
-def _nfkc(texts: pa.Array) -> pa.Array:
-    normal = [None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()]
-    return pa.array(normal, pa.string())
+def _nfkc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for texts in text_slices(batch):
+            normal = [None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()]
+            yield pa.array(normal, pa.string())
 
 
 def normalize_nfkc(col: Column) -> Column:

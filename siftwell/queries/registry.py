@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,9 +26,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Bytes of a table's files for which there is a partition of its own.
+PARTITION_BYTES = 4_000_000
+
+
 def text_table(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
-    """A table whose rows are costly to process, dealt out by its key: a file may be a single row group."""
-    return table(spark, folder, name).repartition(key)
+    """A table whose rows are costly to process, dealt out by its key: a file may be a single row group.
+
+    Partitions become more with the table, not larger: what a task holds of it stays the same.
+    """
+    files = spark.read.format("binaryFile").load(f"{folder}/{name}.parquet")
+    parts = math.ceil((files.agg(F.sum("length")).first()[0] or 0) / PARTITION_BYTES)
+    if parts <= spark.sparkContext.defaultParallelism:
+        return table(spark, folder, name).repartition(key)
+    return table(spark, folder, name).repartition(parts, key)
 
 
 # The texts of ``documents`` hold nothing that cleaning would change, so noise is added by an
