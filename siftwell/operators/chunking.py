@@ -7,10 +7,12 @@ from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.functions.batches import text_slices
+
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 200
 # Tried from the coarsest to the finest; the empty one cuts between characters.
@@ -64,9 +66,12 @@ def chunk_texts(col: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLA
     if not 0 <= overlap < size:
         raise ValueError("overlap has to be smaller than the chunk size")
 
-    @F.pandas_udf("array<string>")
-    def split(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda body: split_recursive(body, size, overlap), na_action="ignore")
+    @F.arrow_udf("array<string>")
+    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for bodies in text_slices(batch):
+                chunks = [None if b is None else split_recursive(b, size, overlap) for b in bodies.to_pylist()]
+                yield pa.array(chunks, pa.list_(pa.string()))
 
     return split(col)
 
@@ -89,6 +94,8 @@ def chunk_point_id(key: Column, chunk_index: Column) -> Column:
 EMBEDDING_DIMENSION = 1536
 # texts that are embedded at a time
 EMBED_ROWS = 500
+# words whose buckets a task remembers
+BUCKET_CACHE = 200_000
 
 Embedder = Callable[[Sequence[str]], np.ndarray]
 
@@ -105,7 +112,7 @@ def hashing_embedder(dimension: int = EMBEDDING_DIMENSION) -> Callable[[], Embed
         def bucket(word: str) -> int:
             at = buckets.get(word)
             if at is None:
-                if len(buckets) >= 1_000_000:
+                if len(buckets) >= BUCKET_CACHE:
                     buckets.clear()
                 at = buckets[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dimension
             return at
@@ -133,18 +140,17 @@ def embed_chunks(
     output: str = "vector",
     dtype: str = "float",
 ) -> DataFrame:
-    """Adds a vector per text. The factory runs once per task, the embedder once per ``EMBED_ROWS`` texts."""
+    """Adds a vector per text. The factory runs once per task, the embedder once per ``EMBED_ROWS`` texts, whose vectors then leave the task."""
     build = factory or hashing_embedder()
 
-    @F.pandas_udf(f"array<{dtype}>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(f"array<{dtype}>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         embedder = build()
-        for texts in batches:
-            vectors: list[np.ndarray] = []
-            bodies = texts.fillna("").tolist()
-            for at in range(0, len(bodies), EMBED_ROWS):
-                found = np.asarray(embedder(bodies[at : at + EMBED_ROWS]))
-                vectors.extend(found.astype(np.float64 if dtype == "double" else np.float32))
-            yield pd.Series(vectors, dtype=object)
+        for batch in batches:
+            for at in range(0, len(batch), EMBED_ROWS):
+                found = np.asarray(embedder(batch.slice(at, EMBED_ROWS).fill_null("").to_pylist()))
+                found = found.astype(np.float64 if dtype == "double" else np.float32)
+                offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1])
+                yield pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))
 
     return df.withColumn(output, embed(F.col(text)))
