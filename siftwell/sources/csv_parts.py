@@ -19,8 +19,8 @@ LINK_COLUMNS = ("text", "href", "className", "parentText", "outerHTML")
 BODY_COLUMN = "iframe_jd_text"
 KEPT_COLUMNS = ("company", "url", BODY_COLUMN)
 
-# rows handed from a task's reader to Spark at a time
-_ROWS_AT_ONCE = 5000
+# rows, and characters in them, handed from a task's reader to Spark at a time
+_ROWS_AT_ONCE, _CHARS_AT_ONCE = 5000, 2_000_000
 
 
 def file_order() -> Column:
@@ -49,21 +49,40 @@ def _why_unusable(rows: Iterator[list[str]], required: str) -> str | None:
     return None
 
 
-def _parse(path: str, content: bytes, required: str, keep: Sequence[str]) -> Iterator[tuple]:
-    """(path, 0, reason) for the file, then (path, number, None, *fields) for its rows if it is usable."""
+def _text(content: pa.Buffer) -> io.TextIOWrapper:
+    """The characters of a file, decoded as they are read."""
+    return io.TextIOWrapper(pa.BufferReader(content), encoding="utf-8-sig", newline="")
+
+
+def _bad_byte(content: pa.Buffer) -> int:
+    """Where the text of a file that is not UTF-8 breaks off."""
+    try:
+        str(memoryview(content), "utf-8-sig")
+    except UnicodeDecodeError as error:
+        return error.start
+    raise AssertionError("the file is UTF-8")
+
+
+def _parse(path: str, content: pa.Buffer, required: str, keep: Sequence[str]) -> Iterator[tuple]:
+    """(path, 0, reason) for the file, then (path, number, None, *fields) for its rows if it is usable.
+
+    The file is read a buffer of characters at a time; besides its bytes no copy of it is held.
+    """
     blank = (None,) * len(keep)
     csv.field_size_limit(2**31 - 1)
     try:
-        text = content.decode("utf-8-sig")
-        reason = _why_unusable(csv.reader(io.StringIO(text, newline="")), required)
-    except UnicodeDecodeError as error:
-        reason = f"not UTF-8 at byte {error.start}"
+        text = _text(content)
+        while text.read(1 << 20):
+            pass
+        reason = _why_unusable(csv.reader(_text(content)), required)
+    except UnicodeDecodeError:
+        reason = f"not UTF-8 at byte {_bad_byte(content)}"
     except csv.Error as error:
         reason = f"not CSV: {error}"
     yield (path, 0, reason, *blank)
     if reason:
         return
-    rows = csv.reader(io.StringIO(text, newline=""))
+    rows = csv.reader(_text(content))
     header = next(rows)
     # of a repeated name the first column counts
     at = [header.index(c) if c in header else len(header) for c in keep]
@@ -72,6 +91,17 @@ def _parse(path: str, content: bytes, required: str, keep: Sequence[str]) -> Ite
         yield (path, number, None, *(row[i] or None for i in at))
 
 
+def _some(parsed: Iterator[tuple]) -> list[tuple]:
+    """The next rows: at most ``_ROWS_AT_ONCE``, and no more once they hold ``_CHARS_AT_ONCE`` characters."""
+    rows, chars = [], 0
+    for row in islice(parsed, _ROWS_AT_ONCE):
+        rows.append(row)
+        chars += sum(len(field) for field in row[3:] if field)
+        if chars >= _CHARS_AT_ONCE:
+            break
+    return rows
+
+
 def read_csv_files(spark: SparkSession, paths: str | Sequence[str], required: str, keep: Sequence[str]) -> DataFrame:
     """(path, row, reason, *keep): a row 0 for each file, with the reason if it is skipped, and the rows of the others.
 
@@ -90,8 +120,8 @@ def parse_csv_files(files: DataFrame, required: str, keep: Sequence[str]) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path"), batch.column("content")):
-                parsed = _parse(path.as_py(), content.as_py(), required, keep)
-                while rows := list(islice(parsed, _ROWS_AT_ONCE)):
+                parsed = _parse(path.as_py(), content.as_buffer(), required, keep)
+                while rows := _some(parsed):
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     schema = ", ".join(f"`{n}` {'long' if n == 'row' else 'string'}" for n in names)
