@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.functions.batches import list_slices
 from siftwell.functions.tokens import SPECIAL_TOKENS, USER_TERMS, pretokenize, segment_forms
 from siftwell.operators.wordpiece_training import learn_merges, split_words
 from siftwell.session import stage, unstage
@@ -25,6 +26,8 @@ PREFIX = "##"
 UNKNOWN = "[UNK]"
 #: Entries of a vocabulary that are sent to the tasks.
 MOST_ENTRIES = 2_000_000
+#: Words that a task encodes at a time, and distinct words whose pieces it remembers.
+ENCODED_WORDS, REMEMBERED_WORDS = 200_000, 200_000
 
 VOCAB_SCHEMA = "id int, token string"
 
@@ -171,7 +174,7 @@ def encode_wordpiece(
         def pieces(word: str) -> list[str]:
             found = memo.get(word)
             if found is None:
-                if len(memo) >= 500_000:
+                if len(memo) >= REMEMBERED_WORDS:
                     memo.clear()
                 if word in whole:
                     found = [word]
@@ -182,8 +185,8 @@ def encode_wordpiece(
                 memo[word] = found
             return found
 
-        for rows in batches:
-            # distinct words of the batch are looked up, then laid out again by position
+        for rows in (part for batch in batches for part in list_slices(batch, ENCODED_WORDS)):
+            # distinct words of the slice are looked up, then laid out again by position
             words = rows.flatten().dictionary_encode()
             found = pa.array([pieces(w) for w in words.dictionary.to_pylist()], pa.list_(pa.string()))
             placed = found.take(words.indices)
