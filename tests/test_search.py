@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,6 +227,19 @@ def test_sparse_and_bm25_equal_brute_force(spark, block_terms):
         assert [d for d, _ in mine] == [d for d, _ in ranked]
 
 
+def test_postings_that_nobody_asks_for_are_not_dealt(spark, monkeypatch):
+    """A task streams its documents, whole ones at a time, and sees only the terms of queries."""
+    monkeypatch.setattr(R, "BATCH_POSTINGS", 3)
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.explode(F.array(F.lit("hot"), F.concat(F.lit("w"), "id"))).alias("term"))
+    held = docs.withColumn("weight", F.when(F.col("term") == "hot", 1.0).otherwise(5.0))
+    asked = spark.createDataFrame([(1, "hot", 2.0), (2, "w7", 1.0), (2, "none", 1.0)], "query_id long, term string, weight double")
+    plan = R.sparse_topk(asked, held, 2)
+    assert "LeftSemi" in plan._jdf.queryExecution().toString()
+    assert sorted(tuple(r) for r in plan.collect()) == [(1, 0, 2.0, 1), (1, 1, 2.0, 2), (2, 7, 5.0, 1)]
+    parts = [pa.RecordBatch.from_pydict({"doc_id": d}) for d in ([1, 1, 2], [2, 2, 2, 2], [3, 4], [4])]
+    assert [b.column("doc_id").to_pylist() for b in R._whole_documents(iter(parts))] == [[1, 1], [2, 2, 2, 2, 2, 3], [4, 4]]
+
+
 def test_what_is_shuffled_does_not_grow_with_the_documents(spark, monkeypatch):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("hot word "), "id").alias("text")).repartition(6)
     queries = spark.createDataFrame([(i, "hot word") for i in range(5)], "query_id long, text string")
