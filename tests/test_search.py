@@ -93,6 +93,37 @@ def test_queries_stay_on_the_executors(spark, monkeypatch):
     assert seen and max(seen) <= 22
 
 
+def _dealt(monkeypatch):
+    """What is dealt to the tasks of dense searches from now on."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    dealt, deal = [], DataFrame.repartition
+    monkeypatch.setattr(DataFrame, "repartition", lambda df, *a: dealt.append(df) or deal(df, *a))
+    return dealt
+
+
+def test_a_query_is_sent_once_to_a_task_however_many_cells_it_asks(spark, monkeypatch):
+    """Vectors without clusters: every query asks every cell."""
+    dealt = _dealt(monkeypatch)
+    made = np.random.default_rng(3).normal(size=(400, 12)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(made)]
+    got = V.dense_topk(vectors(spark, rows, "query_id"), vectors(spark, rows, "doc_id"), 5).collect()
+    close(got, brute(rows, rows, 5))
+    assert dealt and all(df.count() <= 2 * len(rows) for df in dealt)
+
+
+def test_few_queries_are_sent_to_the_documents(spark, monkeypatch):
+    """No document is dealt anew; copies, documents with several vectors, missing and zero vectors on both sides."""
+    dealt = _dealt(monkeypatch)
+    rng = random.Random(8)
+    corpus = [(i // 2, [rng.randint(-2, 2) * 1.0 for _ in range(3)]) for i in range(300)] + [(7, None), (500, None), (501, [0.0] * 3)]
+    queries = [(1, [1.0, 2.0, 0.0]), (2, [0.0, -1.0, 1.0]), (3, None), (4, [0.0] * 3)]
+    got = V.dense_topk(vectors(spark, queries, "query_id"), vectors(spark, corpus, "doc_id"), 9).collect()
+    close(got, brute(queries, corpus, 9))
+    got = V.dense_topk(vectors(spark, queries[::2], "query_id"), vectors(spark, corpus[:4] + corpus[-3:], "doc_id"), 9)
+    assert got.where("query_id = 1").count() == 5 and not dealt
+
+
 def test_undefined_scores_rank_last(spark):
     corpus = vectors(spark, [(1, [0.0, 0.0]), (2, [-1.0, 0.0])], "doc_id")
     rows = V.dense_topk(vectors(spark, [(7, [1.0, 0.0])], "query_id"), corpus).orderBy("rank").collect()
