@@ -17,6 +17,9 @@ that makes an entry once more breaks the premise: it is still right itself, and
 If so many pairs tie for the best count that no floor separates few of them, the first ones by text are taken, and all
 words that hold one are sent whole: nothing is cut, so counts are exact, and the round ends where the first pair that
 was left out would be next.
+
+On the executors symbols are numbers, and a batch of words is one array of them: pairs are counted and words are cut
+without a step for each word, and what is the same in many words is merged once.
 """
 
 from __future__ import annotations
@@ -24,7 +27,9 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,14 +58,115 @@ def split_words(words: DataFrame, alphabet: Sequence[str], prefix: str) -> DataF
     return words.select(F.array_compact(symbols).alias("symbols"), "freq")
 
 
-def pair_counts(state: DataFrame) -> DataFrame:
-    """How often two symbols are neighbours (n), and in how many places of the table (places)."""
-    pairs = F.arrays_zip(
-        F.slice("symbols", F.lit(1), F.size("symbols") - 1).alias("a"),
-        F.slice("symbols", F.lit(2), F.size("symbols") - 1).alias("b"),
-    )
-    exploded = state.filter(F.size("symbols") > 1).select(F.explode(pairs).alias("p"), "freq").select("p.a", "p.b", "freq")
-    return exploded.groupBy("a", "b").agg(F.sum("freq").alias("n"), F.count("*").alias("places"))
+@dataclass(frozen=True)
+class Words:
+    """A table of words or runs (symbols, freq), and the symbols by their numbers."""
+
+    table: DataFrame
+    symbols: list[str]
+
+
+#: Counted pairs that a task holds before it adds them up, and merged runs that it remembers.
+HELD_PAIRS, HELD_RUNS = 1_000_000, 200_000
+
+_STATE = "symbols array<int>, freq long"
+_RUNS = "symbols binary, freq long"
+
+
+def _batch(symbols: pa.Array, freq: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([symbols, pa.array(freq, pa.int64())], names=["symbols", "freq"])
+
+
+def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
+
+
+def numbered(state: DataFrame, symbols: Sequence[str]) -> DataFrame:
+    """(symbols, freq) with the number of each symbol instead of it; words of one symbol, which take no part, are left out."""
+    sent = state.sparkSession.sparkContext.broadcast({s: i for i, s in enumerate(symbols)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column("symbols").flatten().dictionary_encode()
+            known = np.array([sent.value[s] for s in found.dictionary.to_pylist()], np.int32)
+            flat = known[found.indices.to_numpy()] if len(found) else known
+            yield _batch(_lists(flat, np.diff(batch.column("symbols").offsets.to_numpy())), batch.column("freq").to_numpy())
+
+    return state.filter(F.size("symbols") > 1).mapInArrow(run, _STATE)
+
+
+class _Flat:
+    """The words of a batch as one array of symbols."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        lists = batch.column("symbols")
+        self.freq, self.flat = batch.column("freq").to_numpy(), lists.flatten().to_numpy()
+        self.sizes = np.diff(lists.offsets.to_numpy())
+        self.word = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        #: the neighbours at each place as one number; -1 between two words
+        self.pairs = np.where(self.word[1:] == self.word[:-1], _codes(self.flat[:-1], self.flat[1:]), -1)
+
+    def runs(self, chosen: np.ndarray, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) of the longest runs of which all neighbours are among the sorted ``chosen``, or of all words that
+        hold one (``whole``)."""
+        at = np.minimum(np.searchsorted(chosen, self.pairs), len(chosen) - 1)
+        hit = np.concatenate([[False], chosen[at] == self.pairs if len(chosen) else np.zeros(len(self.pairs), bool), [False]])
+        if whole:
+            words = np.unique(self.word[np.flatnonzero(hit) - 1])
+            return (np.cumsum(self.sizes) - self.sizes)[words], self.sizes[words]
+        start, end = np.flatnonzero(hit[1:] & ~hit[:-1]), np.flatnonzero(hit[:-1] & ~hit[1:])
+        return start, end - start + 1
+
+    def texts(self, start: np.ndarray, size: np.ndarray) -> pa.DictionaryArray:
+        """The runs as strings of bytes, each distinct one once."""
+        data = self.flat[_spread(start, size)].astype("<i4")
+        offsets = np.concatenate([[0], np.cumsum(size) * 4]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+
+
+def _codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a.astype(np.int64) << 32 | b.astype(np.int64)
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of stretches, one after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _summed(codes: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Each code once, and the sums of its values."""
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    start = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.empty(0, np.int64)
+    return [codes[start], *(np.add.reduceat(v[order], start) if len(start) else v[:0] for v in values)]
+
+
+def pair_counts(state: Words) -> DataFrame:
+    """How often two symbols are neighbours (n), and in how many places of the table (places); symbols (a, b) as their
+    places in the order of all symbols by text."""
+    place = np.empty(len(state.symbols), np.int64)
+    place[sorted(range(len(state.symbols)), key=state.symbols.__getitem__)] = np.arange(len(state.symbols))
+    sent = state.table.sparkSession.sparkContext.broadcast(place)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.empty(0, np.int64)
+        total, held, n_held = [none] * 3, [[none] * 3], 0
+        for batch in batches:
+            words = _Flat(batch)
+            inside = words.pairs >= 0
+            freq = words.freq[words.word[:-1][inside]]
+            held.append(_summed(words.pairs[inside], freq, np.ones(len(freq), np.int64)))
+            n_held += len(held[-1][0])
+            if n_held >= HELD_PAIRS:
+                total, held, n_held = _summed(*map(np.concatenate, zip(total, *held))), [[none] * 3], 0
+        codes, n, places = _summed(*map(np.concatenate, zip(total, *held)))
+        a, b = sent.value[codes >> 32], sent.value[codes & 0xFFFFFFFF]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, n, places)], names=["a", "b", "n", "places"])
+
+    counted = state.table.mapInArrow(count, "a long, b long, n long, places long")
+    return counted.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("places").alias("places"))
 
 
 def runs_of(symbols: Sequence[str], chosen: frozenset[Pair], whole: bool) -> list[list[str]]:
@@ -77,25 +183,25 @@ def runs_of(symbols: Sequence[str], chosen: frozenset[Pair], whole: bool) -> lis
     return runs
 
 
-_STATE = "symbols array<string>, freq long"
+def _chosen_codes(chosen: Sequence[Pair], symbols: Sequence[str]) -> np.ndarray:
+    number = {s: i for i, s in enumerate(symbols)}
+    return np.sort(np.array([number[a] << 32 | number[b] for a, b in chosen], np.int64))
 
 
-def _batch(symbols: list[list[str]], freq: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(symbols, pa.list_(pa.string())), pa.array(freq, pa.int64())], names=["symbols", "freq"]
-    )
-
-
-def _runs(state: DataFrame, chosen: Sequence[Pair], whole: bool) -> DataFrame:
-    sent = state.sparkSession.sparkContext.broadcast(frozenset(chosen))
+def _runs(state: Words, chosen: Sequence[Pair], whole: bool) -> Words:
+    """What ``runs_of`` cuts out of each word, added up; symbols as bytes."""
+    sent = state.table.sparkSession.sparkContext.broadcast(_chosen_codes(chosen, state.symbols))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(batch.column("symbols").to_pylist(), batch.column("freq").to_pylist())
-            found = [(run, n) for symbols, n in rows for run in runs_of(symbols, sent.value, whole)]
-            yield _batch([run for run, _ in found], [n for _, n in found])
+            words = _Flat(batch)
+            start, size = words.runs(sent.value, whole)
+            texts = words.texts(start, size)
+            _, freq = _summed(texts.indices.to_numpy().astype(np.int64), words.freq[words.word[start]])
+            yield _batch(texts.dictionary, freq)
 
-    return state.mapInArrow(cut, _STATE).groupBy("symbols").agg(F.sum("freq").alias("freq"))
+    found = state.table.mapInArrow(cut, _RUNS).groupBy("symbols").agg(F.sum("freq").alias("freq"))
+    return Words(found, state.symbols)
 
 
 def merge_word(symbols: Sequence[str], ranks: dict[Pair, int], prefix: str) -> list[str]:
@@ -122,23 +228,64 @@ def merge_word(symbols: Sequence[str], ranks: dict[Pair, int], prefix: str) -> l
     return [t for t in token if t is not None]
 
 
-def apply_merges(state: DataFrame, merges: Sequence[Pair], prefix: str) -> DataFrame:
-    """The words with the merges applied; words of one symbol, which take no further part, are left out."""
-    sent = state.sparkSession.sparkContext.broadcast({pair: i for i, pair in enumerate(merges)})
+def _joints(merges: Sequence[Pair], symbols: Sequence[str], prefix: str) -> list[Pair]:
+    """The neighbours, as they are before the merges, between which one of these may join.
+
+    A token that is made here and used by a later merge is made in one way (a merge that makes an entry again is the
+    last, and pairs that don't touch don't use each other's tokens), so it ends in the same old symbols everywhere.
+    """
+    ends: dict[str, Pair] = {}
+    known, found = set(symbols), {}
+    for a, b in merges:
+        (first, left), (right, last) = ends.get(a, (a, a)), ends.get(b, (b, b))
+        found[left, right] = None
+        token = merged_token(a, b, prefix)
+        if token not in known:
+            ends.setdefault(token, (first, last))
+    return list(found)
+
+
+def apply_merges(state: Words, merges: Sequence[Pair], prefix: str) -> Words:
+    """The words with the merges applied; words of one symbol, which take no further part, are left out.
+
+    Words are cut where nothing can be joined; each distinct run that is left is merged once in a task.
+    """
+    symbols = list(dict.fromkeys([*state.symbols, *(merged_token(a, b, prefix) for a, b in merges)]))
+    joints = _chosen_codes(_joints(merges, state.symbols, prefix), state.symbols)
+    sent = state.table.sparkSession.sparkContext.broadcast((symbols, joints, {pair: i for i, pair in enumerate(merges)}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = sent.value
-        for batch in batches:
-            words, kept = [], []
-            for symbols, n in zip(batch.column("symbols").to_pylist(), batch.column("freq").to_pylist()):
-                if any(pair in ranks for pair in zip(symbols, symbols[1:])):
-                    symbols = merge_word(symbols, ranks, prefix)
-                if len(symbols) > 1:
-                    words.append(symbols)
-                    kept.append(n)
-            yield _batch(words, kept)
+        symbols, joints, ranks = sent.value
+        number = {s: i for i, s in enumerate(symbols)}
+        merged: dict[bytes, np.ndarray] = {}
+
+        def of(text: bytes) -> np.ndarray:
+            known = merged.get(text)
+            if known is None:
+                tokens = merge_word([symbols[i] for i in np.frombuffer(text, "<i4").tolist()], ranks, prefix)
+                known = np.array([number[t] for t in tokens], np.int32)
+                if len(merged) >= HELD_RUNS:
+                    merged.clear()
+                merged[text] = known
+            return known
 
-    return state.mapInArrow(run, _STATE)
+        for batch in batches:
+            words = _Flat(batch)
+            start, size = words.runs(joints)
+            flat, kept = words.flat.copy(), np.ones(len(words.flat), bool)
+            if len(start):
+                texts = words.texts(start, size)
+                made, which = [of(text) for text in texts.dictionary.to_pylist()], texts.indices.to_numpy()
+                n = np.array(list(map(len, made)))
+                begin = (np.cumsum(n) - n)[which]
+                kept[_spread(start, size)] = False
+                at = _spread(start, n[which])
+                flat[at], kept[at] = np.concatenate(made)[_spread(begin, n[which])], True
+            sizes = np.bincount(words.word[kept], minlength=len(words.sizes))
+            long = sizes > 1
+            yield _batch(_lists(flat[kept & long[words.word]], sizes[long]), words.freq[long])
+
+    return Words(state.table.mapInArrow(run, _STATE), symbols)
 
 
 def play_forward(
@@ -197,18 +344,18 @@ def play_forward(
     return merges
 
 
-def _collected(runs: DataFrame) -> list[tuple[list[str], int]] | None:
+def _collected(runs: Words) -> list[tuple[list[str], int]] | None:
     """The runs, or None if they are more than a round may send."""
-    runs = stage(runs, "runs")
-    size = runs.agg(F.count("*").alias("n"), F.sum(F.size("symbols")).alias("symbols")).first()
+    table = stage(runs.table, "runs")
+    size = table.agg(F.count("*").alias("n"), (F.sum(F.octet_length("symbols")) / 4).alias("symbols")).first()
     fits = size["n"] <= ROUND_RUNS and (size["symbols"] or 0) <= ROUND_SYMBOLS
-    found = [(r["symbols"], r["freq"]) for r in runs.collect()] if fits else None
-    unstage(runs)
-    return found
+    rows = table.collect() if fits else []
+    unstage(table)
+    return [([runs.symbols[i] for i in np.frombuffer(r["symbols"], "<i4")], r["freq"]) for r in rows] if fits else None
 
 
 def look_ahead(
-    state: DataFrame, ranked: Sequence[tuple[str, str, int, int]], floor: int, n_pairs: int, taken: set[str], room: int, prefix: str
+    state: Words, ranked: Sequence[tuple[str, str, int, int]], floor: int, n_pairs: int, taken: set[str], room: int, prefix: str
 ) -> tuple[list[Pair], int]:
     """(merges, pairs to look at next time) of one round, from the ranking (a, b, n, places) of its best pairs.
 
@@ -270,17 +417,18 @@ def learn_merges(
     n_pairs = max(1, fetch // 64)
     # dealt evenly, since a word list may come as one file; larger files are split when read
     dealt = state.repartition(state.sparkSession.sparkContext.defaultParallelism, "symbols")
-    state = stage(dealt, "symbols")
+    words = Words(stage(numbered(dealt, vocab), "symbols"), list(vocab))
     while len(vocab) < size:
-        frequent = pair_counts(state).filter(F.col("n") >= min_frequency)
+        frequent = pair_counts(words).filter(F.col("n") >= min_frequency)
         best = frequent.orderBy(F.desc("n"), "a", "b").limit(fetch + 1).collect()
         if not best:
             break
-        ranked = [(r["a"], r["b"], r["n"], r["places"]) for r in best]
+        by_text = sorted(words.symbols)
+        ranked = [(by_text[r["a"]], by_text[r["b"]], r["n"], r["places"]) for r in best]
         room = size - len(vocab)
         if merges_per_round is None:
             floor = min_frequency - 1 if len(ranked) <= fetch else ranked[-1][2]
-            merges, n_pairs = look_ahead(state, ranked, floor, n_pairs, taken, room, prefix)
+            merges, n_pairs = look_ahead(words, ranked, floor, n_pairs, taken, room, prefix)
         else:
             merges = apart(ranked, merges_per_round, prefix)[:room]
         for a, b in merges:
@@ -288,7 +436,8 @@ def learn_merges(
             if token not in taken:
                 taken.add(token)
                 vocab.append(token)
-        before, state = state, stage(apply_merges(state, merges, prefix), "symbols")
+        before, after = words.table, apply_merges(words, merges, prefix)
+        words = Words(stage(after.table, "symbols"), after.symbols)
         unstage(before)
-    unstage(state)
+    unstage(words.table)
     return vocab

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from siftwell.operators import wordpiece as W
@@ -155,6 +156,40 @@ def test_a_very_long_word_is_merged_quickly():
     assert merged[:2] == ["aaaaaa", "##aaaa"]
 
 
+@pytest.mark.parametrize("whole", [False, True])
+def test_a_batch_is_cut_as_its_words_are(whole):
+    """Runs of a batch without a step for each word; the same run of many words is one text."""
+    rng = random.Random(4)
+    words = [[rng.randrange(5) for _ in range(rng.randint(2, 9))] for _ in range(300)]
+    batch = T._batch(T._lists(np.concatenate(words), list(map(len, words))), np.arange(1, 301))
+    for chosen in ({(0, 1), (1, 2), (3, 3)}, {(4, 4)}, set()):
+        want = Counter()
+        for i, word in enumerate(words, start=1):
+            for run in T.runs_of(word, frozenset(chosen), whole):
+                want[tuple(run)] += i
+        flat = T._Flat(batch)
+        start, size = flat.runs(np.sort(np.array([a << 32 | b for a, b in chosen], np.int64)), whole)
+        texts = flat.texts(start, size)
+        freq = np.bincount(texts.indices.to_numpy(), flat.freq[flat.word[start]], len(texts.dictionary))
+        assert {tuple(np.frombuffer(t, "<i4").tolist()): n for t, n in zip(texts.dictionary.to_pylist(), freq)} == want
+
+
+def test_merges_of_a_round_are_applied_to_runs(spark):
+    """Merges that use tokens of earlier ones, chains, and words that become one symbol."""
+    words = random_words(3, "abc", 200)
+    symbols = [*"abc", "##a", "##b", "##c"]
+    merges = [("##a", "##b"), ("##ab", "##c"), ("a", "##abc"), ("##c", "##c"), ("##cc", "##ab"), ("b", "##a")]
+    split = T.split_words(words_frame(spark, words), list("abc"), "##")
+    after = T.apply_merges(T.Words(T.numbered(split, symbols), symbols), merges, "##")
+    got = Counter((tuple(after.symbols[i] for i in r["symbols"]), r["freq"]) for r in after.table.collect())
+    ranks = {pair: i for i, pair in enumerate(merges)}
+    want = Counter()
+    for word, n in words.items():
+        merged = T.merge_word([c if i == 0 else "##" + c for i, c in enumerate(word)], ranks, "##")
+        want[tuple(merged), n] += len(merged) > 1
+    assert got == +want
+
+
 def test_hand_computed_merges(spark):
     words = {"hug": 10, "pug": 5, "pun": 12, "bun": 4, "hugs": 5}
     got = tokens_of(W.train_wordpiece(words_frame(spark, words), 100, 3, specials=["[UNK]"]))
