@@ -185,7 +185,9 @@ def bm25_topk(
     asked = queries.select(
         F.col(query_id).cast("long").alias("query_id"), F.explode(F.array_distinct(pretokenize(F.col(text)))).alias("term")
     )
-    words = documents.select(F.col(doc_id).cast("long").alias("doc_id"), pretokenize(F.col(text)).alias("terms"))
+    # a filter on the words would be pushed below a shuffle of the documents, and split every text twice
+    known = documents.where(F.col(text).isNotNull())
+    words = known.select(F.col(doc_id).cast("long").alias("doc_id"), pretokenize(F.col(text)).alias("terms"))
     distinct = words.select(
         F.array_size("terms").alias("dl"), F.explode(F.array_append(F.array_distinct("terms"), F.lit(""))).alias("term")
     )
@@ -203,7 +205,7 @@ def bm25_topk(
         row, place = key // len(block.terms), key % len(block.terms)
         return row, place, tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[row] / mean_size))
 
-    return _ranked(weighted, words.filter("terms IS NOT NULL"), k, block_terms, weigh)
+    return _ranked(weighted, words, k, block_terms, weigh)
 
 
 def min_max(run: DataFrame) -> DataFrame:

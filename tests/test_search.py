@@ -124,6 +124,17 @@ def test_few_queries_are_sent_to_the_documents(spark, monkeypatch):
     assert got.where("query_id = 1").count() == 5 and not dealt
 
 
+def test_texts_are_split_once_for_scoring(spark, monkeypatch):
+    """Not a second time below the shuffle that deals the documents out."""
+    seen = []
+    ranked = R._ranked
+    monkeypatch.setattr(R, "_ranked", lambda asked, documents, *a: seen.append(documents) or ranked(asked, documents, *a))
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "doc_id long, text string").repartition(3, "doc_id")
+    queries = spark.createDataFrame([(7, "a")], "query_id long, text string")
+    assert [(r["doc_id"], r["rank"]) for r in R.bm25_topk(queries, docs).collect()] == [(1, 1)]
+    assert seen[0]._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
 def test_undefined_scores_rank_last(spark):
     corpus = vectors(spark, [(1, [0.0, 0.0]), (2, [-1.0, 0.0])], "doc_id")
     rows = V.dense_topk(vectors(spark, [(7, [1.0, 0.0])], "query_id"), corpus).orderBy("rank").collect()
