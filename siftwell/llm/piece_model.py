@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import add
 
 #: Kinds of pieces in a model file, and the mark of a blank: fixed values of the format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -143,6 +144,9 @@ class PieceTransducer(PieceDecoder):
             self.edges = [{i: self._edge(i, side) for i in self.born} for side in (0, 1)]
         # the arcs as a trie: what is only the beginning of a piece is marked
         self.arcs = {p[:k]: _ONLY_PREFIX for p in self.ids for k in range(1, len(p))} | self.ids
+        # for merge models: twice the id, and one more if longer pieces begin so
+        longer = {p[:-1] for p in self.arcs}
+        self.steps = {p: _ONLY_PREFIX if i < 0 else 2 * i + (p in longer) for p, i in self.arcs.items()} if self.merges else {}
 
     # -- merge models ------------------------------------------------------------------------------------------------
 
@@ -223,7 +227,7 @@ class PieceTransducer(PieceDecoder):
 
     def _only_path(self, unit: str) -> list[str] | None:
         """In a merge model at most one state of the acceptor is within reach at each position: the last piece there."""
-        n, arcs, neighbours, pairs = len(unit), self.arcs, self.neighbours, self.pairs
+        n, steps, neighbours, pairs = len(unit), self.steps.get, self.neighbours, self.pairs
         last: list[int | None] = [None] * (n + 1)
         came = [0] * (n + 1)
         last[0] = NO_PIECE
@@ -231,23 +235,31 @@ class PieceTransducer(PieceDecoder):
             here = last[at]
             if here is None:
                 continue
-            piece = arcs.get(unit[at])
-            if piece is None or piece == _ONLY_PREFIX:
+            step = steps(unit[at])
+            if step is None or step == _ONLY_PREFIX:
                 last[at + 1], came[at + 1] = NO_PIECE, at
-                if piece is None:
+                if step is None:
+                    continue
+            else:
+                if last[at + 1] is None and (here < 0 or neighbours(here, step >> 1)):
+                    last[at + 1], came[at + 1] = step >> 1, at
+                if not step & 1:
                     continue
-            elif last[at + 1] is None and (here < 0 or neighbours(here, piece)):
-                last[at + 1], came[at + 1] = piece, at
             for end in range(at + 2, n + 1):
-                piece = arcs.get(unit[at:end])
-                if piece is None:
+                step = steps(unit[at:end])
+                if step is None:
                     break
-                if piece >= 0 and last[end] is None:
-                    if here >= 0:
-                        stays = pairs.get(here << 32 | piece)
-                        if not (neighbours(here, piece) if stays is None else stays):
-                            continue
-                    last[end], came[end] = piece, at
+                if step >= 0:
+                    if last[end] is None:
+                        piece = step >> 1
+                        if here < 0:
+                            last[end], came[end] = piece, at
+                        else:
+                            stays = pairs.get(here << 32 | piece)
+                            if neighbours(here, piece) if stays is None else stays:
+                                last[end], came[end] = piece, at
+                    if not step & 1:
+                        break
         if last[n] is None:
             return None
         path, end = [], n
@@ -317,9 +329,12 @@ class PieceTransducer(PieceDecoder):
 
     def _parts(self, unit: str) -> list[str]:
         """The unit, cut where no piece can lie across: between two characters that no piece has side by side."""
+        pairs = list(map(add, unit, unit[1:]))
+        if self.inside.issuperset(pairs):
+            return [unit]
         inside, parts, start = self.inside, [], 0
-        for i in range(1, len(unit)):
-            if unit[i - 1 : i + 1] not in inside:
+        for i, pair in enumerate(pairs, start=1):
+            if pair not in inside:
                 parts.append(unit[start:i])
                 start = i
         parts.append(unit[start:])

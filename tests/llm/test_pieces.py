@@ -81,3 +81,10 @@ def test_odd_rows(odd_docs, no_docs):
     both = pieces.round_trip(odd_docs, ids="score", decoded="label")
     assert both.columns == odd_docs.columns and both.orderBy("doc_id", "text").collect() == got.orderBy("doc_id", "text").collect()
     assert pieces.tokenize(no_docs).collect() == pieces.round_trip(no_docs).collect() == []
+
+
+def test_steps_say_whether_longer_pieces_begin_so(transducer):
+    """A piece that begins no longer one ends the search at a place."""
+    beginnings = {p[:k] for p in transducer.ids for k in range(1, len(p))}
+    assert transducer.steps.keys() == beginnings | transducer.ids.keys()
+    assert all(v == M._ONLY_PREFIX or (v >> 1, v & 1) == (transducer.ids[p], p in beginnings) for p, v in transducer.steps.items())
