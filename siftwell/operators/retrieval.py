@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ RRF_CONSTANT = 60
 BLOCK_TERMS = 200_000
 # postings that a task scores at a time
 BATCH_POSTINGS = 200_000
+# postings that a task sorts by document
+TASK_POSTINGS = 400_000
 
 
 def _by_score() -> list[Column]:
@@ -142,12 +145,15 @@ def sparse_topk(
     """Highest dot products of (query_id, term, weight) with (doc_id, term, weight).
 
     Postings of terms that nobody asks for are left out before the others are dealt by document; a task reads them in
-    that order, so it holds some documents at a time.
+    that order, so it holds some documents at a time. They are counted first, since more of them are dealt to more tasks
+    and not to larger ones: postings that are costly to make should be staged.
     """
     asked = query_terms.select("query_id", "term", F.col("weight").cast("double").alias("value"))
     terms = stage(asked.select("term").distinct(), "asked_terms")
     rows = postings.select(F.col("doc_id").cast("long").alias("doc_id"), "term", F.col("weight").cast("double").alias("weight"))
-    dealt = rows.join(terms, "term", "left_semi").repartition("doc_id").sortWithinPartitions("doc_id")
+    wanted = rows.join(terms, "term", "left_semi")
+    parts = max(1, math.ceil(wanted.count() / TASK_POSTINGS))
+    dealt = wanted.repartition(parts, "doc_id").sortWithinPartitions("doc_id")
     spark, candidates = postings.sparkSession, None
     for block in _term_blocks(asked, block_terms):
         shared = spark.sparkContext.broadcast(block)

@@ -57,7 +57,7 @@ def _documents(spark, folder):
 )
 def sparse(spark, folder):
     asked = R.term_weights(_questions(spark, folder), "query_id", "text", "query_id")
-    held = R.term_weights(_documents(spark, folder), "doc_id", "text", "doc_id")
+    held = stage(R.term_weights(_documents(spark, folder), "doc_id", "text", "doc_id"), "doc_terms")
     return R.sparse_topk(asked, held)
 
 

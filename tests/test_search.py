@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -282,6 +283,16 @@ def test_postings_that_nobody_asks_for_are_not_dealt(spark, monkeypatch):
     assert [b.column("doc_id").to_pylist() for b in R._whole_documents(iter(parts))] == [[1, 1], [2, 2, 2, 2, 2, 3], [4, 4]]
 
 
+def test_more_postings_are_dealt_to_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(R, "TASK_POSTINGS", 100)
+    asked = spark.createDataFrame([(1, "hot", 2.0)], "query_id long, term string, weight double")
+    for n in (250, 2_500):
+        held = spark.range(n).select(F.col("id").alias("doc_id"), F.explode(F.array(F.lit("hot"), F.lit("cold"))).alias("term"), F.lit(1.0).alias("weight"))
+        plan = R.sparse_topk(asked, held, 2)
+        assert f"hashpartitioning(doc_id, {math.ceil(n / 100)}), REPARTITION_BY_NUM" in re.sub(r"#\d+L?", "", plan._jdf.queryExecution().toString())
+        assert sorted(tuple(r) for r in plan.collect()) == [(1, 0, 2.0, 1), (1, 1, 2.0, 2)]
+
+
 def test_what_is_shuffled_does_not_grow_with_the_documents(spark, monkeypatch):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("hot word "), "id").alias("text")).repartition(6)
     queries = spark.createDataFrame([(i, "hot word") for i in range(5)], "query_id long, text string")
