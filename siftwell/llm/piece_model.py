@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import re
+import sys
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import add
+from itertools import accumulate
+
+import numpy as np
 
 #: Kinds of pieces in a model file, and the mark of a blank: fixed values of the format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -13,10 +18,13 @@ UNIGRAM, BPE = 1, 2
 BLANK = "▁"
 
 #: Entries of the caches of units (and as many again from before) and of neighbouring pieces.
-CACHED_UNITS, CACHED_PAIRS = 160_000, 300_000
+CACHED_UNITS, CACHED_PAIRS = 300_000, 300_000
 #: Units above this length are not remembered.
 LONG_UNIT = 64
+#: Numbers of characters in the table of those that pieces have side by side.
+TIED = 4_096
 NO_PIECE, _ONLY_PREFIX = -1, -2
+_NOTHING_SHORTER = -2
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -127,12 +135,9 @@ class PieceTransducer(PieceDecoder):
         super().__init__(model)
         self.ids = {p: i for i, (p, k) in enumerate(zip(model.pieces, model.kinds)) if k in (NORMAL, USER_DEFINED)}
         self.unknown = next((i for i, k in enumerate(model.kinds) if k == UNKNOWN), 0)
-        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.cut = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
-        # pieces with a blank behind other characters would tie units together
-        self.by_units = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
-        self.units: dict[str, list[int]] = {}
-        self.old_units: dict[str, list[int]] = {}
+        self._tie({p[i : i + 2] for p in self.ids for i in range(len(p) - 1)})
+        self.units: dict[str, bytes] = {}
+        self.old_units: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}  # by first id, second id in one number
         self.merges = model.kind == BPE
         if self.merges:
@@ -147,6 +152,12 @@ class PieceTransducer(PieceDecoder):
         # for merge models: twice the id, and one more if longer pieces begin so
         longer = {p[:-1] for p in self.arcs}
         self.steps = {p: _ONLY_PREFIX if i < 0 else 2 * i + (p in longer) for p, i in self.arcs.items()} if self.merges else {}
+        # by id: the longest shorter piece that a piece begins with. The last entry is that of a character without a piece
+        self.sizes = [len(p) for p in model.pieces] + [1]
+        self.shorter = [_NOTHING_SHORTER] * len(self.sizes)
+        for p, i in self.ids.items():
+            begins = (self.ids.get(p[:k], NO_PIECE) for k in range(len(p) - 1, 0, -1))
+            self.shorter[i] = next((b for b in begins if b >= 0), NO_PIECE if len(p) > 1 else _NOTHING_SHORTER)
 
     # -- merge models ------------------------------------------------------------------------------------------------
 
@@ -220,53 +231,62 @@ class PieceTransducer(PieceDecoder):
 
     def _shortest(self, unit: str) -> list[int]:
         """Ids along the path of least weight through the composition with ``unit``."""
-        path = self._only_path(unit) if self.merges else self._lightest_path(unit)
-        if path is None:
+        if self.merges:
+            ids = self._only_path(unit)
+            if ids is not None:
+                return ids
             path = self._merged(unit)
+        else:
+            path = self._lightest_path(unit)
         return [i for piece in path for i in self._written(piece)]
 
-    def _only_path(self, unit: str) -> list[str] | None:
-        """In a merge model at most one state of the acceptor is within reach at each position: the last piece there."""
-        n, steps, neighbours, pairs = len(unit), self.steps.get, self.neighbours, self.pairs
-        last: list[int | None] = [None] * (n + 1)
-        came = [0] * (n + 1)
-        last[0] = NO_PIECE
-        for at in range(n):
-            here = last[at]
-            if here is None:
-                continue
+    def _only_path(self, unit: str) -> list[int] | None:
+        """The ids of the one path that a merge model leaves, or None.
+
+        At most one state of the acceptor is within reach at each position, the last piece there. So the path is searched
+        depth first, the longest piece first, and a position that was left once without an end needs no second visit.
+        """
+        n, steps, pairs, neighbours = len(unit), self.steps.get, self.pairs.get, self.neighbours
+        sizes, shorter = self.sizes, self.shorter
+        ids: list[int] = []
+        left: set[int] = set()
+        at, here = 0, NO_PIECE
+        while at < n:
+            end = at + 1
             step = steps(unit[at])
-            if step is None or step == _ONLY_PREFIX:
-                last[at + 1], came[at + 1] = NO_PIECE, at
-                if step is None:
-                    continue
-            else:
-                if last[at + 1] is None and (here < 0 or neighbours(here, step >> 1)):
-                    last[at + 1], came[at + 1] = step >> 1, at
-                if not step & 1:
-                    continue
-            for end in range(at + 2, n + 1):
-                step = steps(unit[at:end])
-                if step is None:
-                    break
-                if step >= 0:
-                    if last[end] is None:
+            piece = NO_PIECE if step is None or step < 0 else step >> 1
+            if step is not None and (step & 1 or step < 0):
+                while end < n:
+                    end += 1
+                    step = steps(unit[at:end])
+                    if step is None:
+                        break
+                    if step >= 0:
                         piece = step >> 1
-                        if here < 0:
-                            last[end], came[end] = piece, at
-                        else:
-                            stays = pairs.get(here << 32 | piece)
-                            if neighbours(here, piece) if stays is None else stays:
-                                last[end], came[end] = piece, at
-                    if not step & 1:
+                        if not step & 1:
+                            break
+            while True:
+                if piece == _NOTHING_SHORTER:  # nothing begins here that leads to the end
+                    left.add(at)
+                    if not ids:
+                        return None
+                    piece = ids.pop()
+                    at -= sizes[piece]
+                    here = ids[-1] if ids else NO_PIECE
+                elif at + sizes[piece] not in left:
+                    if here < 0 or piece < 0:
                         break
-        if last[n] is None:
-            return None
-        path, end = [], n
-        while end:
-            path.append(unit[came[end] : end])
-            end = came[end]
-        return path[::-1]
+                    stays = pairs(here << 32 | piece)
+                    if neighbours(here, piece) if stays is None else stays:
+                        break
+                piece = shorter[piece]
+            ids.append(piece)
+            at += sizes[piece]
+            here = piece
+        if NO_PIECE not in ids:
+            return ids
+        starts = accumulate((sizes[i] for i in ids), initial=0)
+        return [i for start, piece in zip(starts, ids) for i in ([piece] if piece >= 0 else self._written(unit[start]))]
 
     def _lightest_path(self, unit: str) -> list[str]:
         """In a unigram model the state is the position alone, and weights decide."""
@@ -308,37 +328,41 @@ class PieceTransducer(PieceDecoder):
             return [self.unknown]
         return [self.byte_ids[b] for b in piece.encode()]
 
-    def _unit(self, unit: str) -> list[int]:
-        """Ids of a unit, from those of its parts."""
-        parts = self._parts(unit)
-        if len(parts) > 1:
-            return [i for part in parts for i in self._part(part)]
-        return self._part(unit)
-
-    def _part(self, part: str) -> list[int]:
-        found = self.units.get(part)
+    def _unit(self, unit: str) -> bytes:
+        """Ids of a unit that is not among the last ones, as 32-bit numbers."""
+        found = self.units.get(unit)
         if found is None:
-            found = self.old_units.get(part)
+            found = self.old_units.get(unit)
             if found is None:
-                found = self._shortest(part)
+                found = array("i", self._shortest(unit)).tobytes()
             if len(self.units) >= CACHED_UNITS:
                 self.old_units, self.units = self.units, {}
-            if len(part) <= LONG_UNIT:
-                self.units[part] = found
+            if len(unit) <= LONG_UNIT:
+                self.units[unit] = found
         return found
 
-    def _parts(self, unit: str) -> list[str]:
-        """The unit, cut where no piece can lie across: between two characters that no piece has side by side."""
-        pairs = list(map(add, unit, unit[1:]))
-        if self.inside.issuperset(pairs):
-            return [unit]
-        inside, parts, start = self.inside, [], 0
-        for i, pair in enumerate(pairs, start=1):
-            if pair not in inside:
-                parts.append(unit[start:i])
-                start = i
-        parts.append(unit[start:])
-        return parts
+    def _tie(self, inside: set[str]) -> None:
+        """Tables of the characters that some piece has side by side.
+
+        Characters have a number as the first and one as the second of two: 0 if no piece has them there, 1 if they are
+        beyond the commonest ``TIED``, which then count as tied to all but 0. That only leaves longer units.
+        """
+        self.first, self.second = np.zeros(sys.maxunicode + 1, np.uint16), np.zeros(sys.maxunicode + 1, np.uint16)
+        for side, numbers in enumerate((self.first, self.second)):
+            chars = Counter(pair[side] for pair in inside)
+            for n, (char, _) in enumerate(chars.most_common(), start=2):
+                numbers[ord(char)] = n if n < TIED else 1
+        self.tied = np.zeros((max(2, int(self.first.max()) + 1), max(2, int(self.second.max()) + 1)), bool)
+        self.tied[1, 1:] = self.tied[1:, 1] = True
+        for a, b in inside:
+            self.tied[self.first[ord(a)], self.second[ord(b)]] = True
+
+    def _units(self, text: str) -> list[str]:
+        """The text, cut where no piece can lie across: between two characters that no piece has side by side."""
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        cuts = np.flatnonzero(~self.tied[self.first[codes[:-1]], self.second[codes[1:]]]) + 1
+        ends = [*cuts.tolist(), len(text)]
+        return [text[start:end] for start, end in zip([0, *ends], ends)]
 
     def normalise(self, text: str) -> str:
         if self.model.squeeze_blanks:
@@ -347,12 +371,17 @@ class PieceTransducer(PieceDecoder):
             return ""
         return (BLANK if self.model.dummy_prefix else "") + text.replace(" ", BLANK)
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text. An empty one has none."""
+    def encode_array(self, text: str) -> np.ndarray:
+        """Ids of a text, as int32. An empty one has none."""
         ready = self.normalise(text)
-        out: list[int] = []
-        units = self.units
-        for unit in self.cut.findall(ready) if self.by_units else [ready]:
-            out += units.get(unit) or self._unit(unit)
-            units = self.units
-        return out
+        if not ready:
+            return np.empty(0, np.int32)
+        units = self._units(ready)
+        found = list(map(self.units.get, units))
+        for i, ids in enumerate(found):
+            if ids is None:
+                found[i] = self._unit(units[i])
+        return np.frombuffer(b"".join(found), np.int32)
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_array(text).tolist()

@@ -49,9 +49,9 @@ def encode_pieces(text: Column, model: bytes) -> Column:
     """array<int> of the ids of a text; null counts as empty, and an empty text has no ids."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = transducer(model).encode
+        encode = transducer(model).encode_array
         for texts in _pieces_of(batches):
-            found = [np.array(encode(t), dtype=np.int32) if t else np.empty(0, np.int32) for t in texts.to_pylist()]
+            found = [encode(t or "") for t in texts.to_pylist()]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.empty(0, np.int32)])))
 
@@ -81,9 +81,9 @@ def encode_and_decode(text: Column, model: bytes) -> Column:
         for texts in _pieces_of(batches):
             found, decoded = [], []
             for t in texts.to_pylist():
-                ids = machine.encode(t) if t else []
-                found.append(np.array(ids, dtype=np.int32))
-                decoded.append(machine.decode(ids))
+                ids = machine.encode_array(t or "")
+                found.append(ids)
+                decoded.append(machine.decode(ids.tolist()))
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             flat = pa.array(np.concatenate([*found, np.empty(0, np.int32)]))
             lists = pa.ListArray.from_arrays(pa.array(ends), flat)

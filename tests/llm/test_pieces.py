@@ -88,3 +88,40 @@ def test_steps_say_whether_longer_pieces_begin_so(transducer):
     beginnings = {p[:k] for p in transducer.ids for k in range(1, len(p))}
     assert transducer.steps.keys() == beginnings | transducer.ids.keys()
     assert all(v == M._ONLY_PREFIX or (v >> 1, v & 1) == (transducer.ids[p], p in beginnings) for p, v in transducer.steps.items())
+
+
+def test_a_search_begins_at_the_pieces_of_its_path():
+    """Not at every character; and what is cut at punctuation is remembered too."""
+    machine = M.PieceTransducer(M.PieceModel.parse(pieces.read_model()))
+    asked = []
+
+    class Asked(dict):
+        def get(self, key, default=None):
+            asked.append(key)
+            return super().get(key, default)
+
+    machine.steps = Asked(machine.steps)
+    words = "understanding internationally thatreatthed, eneinerver."
+    ids = machine.encode(words)
+    assert sum(len(k) == 1 for k in asked) <= 1.5 * len(ids) < len(words) / 2
+    asked.clear()
+    assert machine.encode(words) == ids and not asked
+
+
+@pytest.mark.parametrize("tied", [4_096, 4])
+def test_paths_equal_merging_in_any_merge_model(monkeypatch, tied):
+    """Also where the longest piece is a dead end, and where characters are beyond the table of tied ones."""
+    monkeypatch.setattr(M, "TIED", tied)
+    for seed in range(40):
+        rng = random.Random(seed)
+        names = [M.BLANK, *"abcd"]
+        while len(names) < 30:
+            made = rng.choice(names) + rng.choice(names)
+            if made not in names and M.BLANK not in made[1:]:
+                names.append(made)
+        model = M.PieceModel(["<unk>", *names], [0.0, *(-float(i) for i in range(len(names)))], [2] + [1] * len(names), M.BPE)
+        machine = M.PieceTransducer(model)
+        for _ in range(60):
+            text = "".join(rng.choices("abcdz ", (8, 8, 8, 8, 1, 2), k=rng.randrange(1, 30)))
+            merged = machine._merged(machine.normalise(text))
+            assert machine.encode(text) == [i for piece in merged for i in machine._written(piece)]
