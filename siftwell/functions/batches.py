@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,17 @@ import pyarrow.compute as pc
 SLICE_BYTES = 2_000_000
 
 
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, after which what Arrow has kept for later goes back to the system: workers live longer than tasks."""
+
+    @wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 def text_slices(texts: pa.Array, most: int | None = None) -> Iterator[pa.Array]:
     """The array in slices of about ``most`` bytes; a longer text is a slice of its own."""
     most = most or SLICE_BYTES

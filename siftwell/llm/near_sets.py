@@ -13,10 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.functions.batches import giving_back
 from siftwell.llm.columns import free_name, only, sent_if_small
 from siftwell.llm.components import components
 from siftwell.llm.wordhash import BLANK, hash_words, mix, shingles, slices, text_bytes
-from siftwell.session import stage, unstage
+from siftwell.session import small_batches, stage, unstage
 
 #: Texts whose signatures are combined before they are shuffled, in bytes.
 COMBINE_BYTES = 16 << 20
@@ -64,6 +65,7 @@ def text_sets(texts: list[bytes], size: int) -> Iterator[tuple[int, np.ndarray]]
 
 
 def _identify(size: int):
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, counts = [], []
@@ -83,6 +85,7 @@ def _identify(size: int):
 
 
 def _hashes(size: int):
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_bytes(batch.column("text"))
@@ -118,6 +121,7 @@ def combined(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
 
 
 def signed(method: Method, size: int, percent: int):
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes, held = [], [], 0
         for batch in batches:
@@ -139,6 +143,7 @@ def signed(method: Method, size: int, percent: int):
     return run
 
 
+@giving_back
 def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key and node: everybody under a key, in whatever piece, is tied to its first node."""
     last_key = last_head = None
@@ -243,6 +248,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _searched(method: Method, percent: int):
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches):
             names, labels = rows["class"].to_pylist(), rows["label"].to_pylist()
@@ -320,6 +326,11 @@ def similar_sets(docs: DataFrame, method: Method, words: int = 5, percent: int =
     connected it. After that, a block is searched only between members that are still in different components. So a
     group of near copies costs one comparison each, and its sets are sent once. Blocks are dealt by bytes.
     """
+    with small_batches(docs.sparkSession):
+        return _similar_sets(docs, method, words, percent)
+
+
+def _similar_sets(docs: DataFrame, method: Method, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     docs = only(docs, doc_id="doc_id", text="text").select("doc_id", F.xxhash64("text").alias("mark"), "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -341,6 +341,10 @@ class PieceTransducer(PieceDecoder):
                 self.units[unit] = found
         return found
 
+    def forget(self) -> None:
+        """Forgets the units; what is known of neighbouring pieces stays."""
+        self.units, self.old_units = {}, {}
+
     def _tie(self, inside: set[str]) -> None:
         """Tables of the characters that some piece has side by side.
 

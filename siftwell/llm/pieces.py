@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -45,16 +46,45 @@ def _pieces_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             yield batch.slice(start, ROWS_AT_ONCE)
 
 
-def encode_pieces(text: Column, model: bytes) -> Column:
-    """array<int> of the ids of a text; null counts as empty, and an empty text has no ids."""
+@contextmanager
+def _machine(model: bytes) -> Iterator[PieceTransducer]:
+    """The worker's transducer, for one task: the worker lives longer, so its units and Arrow's spare memory are given back."""
+    machine = transducer(model)
+    try:
+        yield machine
+    finally:
+        machine.forget()
+        pa.default_memory_pool().release_unused()
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = transducer(model).encode_array
+
+def _encoded(batches: Iterator[pa.Array], model: bytes) -> Iterator[pa.Array]:
+    with _machine(model) as machine:
         for texts in _pieces_of(batches):
-            found = [encode(t or "") for t in texts.to_pylist()]
+            found = [machine.encode_array(t or "") for t in texts.to_pylist()]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.empty(0, np.int32)])))
 
+
+def _encoded_and_decoded(batches: Iterator[pa.Array], model: bytes) -> Iterator[pa.Array]:
+    with _machine(model) as machine:
+        for texts in _pieces_of(batches):
+            found, decoded = [], []
+            for t in texts.to_pylist():
+                ids = machine.encode_array(t or "")
+                found.append(ids)
+                decoded.append(machine.decode(ids.tolist()))
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            flat = pa.array(np.concatenate([*found, np.empty(0, np.int32)]))
+            lists = pa.ListArray.from_arrays(pa.array(ends), flat)
+            yield pa.StructArray.from_arrays([lists, pa.array(decoded, pa.string())], ["ids", "decoded"])
+
+
+def encode_pieces(text: Column, model: bytes) -> Column:
+    """array<int> of the ids of a text; null counts as empty, and an empty text has no ids."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _encoded(batches, model)
+
     # said to be nondeterministic so that the optimiser doesn't encode again for every use of the column
     return arrow_udf(run, "array<int>", ArrowUDFType.SCALAR_ITER).asNondeterministic()(text)
 
@@ -77,17 +107,7 @@ def encode_and_decode(text: Column, model: bytes) -> Column:
     """struct<ids, decoded>: the ids of a text and the text that they give, in one pass through Python."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        machine = transducer(model)
-        for texts in _pieces_of(batches):
-            found, decoded = [], []
-            for t in texts.to_pylist():
-                ids = machine.encode_array(t or "")
-                found.append(ids)
-                decoded.append(machine.decode(ids.tolist()))
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            flat = pa.array(np.concatenate([*found, np.empty(0, np.int32)]))
-            lists = pa.ListArray.from_arrays(pa.array(ends), flat)
-            yield pa.StructArray.from_arrays([lists, pa.array(decoded, pa.string())], ["ids", "decoded"])
+        return _encoded_and_decoded(batches, model)
 
     return arrow_udf(run, "struct<ids: array<int>, decoded: string>", ArrowUDFType.SCALAR_ITER).asNondeterministic()(text)
 

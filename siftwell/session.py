@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +34,27 @@ def build_session(app: str = "siftwell", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+ARROW_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch of whole texts: of each task, the JVM and Python hold one at a time.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on, Arrow batches of this session end at about ``BATCH_BYTES``; a text longer than that stays whole."""
+    spark.conf.set(ARROW_BATCH, BATCH_BYTES)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """The same for what runs inside; then the session has its own setting again."""
+    before = spark.conf.get(ARROW_BATCH)
+    bound_batches(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_BATCH, before)
+
+
 _local_dirs: dict[str, str] = {}
 
 

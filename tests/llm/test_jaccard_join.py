@@ -101,6 +101,23 @@ def test_joins_shuffle_what_is_too_large_to_send(spark, monkeypatch):
     assert kept == {c for _, _, c in brute_force(docs, 3, 80)}
 
 
+def test_tasks_hold_few_texts_at_a_time(spark, monkeypatch):
+    """Batches of whole texts end at some bytes, not only at a number of rows, and the session keeps its own setting."""
+    from siftwell import session
+
+    monkeypatch.setattr(session, "BATCH_BYTES", 2000)
+    before = spark.conf.get(session.ARROW_BATCH)
+
+    def sign(sets, percent):
+        assert len(sets) <= 20, "too many texts at a time"
+        return J.T_OCCURRENCE.sign(sets, percent)
+
+    docs = [(i, f"{i} " + "word " * 40) for i in range(200)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    rows, _ = N.similar_sets(frame, N.Method(sign, J.T_OCCURRENCE.search), 3, 90)
+    assert rows.count() == 200 and spark.conf.get(session.ARROW_BATCH) == before
+
+
 def test_a_block_is_searched_until_all_is_connected(monkeypatch):
     """Members known to be connected are not compared again."""
     sets = [np.arange(i, i + 40).astype(np.uint64) for i in range(12)]

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -40,6 +41,19 @@ def test_small_caches(library, transducer, monkeypatch):
     assert [transducer.encode(t) for t in TEXTS] == library.encode(TEXTS)
 
 
+def test_a_task_leaves_no_units_behind(library, transducer):
+    """Workers live longer than tasks, and other stages need their memory."""
+    for run in (pieces._encoded, pieces._encoded_and_decoded):
+        found = pa.concat_arrays(run(iter([pa.array(TEXTS), pa.array(["", None])]), pieces.read_model()))
+        ids = found if run is pieces._encoded else found.field("ids")
+        assert ids.to_pylist() == library.encode([*TEXTS, "", ""])
+        assert not transducer.units and not transducer.old_units
+    rows = run(iter([pa.array(TEXTS)]), pieces.read_model())  # not read to its end
+    next(rows)
+    rows.close()
+    assert not transducer.units
+
+
 def test_unigram_paths_have_the_least_weight():
     names = ["<unk>", "▁", "a", "b", "c", "ab", "bc", "▁a", "abc"]
     scores = [0, -2.0, -3.0, -3.5, -3.0, -4.0, -1.0, -2.5, -9.0]

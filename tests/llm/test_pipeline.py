@@ -6,6 +6,7 @@ from test_decontamination import brute_force as leaks
 from test_jaccard_join import brute_force as components
 from test_lines_and_licenses import BLANKS, low
 
+from siftwell import session
 from siftwell.llm import language_id as L
 from siftwell.llm.decontamination import EDIT_WORDS
 from siftwell.llm.pieces import read_model
@@ -81,6 +82,17 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert got == {i: (library.encode(t), len(library.encode(t)), True) for i, t in want}
 
 
+def test_stages_that_are_read_later_bound_their_batches(spark, tmp_path):
+    tables(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get(session.ARROW_BATCH)
+    for stage in (corpus_pipeline.identify_languages, corpus_pipeline.decontaminate, corpus_pipeline.encode):
+        spark.conf.set(session.ARROW_BATCH, before)
+        stage(spark, docs, str(tmp_path))
+        assert spark.conf.get(session.ARROW_BATCH) == str(session.BATCH_BYTES)
+    spark.conf.set(session.ARROW_BATCH, before)
+
+
 def test_odd_rows(spark, odd_docs, no_docs, tmp_path):
     spark.createDataFrame([(1, "some benchmark item of six words")], "item_id long, text string").write.parquet(
         f"{tmp_path}/benchmark.parquet"
