@@ -7,7 +7,7 @@ order keys are unique and evenly spread, which keeps the join back free of skew.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import present, strip
@@ -17,14 +17,23 @@ def content_key(col: Column) -> Column:
     return F.unhex(F.sha2(col, 256))
 
 
-def keep_first(df: DataFrame, key: Column, ord: str) -> DataFrame:
-    """Rows with the smallest ``ord`` for their key. ``ord`` has to be unique per row."""
+def keep_first(df: DataFrame, key: Column, ord: str, in_order: bool = False) -> DataFrame:
+    """Rows with the smallest ``ord`` for their key. ``ord`` has to be unique per row.
+
+    With ``in_order`` they come sorted by ``ord``, over the partitions and within them. Rows and surviving order keys then
+    meet in the ranges of ``ord`` that the sort needs anyway, so the bodies are still shuffled once.
+    """
     winners = df.select(key.alias("_key"), F.col(ord)).groupBy("_key").agg(F.min(ord).alias(ord)).select(ord)
-    return df.join(winners, ord, "left_semi")
+    if not in_order:
+        return df.join(winners, ord, "left_semi")
+    rows, marks = df.withColumn("_mark", F.lit(False)), winners.withColumn("_mark", F.lit(True))
+    met = rows.unionByName(marks, allowMissingColumns=True).repartitionByRange(ord)
+    first = met.withColumn("_first", F.max("_mark").over(Window.partitionBy(ord))).filter("_first AND NOT _mark")
+    return first.sortWithinPartitions(ord).select(ord, *[c for c in df.columns if c != ord])
 
 
-def dedup_clean_text(df: DataFrame, text: str = "clean_text", ord: str = "ord") -> DataFrame:
-    return keep_first(df, content_key(F.col(text)), ord)
+def dedup_clean_text(df: DataFrame, text: str = "clean_text", ord: str = "ord", in_order: bool = False) -> DataFrame:
+    return keep_first(df, content_key(F.col(text)), ord, in_order)
 
 
 def distinct_raw_text(df: DataFrame, text: str, ord: str) -> DataFrame:

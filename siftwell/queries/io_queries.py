@@ -20,7 +20,7 @@ from siftwell.queries.html_queries import HREF as HREF_SQL
 from siftwell.queries.registry import NOISY, digest, noisy_documents, query, table, text_table
 from siftwell.queries.text_queries import CLEANED, cleaned_documents
 from siftwell.queries.token_queries import COUNTS, WORDS, _bodies
-from siftwell.session import new_path
+from siftwell.session import discard, new_path, spent_shuffles_removed
 from siftwell.sources import csv_parts, sinks, text_lines, url_ranges
 from siftwell.sources.points import create_points, read_points, upsert_into
 
@@ -30,20 +30,20 @@ def _write_csv(df, path, header=True):
     df.write.mode("append").options(header=header, quote='"', escape='"', **trim).csv(path)
 
 
-def _raw_parts(spark, folder):
+def _raw_parts(spark, folder, path):
     """CSV parts as a crawler leaves them: three headers under odd names; beside them parts without a body and broken ones."""
-    path = new_path(spark, "parts")
     rows = noisy_documents(spark, folder).select(
         "doc_id", F.col("source").alias("company"), F.concat(F.lit("u/"), "doc_id").alias("url"),
         F.col("body").alias("iframe_jd_text"),
     )
     group = F.col("doc_id") % 3
-    _write_csv(rows.filter(group == 0).select("company", "url", "iframe_jd_text"), f"{path}/공고 모음")
-    _write_csv(rows.filter(group == 1).select("iframe_jd_text", F.lit("x").alias("status"), "url", "company"), f"{path}/part #1 20%")
-    _write_csv(rows.filter(group == 2).select("url", "iframe_jd_text"), f"{path}/plain")
-    _write_csv(rows.filter("doc_id % 5 = 0").select("company", "url"), f"{path}/no body")
     broken = F.concat_ws("\n", F.lit("company,url,iframe_jd_text"), F.concat_ws(",", "company", "url", F.lit("t"), F.lit("more")))
-    rows.filter("doc_id % 5 = 1").select(broken.alias("value")).write.text(f"{path}/broken")
+    with spent_shuffles_removed(spark):
+        _write_csv(rows.filter(group == 0).select("company", "url", "iframe_jd_text"), f"{path}/공고 모음")
+        _write_csv(rows.filter(group == 1).select("iframe_jd_text", F.lit("x").alias("status"), "url", "company"), f"{path}/part #1 20%")
+        _write_csv(rows.filter(group == 2).select("url", "iframe_jd_text"), f"{path}/plain")
+        _write_csv(rows.filter("doc_id % 5 = 0").select("company", "url"), f"{path}/no body")
+        rows.filter("doc_id % 5 = 1").select(broken.alias("value")).write.text(f"{path}/broken")
     return f"{path}/*/part-*"
 
 
@@ -52,7 +52,7 @@ def _raw_parts(spark, folder):
     f"""WITH {NOISY} SELECT CASE WHEN doc_id % 3 <> 2 THEN source END AS company, 'u/' || doc_id AS url, md5(body) AS body FROM noisy""",
 )
 def scan_parts(spark, folder):
-    rows = csv_parts.scan_csv_parts(spark, _raw_parts(spark, folder), ord=False)
+    rows = csv_parts.scan_csv_parts(spark, _raw_parts(spark, folder, new_path(spark, "parts")), ord=False)
     return rows.select("company", "url", digest(F.col("iframe_jd_text")).alias("body"))
 
 
@@ -263,8 +263,10 @@ def page_parts(spark, folder):
     UNION ALL SELECT 'unique', count(*), CAST(sum(length(clean_text)) AS BIGINT) FROM u""",
 )
 def corpus_job(spark, folder):
-    """The whole corpus job over CSV parts with mixed headers."""
-    return build_corpus(spark, _raw_parts(spark, folder), new_path(spark, "corpus"), new_path(spark, "clean"))
+    """The whole corpus job over CSV parts with mixed headers, which were made for it and go when they are read."""
+    parts = new_path(spark, "parts")
+    raw = _raw_parts(spark, folder, parts)
+    return build_corpus(spark, raw, new_path(spark, "corpus"), new_path(spark, "clean"), once_read=lambda: discard(spark, parts))
 
 
 @query(

@@ -2,23 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import flatten_newlines
 from siftwell.operators import html as H
 from siftwell.operators.ranking import PART_SIZE, number_rows, part_of
+from siftwell.session import TEXT_CODEC
 
 
-def sink_corpus_text(df: DataFrame, path: str, text: str = "clean_text", ord: str | None = None) -> None:
+def sink_corpus_text(df: DataFrame, path: str, text: str = "clean_text", ord: str | None = None, mode: str = "error") -> None:
     """One posting per line, inner newlines as blanks; with ``ord``, in its order over the files and within them."""
     if ord is not None:
         df = df.repartitionByRange(F.col(ord)).sortWithinPartitions(ord)
-    df.select(flatten_newlines(F.col(text)).alias("value")).write.text(path)
+    df.select(flatten_newlines(F.col(text)).alias("value")).write.mode(mode).text(path)
+
+
+#: Runs of files that are read one after the other where their rows are to keep their order.
+RUNS = 4
+
+
+def runs_in_order(spark: SparkSession, path: str, column: str, runs: int = RUNS) -> Iterator[DataFrame]:
+    """One column of a written Parquet table in frames that follow each other in the order of its files.
+
+    Rows of a file are one partition, in their order; its number is that of the file, over all frames. So what is appended frame
+    by frame keeps the order by the names of its files, and only the rows of one frame are shuffled at a time.
+    """
+    files = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").orderBy("path").collect()]
+    schema = spark.read.parquet(path).schema
+    size = max(1, -(-len(files) // runs))
+    for start in range(0, len(files), size):
+        some = files[start : start + size]
+        names = F.lit([name.rsplit("/", 1)[1] for name in some])
+        rows = spark.read.schema(schema).parquet(*some).select(
+            column,
+            (F.array_position(names, F.col("_metadata.file_name")) + start - 1).cast("int").alias("_file"),
+            F.col("_metadata.row_index").alias("_row"),
+        )
+        yield rows.repartitionById(start + len(some), "_file").sortWithinPartitions("_file", "_row").select(column)
 
 
 def sink_clean_parquet(df: DataFrame, path: str) -> None:
-    df.write.parquet(path)
+    df.write.option("compression", TEXT_CODEC).parquet(path)
 
 
 def sink_csv_parts(df: DataFrame, path: str, ord: str, size: int = PART_SIZE) -> None:

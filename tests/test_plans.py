@@ -1,12 +1,14 @@
 import json
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.plans.corpus import build_corpus
+from siftwell.plans.corpus import _stage_cleaned, build_corpus
 from siftwell.plans.index import index_postings, posting_outcomes
 from siftwell.plans.vocabulary import train_vocab
-from siftwell.session import new_path
+from siftwell.session import SHUFFLE_CLEANUP, TEXT_CODEC, new_path, shared_dir, stage
 from siftwell.sources.text_lines import scan_corpus_lines
 from siftwell.streaming.ingest import index_new_parts
 
@@ -53,6 +55,79 @@ def test_corpus_keeps_the_order_of_the_input(spark, tmp_path):
     assert ordered == sorted(ordered) and len(ordered) == 3000
 
 
+def files_below(folder):
+    return sorted(p for p in Path(folder).rglob("*") if p.is_file() and not p.name.startswith((".", "_")))
+
+
+def shuffle_files(spark):
+    """Names of the shuffle files that this session holds."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = (blocks.apply(i).getName() for i in range(blocks.size()))
+    return {name for name in names if name.startswith("shuffle_")}
+
+
+def write_parts(folder, files=6, rows=60):
+    """CSV parts in which every other row repeats a body of the part before."""
+    for part in range(files):
+        lines = "".join(f'u{part}-{row},"{BODY} {part - row % 2:02d} {row:03d}\nㆍ학력 : 학력무관"\n' for row in range(rows))
+        (folder / f"p_{part:02d}.csv").write_text("url,iframe_jd_text\n" + lines, encoding="utf-8")
+
+
+def test_corpus_job_keeps_no_shuffle_files_and_no_staged_rows(spark, tmp_path):
+    write_parts(tmp_path)
+    text, clean = new_path(spark, "text"), new_path(spark, "clean")
+    tables, blocks, setting = files_below(shared_dir(spark)), shuffle_files(spark), spark.conf.get(SHUFFLE_CLEANUP)
+    build_corpus(spark, f"{tmp_path}/p_*.csv", text, clean)
+    until = time.time() + 20
+    while shuffle_files(spark) - blocks and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - blocks
+    assert {p.parent.name for p in files_below(shared_dir(spark)) if p not in tables} == {"text", "clean", "corpus_stats"}
+    assert spark.conf.get(SHUFFLE_CLEANUP) == setting
+
+
+def test_parts_may_go_when_the_corpus_job_has_read_them(spark, tmp_path):
+    text, clean, seen = new_path(spark, "text"), new_path(spark, "clean"), []
+
+    def once_read():
+        seen.append((Path(text).exists(), Path(clean).exists()))
+        for part in tmp_path.glob("p_*.csv"):
+            part.unlink()
+
+    write_parts(tmp_path)
+    kept = build_corpus(spark, f"{tmp_path}/p_*.csv", text, clean, once_read=once_read)
+    stats = {r["stage"]: (r["n_rows"], r["n_chars"]) for r in kept.collect()}
+    size, dropped = len(f"{BODY} 00 000"), "\nㆍ학력 : 학력무관"
+    assert seen == [(False, False)] and not list(tmp_path.glob("p_*.csv"))
+    assert stats["read"] == (360, 360 * (size + len(dropped))) and stats["cleaned"] == (360, 360 * size)
+    rows = spark.read.parquet(clean).collect()
+    assert stats["unique"] == (len(rows), sum(len(r["clean_text"]) for r in rows))
+    bodies = {f"{BODY} {part - row % 2:02d} {row:03d}" for part in range(6) for row in range(60)}
+    assert sorted(r["clean_text"] for r in rows) == sorted(bodies)
+    assert all(r["iframe_jd_text"] == r["clean_text"] + dropped for r in rows)
+
+
+def test_staged_texts_take_little_more_disk_than_one_of_them(spark):
+    words = [f"{i * 7919 % 99_991:05x}" for i in range(5000)]
+    bodies = [(f"u{n}", " ".join(words[(n * k) % 5000] for k in range(1, 400)), (str(n), n)) for n in range(1000, 1300)]
+    rows = spark.createDataFrame(bodies, "url string, iframe_jd_text string, ord struct<path: string, row: long>").coalesce(1)
+    rows = rows.withColumn("clean_text", F.replace("iframe_jd_text", F.lit(" 0"), F.lit("\n0")))
+    staged, unpacked = _stage_cleaned(rows)
+    assert unpacked.schema.names == rows.schema.names
+    assert sorted(unpacked.collect()) == sorted(rows.collect())
+    one = stage(rows.drop("iframe_jd_text"), "one", codec=TEXT_CODEC)
+    size = {df: sum(p.stat().st_size for p in files_below(df.staged_path)) for df in (staged, one)}
+    assert size[staged] < 1.4 * size[one]
+
+
+def test_a_corpus_of_no_rows(spark, tmp_path):
+    (tmp_path / "p_1.csv").write_text("url,iframe_jd_text\nu1,짧다\n", encoding="utf-8")
+    text, clean = new_path(spark, "text"), new_path(spark, "clean")
+    stats = {r["stage"]: (r["n_rows"], r["n_chars"]) for r in build_corpus(spark, f"{tmp_path}/p_*.csv", text, clean).collect()}
+    assert stats == {"read": (1, 2), "cleaned": (0, 0), "unique": (0, 0)}
+    assert spark.read.parquet(clean).count() == spark.read.text(text).count() == 0
+
+
 def test_a_later_run_adds_to_the_folder(spark):
     folder = new_path(spark, "index")
     for url, added in (("u1", {"success": 1}), ("u2", {"success": 1}), ("u1", {"skip": 1})):

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from siftwell.operators.dedup import dedup_clean_text
 from siftwell.session import new_path
@@ -136,3 +137,25 @@ def test_page_parts(spark):
     sinks.sink_page_parts(df, path)
     kinds = {r["kind"]: r["part"] for r in spark.read.schema("page_id long, part string, kind string").json(path).collect()}
     assert kinds["heading"] == '{"tag":"H1","text":"T","className":""}' and set(kinds) == {"heading", "link", "block", "body"}
+
+
+def test_frames_that_are_appended_keep_the_order_of_the_files(spark):
+    source, text = new_path(spark, "source"), new_path(spark, "text")
+    rows = spark.range(1000).select(F.format_string("line %04d", "id").alias("clean_text"), F.lit("x").alias("other"))
+    # files of 30 rows, several of each task, more and less at the end of a task
+    rows.repartitionByRange(7, "clean_text").sortWithinPartitions("clean_text").write.option("maxRecordsPerFile", 30).parquet(source)
+    frames = list(sinks.runs_in_order(spark, source, "clean_text", runs=4))
+    assert len(frames) == 4 and all(150 < frame.count() < 350 for frame in frames)
+    for frame in frames:
+        sinks.sink_corpus_text(frame, text, mode="append")
+    lines = [r["value"] for r in text_lines.scan_corpus_lines(spark, text).orderBy("ord").collect()]
+    assert lines == [f"line {i:04d}" for i in range(1000)]
+    # one file of text for each file of the table
+    filled = [r["length"] for r in spark.read.format("binaryFile").load(text).select("length").collect() if r["length"]]
+    assert len(filled) == spark.read.format("binaryFile").load(source).select("path").count() >= 34
+
+
+def test_clean_table_is_compressed_well(spark):
+    path = new_path(spark, "clean")
+    sinks.sink_clean_parquet(spark.range(10).select(F.col("id").cast("string").alias("clean_text")), path)
+    assert {r["path"].rsplit(".", 2)[1] for r in spark.read.format("binaryFile").load(path).select("path").collect()} == {"zstd"}

@@ -23,6 +23,37 @@ def test_first_row_wins(spark, partitions):
     assert sorted(r["ord"] for r in D.dedup_clean_text(df).collect()) == sorted(firsts.values())
 
 
+@pytest.mark.parametrize("partitions", PARTITIONS)
+def test_first_rows_in_order(spark, partitions):
+    rng = random.Random(4)
+    rows = [((f"p{i % 7}", i), f"u{i}", None if i == 9 else "hot" if rng.random() < 0.33 else f"t{rng.randint(0, 50)}") for i in range(500)]
+    df = spark.createDataFrame(rows, "ord struct<path: string, row: int>, url string, clean_text string").repartition(partitions)
+    firsts = {}
+    for ord, url, text in sorted(rows):
+        firsts.setdefault(text, (ord, url, text))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        kept = D.dedup_clean_text(df.select("url", "ord", "clean_text"), in_order=True)
+        found = kept.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert kept.columns == ["ord", "url", "clean_text"]
+    assert [(tuple(r["ord"]), r["url"], r["clean_text"]) for r in sorted(found, key=lambda r: r["at"])] == sorted(
+        firsts.values(), key=lambda row: row[0]
+    )
+    assert len({r["part"] for r in found}) > 1
+
+
+def test_first_rows_in_order_are_shuffled_once(spark, tmp_path):
+    spark.range(1000).select(F.col("id").alias("ord"), (F.col("id") % 700).cast("string").alias("clean_text")).write.parquet(f"{tmp_path}/t")
+    kept = D.dedup_clean_text(spark.read.parquet(f"{tmp_path}/t"), in_order=True)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert [line for line in plan.splitlines() if "Exchange" in line and "rangepartitioning" in line] and "Join" not in plan
+    # the other one is that of the hashes
+    assert plan.count("Exchange") == 2 and "hashpartitioning(_key" in plan
+
+
 def test_blank_bodies_are_not_distinct_texts(spark):
     df = spark.createDataFrame([(1, " 　"), (2, "a"), (3, None), (4, "a"), (5, "")], "ord int, t string")
     assert [r["ord"] for r in D.distinct_raw_text(df, "t", "ord").collect()] == [2]
