@@ -26,10 +26,13 @@ def keep_first(df: DataFrame, key: Column, ord: str, in_order: bool = False) ->
     winners = df.select(key.alias("_key"), F.col(ord)).groupBy("_key").agg(F.min(ord).alias(ord)).select(ord)
     if not in_order:
         return df.join(winners, ord, "left_semi")
-    rows, marks = df.withColumn("_mark", F.lit(False)), winners.withColumn("_mark", F.lit(True))
+    # longer than the name of any column, so none of them
+    mark, first = (prefix + max(df.columns, key=len) for prefix in ("mark_", "first_"))
+    rows, marks = df.withColumn(mark, F.lit(False)), winners.withColumn(mark, F.lit(True))
     met = rows.unionByName(marks, allowMissingColumns=True).repartitionByRange(ord)
-    first = met.withColumn("_first", F.max("_mark").over(Window.partitionBy(ord))).filter("_first AND NOT _mark")
-    return first.sortWithinPartitions(ord).select(ord, *[c for c in df.columns if c != ord])
+    met = met.withColumn(first, F.max(F.col(f"`{mark}`")).over(Window.partitionBy(ord)))
+    met = met.filter(F.col(f"`{first}`") & ~F.col(f"`{mark}`")).sortWithinPartitions(ord)
+    return met.select(ord, *[F.col(f"`{c}`") for c in df.columns if c != ord])
 
 
 def dedup_clean_text(df: DataFrame, text: str = "clean_text", ord: str = "ord", in_order: bool = False) -> DataFrame:

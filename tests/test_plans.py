@@ -120,6 +120,15 @@ def test_staged_texts_take_little_more_disk_than_one_of_them(spark):
     assert size[staged] < 1.4 * size[one]
 
 
+@pytest.mark.parametrize("name", ["공고 모음", "#1 20%", "a%20b", "d+e"])
+def test_corpus_in_a_folder_of_any_name(spark, tmp_path, name):
+    write_parts(tmp_path, files=2)
+    text, clean = (f"{new_path(spark, kind)}/{name}" for kind in ("text", "clean"))
+    stats = {r["stage"]: r["n_rows"] for r in build_corpus(spark, f"{tmp_path}/p_*.csv", text, clean).collect()}
+    lines = [r["value"] for r in scan_corpus_lines(spark, text).orderBy("ord").collect()]
+    assert lines == [r["clean_text"] for r in spark.read.parquet(clean).orderBy("ord").collect()] and len(lines) == stats["unique"]
+
+
 def test_a_corpus_of_no_rows(spark, tmp_path):
     (tmp_path / "p_1.csv").write_text("url,iframe_jd_text\nu1,짧다\n", encoding="utf-8")
     text, clean = new_path(spark, "text"), new_path(spark, "clean")

@@ -27,19 +27,19 @@ def test_first_row_wins(spark, partitions):
 def test_first_rows_in_order(spark, partitions):
     rng = random.Random(4)
     rows = [((f"p{i % 7}", i), f"u{i}", None if i == 9 else "hot" if rng.random() < 0.33 else f"t{rng.randint(0, 50)}") for i in range(500)]
-    df = spark.createDataFrame(rows, "ord struct<path: string, row: int>, url string, clean_text string").repartition(partitions)
+    df = spark.createDataFrame(rows, "ord struct<path: string, row: int>, `mark_a.b` string, clean_text string").repartition(partitions)
     firsts = {}
     for ord, url, text in sorted(rows):
         firsts.setdefault(text, (ord, url, text))
     before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        kept = D.dedup_clean_text(df.select("url", "ord", "clean_text"), in_order=True)
+        kept = D.dedup_clean_text(df.select("`mark_a.b`", "ord", "clean_text"), in_order=True)
         found = kept.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).collect()
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
-    assert kept.columns == ["ord", "url", "clean_text"]
-    assert [(tuple(r["ord"]), r["url"], r["clean_text"]) for r in sorted(found, key=lambda r: r["at"])] == sorted(
+    assert kept.columns == ["ord", "mark_a.b", "clean_text"]
+    assert [(tuple(r["ord"]), r["mark_a.b"], r["clean_text"]) for r in sorted(found, key=lambda r: r["at"])] == sorted(
         firsts.values(), key=lambda row: row[0]
     )
     assert len({r["part"] for r in found}) > 1
